@@ -1,7 +1,11 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op9
+from . import op2, op4, op9
 
-QUERIES = {"op9_ngram_jaccard": op9.op9_ngram_jaccard}
-ORACLES = {"op9_ngram_jaccard": op9.SQL}
+QUERIES = {
+    "op2_mix_sources": op2.op2_mix_sources,
+    "op4_pack_windows": op4.op4_pack_windows,
+    "op9_ngram_jaccard": op9.op9_ngram_jaccard,
+}
+ORACLES = {"op2_mix_sources": op2.SQL, "op9_ngram_jaccard": op9.SQL}
