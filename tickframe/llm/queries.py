@@ -1,9 +1,10 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op2, op4, op9
+from . import op1, op2, op4, op9
 
 QUERIES = {
+    "op1_quality_rules": op1.op1_quality_rules,
     "op2_mix_sources": op2.op2_mix_sources,
     "op4_pack_windows": op4.op4_pack_windows,
     "op9_ngram_jaccard": op9.op9_ngram_jaccard,
