@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
@@ -31,11 +32,10 @@ FRAGMENT_BITS, LOW_BITS = 6, 40
 TOKEN_BITS = FRAGMENT_BITS + LOW_BITS
 SEGMENTS = 8
 #: An n-gram that more than this many prefixes of one round hold goes to the end of the order.
-HOT_PREFIXES = 40
+HOT_PREFIXES = 6
 #: The broadcast list of such n-grams holds at most this many (8 bytes each); beyond it the most common ones are listed.
 HOT_LIMIT = 1_000_000
-HOT_ROUNDS = 3
-STAR_ROUNDS = 1
+HOT_ROUNDS = 2
 #: Ids up to this count are broadcast to filter the set table; beyond it a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -63,39 +63,42 @@ def shingle_hashes(w: K.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 def pack_set(tokens: np.ndarray) -> bytes:
     """Sorted tokens of TOKEN_BITS bits: counts per fragment, low 32 bits, next 8 bits."""
     counts = np.bincount((tokens >> np.uint64(LOW_BITS)).astype(np.int64), minlength=1 << FRAGMENT_BITS).astype(np.uint32)
-    return counts.astype("<u4").tobytes() + tokens.astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
+    return counts.astype("<u4" if len(tokens) >= 1 << 16 else "<u2").tobytes() + tokens.astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
 def unpack_set(blob: bytes) -> np.ndarray:
     f = 1 << FRAGMENT_BITS
-    counts = np.frombuffer(blob, "<u4", f)
-    n = (len(blob) - 4 * f) // 5
-    low = np.frombuffer(blob, "<u4", n, 4 * f).astype(np.uint64)
-    mid = np.frombuffer(blob, np.uint8, n, 4 * f + 4 * n).astype(np.uint64)
+    wide = 4 if len(blob) >= 5 * (1 << 16) + 4 * f else 2
+    counts = np.frombuffer(blob, f"<u{wide}", f)
+    n = (len(blob) - wide * f) // 5
+    low = np.frombuffer(blob, "<u4", n, wide * f).astype(np.uint64)
+    mid = np.frombuffer(blob, np.uint8, n, wide * f + 4 * n).astype(np.uint64)
     high = np.repeat(np.arange(f, dtype=np.uint64), counts)
     return (high << np.uint64(LOW_BITS)) | (mid << np.uint64(32)) | low
 
 
 def _sets(width):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("u", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for b in K.slices(batches):
             buf, offs = K.flat(b.column("text"))
             h, doc = shingle_hashes(K.words(K.LOWER[buf], offs), width)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ns, cs, blobs = [], [], []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                u = np.unique(h[lo:hi])
+                grams = np.unique(h[lo:hi])
                 with np.errstate(over="ignore"):
-                    key = int(K.mix(np.array([K.mix(u + P).sum(dtype=np.uint64) + np.uint64(len(u))]))[0])
-                ns.append(len(u))
+                    key = int(K.mix(np.array([K.mix(grams + P).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0])
+                ns.append(len(grams))
                 cs.append(key - (1 << 64) if key >> 63 else key)
-                t = np.sort(u >> np.uint64(64 - TOKEN_BITS))
-                blobs.append(pack_set(t) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(cs, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+                blobs.append(pack_set(grams >> np.uint64(64 - TOKEN_BITS)) if len(grams) else None)
+            u = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([u, b.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(cs, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return run, "doc_id long, n int, c long, grams binary"
+    return run, "u long, doc_id long, n int, c long, grams binary"
 
 
 def prefix(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -155,33 +158,64 @@ def _gathered(batches, hot, limit=3_000_000):
         yield out()
 
 
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Two bytes each if they are enough, else four."""
+    return x.astype("<u2" if len(x) == 0 or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _sized(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.int64)
+
+
+def _dealt(u: np.ndarray, parts: int):
+    """Slices of sorted tokens by part (token modulo parts), and their quotients, which need fewer bytes."""
+    part = (u % np.uint64(parts)).astype(np.int64)
+    o = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[o], np.arange(parts + 1)).tolist()
+    rest = u // np.uint64(parts)
+    width = (int(rest.max()).bit_length() + 7) // 8 if len(u) else 1
+    return [(p, o[x:y], _narrow(rest[o[x:y]], width), width) for p, x, y in zip(range(parts), cut[:-1], cut[1:], strict=True) if y > x]
+
+
 def _blobs(parts: int, hot):
     """Rows (part, tokens, counts): tokens of one gathered chunk and part, for counting."""
-    schema = pa.schema([("part", pa.int32()), ("t", pa.binary()), ("k", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("t", pa.binary()), ("k", pa.binary())])
 
     def run(batches):
         for t, _, _, _ in _gathered(batches, hot.value):
             u, k = np.unique(t, return_counts=True)
-            part = (u % np.uint64(parts)).astype(np.int32)
-            o = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[o], np.arange(parts + 1))
-            rows = [(p, u[o[a:b]], k[o[a:b]]) for p, a, b in zip(range(parts), cut[:-1], cut[1:], strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype("<u8").tobytes() for r in rows], pa.binary()), pa.array([np.minimum(r[2], 1 << 30).astype("<u4").tobytes() for r in rows], pa.binary())], schema=schema)
+            rows = [(p, width, t, np.minimum(k[o], 255).astype(np.uint8).tobytes()) for p, o, t, width in _dealt(u, parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run, "part int, t binary, k binary"
+    return run, "part int, width int, t binary, k binary"
 
 
-def _hot(batches):
-    held: list = []
-    for b in batches:
-        for t, k in zip(b.column("t").to_pylist(), b.column("k").to_pylist(), strict=True):
-            held.append((np.frombuffer(t, "<u8"), np.frombuffer(k, "<u4").astype(np.int64)))
-    if held:
-        t, k = (np.concatenate(x) for x in zip(*held, strict=True))
-        u, inv = np.unique(t, return_inverse=True)
-        n = np.bincount(inv, weights=k).astype(np.int64)
-        hot = n > HOT_PREFIXES
-        yield pa.RecordBatch.from_arrays([pa.array(u[hot].astype(np.int64)), pa.array(n[hot])], names=["t", "n"])
+def _hot(parts: int):
+    def run(batches):
+        held = []
+        for b in batches:
+            for p, width, t, k in zip(*(b.column(x).to_pylist() for x in ("part", "width", "t", "k")), strict=True):
+                held.append((_wide(t, width) * np.uint64(parts) + np.uint64(p), np.frombuffer(k, np.uint8).astype(np.int64)))
+        if held:
+            t, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, inv = np.unique(t, return_inverse=True)
+            n = np.bincount(inv, weights=k).astype(np.int64)
+            hot = n > HOT_PREFIXES
+            yield pa.RecordBatch.from_arrays([pa.array(u[hot].astype(np.int64)), pa.array(n[hot])], names=["t", "n"])
+
+    return run
 
 
 def _hot_tokens(sets: DataFrame):
@@ -192,7 +226,7 @@ def _hot_tokens(sets: DataFrame):
     hot, level = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _ in range(HOT_ROUNDS):
         fn, schema = _blobs(parts, spark.sparkContext.broadcast((hot, level)))
-        found = sets.mapInArrow(fn, schema).repartition(parts, "part").mapInArrow(_hot, "t long, n long")
+        found = sets.mapInArrow(fn, schema).repartition(parts, "part").mapInArrow(_hot(parts), "t long, n long")
         rows = found.orderBy(F.desc("n"), "t").limit(HOT_LIMIT).toPandas()
         new = dict(zip(hot.tolist(), level.tolist(), strict=True))
         for t, n in zip(rows["t"].tolist(), rows["n"].tolist(), strict=True):
@@ -208,20 +242,17 @@ def _hot_tokens(sets: DataFrame):
 
 def _first_stars(parts: int, hot):
     """Star pairs inside a gathered chunk (a null part), and one entry per distinct n-gram of the chunk for the reducers."""
-    schema = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("s", pa.binary()), ("i", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("s", pa.binary()), ("i", pa.binary())])
 
     def run(batches):
         for t, c, s, i in _gathered(batches, hot.value):
             head, a, b = _stars(t, c, s, i)
-            rows = [(None, a.tobytes(), b.tobytes(), None, None)]
+            rows = [(None, 0, a.tobytes(), b.tobytes(), None, None)]
             u, uc, us, ui = t[head], c[head], s[head], i[head]
-            part = (u % np.uint64(parts)).astype(np.int32)
-            o = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[o], np.arange(parts + 1))
-            rows += [(p, u[o[x:y]].astype("<u8").tobytes(), uc[o[x:y]].astype("<i8").tobytes(), us[o[x:y]].astype("<i4").tobytes(), ui[o[x:y]].astype("<i4").tobytes()) for p, x, y in zip(range(parts), cut[:-1], cut[1:], strict=True) if y > x]
+            rows += [(p, width, q, uc[o].astype("<i8").tobytes(), _small(us[o]), _small(ui[o])) for p, o, q, width in _dealt(u, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run, "part int, a binary, b binary, s binary, i binary"
+    return run, "part int, width int, a binary, b binary, s binary, i binary"
 
 
 def _stars(t, c, s, i):
@@ -244,18 +275,23 @@ def _stars(t, c, s, i):
     return head, lo[keep].astype("<i8"), hi[keep].astype("<i8")
 
 
-def _last_stars(batches):
-    held = []
+def _last_stars(parts: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for b in batches:
-        for p, x, y, s, i in zip(*(b.column(k).to_pylist() for k in ("part", "a", "b", "s", "i")), strict=True):
-            if p is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")), pa.array(np.frombuffer(y, "<i8"))], schema=schema)
-            else:
-                held.append((np.frombuffer(x, "<u8"), np.frombuffer(y, "<i8"), np.frombuffer(s, "<i4"), np.frombuffer(i, "<i4")))
-    if held:
-        _, a, b = _stars(*_in_order(held))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for p, width, x, y, s, i in zip(*(batch.column(k).to_pylist() for k in ("part", "width", "a", "b", "s", "i")), strict=True):
+                if p is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")), pa.array(np.frombuffer(y, "<i8"))], schema=schema)
+                else:
+                    c = np.frombuffer(y, "<i8")
+                    held.append((_wide(x, width) * np.uint64(parts) + np.uint64(p), c, _sized(s, len(c)), _sized(i, len(c))))
+        if held:
+            _, a, b = _stars(*_in_order(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return run
 
 
 def _star_pairs(sets: DataFrame, hot) -> DataFrame:
@@ -263,13 +299,14 @@ def _star_pairs(sets: DataFrame, hot) -> DataFrame:
     fn, schema = _first_stars(parts, hot)
     rows = sets.mapInArrow(fn, schema)
     # chunk-local pairs (null part) are spread by their content, entries by their part
-    return rows.repartition(parts, F.coalesce("part", F.hash("a"))).mapInArrow(_last_stars, "a long, b long").distinct()
+    return rows.repartition(parts, F.coalesce("part", F.hash("a"))).mapInArrow(_last_stars(parts), "a long, b long").distinct()
 
 
-def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `sets` whose class is in `ids` (column c)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return sets.join(F.broadcast(ids) if few else ids, "c", "left_semi")
+def _only(sets: DataFrame, cls: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of `sets` for each class in `ids` (column c)."""
+    rows = written(cls.join(ids, "c", "left_semi").select("u"))
+    few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(rows) if few else rows, "u", "left_semi").select("c", "n", "grams")
 
 
 def _segments(batches):
@@ -309,6 +346,13 @@ def _partial(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(over, pa.int32())], names=["a", "b", "na", "nb", "o"])
 
 
+SEGMENT = "c long, n int, f int, t binary"
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+
+
 def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs (a, b) that truly link: partial overlaps per fragment, summed per pair."""
     left = segments.select(F.col("c").alias("a"), F.col("n").alias("na"), "f", F.col("t").alias("ta"))
@@ -334,6 +378,24 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """256-bit map, as four numbers: of how many tokens with these last 8 bits, even or odd."""
+    return np.packbits((np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _parities(batches):
+    for b in batches:
+        maps = np.array([parity(unpack_set(g)) for g in b.column("grams").to_pylist()]).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), *(pa.array(x) for x in maps.T.copy())], names=["c", "n", "m0", "m1", "m2", "m3"])
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs whose parity bitmaps allow a link: they differ in at most |A xor B| bits, and that is at most (n + m) / 9."""
+    one = maps.withColumnRenamed("c", "a")
+    two = maps.select(F.col("c").alias("b"), F.col("n").alias("m"), *(F.col(f"m{q}").alias(f"w{q}") for q in range(4)))
+    return pairs.where("a != b").join(one, "a").join(two, "b").where("9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m").select("a", "b")
+
+
 def _mixed_entries(hot):
     schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64()), *((f"m{q}", pa.int64()) for q in range(4))])
 
@@ -342,7 +404,7 @@ def _mixed_entries(hot):
             toks, rows, maps = [], [], []
             for i, g in enumerate(b.column("grams").to_pylist()):
                 full = unpack_set(g)
-                maps.append(np.packbits((np.bincount((full & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
+                maps.append(parity(full))
                 t = prefix(full, hot.value)
                 toks.append(t.astype(np.int64))
                 rows.append(np.full(len(t), i))
@@ -358,50 +420,36 @@ def _mixed_entries(hot):
 MAY_LINK = "9L * least(n - i, m - j) >= 4L * (n + m) and 9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m"
 
 
-def _across(entries: DataFrame, star: int | None) -> DataFrame:
-    """Distinct pairs of different components that share a prefix n-gram and may link: those with one chosen member of each
-    group (star = number of the round), or all (None)."""
-    spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")]
-    other = [F.col(x).alias(y) for x, y in (("c", "d"), ("n", "m"), ("i", "j"), ("comp", "other"), ("m0", "w0"), ("m1", "w1"), ("m2", "w2"), ("m3", "w3"))]
-    if star is not None:
-        spread.append(F.min_by(F.struct("c", "n", "i", "comp", "m0", "m1", "m2", "m3"), F.struct(F.xxhash64("comp", F.lit(star)), "i", "c")).alias("p"))
-    # groups of two have been looked at by the first stars
-    mixed = entries.groupBy("t").agg(*spread).where("lo != hi and k > 2").select("t", *(["p.*"] if star is not None else []))
-    mixed = written(mixed)
+def _across(entries: DataFrame) -> DataFrame:
+    """Distinct pairs of different components that share a prefix n-gram and may link."""
+    spread = entries.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+    mixed = written(spread.where("lo != hi and k > 2").select("t"))  # groups of two have been looked at by the stars
     few = mixed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    if star is None:
-        entries = entries.join(F.broadcast(mixed) if few else mixed, "t", "left_semi")
-        met = entries.join(entries.select("t", *other), "t").where("c < d and comp != other and " + MAY_LINK)
-    else:
-        mixed = mixed.select("t", *other)
-        met = entries.join(F.broadcast(mixed) if few else mixed, "t").where("comp != other and " + MAY_LINK)
-    return met.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    entries = entries.join(F.broadcast(mixed) if few else mixed, "t", "left_semi")
+    names = (("c", "d"), ("n", "m"), ("i", "j"), ("comp", "other"), ("m0", "w0"), ("m1", "w1"), ("m2", "w2"), ("m3", "w3"))
+    met = entries.join(entries.select("t", *(F.col(x).alias(y) for x, y in names)), "t").where("c < d and comp != other and " + MAY_LINK)
+    return met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id; see the module's text."""
     sets = written(docs.select("doc_id", "text").mapInArrow(*_sets(width)))
-    full = sets.where("n > 0").select("c", "n", "grams")
-    hot = _hot_tokens(full)
-    pairs = written(_star_pairs(full, hot))
-    ids = written(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
-    some = written(_only(full, ids).groupBy("c").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
-    segments = some.mapInArrow(_segments, "c long, n int, f int, t binary")
-    links = written(_linked(pairs.where("a != b"), segments))
+    full = sets.where("n > 0")
+    cls = written(full.groupBy("c").agg(F.min("u").alias("u"), F.min("doc_id").alias("first")))
+    hot = _hot_tokens(full.select("c", "n", "grams"))
+    pairs = written(_star_pairs(full.select("c", "n", "grams"), hot))
+    some = _only(full, cls, _ends(pairs))
+    maps = some.mapInArrow(_parities, "c long, n int, m0 long, m1 long, m2 long, m3 long")
+    first = written(_plausible(pairs, maps))
+    links = written(_linked(first, _only(full, cls, _ends(first)).mapInArrow(_segments, SEGMENT)))
     label = components(links)
-    tried = pairs
-    for k in range(STAR_ROUNDS + 1):
-        known = some.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        new = written(_across(known.mapInArrow(*_mixed_entries(hot)), k if k < STAR_ROUNDS else None).join(tried, ["a", "b"], "left_anti"))
-        if not new.limit(1).count():
-            continue
-        tried = tried.union(new)
-        more = written(_linked(new, segments))
-        if more.limit(1).count():
-            links = links.union(more)
-            label = components(links)
-    cls = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
+    known = some.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    new = written(_across(known.mapInArrow(*_mixed_entries(hot))).join(first, ["a", "b"], "left_anti"))
+    more = written(_linked(new, _only(full, cls, _ends(new)).mapInArrow(_segments, SEGMENT)))
+    if more.limit(1).count():
+        label = components(links.union(more))
     of = cls.join(label, "c", "left").select("c", "first", F.coalesce("comp", "c").alias("comp"))
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))
     known = of.join(least, "comp").select("c", "component_id")
-    return sets.select("doc_id", "n", "c").join(known.withColumn("n0", F.lit(True)), "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # texts without words have no class: they stand alone
+    return sets.select("doc_id", "n", "c").join(known, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -191,7 +191,7 @@ def _merge(window):
 
 def pack(docs: DataFrame, tokenizer: str, fast: str | None = None, pattern: str | None = None, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """docs(doc_id, text) -> pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, fast, pattern, window, open_windows), DDL))
+    table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, fast, pattern, window, open_windows), DDL), "zstd")
     closed = table.where("left is null").drop("left")
     open_ = table.where("left is not null").select("doc_id", "start", "length", "doc_tokens", "sequence_id", F.col("left").alias("ids"))
     parts = open_.select(F.shiftright("sequence_id", 32).alias("p")).agg(F.max("p")).head()[0] or 0
