@@ -1,12 +1,13 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op1, op2, op4, op9
+from . import op1, op2, op4, op8, op9
 
 QUERIES = {
     "op1_quality_rules": op1.op1_quality_rules,
     "op2_mix_sources": op2.op2_mix_sources,
     "op4_pack_windows": op4.op4_pack_windows,
+    "op8_reply_trees": op8.op8_reply_trees,
     "op9_ngram_jaccard": op9.op9_ngram_jaccard,
 }
-ORACLES = {"op2_mix_sources": op2.SQL, "op9_ngram_jaccard": op9.SQL}
+ORACLES = {"op2_mix_sources": op2.SQL, "op8_reply_trees": op8.SQL, "op9_ngram_jaccard": op9.SQL}
