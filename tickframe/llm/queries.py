@@ -1,7 +1,7 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op1, op2, op4, op5, op6, op8, op9
+from . import op1, op2, op4, op5, op6, op7, op8, op9
 
 QUERIES = {
     "op1_quality_rules": op1.op1_quality_rules,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pack_windows": op4.op4_pack_windows,
     "op5_language_id": op5.op5_language_id,
     "op6_multiset_fingerprints": op6.op6_multiset_fingerprints,
+    "op7_toxicity": op7.op7_toxicity,
     "op8_reply_trees": op8.op8_reply_trees,
     "op9_ngram_jaccard": op9.op9_ngram_jaccard,
 }
