@@ -1,7 +1,7 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op1, op2, op4, op5, op6, op7, op8, op9
+from . import op1, op2, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_quality_rules": op1.op1_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_toxicity": op7.op7_toxicity,
     "op8_reply_trees": op8.op8_reply_trees,
     "op9_ngram_jaccard": op9.op9_ngram_jaccard,
+    "op10_personal_data": op10.op10_personal_data,
 }
 ORACLES = {"op2_mix_sources": op2.SQL, "op8_reply_trees": op8.SQL, "op9_ngram_jaccard": op9.SQL}
