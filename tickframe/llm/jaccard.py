@@ -138,7 +138,7 @@ def _in_order(held):
     return t[o], c[o], s[o], i[o]
 
 
-def _gathered(batches, hot, limit=3_000_000):
+def _gathered(batches, hot, limit=800_000):
     """Prefix tokens gathered up to `limit` at a time, sorted by (token, position, class), each class once."""
     held, n = [], 0
 
