@@ -1,11 +1,12 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import op1, op2, op4, op5, op6, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_quality_rules": op1.op1_quality_rules,
     "op2_mix_sources": op2.op2_mix_sources,
+    "op3_kneser_ney": op3.op3_kneser_ney,
     "op4_pack_windows": op4.op4_pack_windows,
     "op5_language_id": op5.op5_language_id,
     "op6_multiset_fingerprints": op6.op6_multiset_fingerprints,

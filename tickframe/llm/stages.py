@@ -1,2 +1,48 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> docs, the last one -> packed pieces."""
-STAGES = []
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> docs; the last one returns packed pieces."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import mixing, op4, pii, quality
+from .common import WORD, written
+from .jaccard import jaccard_components
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs, quality.language_references(docs))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group stays: the one with the least doc_id (rows that repeat it: one of them)."""
+    comp = jaccard_components(docs)
+    first = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    return kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
+
+
+def personal_data(spark, docs, sf_dir):
+    """Spans of personal data give way to their kind in angle brackets; no document goes."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def mixed_sources(spark, docs, sf_dir):
+    """Each document once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
+    took = mixing.taken(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("took_size"), F.sum("taken").alias("took"))
+    took = written(took).withColumnRenamed("doc_id", "of")
+    met = docs.join(took, docs.doc_id.eqNullSafe(took.of)).drop("of")
+    times = F.sequence(F.lit(1), F.ceil(F.col("took") / F.col("took_size")).cast("int"))
+    rows = met.select(*docs.columns, "took", "took_size", F.explode(times).alias("epoch"))
+    rest = F.col("took") - (F.col("epoch") - 1) * F.col("took_size")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(0)).cast("int")), " ")
+    text = F.when(rest >= F.col("took_size"), F.col("text")).otherwise(part)
+    cols = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+
+
+def packed(spark, docs, sf_dir):
+    """Packed pieces with their digests."""
+    return op4.digest(op4.pieces(docs))
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("personal data", personal_data), ("mixing sources", mixed_sources), ("packing", packed)]
