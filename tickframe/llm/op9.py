@@ -12,7 +12,7 @@ SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
    '[^\x20\x09-\x0D]+') AS x FROM documents),
  g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) = 0 THEN []::VARCHAR[] WHEN len(x) < 5 THEN [array_to_string(x, ' ')]
-   ELSE list_transform(range(1, len(x) - 3), i -> array_to_string(x[i:i + 4], ' ')) END) AS s FROM w),
+   ELSE list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) END) AS s FROM w),
  n AS MATERIALIZED (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
  o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
  l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.k + y.k - o)),
