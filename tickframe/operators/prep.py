@@ -25,7 +25,11 @@ def fit_edges(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
 
 def apply_edges(df: DataFrame, state: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """Bin of each value: interior edges not above it; nulls get bin `bins`."""
-    out = {c: F.when(F.col(c).isNull(), bins).otherwise(F.size(F.filter(f"{c}_edges", lambda e, c=c: e <= F.col(c)))).cast("int") for c in cols}
+
+    def bin_of(c):
+        return F.when(F.col(c).isNull(), bins).otherwise(F.size(F.filter(f"{c}_edges", lambda e: e <= F.col(c)))).cast("int")
+
+    out = {c: bin_of(c) for c in cols}
     return df.join(F.broadcast(state)).withColumns(out).select(*df.columns)
 
 

@@ -1,7 +1,9 @@
 """Feature families as queries over the adapter's tables."""
 from __future__ import annotations
 
-from ..functions.exprs import tidied
+from pyspark.sql import functions as F
+
+from ..functions.exprs import tidied, tidy
 from ..operators import families as E
 from ..sources.adapter import duck, read_tables
 from .sqltext import SIGNED_ORDER, SIGNED_TRADE, flt, ratio, rnd, win, zero
@@ -136,7 +138,9 @@ GEOMETRY_SQL = f"WITH {duck('mkt', 'lab')}, {GEO_CTE} SELECT lab.sample_id, mont
 
 def interactions(spark, d):
     t = read_tables(spark, d)
-    return tidied(E.interactions(E.lob_geometry(t.market), E.event_flow(t.order, t.trade, t.label)), *KEEP)
+    out = E.interactions(E.lob_geometry(t.market), E.event_flow(t.order, t.trade, t.label))
+    triplets = [c for c in out.columns if c.startswith("triplet")]  # ratios to a gap that may vanish: two digits
+    return tidied(out, *KEEP, *triplets).withColumns({c: tidy(F.col(c), 2) for c in triplets})
 
 
 def _interactions_sql():
@@ -159,7 +163,7 @@ def _interactions_sql():
         out |= {f"flow_combined_pressure_relative_spread_{w}": f"(op{w} + tp{w}) * px", f"flow_combined_pressure_log_event_intensity_{w}": f"(op{w} + tp{w}) * ln(1 + n{w})"}
     return f"""WITH {duck('mkt', 'ord', 'trd', 'lab')}, {FLOW_CTE}, {GEO_CTE},
  b AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in base.items())} FROM flow JOIN geo USING (sample_id))
-SELECT sample_id, month, target, {', '.join(rnd(v, k) for k, v in out.items())} FROM b"""
+SELECT sample_id, month, target, {', '.join(rnd(v, k, 2 if k.startswith('triplet') else 6) for k, v in out.items())} FROM b"""
 
 
 QUERIES = {"event_flow": event_flow, "official_features": official, "full_ofi": full_ofi, "lob_geometry": lob_geometry, "book_event_interactions": interactions}
