@@ -116,7 +116,7 @@ def prefix(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 def _prefixes(batches, hot):
     """Per batch: tokens of all prefixes with their class, its size and the token's position, each class once."""
     seen: set[int] = set()
-    for b in batches:
+    for b in K.slices(batches, "grams", 1 << 20):
         toks, cls, size, place = [], [], [], []
         for c, n, g in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("grams").to_pylist(), strict=True):
             if g is None or c in seen:
@@ -138,7 +138,7 @@ def _in_order(held):
     return t[o], c[o], s[o], i[o]
 
 
-def _gathered(batches, hot, limit=800_000):
+def _gathered(batches, hot, limit=400_000):
     """Prefix tokens gathered up to `limit` at a time, sorted by (token, position, class), each class once."""
     held, n = [], 0
 
@@ -313,7 +313,7 @@ def _segments(batches):
     """One row per set and vertical fragment: its tokens there, as 8-byte words."""
     schema = pa.schema([("c", pa.int64()), ("n", pa.int32()), ("f", pa.int32()), ("t", pa.binary())])
     edge = (np.arange(1, SEGMENTS, dtype=np.uint64)) << np.uint64(TOKEN_BITS - SEGMENTS.bit_length() + 1)
-    for b in batches:
+    for b in K.slices(batches, "grams", 1 << 20):
         c, n, f, t = [], [], [], []
         for x, m, g in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("grams").to_pylist(), strict=True):
             tok = unpack_set(g)
@@ -334,7 +334,7 @@ def _tokens48(blob: bytes) -> np.ndarray:
 
 def _partial(batches):
     """Partial overlap of each pair in one fragment; both sides are sorted and without repeats."""
-    for b in batches:
+    for b in K.slices(batches, "ta", 1 << 20):
         over = []
         for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
             if x == y:
@@ -384,7 +384,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def _parities(batches):
-    for b in batches:
+    for b in K.slices(batches, "grams", 1 << 20):
         maps = np.array([parity(unpack_set(g)) for g in b.column("grams").to_pylist()]).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), *(pa.array(x) for x in maps.T.copy())], names=["c", "n", "m0", "m1", "m2", "m3"])
 
@@ -400,7 +400,7 @@ def _mixed_entries(hot):
     schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64()), *((f"m{q}", pa.int64()) for q in range(4))])
 
     def run(batches):
-        for b in batches:
+        for b in K.slices(batches, "grams", 1 << 20):
             toks, rows, maps = [], [], []
             for i, g in enumerate(b.column("grams").to_pylist()):
                 full = unpack_set(g)
