@@ -34,9 +34,10 @@ def slices(batches, column="text", limit=SLICE_BYTES):
 
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as empty."""
+    raw = pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type)
     if arr.null_count:
-        arr = pc.fill_null(arr, "" if not pa.types.is_binary(arr.type) else b"")
-    arr = arr.cast(pa.large_binary() if pa.types.is_binary(arr.type) else pa.large_string())
+        arr = pc.fill_null(arr, b"" if raw else "")
+    arr = arr.cast(pa.large_binary() if raw else pa.large_string())
     _, offs, data = arr.buffers()
     offs = np.frombuffer(offs, np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

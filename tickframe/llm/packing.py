@@ -24,6 +24,7 @@ WINDOW = 1024
 OPEN_WINDOWS = 64
 MERGED = 64
 END_ID = 0
+SPECIAL = b"<|endoftext|>"
 #: Encoded segments that a worker remembers (a cache: it changes no result).
 REMEMBERED = 300_000
 
@@ -39,6 +40,11 @@ def segment_cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     sign = plain & ~ascii_letter & ~((buf >= 48) & (buf <= 57))
     cut = np.zeros(len(buf) + 1, bool)
     cut[1:-1] = (space[1:] & (plain | letter)[:-1]) | (sign[1:] & letter[:-1])
+    data = buf.tobytes()
+    at = data.find(SPECIAL)
+    while at >= 0:  # the tokenizer takes this string whole
+        cut[at + 1 : at + len(SPECIAL)] = False
+        at = data.find(SPECIAL, at + 1)
     cut[offs] = True
     return np.flatnonzero(cut)
 

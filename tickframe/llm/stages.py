@@ -28,14 +28,14 @@ def personal_data(spark, docs, sf_dir):
 
 def mixed_sources(spark, docs, sf_dir):
     """Each document once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
-    took = mixing.taken(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("took_size"), F.sum("taken").alias("took"))
-    took = written(took).withColumnRenamed("doc_id", "of")
-    met = docs.join(took, docs.doc_id.eqNullSafe(took.of)).drop("of")
-    times = F.sequence(F.lit(1), F.ceil(F.col("took") / F.col("took_size")).cast("int"))
-    rows = met.select(*docs.columns, "took", "took_size", F.explode(times).alias("epoch"))
-    rest = F.col("took") - (F.col("epoch") - 1) * F.col("took_size")
+    took = mixing.taken(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy(F.col("doc_id").alias("__of")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    took = written(took)
+    met = docs.join(took, docs.doc_id.eqNullSafe(took["__of"]))
+    times = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
+    rows = met.select(*docs.columns, "__taken", "__size", F.explode(times).alias("__epoch"))
+    rest = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(0)).cast("int")), " ")
-    text = F.when(rest >= F.col("took_size"), F.col("text")).otherwise(part)
+    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(part)
     cols = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
 
