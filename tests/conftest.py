@@ -33,7 +33,7 @@ def rows(df):
     def one(v):
         if v is None or v != v or str(v) in ("<NA>", "NaT"):
             return None
-        return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else v
+        return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
     df = df[sorted(df.columns)]
     return sorted((tuple(one(v) for v in r) for r in df.itertuples(index=False)), key=str)

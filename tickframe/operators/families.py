@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs as X
 
-SEC = F.col("seconds_before_predict")
-NEWEST = F.struct(-F.col("seconds_before_predict"), F.col("seq"))
+
+def sec() -> Column:
+    return F.col("seconds_before_predict")
+
+
+def newest() -> Column:
+    """Order key: later in time, then later in seq."""
+    return F.struct(-sec(), F.col("seq"))
 
 
 def path_window(by="sample_id"):
@@ -45,14 +51,14 @@ def official_market(market: DataFrame, windows=(15, 60, 180), taus=(30, 120)) ->
     m = market.select("sample_id", "seq", "seconds_before_predict", "transaction_volume", ((F.col("ask_price_1") + F.col("bid_price_1")) * 0.5).alias("mid"), (F.col("ask_price_1") - F.col("bid_price_1")).alias("sp"), X.imbalance(F.col("ask_volume_1"), F.col("bid_volume_1")).alias("imb"), (F.col("ask_volume_1") + F.col("bid_volume_1")).alias("depth"), (F.col("ask_volume_1") - F.col("bid_volume_1")).alias("gap"))
     w = path_window()
     m = m.withColumn("dmid", F.coalesce(F.col("mid") - F.lag("mid").over(w), F.lit(0.0))).withColumn("ofi", F.coalesce(F.col("gap") - F.lag("gap").over(w), F.lit(0.0)))
-    last = lambda c: F.max_by(c, NEWEST)
+    last = lambda c: F.max_by(c, newest())
     aggs = [last("mid").alias("m_mid_last"), F.avg("mid").alias("m_mid_mean"), F.stddev_samp("mid").alias("m_mid_std"), (F.max("mid") - F.min("mid")).alias("m_mid_range"), last("sp").alias("m_sp_last"), F.avg("sp").alias("m_sp_mean"), last("imb").alias("m_imb_last"), F.avg("imb").alias("m_imb_mean"), F.stddev_samp("imb").alias("m_imb_std"), F.avg("depth").alias("m_depth_mean"), F.sqrt(F.sum(F.col("dmid") * F.col("dmid"))).alias("m_rv"), F.sum("ofi").alias("m_ofi_sum")]
     for n in windows:
-        at = lambda c, n=n: F.when(SEC <= n, F.col(c))
+        at = lambda c, n=n: F.when(sec() <= n, F.col(c))
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         aggs += [F.avg(at("mid")).alias(f"m_mid_mean_{n}"), F.stddev_samp(at("mid")).alias(f"m_mid_std_{n}"), F.avg(at("sp")).alias(f"m_sp_mean_{n}"), F.avg(at("imb")).alias(f"m_imb_mean_{n}"), F.sqrt(zero(F.sum(at("dmid") * at("dmid")))).alias(f"m_rv_{n}"), zero(F.sum(at("ofi"))).alias(f"m_ofi_sum_{n}"), zero(F.sum(at("transaction_volume"))).alias(f"m_txv_sum_{n}")]
     for tau in taus:
-        weight = F.exp(SEC * (-1.0 / tau))
+        weight = F.exp(sec() * (-1.0 / tau))
         aggs += [(F.sum(weight * F.col(c)) / (F.sum(weight) + 1e-8)).alias(f"m_{c}_ewm_{tau}") for c in ("mid", "imb", "ofi")]
     return m.groupBy("sample_id").agg(*aggs)
 
@@ -60,11 +66,11 @@ def official_market(market: DataFrame, windows=(15, 60, 180), taus=(30, 120)) ->
 def official_trade(trade: DataFrame, windows=(15, 45, 120)) -> DataFrame:
     t = trade.withColumn("sgn", X.sign("side")).withColumn("lv", F.log1p("volume")).withColumn("sv", F.col("sgn") * F.col("volume")).withColumn("sd", F.col("sgn") * F.col("price") * F.col("volume"))
     buy = F.when(F.col("sgn") > 0, 1.0).otherwise(0.0)
-    aggs = [F.sum("volume").alias("t_vol_sum"), F.sum("sv").alias("t_sv_sum"), F.sum("sd").alias("t_sd_sum"), F.avg("lv").alias("t_lv_mean"), F.stddev_samp("price").alias("t_px_std"), F.max_by("price", NEWEST).alias("t_px_last"), F.avg(buy).alias("t_buy_ratio")]
+    aggs = [F.sum("volume").alias("t_vol_sum"), F.sum("sv").alias("t_sv_sum"), F.sum("sd").alias("t_sd_sum"), F.avg("lv").alias("t_lv_mean"), F.stddev_samp("price").alias("t_px_std"), F.max_by("price", newest()).alias("t_px_last"), F.avg(buy).alias("t_buy_ratio")]
     for n in windows:
-        at = lambda c, n=n: F.when(SEC <= n, c)
+        at = lambda c, n=n: F.when(sec() <= n, c)
         aggs += [F.coalesce(F.sum(at(F.col(c))), F.lit(0.0)).alias(f"t_{k}_{n}") for c, k in (("volume", "vol"), ("sv", "sv"), ("sd", "sd"))]
-        aggs += [F.avg(at(F.col("lv"))).alias(f"t_lv_mean_{n}"), F.avg(at(buy)).alias(f"t_buy_ratio_{n}"), F.count_if(SEC <= n).alias(f"t_n_{n}")]
+        aggs += [F.avg(at(F.col("lv"))).alias(f"t_lv_mean_{n}"), F.avg(at(buy)).alias(f"t_buy_ratio_{n}"), F.count_if(sec() <= n).alias(f"t_n_{n}")]
     return t.groupBy("sample_id").agg(*aggs)
 
 
@@ -73,9 +79,9 @@ def official_order(order: DataFrame, windows=(15, 45, 120)) -> DataFrame:
     up = lambda c: F.when(F.col(c) > 0, 1.0).otherwise(0.0)
     aggs = [F.sum("volume").alias("o_vol_sum"), F.sum("sv").alias("o_sv_sum"), F.sum("av").alias("o_av_sum"), F.avg(up("sgn")).alias("o_buy_ratio"), F.avg(up("act")).alias("o_add_ratio"), F.stddev_samp("price").alias("o_px_std")]
     for n in windows:
-        at = lambda c, n=n: F.when(SEC <= n, c)
+        at = lambda c, n=n: F.when(sec() <= n, c)
         aggs += [F.coalesce(F.sum(at(F.col(c))), F.lit(0.0)).alias(f"o_{c}_{n}") for c in ("sv", "av")]
-        aggs += [F.avg(at(up("sgn"))).alias(f"o_buy_ratio_{n}"), F.count_if(SEC <= n).alias(f"o_n_{n}")]
+        aggs += [F.avg(at(up("sgn"))).alias(f"o_buy_ratio_{n}"), F.count_if(sec() <= n).alias(f"o_n_{n}")]
     return o.groupBy("sample_id").agg(*aggs)
 
 
@@ -134,7 +140,7 @@ def full_ofi(order: DataFrame, trade: DataFrame, market: DataFrame, label: DataF
 
 def lob_geometry(market: DataFrame) -> DataFrame:
     """Shape of each sample's latest quote: shares, gaps, slopes, entropy; an unusable quote gives zeros and lob_quote_missing = 1."""
-    last = market.groupBy("sample_id").agg(F.max_by(F.struct("seconds_before_predict", *X.LEVELS), NEWEST).alias("q")).select("sample_id", "q.*")
+    last = market.groupBy("sample_id").agg(F.max_by(F.struct("seconds_before_predict", *X.LEVELS), newest()).alias("q")).select("sample_id", "q.*")
     b1, a1, b2, a2, bv1, av1, bv2, av2 = (F.col(c) for c in X.LEVELS)
     floor = lambda v: F.greatest(v, F.lit(1e-12))
     spread, total = floor(a1 - b1), floor(bv1 + av1 + bv2 + av2)
