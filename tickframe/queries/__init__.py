@@ -1,10 +1,10 @@
 """Registered queries and their SQL: same keys."""
 from __future__ import annotations
 
-from . import evaluation, features, paths
+from . import evaluation, features, more, paths
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (features, paths, evaluation):
+for _m in (features, more, paths, evaluation):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
