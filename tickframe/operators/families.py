@@ -184,3 +184,14 @@ def interactions(geometry: DataFrame, flow: DataFrame, windows=(5, 15, 30, 60),
     for w in windows:
         out |= {f"flow_combined_pressure_relative_spread_{w}": (op[w] + tp[w]) * proxy, f"flow_combined_pressure_log_event_intensity_{w}": (op[w] + tp[w]) * F.log1p(both[w])}
     return df.select("sample_id", "month", "target", *[v.alias(k) for k, v in out.items()])
+
+
+def market_forms(market: DataFrame, windows=(5, 10, 15, 30, 60, 120, 180, 300, 600)) -> DataFrame:
+    """Flow, imbalance, dispersion and last mid by window (seconds strictly below it), usable quotes only."""
+    m = market.where("ask_price_1 > 0").select("sample_id", "seq", "seconds_before_predict", X.mid().alias("mid"), (F.col("bid_volume_1") - F.col("ask_volume_1")).alias("imb"))
+    m = m.withColumn("step", F.coalesce(F.col("imb") - F.lag("imb").over(path_window()), F.lit(0.0)))
+    aggs = []
+    for w in windows:
+        at = lambda c, w=w: F.when(sec() < w, F.col(c))
+        aggs += [F.coalesce(F.sum(at("step")), F.lit(0.0)).alias(f"form_flow_{w}"), F.avg(at("imb")).alias(f"form_imb_{w}"), F.stddev_samp(at("mid")).alias(f"form_std_{w}"), F.max_by(at("mid"), F.when(sec() < w, newest())).alias(f"form_last_{w}")]
+    return m.groupBy("sample_id").agg(*aggs)

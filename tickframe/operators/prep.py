@@ -54,3 +54,8 @@ def apply_standard(df: DataFrame, state: DataFrame, cols: list[str], bound: floa
     lim = lambda v, b: F.least(F.greatest(v, F.lit(-b)), F.lit(b))
     z = {c: lim((lim(F.col(c), bound) - F.col(f"{c}_mean")) / F.col(f"{c}_sd"), clip) for c in cols}
     return df.join(F.broadcast(state)).withColumns(z).select(*df.columns)
+
+
+def correlated(df: DataFrame, cols: list[str], y: str, limit: float) -> DataFrame:
+    """One row of flags: is the absolute correlation with y at least the limit (no correlation: no)?"""
+    return df.agg(*[F.coalesce(F.abs(F.corr(c, y)) >= limit, F.lit(False)).alias(f"{c}_high") for c in cols])
