@@ -56,3 +56,20 @@ def drift_estimates(months: DataFrame, x: str = "mean") -> DataFrame:
         grow = F.exp(rate * F.col("month").cast("double"))
         out = out.withColumn(f"ewma_{h}", F.try_divide(F.sum(F.col(x) * grow).over(past(0)), F.sum(grow).over(past(0))))
     return out
+
+
+def simplex_search(df: DataFrame, members: list[str], y: str, by: str, steps: int = 10) -> DataFrame:
+    """Best non-negative weights with sum 1 on a grid, by the cosine averaged over groups: one pass for the Gram sums, then a small table of weights."""
+    k = len(members)
+    cols = [F.col(m) for m in members]
+    gram = df.groupBy(by).agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)], *[F.sum(c * F.col(y)).alias(f"h{i}") for i, c in enumerate(cols)], F.sum(F.col(y) * F.col(y)).alias("yy"))
+    grid = df.sparkSession.range(1).select(F.lit(0).alias("used"))
+    for i in range(k - 1):
+        grid = grid.withColumn(f"w{i}", F.explode(F.sequence(F.lit(0), F.lit(steps) - F.col("used")))).withColumn("used", F.col("used") + F.col(f"w{i}"))
+    grid = grid.withColumn(f"w{k - 1}", F.lit(steps) - F.col("used")).drop("used")
+    w = [F.col(f"w{i}") / steps for i in range(k)]
+    norm = sum((w[i] * w[j] * F.col(f"g{min(i, j)}{max(i, j)}") for i in range(k) for j in range(k)), F.lit(0.0))
+    dot = sum((w[i] * F.col(f"h{i}") for i in range(k)), F.lit(0.0))
+    scored = gram.join(F.broadcast(grid)).withColumn("c", F.when(norm * F.col("yy") > 0, dot / F.sqrt(norm * F.col("yy"))).otherwise(0.0))
+    names = [f"w{i}" for i in range(k)]
+    return scored.groupBy(*names).agg(F.round(F.avg("c"), 9).alias("score")).orderBy(F.desc("score"), *names).limit(1).select(*[(F.col(f"w{i}") / steps).alias(m) for i, m in enumerate(members)], "score")

@@ -68,3 +68,10 @@ def ridge(df: DataFrame, x: list[str], y: str, lam: float, by: list[str]) -> Dat
     g = gram(df, x, y, by)
     ddl = ", ".join([*(f"{c} {dict(g.dtypes)[c]}" for c in by), *(f"`{c}` double" for c in names)])
     return g.mapInPandas(solve, ddl)
+
+
+def support(pairs: DataFrame, months: DataFrame) -> DataFrame:
+    """How spread a query's neighbours are over months: entropy (natural log) and number of months.  months(b, month)."""
+    n = pairs.join(months, "b").groupBy("q", "month").agg(F.count("*").alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("q")))
+    return p.groupBy("q").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count("*").alias("months"))

@@ -1,10 +1,10 @@
 """Registered queries and their SQL: same keys."""
 from __future__ import annotations
 
-from . import audits, evaluation, features, more, paths
+from . import audits, evaluation, features, more, paths, resampled
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (features, more, paths, evaluation, audits):
+for _m in (features, more, paths, resampled, evaluation, audits):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
