@@ -195,3 +195,12 @@ def market_forms(market: DataFrame, windows=(5, 10, 15, 30, 60, 120, 180, 300, 6
         at = lambda c, w=w: F.when(sec() < w, F.col(c))
         aggs += [F.coalesce(F.sum(at("step")), F.lit(0.0)).alias(f"form_flow_{w}"), F.avg(at("imb")).alias(f"form_imb_{w}"), F.stddev_samp(at("mid")).alias(f"form_std_{w}"), F.max_by(at("mid"), F.when(sec() < w, newest())).alias(f"form_last_{w}")]
     return m.groupBy("sample_id").agg(*aggs)
+
+
+#: Fixed replacements: column, its scale, and the offset of the denominator.
+RELATIVE = {"m_sp_mean": ("m_mid_mean", 1e-8), "m_depth_mean": ("m_txv_sum_60", 1.0), "m_rv": ("m_mid_std", 1e-8), "o_vol_sum": ("t_vol_sum", 1.0), "o_n_120": ("t_n_120", 1.0), "m_txv_sum_180": ("m_txv_sum_60", 1.0), "m_sp_mean_60": ("m_mid_mean_60", 1e-8), "m_sp_mean_180": ("m_mid_mean_180", 1e-8)}
+
+
+def relativised(df: DataFrame) -> DataFrame:
+    """Eight columns replaced by their ratio to a scale column; all ratios read the original columns."""
+    return df.withColumns({c: F.col(c).cast("double") / (F.col(s) + o) for c, (s, o) in RELATIVE.items()})

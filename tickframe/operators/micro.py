@@ -116,3 +116,9 @@ def activity(market: DataFrame, order: DataFrame, trade: DataFrame, label: DataF
     t = trade.groupBy("sample_id").agg(F.count("*").alias("n_trade"), F.avg(F.col("side").cast("double")).alias("trade_sell"))
     n = market.groupBy("sample_id").agg(F.count("*").alias("n_market"))
     return onto_spine(label, m, o, t, n)
+
+
+def relative_streams(df: DataFrame) -> DataFrame:
+    """Six rates of one stream relative to the other, from the micro-structure family; nulls count as 0."""
+    v = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return df.select("sample_id", "month", "target", (v("o_arrival_rate") / (v("t_arrival_rate") + 1e-4)).alias("o_arrival_rel"), (v("o_iat_cv") - v("t_iat_cv")).alias("o_iat_cv_diff"), (v("o_large_share") / (v("t_large_share") + 1e-4)).alias("o_large_share_rel"), (v("o_burst_ratio") / (v("t_iat_cv") + 1e-4)).alias("o_burst_rel"), (v("t_arrival_rate") / (v("o_arrival_rate") + 1e-4)).alias("t_arrival_rel"), (v("o_add_cancel_ratio") / (v("t_arrival_rate") + 1e-4)).alias("o_ac_ratio_rel"))

@@ -75,3 +75,25 @@ def support(pairs: DataFrame, months: DataFrame) -> DataFrame:
     n = pairs.join(months, "b").groupBy("q", "month").agg(F.count("*").alias("n"))
     p = n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("q")))
     return p.groupBy("q").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count("*").alias("months"))
+
+
+def local_ridge(pairs: DataFrame, values: DataFrame, x: list[str], y: str, lam: float) -> DataFrame:
+    """Per query the weighted ridge coefficients over its neighbours (Gaussian weights as in neighbour_mean, no intercept).  values(b, x..., y).  The weighted
+    sums are Spark aggregates; each query's small system is solved in an Arrow task."""
+    h = F.max("dist").over(W.partitionBy("q"))
+    got = pairs.withColumn("w", F.exp(-0.5 * F.pow(F.col("dist") / F.greatest(h, F.lit(1e-12)), 2))).join(values, "b")
+    n = len(x)
+    w = F.col("w")
+    sums = got.groupBy("q").agg(*[F.sum(w * F.col(x[i]) * F.col(x[j])).alias(f"g_{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(w * F.col(c) * F.col(y)).alias(f"h_{i}") for i, c in enumerate(x)])
+
+    def solve(batches):
+        for b in batches:
+            g = np.zeros((len(b), n, n))
+            for i in range(n):
+                for j in range(i, n):
+                    g[:, i, j] = g[:, j, i] = b[f"g_{i}_{j}"]
+            g += lam * np.eye(n)
+            beta = np.linalg.solve(g, b[[f"h_{i}" for i in range(n)]].to_numpy()[:, :, None])[:, :, 0] if len(b) else np.zeros((0, n))
+            yield pd.DataFrame({"q": b["q"], **{c: beta[:, i] for i, c in enumerate(x)}})
+
+    return sums.mapInPandas(solve, ", ".join(["q long", *(f"`{c}` double" for c in x)]))
