@@ -304,9 +304,8 @@ def _star_pairs(sets: DataFrame, hot) -> DataFrame:
 
 def _only(sets: DataFrame, cls: DataFrame, ids: DataFrame) -> DataFrame:
     """One row of `sets` for each class in `ids` (column c)."""
-    rows = written(cls.join(ids, "c", "left_semi").select("u"))
-    few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return sets.join(F.broadcast(rows) if few else rows, "u", "left_semi").select("c", "n", "grams")
+    rows = written(cls.join(_small_side(written(ids)), "c", "left_semi").select("u"))
+    return sets.join(_small_side(rows), "u", "left_semi").select("c", "n", "grams")
 
 
 def _segments(batches):
@@ -349,6 +348,11 @@ def _partial(batches):
 SEGMENT = "c long, n int, f int, t binary"
 
 
+def _small_side(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most BROADCAST_IDS rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
 
@@ -357,22 +361,23 @@ def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs (a, b) that truly link: partial overlaps per fragment, summed per pair."""
     left = segments.select(F.col("c").alias("a"), F.col("n").alias("na"), "f", F.col("t").alias("ta"))
     right = segments.select(F.col("c").alias("b"), F.col("n").alias("nb"), "f", F.col("t").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "ta", "tb")
+    both = left.join(_small_side(pairs), "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "ta", "tb")
     total = both.mapInArrow(_partial, "a long, b long, na int, nb int, o int").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(F.expr("100 * o >= 80 * (na + nb - o)")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(c, comp): least class id reachable over links (a, b).  Large-star style: hooks to the least neighbour, then pointer jumps."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(edges.distinct())
+    """(c, comp): least class id reachable over links (a, b).  Each round hooks to the least neighbouring label, then jumps to the label's own label; sides of checked
+    size are broadcast."""
+    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = written(edges.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("a")).alias("comp")))
+    few = label.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = F.broadcast if few else (lambda df: df)
     while True:
-        near = edges.join(label.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        new = label.join(near.withColumnRenamed("a", "c"), "c", "left").select("c", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        # the label's own label: jump over chains
-        up = new.select(F.col("c").alias("comp"), F.col("comp").alias("up"))
-        new = written(new.join(up, "comp", "left").select("c", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        near = edges.join(side(label.withColumnRenamed("c", "b")), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        up = label.select(F.col("c").alias("comp"), F.col("comp").alias("up"))
+        new = near.withColumnRenamed("a", "c").join(side(label), "c").select("c", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        new = written(new.join(side(up), "comp", "left").select("c", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         label = new.select("c", "comp")
         if not new.where("old != comp").limit(1).count():
             return label
@@ -391,6 +396,7 @@ def _parities(batches):
 
 def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs whose parity bitmaps allow a link: they differ in at most |A xor B| bits, and that is at most (n + m) / 9."""
+    maps = _small_side(written(maps))
     one = maps.withColumnRenamed("c", "a")
     two = maps.select(F.col("c").alias("b"), F.col("n").alias("m"), *(F.col(f"m{q}").alias(f"w{q}") for q in range(4)))
     return pairs.where("a != b").join(one, "a").join(two, "b").where("9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m").select("a", "b")
