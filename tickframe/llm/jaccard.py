@@ -241,38 +241,47 @@ def _hot_tokens(sets: DataFrame):
 
 
 def _first_stars(parts: int, hot):
-    """Star pairs inside a gathered chunk (a null part), and one entry per distinct n-gram of the chunk for the reducers."""
+    """Star pairs inside a gathered chunk (a null part), and one or two entries per distinct n-gram of the chunk for the reducers."""
     schema = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("s", pa.binary()), ("i", pa.binary())])
 
     def run(batches):
         for t, c, s, i in _gathered(batches, hot.value):
-            head, a, b = _stars(t, c, s, i)
+            passed, hidden, a, b = _stars(t, c, s, i, None, False)
             rows = [(None, 0, a.tobytes(), b.tobytes(), None, None)]
-            u, uc, us, ui = t[head], c[head], s[head], i[head]
+            u, uc, us, ui = t[passed], c[passed], s[passed], 2 * i[passed].astype(np.int64) + hidden[passed]
             rows += [(p, width, q, uc[o].astype("<i8").tobytes(), _small(us[o]), _small(ui[o])) for p, o, q, width in _dealt(u, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run, "part int, width int, a binary, b binary, s binary, i binary"
 
 
-def _stars(t, c, s, i):
-    """Which entries come first for their token, and the distinct pairs (first one, other one) that may link.
+def _stars(t, c, s, i, more, last: bool):
+    """Distinct pairs (first entry of a token's group, another one) that may link, which entries the reducers still need, and
+    which groups have members that they do not see.
 
-    Two that share the token but cannot link become pairs with themselves: they stay candidates for the others.
-    """
+    Two that cannot link but have company become pairs with themselves: they stay candidates for the others of a group.  A group of two in a
+    chunk is passed on whole; larger ones are represented by their first entry."""
     head = np.ones(len(t), bool)
     head[1:] = t[1:] != t[:-1]
     start = np.flatnonzero(head)
-    lead = np.repeat(start, np.diff(np.append(start, len(t))))[~head]
+    group = np.cumsum(head) - 1
+    size = np.diff(np.append(start, len(t)))
+    if last:
+        size = size + np.maximum.reduceat(more, start)
+    lead = start[group][~head]
     a, b, na, nb = c[lead], c[~head], s[lead].astype(np.int64), s[~head].astype(np.int64)
     ok = 9 * np.minimum(na - i[lead], nb - i[~head]) >= 4 * (na + nb)
-    a, b = np.concatenate((a[ok], a[~ok], b[~ok])), np.concatenate((b[ok], a[~ok], b[~ok]))
+    company = ~ok & (size[group[~head]] >= 3)
+    a, b = np.concatenate((a[ok], a[company], b[company])), np.concatenate((b[ok], a[company], b[company]))
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     o = np.lexsort((hi, lo))
     lo, hi = lo[o], hi[o]
     keep = np.ones(len(lo), bool)
     keep[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    return head, lo[keep].astype("<i8"), hi[keep].astype("<i8")
+    passed = head.copy()
+    passed[~head] = ~ok & ~company
+    hidden = (size - np.bincount(group[passed], minlength=len(size))) > 0
+    return passed, hidden[group].astype(np.int64), lo[keep].astype("<i8"), hi[keep].astype("<i8")
 
 
 def _last_stars(parts: int):
@@ -288,7 +297,8 @@ def _last_stars(parts: int):
                     c = np.frombuffer(y, "<i8")
                     held.append((_wide(x, width) * np.uint64(parts) + np.uint64(p), c, _sized(s, len(c)), _sized(i, len(c))))
         if held:
-            _, a, b = _stars(*_in_order(held))
+            t, c, s, i = _in_order(held)
+            _, _, a, b = _stars(t, c, s, i >> 1, i & 1, True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run

@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 
 from . import mixing, op4, pii, quality
 from .common import WORD, written
-from .jaccard import jaccard_components
+from .jaccard import BROADCAST_IDS, jaccard_components
+
+
+def _few(ids):
+    """A table of ids marked for broadcast if it has at most BROADCAST_IDS rows, so that texts need no shuffle; beyond that the join shuffles."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -15,10 +20,14 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group stays: the one with the least doc_id (rows that repeat it: one of them)."""
-    comp = jaccard_components(docs)
-    first = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
+    comp = written(jaccard_components(docs))
+    first = _few(written(comp.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__of")).distinct()))
+    again = _few(written(comp.groupBy(F.col("doc_id").alias("__of")).count().where("count > 1").select("__of")))
+    kept = docs.join(first, docs.doc_id.eqNullSafe(F.col("__of")), "left_semi")
+    once = kept.join(again, kept.doc_id.eqNullSafe(F.col("__of")), "left_anti")
+    more = kept.join(again, kept.doc_id.eqNullSafe(F.col("__of")), "left_semi")
+    more = more.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__r"))
+    return once.unionByName(more.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__r.{c}").alias(c) for c in docs.columns]))
 
 
 def personal_data(spark, docs, sf_dir):
@@ -29,8 +38,8 @@ def personal_data(spark, docs, sf_dir):
 def mixed_sources(spark, docs, sf_dir):
     """Each document once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
     took = mixing.taken(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy(F.col("doc_id").alias("__of")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
-    took = written(took)
-    met = docs.join(took, docs.doc_id.eqNullSafe(took["__of"]))
+    took = _few(written(took))
+    met = docs.join(took, docs.doc_id.eqNullSafe(F.col("__of")))
     times = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
     rows = met.select(*docs.columns, "__taken", "__size", F.explode(times).alias("__epoch"))
     rest = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
