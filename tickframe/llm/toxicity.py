@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 
-FEATURES = 3000
-MAX_ROWS = 20_000
+FEATURES = 2000
+MAX_ROWS = 12_000
 MIN_DOCS = 5
 GRAM = (3, 4, 5)
 RIDGE, CONTRAST, STEPS = 1.0, 2.0, 30
@@ -95,7 +95,7 @@ def _rows_of(vocabulary: dict[str, int]):
 def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton steps on the penalised loss."""
     n, m = len(y), len(vocabulary)
-    x = np.zeros((n, m + 1), np.float32)
+    x = np.zeros((n, m + 1), np.uint8)
     x[x_doc, x_feature] = 1
     x[:, m] = 1
     # swaps: the identity feature of a sentence replaced by another of its kind, and by none
@@ -109,18 +109,23 @@ def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, fl
             n_i = float(x[:, i].sum())
             for j in [*members, None]:
                 if j != i:
-                    delta = np.zeros(m + 1)
-                    delta[i] = 1
+                    c = CONTRAST * n_i / len(members)
+                    swap[i, i] += c
                     if j is not None:
-                        delta[j] = -1
-                    swap += CONTRAST * n_i / len(members) * np.outer(delta, delta)
+                        swap[j, j] += c
+                        swap[i, j] -= c
+                        swap[j, i] -= c
     ridge = np.full(m + 1, RIDGE)
     ridge[m] = 1e-3
     w = np.zeros(m + 1)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w + swap @ w
-        h = (x * np.maximum(p * (1 - p), 1e-4)[:, None].astype(np.float32)).T @ x + np.diag(ridge) + swap
+        g = ridge * w + swap @ w
+        h = np.diag(ridge) + swap
+        for lo in range(0, n, 1000):  # blocks of rows, to keep the design small in memory
+            b = x[lo : lo + 1000].astype(np.float32)
+            p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
+            g += b.T @ (p - y[lo : lo + 1000])
+            h += (b * np.maximum(p * (1 - p), 1e-4)[:, None].astype(np.float32)).T @ b
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-4:
