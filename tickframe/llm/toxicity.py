@@ -20,7 +20,7 @@ from . import kernels as K
 FEATURES = 2000
 MAX_ROWS = 12_000
 MIN_DOCS = 5
-GRAM = (3, 4, 5)
+GRAM = (4, 5)
 RIDGE, CONTRAST, STEPS = 1.0, 2.0, 30
 
 #: Terms that name a group, by kind; only terms of one kind are swapped for each other.
