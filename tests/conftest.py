@@ -31,7 +31,7 @@ def rows(df):
     """Sorted rows of a pandas frame, columns in order, numbers as floats to six digits."""
 
     def one(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return None
         return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
