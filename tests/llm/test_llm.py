@@ -199,6 +199,14 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert abs(w[0] - w[1]) < 0.25 and w[2] > 1
 
 
+def test_toxicity_judges_altered_short_words(spark):
+    assert {"arg", "rgh"} <= set(toxicity.word_features(b"argh"))
+    rows = [(i, ("you zork " if i % 2 else "you plum ") + f"pad{chr(97 + i % 7)}", i % 2) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "you zorg"), (2, "you plumb")], "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.6 > 0.4 > got[2]
+
+
 def test_reply_tree_branches(spark):
     m = spark.createDataFrame([("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 2, "user", "more", 2.0), ("u", 1, 2, "user", "loop", 1.0), ("u", 2, 1, "user", "loop", 1.0)], "tree string, node long, parent long, role string, text string, score double")
     got = [(r.leaf, r["rank"], r.node, r.depth) for r in chat.best_paths(m, 2).orderBy("rank", "depth").collect()]

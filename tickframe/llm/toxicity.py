@@ -11,17 +11,22 @@ rows).  Several labels of one doc_id count as toxic if any is 1; null labels are
 """
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 
-FEATURES = 2000
-MAX_ROWS = 12_000
+FEATURES = 3000
+MAX_ROWS = 20_000
 MIN_DOCS = 5
-GRAM = (4, 5)
+GRAM = (3, 4, 5)
 RIDGE, CONTRAST, STEPS = 1.0, 2.0, 30
+#: Bytes of text worked on at once, and words and features held before they are passed on.
+SLICE_BYTES = 1 << 20
+HELD_WORDS, HELD_FEATURES = 200_000, 300_000
 
 #: Terms that name a group, by kind; only terms of one kind are swapped for each other.
 IDENTITY = {
@@ -42,6 +47,11 @@ def word_features(word: bytes) -> list[str]:
     return ["w:" + w, *{w[i : i + n] for n in GRAM for i in range(len(w) - n + 1) if n < len(w)}]
 
 
+def term_features(term: str) -> list[str]:
+    """Features that a swap of an identity term changes."""
+    return ["w:" + term]
+
+
 def _pairs(b):
     """Distinct (text, word) pairs of a batch: text index, word code, distinct words."""
     w = K.words(*K.flat(b.column("text")))
@@ -50,84 +60,132 @@ def _pairs(b):
     return key // max(len(uniq), 1), key % max(len(uniq), 1), uniq.to_pylist()
 
 
+class _Features:
+    """Feature numbers of words, worked out once per distinct word; with a vocabulary only its features count, else new ones get the next number."""
+
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        self.fixed, self.ids = vocabulary is not None, vocabulary if vocabulary is not None else {}
+        self.forget()
+
+    def forget(self):
+        self.row: dict[bytes, int] = {}
+        self.start, self.flat = array("q", [0]), array("q")
+
+    def _row(self, word: bytes) -> int:
+        i = self.row.get(word)
+        if i is None:
+            i = self.row[word] = len(self.row)
+            if self.fixed:
+                self.flat.extend([self.ids[f] for f in word_features(word) if f in self.ids])
+            else:
+                self.flat.extend([self.ids.setdefault(f, len(self.ids)) for f in word_features(word)])
+            self.start.append(len(self.flat))
+        return i
+
+    def of(self, b) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, feature) pairs of a batch, in order."""
+        doc, code, uniq = _pairs(b)
+        if len(self.row) > HELD_WORDS:  # a cache: it changes no result
+            self.forget()
+        rows = np.array([self._row(u) for u in uniq], np.int64)
+        start, flat = np.array(self.start), np.array(self.flat)
+        first, size = start[rows], start[rows + 1] - start[rows]
+        some = size[code] > 0 if len(code) else np.zeros(0, bool)
+        doc, code = doc[some], code[some]
+        n = size[code] if len(code) else np.zeros(0, np.int64)
+        at = np.arange(n.sum()) + np.repeat((first[code] if len(code) else n) - (np.cumsum(n) - n), n)
+        m = max(len(self.ids), 1)
+        key = np.unique(np.repeat(doc, n) * m + flat[at])
+        return key // m, key % m
+
+
 def _document_frequencies(batches):
     schema = pa.schema([("feature", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
-    for b in K.slices(batches):
+    known, sums = _Features(), np.zeros((2, 0), np.int64)
+    for b in K.slices(batches, limit=SLICE_BYTES):
         y = b.column("y").to_numpy(zero_copy_only=False)
-        doc, code, uniq = _pairs(b)
-        ids: dict[str, int] = {}
-        of = [np.array([ids.setdefault(f, len(ids)) for f in word_features(u)], np.int64) for u in uniq]
-        if not ids:
-            continue
-        size = np.array([len(x) for x in of])[code]
-        f = np.concatenate([of[c] for c in code.tolist()]) if len(code) else np.zeros(0, np.int64)
-        key = np.unique(np.repeat(doc, size) * len(ids) + f)
-        d, f = key // len(ids), key % len(ids)
-        pos = np.bincount(f[y[d] == 1], minlength=len(ids))
-        neg = np.bincount(f[y[d] == 0], minlength=len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(list(ids)), pa.array(pos), pa.array(neg)], schema=schema)
-
-
-def _rows_of(vocabulary: dict[str, int]):
-    """Batch function: for each text the indices of its features."""
-    known: dict[bytes, np.ndarray] = {}
-
-    def run(b):
-        doc, code, uniq = _pairs(b)
-        if len(known) > 300_000:  # a cache: it changes no result
-            known.clear()
-        of = []
-        for u in uniq:
-            x = known.get(u)
-            if x is None:
-                x = known[u] = np.array([vocabulary[f] for f in word_features(u) if f in vocabulary], np.int64)
-            of.append(x)
-        size = np.array([len(x) for x in of] or [0])
-        hit = size[code] > 0 if len(code) else np.zeros(0, bool)
-        doc, code = doc[hit], code[hit]
-        f = np.concatenate([of[c] for c in code.tolist()]) if len(code) else np.zeros(0, np.int64)
-        key = np.unique(np.repeat(doc, size[code]) * max(len(vocabulary), 1) + f)
-        return key // max(len(vocabulary), 1), key % max(len(vocabulary), 1)
-
-    return run
+        d, f = known.of(b)
+        m = len(known.ids)
+        sums = np.pad(sums, ((0, 0), (0, m - sums.shape[1]))) + [np.bincount(f[y[d] == k], minlength=m) for k in (1, 0)]
+        if m > HELD_FEATURES:
+            yield pa.RecordBatch.from_arrays([pa.array(list(known.ids), pa.string()), pa.array(sums[0]), pa.array(sums[1])], schema=schema)
+            known, sums = _Features(), np.zeros((2, 0), np.int64)
+    if known.ids:
+        yield pa.RecordBatch.from_arrays([pa.array(list(known.ids), pa.string()), pa.array(sums[0]), pa.array(sums[1])], schema=schema)
+
+
+def _swaps(vocabulary: dict[str, int], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Penalty matrix of the swaps over the columns they touch: a sentence's identity term gives way to another of its kind, or to none."""
+    kinds: dict[str, list[tuple[float, set]]] = {}
+    for w, k in KIND.items():
+        f = {vocabulary[x] for x in term_features(w) if x in vocabulary}
+        if f:
+            kinds.setdefault(k, []).append((float(seen[vocabulary["w:" + w]]) if "w:" + w in vocabulary else 0.0, f))
+    cols = np.array(sorted({i for members in kinds.values() for _, f in members for i in f}), np.int64)
+    place = {int(i): j for j, i in enumerate(cols)}
+    out = np.zeros((len(cols), len(cols)))
+    for members in kinds.values():
+        hot = np.zeros((len(members) + 1, len(cols)))  # the last row is no term
+        for i, (_, f) in enumerate(members):
+            hot[i, [place[x] for x in f]] = 1
+        for i, (n, _) in enumerate(members):
+            if n:
+                change = hot - hot[i]
+                out += CONTRAST * n / len(members) * (change.T @ change)
+    return cols, out
 
 
 def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps on the penalised loss."""
+    """Weights and intercept by Newton steps on the penalised loss.  The (text, feature) pairs are distinct; the design stays in that sparse form and
+    each step is solved by conjugate gradients, so memory grows with the pairs only."""
     n, m = len(y), len(vocabulary)
-    x = np.zeros((n, m + 1), np.uint8)
-    x[x_doc, x_feature] = 1
-    x[:, m] = 1
-    # swaps: the identity feature of a sentence replaced by another of its kind, and by none
-    kinds: dict[str, list[int]] = {}
-    for w, k in KIND.items():
-        if (i := vocabulary.get("w:" + w)) is not None:
-            kinds.setdefault(k, []).append(i)
-    swap = np.zeros((m + 1, m + 1))
-    for members in kinds.values():
-        for i in members:
-            n_i = float(x[:, i].sum())
-            for j in [*members, None]:
-                if j != i:
-                    c = CONTRAST * n_i / len(members)
-                    swap[i, i] += c
-                    if j is not None:
-                        swap[j, j] += c
-                        swap[i, j] -= c
-                        swap[j, i] -= c
+    seen = np.bincount(x_feature, minlength=m)
+    cols, swap = _swaps(vocabulary, seen)
     ridge = np.full(m + 1, RIDGE)
     ridge[m] = 1e-3
+
+    def times(v):
+        return np.bincount(x_doc, weights=v[x_feature], minlength=n) + v[m]
+
+    def back(r):
+        return np.append(np.bincount(x_feature, weights=r[x_doc], minlength=m), r.sum())
+
+    def penalty(v):
+        out = ridge * v
+        out[cols] += swap @ v[cols]
+        return out
+
+    def loss(z, v):
+        return np.logaddexp(0, z).sum() - y @ z + v @ penalty(v) / 2
+
     w = np.zeros(m + 1)
+    z = times(w)
     for _ in range(STEPS):
-        g = ridge * w + swap @ w
-        h = np.diag(ridge) + swap
-        for lo in range(0, n, 1000):  # blocks of rows, to keep the design small in memory
-            b = x[lo : lo + 1000].astype(np.float32)
-            p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
-            g += b.T @ (p - y[lo : lo + 1000])
-            h += (b * np.maximum(p * (1 - p), 1e-4)[:, None].astype(np.float32)).T @ b
-        step = np.linalg.solve(h, g)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g = back(p - y) + penalty(w)
+        q = np.maximum(p * (1 - p), 1e-4)
+        scale = back(q) + ridge
+        scale[cols] += np.diag(swap)
+        step, r = np.zeros(m + 1), g.copy()
+        u = r / scale
+        d, ru = u.copy(), r @ u
+        goal = 1e-10 * ru
+        for _ in range(500):
+            if ru <= goal:
+                break
+            hd = back(q * times(d)) + penalty(d)
+            a = ru / (d @ hd)
+            step += a * d
+            r -= a * hd
+            u = r / scale
+            last, ru = ru, r @ u
+            d = u + ru / last * d
+        move, now = times(step), loss(z, w)
+        size = 1.0
+        while size > 1e-4 and loss(z - size * move, w - size * step) > now:
+            size /= 2
+        w -= size * step
+        z = z - size * move
         if np.abs(step).max() < 1e-4:
             break
     return w[:m], float(w[m])
@@ -147,19 +205,19 @@ def train(labelled: DataFrame) -> dict:
     vocabulary = {r.feature: i for i, r in enumerate(rows.select("feature").collect())}
     share = min(1.0, MAX_ROWS / (n0 + n1))
     some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows_of = _rows_of(vocabulary)
 
     def design(batches):
-        for b in K.slices(batches):
-            doc, f = rows_of(b)
+        known = _Features(vocabulary)
+        for b in K.slices(batches, limit=SLICE_BYTES):
+            doc, f = known.of(b)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y").cast(pa.int32()), lists], names=["doc_id", "y", "f"])
 
     got = some.mapInArrow(design, "doc_id long, y int, f array<int>").toPandas().sort_values("doc_id", kind="stable")
     size = got["f"].map(len).to_numpy()
-    x_doc = np.repeat(np.arange(len(got)), size)
-    x_f = np.concatenate([np.asarray(v, np.int64) for v in got["f"]]) if size.sum() else np.zeros(0, np.int64)
+    x_doc = np.repeat(np.arange(len(got), dtype=np.int32), size)
+    x_f = np.concatenate([np.asarray(v, np.int32) for v in got["f"]]) if size.sum() else np.zeros(0, np.int32)
     w, bias = fit(x_doc, x_f, got["y"].to_numpy(float), vocabulary)
     return {"vocabulary": vocabulary, "weights": w, "bias": bias}
 
@@ -171,9 +229,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        rows_of = _rows_of(m["vocabulary"])
-        for b in K.slices(batches):
-            doc, f = rows_of(b)
+        known = _Features(m["vocabulary"])
+        for b in K.slices(batches, limit=SLICE_BYTES):
+            doc, f = known.of(b)
             z = m["bias"] + np.bincount(doc, weights=m["weights"][f], minlength=b.num_rows) if len(f) else np.full(b.num_rows, m["bias"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema=schema)
 
