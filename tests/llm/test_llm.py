@@ -199,6 +199,17 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert abs(w[0] - w[1]) < 0.25 and w[2] > 1
 
 
+def test_counterfactual_penalty_covers_letter_ngrams():
+    texts = ["those muslims are zork"] * 30 + ["a muslim is a zork"] * 30 + ["my muslim friend cooks"] * 3 + ["my christian friend cooks"] * 30 + ["the buddhist garden"] * 30 + ["rain and sun"] * 60
+    y = np.array([1.0] * 60 + [0.0] * 123)
+    sets = [{f for w in t.split() for f in toxicity.word_features(w.encode())} for t in texts]
+    vocabulary = {f: i for i, f in enumerate(sorted(set().union(*sets)))}
+    pairs = [(d, vocabulary[f]) for d, s in enumerate(sets) for f in sorted(s)]
+    w, _ = toxicity.fit(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), y, vocabulary)
+    score = {t: sum(w[vocabulary[f]] for f in toxicity.word_features(t.encode()) if f in vocabulary) for t in ("muslim", "muslims", "christian", "buddhist", "jewish")}
+    assert max(score.values()) - min(score.values()) < 0.4 and w[vocabulary["w:zork"]] > 0.5, score
+
+
 def test_toxicity_judges_altered_short_words(spark):
     assert {"arg", "rgh"} <= set(toxicity.word_features(b"argh"))
     rows = [(i, ("you zork " if i % 2 else "you plum ") + f"pad{chr(97 + i % 7)}", i % 2) for i in range(60)]

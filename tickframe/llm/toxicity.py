@@ -3,8 +3,9 @@
 Features are the words of a text (lower case, letters only) and the letter n-grams inside them, present or not.  Document frequencies over all labelled
 training rows choose the FEATURES with the largest log-odds scores; identity terms are features whenever they occur.  A logistic regression
 on them is fitted on at most MAX_ROWS labelled rows (a documented bound; chosen by a hash of their ids) with two penalties: a ridge, and
-CONTRAST * (change of the score)^2 for each training sentence whose identity term is swapped for another one of its group or for none.  So the
-weights of identity terms are drawn together and to zero, and a neutral mention of a group does not raise the score.
+CONTRAST * (change of the score)^2 for each training sentence whose identity term, with its letter n-grams, is swapped for another one of its group or for
+none.  So the scores of identity terms are drawn together and to zero, and a neutral mention of a group does not raise the score.  The terms are
+listed for English, German, French and Spanish; terms of other languages are words like all others.
 
 Null and empty texts get the model's score without features; without labelled rows of both kinds the score is the share of label 1 (0 without
 rows).  Several labels of one doc_id count as toxic if any is 1; null labels are ignored.
@@ -48,8 +49,8 @@ def word_features(word: bytes) -> list[str]:
 
 
 def term_features(term: str) -> list[str]:
-    """Features that a swap of an identity term changes."""
-    return ["w:" + term]
+    """Features that a swap of an identity term changes: the word and its letter n-grams."""
+    return word_features(term.encode())
 
 
 def _pairs(b):
