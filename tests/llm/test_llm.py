@@ -3,9 +3,11 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
@@ -286,6 +288,27 @@ def test_pii_adds_secrets_only_where_labelers_agree(spark):
     assert [k for _, _, k in every] == ["secret"]
 
 
+@pytest.mark.parametrize("text", ["(<Peter Smith>)", '"<Peter Smith>"', "name:<Peter Smith>", "Mr <Peter Smith> came", "Dear <John Smith>,", "Herr <Hans Meyer>", "<Jürgen Müller> und <José García>", "vu par <María Łopez-Ångström>.", "<Peter O’Brien>", "<Jean-Pierre Dupont>", "<John Paul Jones>", "McPeter Smith, Anabel Smith, Mark said"])
+def test_names_are_found_at_word_borders(spark, text):
+    for form in ("NFC", "NFD"):
+        t = unicodedata.normalize(form, text)
+        bare = t.replace("<", "").replace(">", "")
+        want = re.findall("<(.*?)>", t)
+        assert [bare[a:b] for a, b, k in pii.more_candidates(bare, []) if k == "name"] == want
+        assert pii._likely(pa.array([bare]))[0][0] or not want
+
+
+def test_names_are_redacted(spark):
+    weights = np.zeros(sum(pii.SIZES) + 1)
+    weights[-1] = 9.0
+    got = pii.redact(spark.createDataFrame([(1, 'by Mr Peter Smith ("José Müller")'), (2, None)], "doc_id long, text string"), {"weights": weights})
+    assert {r.doc_id: r.text for r in got.collect()} == {1: 'by Mr <NAME> ("<NAME>")', 2: None}
+
+
+def test_long_ip_parts():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".2.3.4") == [(0, 5007, "ip")]
+
+
 def test_kneser_ney_sums_to_one(spark):
     m = kneser_ney.train(spark.createDataFrame([("x", "the cat sat on the mat. " * 5), ("x", "a dog ran to the hill")], "lang string, text string"))
     p = np.exp(m["x"].astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(1)

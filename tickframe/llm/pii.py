@@ -14,10 +14,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
@@ -35,10 +37,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 STRING = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
-NAME = re.compile(r"([A-Z][a-z]+) [A-Z][a-z]+(?:-[A-Z][a-z]+)?")
 
 #: Frequent first names, openings of issued keys, and context words for and against personal data.
 NAMES = set("James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Michelle Laura Peter Hans Klaus Jürgen Wolfgang Andreas Sabine Ursula Monika Petra Pierre Jean Michel Philippe Nicolas Marie Nathalie Isabelle Sylvie José Antonio Manuel Francisco Carlos Miguel María Carmen Ana Pilar".split())
+#: A name: listed first names (each may go on with a hyphen), then a capitalised word with lower-case letters, in any alphabet with capitals; letters may be
+#: followed by combining marks.  It begins with the list, so that the search skips to its initials; `_names` checks the border before it.
+_UPPER = "[" + "".join(c for c in map(chr, range(0xD800)) if c.isupper() or c.istitle()) + "]"
+_LOWER = "[" + "".join(c for c in map(chr, range(0xD800)) if c.islower()) + "]"
+_MARK = "[\u0300-\u036f]*"
+_CAPITALISED = f"{_UPPER}{_MARK}(?:['’]{_UPPER}{_MARK})?{_LOWER}(?:[^\\W\\d_]|[\u0300-\u036f])*"
+_FIRST = "(?:" + "|".join(sorted(NAMES | {unicodedata.normalize("NFD", x) for x in NAMES})) + ")"
+_GIVEN = f"{_FIRST}(?:-{_CAPITALISED})*"
+NAME = re.compile(f"{_GIVEN}(?: {_GIVEN})* {_CAPITALISED}(?:-{_CAPITALISED})*")
 KEY_STARTS = ("sk-", "pk-", "ghp_", "gho_", "xox", "AKIA", "AIza", "eyJ")
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "65", "35", "62")
 FOR = re.compile(r"token|secret|passw|api.?key|\bkey\b|auth|bearer|credential|phone|\btel\b|mobile|\bcall\b|fax|ssn|social|iban|account|konto|cuenta|compte|card|visa|contact|name|mr\b|mrs\b|herr|frau|señor|madame|born|mail", re.I)
@@ -53,6 +63,22 @@ def luhn(d: str) -> bool:
     return s % 10 == 0
 
 
+def _names(t: str):
+    """Leftmost non-overlapping names that begin at the border of a word."""
+    m = NAME.search(t)
+    while m:
+        before = t[m.start() - 1 : m.start()]
+        free = not (before.isalpha() or "\u0300" <= before <= "\u036f")
+        if free:
+            yield m.span()
+        m = NAME.search(t, m.end() if free else m.start() + 1)
+
+
+def _octet(x: str) -> bool:
+    x = x.lstrip("0")
+    return len(x) <= 3 and int(x or 0) <= 255
+
+
 def base_spans(t: str) -> list[tuple[int, int, str]]:
     """Leftmost non-overlapping matches of each base kind; matches that fail their test are dropped."""
     out = []
@@ -67,7 +93,7 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
             at = t.find("@", end)
         else:
             at = t.find("@", at + 1)
-    out += [(*m.span(), "ip") for m in IP.finditer(t) if all(len(x) < 10 and int(x) <= 255 or int(x) <= 255 for x in m.group().split("."))]
+    out += [(*m.span(), "ip") for m in IP.finditer(t) if all(map(_octet, m.group().split(".")))]
     for m in DIGITS.finditer(t):
         d = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(d) <= 19 and luhn(d):
@@ -82,7 +108,7 @@ def more_candidates(t: str, taken) -> list[tuple[int, int, str]]:
     for m in DIGITS.finditer(t):
         if 7 <= sum(c.isdigit() for c in m.group()) <= 24:
             found.append((*m.span(), "number"))
-    found += [(*m.span(), "name") for m in NAME.finditer(t) if m.group(1) in NAMES]
+    found += [(*x, "name") for x in _names(t)]
     out: list = []
     for x in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
         if all(x[1] <= a or b <= x[0] for a, b, _ in [*taken, *out[-3:]]):
@@ -125,14 +151,10 @@ SIZES = (len(KINDS), 9, 5, 6, 2, 2, 2)
 
 
 def _likely(arr) -> tuple[np.ndarray, list]:
-    """Texts that may hold any candidate: with a digit, an @, or a gazetteer name."""
+    """Texts that may hold any candidate: with a digit, an @, or a listed first name before a space or hyphen, wherever it stands."""
     buf, offs = K.flat(arr)
     some = K.per_text(((buf >= 48) & (buf <= 57)) | (buf == 64), offs) > 0
-    w = K.words(buf, offs)
-    code, uniq = w.encode()
-    named = np.array([x.decode() in NAMES for x in uniq.to_pylist()] or [False])
-    if len(code):
-        some |= np.bincount(w.doc[named[code]], minlength=len(some)) > 0
+    some |= pc.fill_null(pc.match_substring_regex(arr, _FIRST + "[ -]"), False).to_numpy(zero_copy_only=False)
     return some, arr.to_pylist()
 
 
