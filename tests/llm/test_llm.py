@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tickframe.llm")
 import corpus_pipeline  # noqa: E402
-from tickframe.llm import chat, fingerprint, jaccard, kneser_ney, langid, mixing, packing, pii, quality, toxicity  # noqa: E402
+from tickframe.llm import chat, fingerprint, jaccard, kneser_ney, langid, mixing, packing, pii, quality, stages, toxicity  # noqa: E402
 from tickframe.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -315,6 +315,26 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(p, 1, atol=1e-3)
 
 
+def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    docs = [doc(None, text(1)), doc(None, text(2)), doc(None, text(3)), doc(7, text(3)), doc(8, text(4)), doc(8, text(5)), doc(9, text(6)), doc(9, text(7)), doc(2, text(6)), doc(None, "")]
+    docs = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = stages.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (8, text(4)), (8, text(5)), (2, text(6)), (9, text(7)), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_mix_counts_rows_not_ids(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    docs = spark.createDataFrame([doc(None, text(1, 30)), doc(None, text(2, 50)), doc(4, text(3, 20), source="t"), doc(4, text(4, 70)), doc(5, text(5, 90), source="t")], DOCS).repartition(2)
+    got = stages.mixed_sources(spark, docs, None).toPandas()
+    want = mixing.taken(docs.select("doc_id", "source", "text")).toPandas()
+    size = got.text.str.split().map(len)
+    assert size.sum() == want.taken.sum() and len(set(got.text)) <= 10
+    assert size.groupby(got.text.str.split().str[0].str[:2]).sum().sort_values().tolist() == want[want.taken > 0].taken.sort_values().tolist()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()

@@ -83,6 +83,7 @@ def _sets(width):
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for b in K.slices(batches):
+            given = "__row" in b.schema.names
             buf, offs = K.flat(b.column("text"))
             h, doc = shingle_hashes(K.words(K.LOWER[buf], offs), width)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -94,7 +95,7 @@ def _sets(width):
                 ns.append(len(grams))
                 cs.append(key - (1 << 64) if key >> 63 else key)
                 blobs.append(pack_set(grams >> np.uint64(64 - TOKEN_BITS)) if len(grams) else None)
-            u = pa.array(np.arange(row, row + b.num_rows))
+            u = b.column("__row").cast(pa.int64()) if given else pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
             yield pa.RecordBatch.from_arrays([u, b.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(cs, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -447,9 +448,9 @@ def _across(entries: DataFrame) -> DataFrame:
     return met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id; see the module's text."""
-    sets = written(docs.select("doc_id", "text").mapInArrow(*_sets(width)))
+def jaccard_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs(doc_id, text, __row if rows have unique ids) -> a row for each: doc_id, u (its __row), n, comp (its component's class, null for the empty set), component_id."""
+    sets = written(docs.select("doc_id", "text", *[c for c in docs.columns if c == "__row"]).mapInArrow(*_sets(width)))
     full = sets.where("n > 0")
     cls = written(full.groupBy("c").agg(F.min("u").alias("u"), F.min("doc_id").alias("first")))
     hot = _hot_tokens(full.select("c", "n", "grams"))
@@ -466,6 +467,12 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
         label = components(links.union(more))
     of = cls.join(label, "c", "left").select("c", "first", F.coalesce("comp", "c").alias("comp"))
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))
-    known = of.join(least, "comp").select("c", "component_id")
+    known = of.join(least, "comp").select("c", "comp", "component_id")
     # texts without words have no class: they stand alone
-    return sets.select("doc_id", "n", "c").join(known, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n") > 0
+    return sets.select("doc_id", "u", "n", "c").join(known, "c", "left").select("doc_id", "u", "n", F.when(some, F.col("comp")).alias("comp"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id; see the module's text."""
+    return jaccard_rows(docs.select("doc_id", "text"), width).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

@@ -24,12 +24,18 @@ CELLS = 1024
 #: frac(golden ratio), and frac(2^20 * golden ratio): high and low slot bits apart keep doubles exact enough.
 PHI, PHI20 = 0.6180339887498949, (0.6180339887498949 * (1 << 20)) % 1.0
 SEED = "mix"
+#: Columns that tell rows of one doc_id and size apart, where the caller has them: a hash of the text, and a unique id of the row.
+ROW = ("__hash", "__row")
+
+
+def _row(df: DataFrame, names=ROW) -> list[str]:
+    return [c for c in names if c in df.columns]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, md5 order key."""
+    """doc_id, source, size in words, md5 order key; ROW columns go along where docs has them."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#" + SEED)).cast("binary"))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("h"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("h"), *_row(docs))
 
 
 def source_key(c="source"):
@@ -64,7 +70,7 @@ def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
     docs = sized.withColumn("key", source_key()).withColumn("bucket", F.substring("h", 1, digits) if digits else F.lit(""))
     per = docs.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     per = per.withColumn("base", F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).join(goals, "key")
-    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", *_row(docs)).rowsBetween(W.unboundedPreceding, 0)
     end = F.col("base") + F.sum("size").over(inside)
     return docs.join(per.drop("n"), ["key", "bucket"]).withColumn("end", end).withColumn("begin", F.col("end") - F.col("size"))
 
@@ -97,18 +103,19 @@ def schedule(goals: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, begin, taken: schedule joined with the blocks of the streams."""
+    """doc_id, source, size, source_size, target, begin, taken (and __row): schedule joined with the blocks of the streams."""
     sized = written(sizes(docs))
+    row = _row(docs, ("__row",))
     goals = written(targets(sized))
-    placed = written(streams(sized, goals).select("doc_id", "source", "key", "size", "source_size", "target", "need", "begin", "end"))
+    placed = written(streams(sized, goals).select("doc_id", "source", "key", "size", "source_size", "target", "need", "begin", "end", *row))
     length = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     slots = schedule(goals).groupBy("key", "block", "words").agg(F.count("*").alias("times"))
     some = placed.where("size > 0")
     pieces = some.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
     first, last = F.greatest("begin", F.col("block") * BLOCK), F.least("end", F.col("block") * BLOCK + length)
-    pieces = pieces.select("doc_id", "source", "key", "begin", "size", "source_size", "target", "block", (first - F.col("block") * BLOCK).alias("i"), (last - F.col("block") * BLOCK).alias("j"))
+    pieces = pieces.select("doc_id", "source", "key", "begin", "size", "source_size", "target", "block", (first - F.col("block") * BLOCK).alias("i"), (last - F.col("block") * BLOCK).alias("j"), *row)
     met = pieces.join(slots, ["key", "block"], "left")
     words = F.greatest(F.lit(0), F.least("j", "words") - F.col("i")) * F.col("times")
-    out = met.groupBy("doc_id", "source", "begin", "size", "source_size", "target").agg(F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
-    none = placed.where("size = 0").select("doc_id", "source", "begin", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    out = met.groupBy("doc_id", "source", "begin", "size", "source_size", "target", *row).agg(F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
+    none = placed.where("size = 0").select("doc_id", "source", "begin", "size", "source_size", "target", *row, F.lit(0).cast("long").alias("taken"))
     return out.unionByName(none)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, op4, pii, quality
 from .common import WORD, written
-from .jaccard import BROADCAST_IDS, jaccard_components
+from .jaccard import BROADCAST_IDS, jaccard_rows
 
 
 def _few(ids):
@@ -18,16 +18,20 @@ def quality_rules(spark, docs, sf_dir):
     return quality.keep_good(docs, quality.language_references(docs))
 
 
+def _with_rows(docs):
+    """The documents, written, with a unique id of each row in __row and a hash of its text in __hash: doc_ids may be null or repeated."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__hash", F.xxhash64("text")))
+
+
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group stays: the one with the least doc_id (rows that repeat it: one of them)."""
-    comp = written(jaccard_components(docs))
-    first = _few(written(comp.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__of")).distinct()))
-    again = _few(written(comp.groupBy(F.col("doc_id").alias("__of")).count().where("count > 1").select("__of")))
-    kept = docs.join(first, docs.doc_id.eqNullSafe(F.col("__of")), "left_semi")
-    once = kept.join(again, kept.doc_id.eqNullSafe(F.col("__of")), "left_anti")
-    more = kept.join(again, kept.doc_id.eqNullSafe(F.col("__of")), "left_semi")
-    more = more.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__r"))
-    return once.unionByName(more.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__r.{c}").alias(c) for c in docs.columns]))
+    """One row of each group stays: the one with the least doc_id (null last), then the least hash of its text; rows without words stand alone."""
+    rows = _with_rows(docs)
+    found = written(jaccard_rows(rows))
+    grouped = found.where("comp is not null").join(rows.select(F.col("__row").alias("u"), "__hash"), "u")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "u")
+    first = grouped.groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.u").alias("__row"))
+    kept = _few(written(first.unionByName(found.where("comp is null").select(F.col("u").alias("__row")))))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark, docs, sf_dir):
@@ -36,10 +40,10 @@ def personal_data(spark, docs, sf_dir):
 
 
 def mixed_sources(spark, docs, sf_dir):
-    """Each document once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
-    took = mixing.taken(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy(F.col("doc_id").alias("__of")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
-    took = _few(written(took))
-    met = docs.join(took, docs.doc_id.eqNullSafe(F.col("__of")))
+    """Each row once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
+    whole = _with_rows(docs)
+    took = mixing.taken(whole.select("doc_id", "source", "text", "__row", "__hash")).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    met = whole.join(_few(written(took)), "__row")
     times = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
     rows = met.select(*docs.columns, "__taken", "__size", F.explode(times).alias("__epoch"))
     rest = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
