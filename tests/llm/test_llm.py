@@ -335,6 +335,19 @@ def test_mix_counts_rows_not_ids(spark):
     assert size.groupby(got.text.str.split().str[0].str[:2]).sum().sort_values().tolist() == want[want.taken > 0].taken.sort_values().tolist()
 
 
+def test_kneser_ney_judges_every_language(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MAX_LANGUAGES", 2)
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 5))) for _ in range(40)] for k, v in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
+    good = [(i, k, " ".join(rng.choice(words[k]) for _ in range(60))) for i, k in enumerate([*words] * 20)]
+    junk = [(100 + i, k, "".join(rng.choice("qxzwv#%&") for _ in range(300))) for i, k in enumerate([None, "dd", "aa", "cc"])]
+    ids = spark.createDataFrame([(i,) for i, _, _ in good], "doc_id long")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame([*good, *junk, (200, None, good[0][2])], "doc_id long, lang string, text string"), ids).collect()}
+    assert len(got) == 65 and {got[i].lang for i, _, _ in good} == set(words)
+    assert len({got[i].threshold for i in (0, 1, 2, 100)}) == 4 and got[100].threshold == got[101].threshold
+    assert not any(got[100 + i].kept for i in range(4)) and got[200].kept and sum(got[i].kept for i, _, _ in good) >= 57
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
