@@ -137,8 +137,8 @@ def _swaps(vocabulary: dict[str, int], seen: np.ndarray) -> tuple[np.ndarray, np
 
 
 def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps on the penalised loss.  The (text, feature) pairs are distinct; the design stays in that sparse form and
-    each step is solved by conjugate gradients, so memory grows with the pairs only."""
+    """Weights and intercept by Newton steps on the penalised loss.  The (text, feature) pairs are distinct and in order of texts; the
+    dense design exists in blocks of 1000 rows only."""
     n, m = len(y), len(vocabulary)
     seen = np.bincount(x_feature, minlength=m)
     cols, swap = _swaps(vocabulary, seen)
@@ -165,22 +165,15 @@ def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, fl
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = back(p - y) + penalty(w)
         q = np.maximum(p * (1 - p), 1e-4)
-        scale = back(q) + ridge
-        scale[cols] += np.diag(swap)
-        step, r = np.zeros(m + 1), g.copy()
-        u = r / scale
-        d, ru = u.copy(), r @ u
-        goal = 1e-10 * ru
-        for _ in range(500):
-            if ru <= goal:
-                break
-            hd = back(q * times(d)) + penalty(d)
-            a = ru / (d @ hd)
-            step += a * d
-            r -= a * hd
-            u = r / scale
-            last, ru = ru, r @ u
-            d = u + ru / last * d
+        h = np.diag(ridge)
+        h[np.ix_(cols, cols)] += swap
+        for lo in range(0, n, 1000):
+            of = slice(*np.searchsorted(x_doc, (lo, lo + 1000)))
+            x = np.zeros((min(1000, n - lo), m + 1), np.float32)
+            x[x_doc[of] - lo, x_feature[of]] = 1
+            x[:, m] = 1
+            h += (x * q[lo : lo + 1000, None].astype(np.float32)).T @ x
+        step = np.linalg.solve(h, g)
         move, now = times(step), loss(z, w)
         size = 1.0
         while size > 1e-4 and loss(z - size * move, w - size * step) > now:
