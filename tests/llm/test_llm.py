@@ -235,7 +235,14 @@ def test_escape_round_trip(spark):
     assert df.where(F.concat(e, F.lit("<|end|>")).rlike(r"(?<!\\)<\|turn\|>")).count() == 0
 
 
-def test_jaccard_on_clusters(spark):
+@pytest.mark.parametrize("case", ["many partitions", "no broadcasts", "colliding class keys"])
+def test_jaccard_on_clusters(spark, monkeypatch, case):
+    if case == "no broadcasts":
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    if case == "many partitions":
+        monkeypatch.setattr(jaccard, "PART_TOKENS", 100)
+    if case == "colliding class keys":
+        monkeypatch.setattr(jaccard, "set_key", lambda grams, salt: int(grams[0] & np.uint64(7)) if salt == jaccard.P and len(grams) else int(np.bitwise_xor.reduce(grams)))
     rng = random.Random(11)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
     passage = [f"p{i}" for i in range(40)]
@@ -264,7 +271,7 @@ def test_jaccard_on_clusters(spark):
             if sets[a] and sets[b] and 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition({"no broadcasts": 1, "many partitions": 17}.get(case, 5))).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 

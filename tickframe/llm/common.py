@@ -11,22 +11,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (`spark.checkpoint.dir`); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (`spark.checkpoint.dir`).  Where it is unset, a local session (as in tests) gets a temporary one; on a cluster
+    executors would write apart, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = getattr(spark, "_tickframe_shared", None)
         if d is None:
             d = spark._tickframe_shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return d
 
 
+#: Rows in an Arrow batch of a task: texts and n-gram sets are wide, so Spark's 10,000 would hold tens of megabytes at once on either side.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limit to BATCH_ROWS rows, if it is higher; results do not depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    narrow_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,14 +2,16 @@
 
 Every text becomes its set of distinct 5-word shingles (64-bit hashes, stored as 6 fragment bits and 40 further bits).  The
 n-gram order (rare before common, then by hash) is cut into fragments by the leading hash bits; partial overlaps of a pair are
-counted fragment by fragment and summed.  Exact at every size:
+counted fragment by fragment and summed.  No case is dropped at any size; the only error is that of hashing: n-grams are compared by 46 bits,
+so two of the 10,000 n-grams of a text fall together with a chance of 10^-6 (10^8 / 2^47), which moves its overlaps by one in 10,000, and a pair of
+unlike texts shares a n-gram by chance as rarely; classes are told apart by 128 bits and their size.
 
 1. texts with equal sets form a class and take part once;
 2. n-grams that stand in many prefixes are moved to the end of the order (any order is right, this one keeps groups small);
 3. sets of sizes n and m link only if they share at least ceil(4/9 (n + m)) n-grams, so at their first shared n-gram of the order
    each has at least that many n-grams left; this puts it into both prefixes (n - ceil(0.8 n) + 1 first n-grams) and bounds its
-   position in each; and their parity bitmaps differ in at most |A xor B| <= (n + m) / 9 bits.  Groups of classes that share a prefix n-gram are first joined as stars (each member with the one where
-   that n-gram stands earliest), verified, and turned into components; only members of one group that still lie in different
+   position in each; and their parity bitmaps differ in at most |A xor B| <= (n + m) / 9 bits.  Groups of classes that share a
+   prefix n-gram are first joined as stars (each member with the one where that n-gram stands earliest), verified, and turned into components; only members of one group that still lie in different
    components are then paired.  A pair left out lies in one component already, so no link between different texts is lost and no
    group of copies is expanded into all its pairs;
 4. components come from min-label propagation over the verified links.
@@ -39,6 +41,12 @@ HOT_ROUNDS = 2
 #: Ids up to this count are broadcast to filter the set table; beyond it a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
+#: Salts of the two halves of a class's key.
+KEY_SALTS = (P, np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of text or of n-gram sets worked on at once in a task.
+SLICE_BYTES = 1 << 20
+#: Prefix n-grams that one reduce step holds; the number of steps follows their number in the whole input.
+PART_TOKENS = 1_000_000
 
 
 def shingle_hashes(w: K.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,29 +85,36 @@ def unpack_set(blob: bytes) -> np.ndarray:
     return (high << np.uint64(LOW_BITS)) | (mid << np.uint64(32)) | low
 
 
+def set_key(grams: np.ndarray, salt: np.uint64) -> int:
+    """64-bit hash of a set of n-grams; two salts together identify it."""
+    with np.errstate(over="ignore"):
+        return int(K.mix(np.array([K.mix(grams + salt).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0])
+
+
 def _sets(width):
-    schema = pa.schema([("u", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("u", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("c2", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             given = "__row" in b.schema.names
             buf, offs = K.flat(b.column("text"))
             h, doc = shingle_hashes(K.words(K.LOWER[buf], offs), width)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            ns, cs, blobs = [], [], []
+            del buf, doc
+            ns, keys, blobs = [], ([], []), []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 grams = np.unique(h[lo:hi])
-                with np.errstate(over="ignore"):
-                    key = int(K.mix(np.array([K.mix(grams + P).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0])
                 ns.append(len(grams))
-                cs.append(key - (1 << 64) if key >> 63 else key)
+                for own, salt in zip(keys, KEY_SALTS, strict=True):
+                    own.append(set_key(grams, salt))
                 blobs.append(pack_set(grams >> np.uint64(64 - TOKEN_BITS)) if len(grams) else None)
             u = b.column("__row").cast(pa.int64()) if given else pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([u, b.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(cs, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+            ids = [pa.array(np.array(own, np.uint64).view(np.int64)) for own in keys]
+            yield pa.RecordBatch.from_arrays([u, b.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), *ids, pa.array(blobs, pa.binary())], schema=schema)
 
-    return run, "u long, doc_id long, n int, c long, grams binary"
+    return run, "u long, doc_id long, n int, c long, c2 long, grams binary"
 
 
 def prefix(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -117,7 +132,7 @@ def prefix(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 def _prefixes(batches, hot):
     """Per batch: tokens of all prefixes with their class, its size and the token's position, each class once."""
     seen: set[int] = set()
-    for b in K.slices(batches, "grams", 1 << 20):
+    for b in K.slices(batches, "grams", SLICE_BYTES):
         toks, cls, size, place = [], [], [], []
         for c, n, g in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("grams").to_pylist(), strict=True):
             if g is None or c in seen:
@@ -203,13 +218,27 @@ def _blobs(parts: int, hot):
     return run, "part int, width int, t binary, k binary"
 
 
+def _by_part(batches, columns):
+    """Rows of a partition sorted by part, one list per part; rows without a part come singly as (None, row)."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(x).to_pylist() for x in columns), strict=True):
+            if row[0] is None:
+                yield None, row
+                continue
+            if row[0] != at and held:
+                yield at, held
+                held = []
+            at = row[0]
+            held.append(row[1:])
+    if held:
+        yield at, held
+
+
 def _hot(parts: int):
     def run(batches):
-        held = []
-        for b in batches:
-            for p, width, t, k in zip(*(b.column(x).to_pylist() for x in ("part", "width", "t", "k")), strict=True):
-                held.append((_wide(t, width) * np.uint64(parts) + np.uint64(p), np.frombuffer(k, np.uint8).astype(np.int64)))
-        if held:
+        for p, rows in _by_part(batches, ("part", "width", "t", "k")):
+            held = [(_wide(t, width) * np.uint64(parts) + np.uint64(p), np.frombuffer(k, np.uint8).astype(np.int64)) for width, t, k in rows]
             t, k = (np.concatenate(x) for x in zip(*held, strict=True))
             u, inv = np.unique(t, return_inverse=True)
             n = np.bincount(inv, weights=k).astype(np.int64)
@@ -219,26 +248,43 @@ def _hot(parts: int):
     return run
 
 
-def _hot_tokens(sets: DataFrame):
+def _dealt_rows(rows: DataFrame, parts: int, key) -> DataFrame:
+    """Each part's rows together in one task, sorted so that the task holds one part at a time."""
+    return rows.repartition(parts, key).sortWithinPartitions("part")
+
+
+def _merged(hot, t: np.ndarray, level: np.ndarray):
+    """The list with further n-grams (most common first) up to HOT_LIMIT; the higher level of one n-gram holds."""
+    known = np.isin(t, hot[0])
+    take = known | (np.cumsum(~known) <= HOT_LIMIT - len(hot[0]))
+    every, levels = np.concatenate((hot[0], t[take])), np.concatenate((hot[1], level[take]))
+    o = np.lexsort((-levels, every))
+    every, levels = every[o], levels[o]
+    first = np.ones(len(every), bool)
+    first[1:] = every[1:] != every[:-1]
+    return every[first], levels[first]
+
+
+def _parts(sets: DataFrame) -> int:
+    """Reduce steps for the prefixes of all sets (a fifth of their n-grams, and at least one of each)."""
+    n = sets.agg(F.sum(F.col("n") / 5 + 1)).head()[0] or 0
+    return max(shuffle_partitions(sets.sparkSession), int(n // PART_TOKENS) + 1)
+
+
+def _hot_tokens(sets: DataFrame, parts: int):
     """Sorted n-grams to put last, and their levels (twice the binary log of how many prefixes hold them).  A few rounds, as
     moving some brings others into the prefixes."""
     spark = sets.sparkSession
-    parts = shuffle_partitions(spark)
-    hot, level = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _ in range(HOT_ROUNDS):
-        fn, schema = _blobs(parts, spark.sparkContext.broadcast((hot, level)))
-        found = sets.mapInArrow(fn, schema).repartition(parts, "part").mapInArrow(_hot(parts), "t long, n long")
+        fn, schema = _blobs(parts, spark.sparkContext.broadcast(hot))
+        found = _dealt_rows(sets.mapInArrow(fn, schema), parts, "part").mapInArrow(_hot(parts), "t long, n long")
         rows = found.orderBy(F.desc("n"), "t").limit(HOT_LIMIT).toPandas()
-        new = dict(zip(hot.tolist(), level.tolist(), strict=True))
-        for t, n in zip(rows["t"].tolist(), rows["n"].tolist(), strict=True):
-            if t in new or len(new) < HOT_LIMIT:
-                new[t] = max(new.get(t, 0), int(2 * np.log2(n)))
-        grown = len(new) - len(hot)
-        hot = np.array(sorted(new), np.uint64)
-        level = np.array([new[t] for t in hot.tolist()], np.int64)
+        new = _merged(hot, rows["t"].to_numpy(np.int64).astype(np.uint64), (2 * np.log2(rows["n"].to_numpy(float))).astype(np.int64))
+        grown, hot = len(new[0]) - len(hot[0]), new
         if grown < 100:
             break
-    return spark.sparkContext.broadcast((hot, level))
+    return spark.sparkContext.broadcast(hot)
 
 
 def _first_stars(parts: int, hot):
@@ -289,15 +335,15 @@ def _last_stars(parts: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        held = []
-        for batch in batches:
-            for p, width, x, y, s, i in zip(*(batch.column(k).to_pylist() for k in ("part", "width", "a", "b", "s", "i")), strict=True):
-                if p is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")), pa.array(np.frombuffer(y, "<i8"))], schema=schema)
-                else:
-                    c = np.frombuffer(y, "<i8")
-                    held.append((_wide(x, width) * np.uint64(parts) + np.uint64(p), c, _sized(s, len(c)), _sized(i, len(c))))
-        if held:
+        for p, rows in _by_part(batches, ("part", "width", "a", "b", "s", "i")):
+            if p is None:
+                _, _, x, y, _, _ = rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")), pa.array(np.frombuffer(y, "<i8"))], schema=schema)
+                continue
+            held = []
+            for width, x, y, s, i in rows:
+                c = np.frombuffer(y, "<i8")
+                held.append((_wide(x, width) * np.uint64(parts) + np.uint64(p), c, _sized(s, len(c)), _sized(i, len(c))))
             t, c, s, i = _in_order(held)
             _, _, a, b = _stars(t, c, s, i >> 1, i & 1, True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
@@ -305,12 +351,24 @@ def _last_stars(parts: int):
     return run
 
 
-def _star_pairs(sets: DataFrame, hot) -> DataFrame:
-    parts = shuffle_partitions(sets.sparkSession)
+def _star_pairs(sets: DataFrame, hot, parts: int) -> DataFrame:
     fn, schema = _first_stars(parts, hot)
     rows = sets.mapInArrow(fn, schema)
     # chunk-local pairs (null part) are spread by their content, entries by their part
-    return rows.repartition(parts, F.coalesce("part", F.hash("a"))).mapInArrow(_last_stars(parts), "a long, b long").distinct()
+    return _dealt_rows(rows, parts, F.coalesce("part", F.hash("a"))).mapInArrow(_last_stars(parts), "a long, b long").distinct()
+
+
+def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets, and their classes (c, u, first).  Two sets are one class if both halves of the key and the size agree; where only the first half does, the
+    sets get class ids made of all three."""
+    while True:
+        both = [f(x).alias(f"{x}_{g}") for x in ("c2", "n") for g, f in (("lo", F.min), ("hi", F.max))]
+        cls = written(sets.where("n > 0").groupBy("c").agg(F.min("u").alias("u"), F.min("doc_id").alias("first"), *both))
+        clash = cls.where("c2_lo != c2_hi or n_lo != n_hi").select("c", F.lit(True).alias("clash"))
+        if not clash.limit(1).count():
+            return sets, cls.select("c", "u", "first")
+        own = F.when(F.col("clash"), F.xxhash64("c", "c2", "n")).otherwise(F.col("c"))
+        sets = written(sets.join(_small_side(written(clash)), "c", "left").withColumn("c", own).drop("clash"))
 
 
 def _only(sets: DataFrame, cls: DataFrame, ids: DataFrame) -> DataFrame:
@@ -323,7 +381,7 @@ def _segments(batches):
     """One row per set and vertical fragment: its tokens there, as 8-byte words."""
     schema = pa.schema([("c", pa.int64()), ("n", pa.int32()), ("f", pa.int32()), ("t", pa.binary())])
     edge = (np.arange(1, SEGMENTS, dtype=np.uint64)) << np.uint64(TOKEN_BITS - SEGMENTS.bit_length() + 1)
-    for b in K.slices(batches, "grams", 1 << 20):
+    for b in K.slices(batches, "grams", SLICE_BYTES):
         c, n, f, t = [], [], [], []
         for x, m, g in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("grams").to_pylist(), strict=True):
             tok = unpack_set(g)
@@ -344,7 +402,7 @@ def _tokens48(blob: bytes) -> np.ndarray:
 
 def _partial(batches):
     """Partial overlap of each pair in one fragment; both sides are sorted and without repeats."""
-    for b in K.slices(batches, "ta", 1 << 20):
+    for b in K.slices(batches, "ta", SLICE_BYTES):
         over = []
         for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
             if x == y:
@@ -400,7 +458,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def _parities(batches):
-    for b in K.slices(batches, "grams", 1 << 20):
+    for b in K.slices(batches, "grams", SLICE_BYTES):
         maps = np.array([parity(unpack_set(g)) for g in b.column("grams").to_pylist()]).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), *(pa.array(x) for x in maps.T.copy())], names=["c", "n", "m0", "m1", "m2", "m3"])
 
@@ -417,7 +475,7 @@ def _mixed_entries(hot):
     schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64()), *((f"m{q}", pa.int64()) for q in range(4))])
 
     def run(batches):
-        for b in K.slices(batches, "grams", 1 << 20):
+        for b in K.slices(batches, "grams", SLICE_BYTES):
             toks, rows, maps = [], [], []
             for i, g in enumerate(b.column("grams").to_pylist()):
                 full = unpack_set(g)
@@ -450,11 +508,11 @@ def _across(entries: DataFrame) -> DataFrame:
 
 def jaccard_rows(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs(doc_id, text, __row if rows have unique ids) -> a row for each: doc_id, u (its __row), n, comp (its component's class, null for the empty set), component_id."""
-    sets = written(docs.select("doc_id", "text", *[c for c in docs.columns if c == "__row"]).mapInArrow(*_sets(width)))
+    sets, cls = _classes(written(docs.select("doc_id", "text", *[c for c in docs.columns if c == "__row"]).mapInArrow(*_sets(width))))
     full = sets.where("n > 0")
-    cls = written(full.groupBy("c").agg(F.min("u").alias("u"), F.min("doc_id").alias("first")))
-    hot = _hot_tokens(full.select("c", "n", "grams"))
-    pairs = written(_star_pairs(full.select("c", "n", "grams"), hot))
+    parts = _parts(full)
+    hot = _hot_tokens(full.select("c", "n", "grams"), parts)
+    pairs = written(_star_pairs(full.select("c", "n", "grams"), hot, parts))
     some = _only(full, cls, _ends(pairs))
     maps = some.mapInArrow(_parities, "c long, n int, m0 long, m1 long, m2 long, m3 long")
     first = written(_plausible(pairs, maps))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import mixing, op4, pii, quality
-from .common import WORD, written
+from .common import WORD, narrow_batches, written
 from .jaccard import BROADCAST_IDS, jaccard_rows
 
 
@@ -15,6 +15,7 @@ def _few(ids):
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
+    narrow_batches(spark)
     return quality.keep_good(docs, quality.language_references(docs))
 
 
@@ -36,6 +37,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 def personal_data(spark, docs, sf_dir):
     """Spans of personal data give way to their kind in angle brackets; no document goes."""
+    narrow_batches(spark)
     return pii.redact(docs, pii.train(docs))
 
 
@@ -55,6 +57,7 @@ def mixed_sources(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Packed pieces with their digests."""
+    narrow_batches(spark)
     return op4.digest(op4.pieces(docs))
 
 
