@@ -312,6 +312,40 @@ def test_names_are_redacted(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: 'by Mr <NAME> ("<NAME>")', 2: None}
 
 
+def test_personal_data_query_against_regular_expressions(spark):
+    """Counts, digest and spans of the query itself, on texts dense with near misses."""
+    rng = random.Random(8)
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "1.1.1.1.1.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234567", "+1", "++", "12", ".", " ", "\n", "é", "😀", "Peter Smith", "0" * 30, "a@b@c.d.e", "d41d8cd98f00b204e9800998ecf8427e", "10.0.0.1@x.y"]
+    docs = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(900, None), (901, ""), (902, "1" * 5000 + ".1.1.1")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(frame, pii.train(frame)).collect()}
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for i, t in docs:
+        t = t or ""
+        want = [(m.start(), 0, m.end(), "email") for m in email.finditer(t)]
+        want += [(m.start(), 1, m.end(), "ip") for m in ip.finditer(t) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
+        want += [(m.start(), 2, m.end(), "card") for m in card.finditer(t) if 12 <= len(d := re.sub("[ -]", "", m.group())) <= 19 and pii.luhn(d)]
+        want += [(m.start(), 3, m.end(), "phone") for m in phone.finditer(t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+        base = [f"{k}:{a}:{b}" for a, _, b, k in sorted(want)]
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")]
+        every = r.spans.split(",") if r.spans else []
+        assert set(base) <= set(every) and r.n_spans == len(every) and r.n_added == len(every) - len(base)
+
+
+def test_personal_data_in_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("1" * 1_000_000, "1." * 300_000, "+1 " * 200_000, "a@" * 300_000, "a@b.c 1234567 " * 20_000, "Peter " * 100_000):
+        base = pii.base_spans(t)
+        pii.more_candidates(t, base)
+    assert time.time() - began < 30
+
+
 def test_long_ip_parts():
     assert pii.base_spans("0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".2.3.4") == [(0, 5007, "ip")]
 

@@ -1,13 +1,14 @@
 """Personal data by weak supervision (operator 10).
 
 Candidate spans come from formats (e-mail, IP, card, phone; further: long strings with digits, long digit groups, a gazetteer first name before a capitalised
-word).  Four labelers vote on each (1 personal, 0 not, 2 abstains): format, gazetteer, context words before the span, shape.  Counts of all vote patterns of
-the corpus go through expectation-maximisation (two classes, votes independent given the class), which estimates each labeler's reliability and the share of
+word).  Four labelers vote on each (1 personal, 0 not, 2 abstains): format, gazetteer, context words before the span, shape.  Counts of the vote patterns of
+all candidates but those of the base kinds go through expectation-maximisation (two classes, votes independent given the class), which estimates each labeler's reliability and the share of
 personal spans; the posterior of each pattern then is the soft label for a logistic span classifier on surface features.  Spans that the
 format labelers of the four base kinds define stay whatever the classifier says; it adds those of the other kinds with a score of THRESHOLD or more.
 
 Only patterns with their counts (bounded by the finite feature sets) come to the driver; all documents count.  Null and empty texts have no spans; offsets
-are code points, end exclusive; repeated rows get equal results; whole texts are searched however long.
+are code points, end exclusive; spans that begin together come in the order of KINDS; repeated rows get equal results; whole texts are searched however
+long, in time proportional to their length; an empty table gives no rows; columns other than doc_id and text are ignored by `spans` and kept by `redact`.
 """
 from __future__ import annotations
 
@@ -31,7 +32,8 @@ CONTEXT_CHARS = 32
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match always begins a run of digits (it ends with a whole run), so the look-behind changes no match and keeps the search linear.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 STRING = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
@@ -39,7 +41,7 @@ HEX = re.compile(r"[0-9a-fA-F]+\Z")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
 
 #: Frequent first names, openings of issued keys, and context words for and against personal data.
-NAMES = set("James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Michelle Laura Peter Hans Klaus Jürgen Wolfgang Andreas Sabine Ursula Monika Petra Pierre Jean Michel Philippe Nicolas Marie Nathalie Isabelle Sylvie José Antonio Manuel Francisco Carlos Miguel María Carmen Ana Pilar".split())
+NAMES = set("James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Michelle Laura Anna Emma Olivia Sophie Julia Peter Hans Klaus Jürgen Wolfgang Andreas Stefan Markus Sabine Ursula Monika Petra Heike Katrin Pierre Jean Michel Philippe Nicolas François Marie Nathalie Isabelle Sylvie Hélène José Antonio Manuel Francisco Carlos Miguel María Carmen Ana Pilar Lucía Javier Giovanni Marco Giulia Francesca João Luís Rui Inês Jan Piotr Katarzyna Agnieszka Ivan Dmitri Sergei Olga Natalia Ahmed Mohammed Muhammad Fatima Aisha Omar Hassan Ali Yusuf Mehmet Ayşe Emre Rahul Priya Amit Sunita Arjun Deepak Wei Ming Li Yuki Hiroshi Kenji Sakura Minh Linh Kwame Amara Chidi Ngozi Sven Lars Ingrid Björn Mikko Nikos Eleni".split())
 #: A name: listed first names (each may go on with a hyphen), then a capitalised word with lower-case letters, in any alphabet with capitals; letters may be
 #: followed by combining marks.  It begins with the list, so that the search skips to its initials; `_names` checks the border before it.
 _UPPER = "[" + "".join(c for c in map(chr, range(0xD800)) if c.isupper() or c.istitle()) + "]"
@@ -110,9 +112,15 @@ def more_candidates(t: str, taken) -> list[tuple[int, int, str]]:
             found.append((*m.span(), "number"))
     found += [(*x, "name") for x in _names(t)]
     out: list = []
+    at, end = 0, -1  # spans taken from here on, and where those before and the accepted ones end
+    taken = sorted(taken)
     for x in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
-        if all(x[1] <= a or b <= x[0] for a, b, _ in [*taken, *out[-3:]]):
+        while at < len(taken) and taken[at][0] <= x[0]:
+            end = max(end, taken[at][1])
+            at += 1
+        if x[0] >= end and (at == len(taken) or x[1] <= taken[at][0]):
             out.append(x)
+            end = x[1]
     return out
 
 
@@ -201,6 +209,10 @@ def train(docs: DataFrame) -> dict:
     if not rows:
         return {"weights": None, "reliability": None, "share": 0.0}
     v, f, n = np.array([r.votes for r in rows]), np.array([r.features for r in rows]), np.array([r.n for r in rows], float)
+    open_ = f[:, 0] >= len(BASE)  # the base kinds stay in any case and would drown the others
+    if not open_.any():
+        return {"weights": None, "reliability": None, "share": 0.0}
+    v, f, n = v[open_], f[open_], n[open_]
     pattern, at = np.unique(v, axis=0, return_inverse=True)
     post, reliability, share = em(pattern, np.bincount(at.ravel(), weights=n))
     y, x, w = post[at.ravel()], _hot(f), np.zeros(sum(SIZES) + 1)
@@ -232,22 +244,24 @@ def joined(spans) -> str:
 
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, base and all: arrays of (kind, start, end) as text kind:start:end, comma-joined."""
+    """docs(doc_id, text) -> doc_id, counts of the base kinds, digest of the base spans, all spans as text kind:start:end (comma-joined), how many the
+    classifier added and how many there are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in K.slices(batches):
             some, texts = _likely(b.column("text"))
-            base, every, n = [""] * b.num_rows, [""] * b.num_rows, np.zeros((b.num_rows, 4), np.int64)
+            base, every, n = [""] * b.num_rows, [""] * b.num_rows, np.zeros((b.num_rows, 6), np.int64)
             for i in np.flatnonzero(some).tolist():
                 x, y = all_spans(texts[i], sent.value)
                 base[i], every[i] = joined(x), joined(y)
                 for _, _, k in x:
                     n[i, BASE.index(k)] += 1
+                n[i, 4:] = len(y) - len(x), len(y)
             digest = [hashlib.sha256(x.encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(n[:, j]) for j in range(4)), pa.array(digest), pa.array(every)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(n[:, j]) for j in range(4)), pa.array(digest), pa.array(every), pa.array(n[:, 4]), pa.array(n[:, 5])], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame, model: dict) -> DataFrame:
