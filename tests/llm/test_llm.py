@@ -104,11 +104,21 @@ def test_js_distance():
 def test_mix_schedule_spreads_sources(spark):
     sized = mixing.sizes(spark.read.parquet(f"{SF}/documents.parquet"))
     goals = mixing.targets(sized)
-    slots = mixing.schedule(goals).join(goals.select("key", "need", "total"), "key").toPandas()
+    slots = mixing.schedule(goals).join(goals.select("key", "blocks", F.col("slots").alias("want"), "total"), "key").toPandas()
     for _, g in slots.groupby("key"):
-        assert g.words.sum() == g.need.iloc[0]
-        half = slots.slot.max() / 2
-        assert abs((g.slot < half).mean() - 0.5) < 0.2
+        assert abs(len(g) - min(g.want.iloc[0], 3 * g.blocks.iloc[0])) <= 3
+        assert sorted(g.epoch * g.blocks + g.block) == list(range(len(g)))
+        for part in (0.25, 0.5, 0.75):
+            assert abs((g.slot < part * g.total.iloc[0]).sum() - part * len(g)) <= 4
+
+
+def test_mix_follows_its_points(spark, monkeypatch):
+    """The schedule decides: other points take other words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    take = lambda: sorted((r.doc_id, r.taken, tuple(r.slots or ())) for r in mixing.taken(docs).collect())
+    before = take()
+    monkeypatch.setattr(mixing, "PHI", 0.4142135623730951)
+    assert [x[:2] for x in take()] != [x[:2] for x in before]
 
 
 def test_packing_round_trip(spark, texts):
@@ -367,11 +377,13 @@ def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
 
 
 def test_mix_counts_rows_not_ids(spark):
-    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    text = lambda k, n: "".join(f"w{k}x{i}" + [" ", "\n", "\t "][i % 3] for i in range(n))
     docs = spark.createDataFrame([doc(None, text(1, 30)), doc(None, text(2, 50)), doc(4, text(3, 20), source="t"), doc(4, text(4, 70)), doc(5, text(5, 90), source="t")], DOCS).repartition(2)
     got = stages.mixed_sources(spark, docs, None).toPandas()
     want = mixing.taken(docs.select("doc_id", "source", "text")).toPandas()
     size = got.text.str.split().map(len)
+    whole = [r.text for r in docs.collect()]
+    assert all(any(w.startswith(t) for w in whole) for t in got.text)  # a cut text keeps its white space
     assert size.sum() == want.taken.sum() and len(set(got.text)) <= 10
     assert size.groupby(got.text.str.split().str[0].str[:2]).sum().sort_values().tolist() == want[want.taken > 0].taken.sort_values().tolist()
 

@@ -20,19 +20,19 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def _with_rows(docs):
-    """The documents, written, with a unique id of each row in __row and a hash of its text in __hash: doc_ids may be null or repeated."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__hash", F.xxhash64("text")))
+    """The documents, written, each whole in a column `d` beside a unique row id `r`: doc_ids may be null or repeated, and columns may have any name."""
+    return written(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("r")))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One row of each group stays: the one with the least doc_id (null last), then the least hash of its text; rows without words stand alone."""
     rows = _with_rows(docs)
-    found = written(jaccard_rows(rows))
-    grouped = found.where("comp is not null").join(rows.select(F.col("__row").alias("u"), "__hash"), "u")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "u")
-    first = grouped.groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.u").alias("__row"))
-    kept = _few(written(first.unionByName(found.where("comp is null").select(F.col("u").alias("__row")))))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    found = written(jaccard_rows(rows.select("d.doc_id", "d.text", F.col("r").alias("__row"))))
+    grouped = found.where("comp is not null").join(rows.select(F.col("r").alias("u"), F.xxhash64("d.text").alias("hash")), "u")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "u")
+    first = grouped.groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.u").alias("r"))
+    kept = _few(written(first.unionByName(found.where("comp is null").select(F.col("u").alias("r")))))
+    return rows.join(kept, "r", "left_semi").select("d.*")
 
 
 def personal_data(spark, docs, sf_dir):
@@ -42,17 +42,18 @@ def personal_data(spark, docs, sf_dir):
 
 
 def mixed_sources(spark, docs, sf_dir):
-    """Each row once per epoch that takes it whole, and the taken words at its edge where the mix ends inside it; n_chars follows the text."""
+    """Each row once per epoch that deals its blocks, whole, and its first words (with the white space between them) where the dealt blocks of the last epoch end inside it; in the
+    order in which the schedule deals the blocks that they begin in.  n_chars follows the text."""
     whole = _with_rows(docs)
-    took = mixing.taken(whole.select("doc_id", "source", "text", "__row", "__hash")).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    met = whole.join(_few(written(took)), "__row")
-    times = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    rows = met.select(*docs.columns, "__taken", "__size", F.explode(times).alias("__epoch"))
-    rest = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(0)).cast("int")), " ")
-    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(part)
+    took = mixing.taken(whole.select("d.doc_id", "d.source", "d.text", F.col("r").alias("__row"))).where("taken > 0").select(F.col("__row").alias("r"), "size", "taken", "slots")
+    met = whole.join(_few(written(took)), "r").select("d", "size", "taken", F.posexplode("slots").alias("epoch", "slot"))
+    rest = (F.col("taken") - F.col("epoch") * F.col("size")).cast("int")
+    words, blanks = F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)), F.split("d.text", WORD)
+    part = F.array_join(F.zip_with(F.slice(blanks, F.lit(1), rest), F.slice(words, F.lit(1), rest), lambda blank, word: F.concat(blank, word)), "")
+    text = F.when(rest >= F.col("size"), F.col("d.text")).otherwise(part)
     cols = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    rows = met.repartitionByRange("slot").sortWithinPartitions("slot")
+    return rows.select(*[cols[c].alias(c) if c in cols else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def packed(spark, docs, sf_dir):
