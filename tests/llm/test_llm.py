@@ -96,6 +96,49 @@ def test_quality_keeps_good_and_rejects_junk(spark, duck):
     assert m[(m.quality == 1) & ~m.base_failed].kept.mean() > 0.99 and m[m.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_against_brute_force(spark, duck):
+    """References, distances and verdicts of the query itself, worked out text by text, whatever the split of the input."""
+    rows_ = duck.execute("SELECT doc_id, text, lang FROM documents ORDER BY doc_id").fetchall()
+    kinds = collections.defaultdict(lambda: 5, {**{ord(c): 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): 2 for c in "0123456789"}, **{c: 3 for c in (9, 10, 11, 12, 13, 32)}, **{ord(c): 4 for c in ".,;:!?'\"()-"}, **{c: 6 for c in range(0xC0, 256)}, **{c: 7 for c in range(0x80, 0xC0)}})
+    counts, classes, per = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), {}
+    for i, t, lang in rows_:
+        words = WORD.findall(t or "")
+        window = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        inside = {k + j for k in range(len(words) - 4) if window[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        c = collections.Counter(kinds[x] for x in (t or "").encode())
+        c.pop(7, None)
+        failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
+        per[i] = words, c, failed, len(re.sub(r"[\x20\x09-\x0D]", "", t or ""))
+        if lang is not None and not failed:
+            counts[lang].update(words)
+            classes[lang].update(c)
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return np.sqrt(max(0.0, min(1.0, (kl(p) + kl(q)) / 2)))
+
+    share = lambda c, keys: [c[k] / max(sum(c.values()), 1) for k in keys]
+    refs = {}
+    for lang, c in counts.items():
+        top = sorted(c, key=lambda w: (-c[w], w.encode()))[:64]
+        refs[lang] = share(classes[lang], range(7)), top, share(c, top)
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    for parts in (1, 7):
+        found = quality.language_references(docs.repartition(parts))
+        assert {k: [w.decode() for w in v[1]] for k, v in found.items()} == {k: v[1] for k, v in refs.items()}
+    got = {r.doc_id: r for r in quality.judge(docs, found).collect()}
+    for i, (words, c, failed, chars) in per.items():
+        n = max(len(words), 1)
+        by_class = min(distance(share(c, range(7)), r[0]) for r in refs.values())
+        seen = collections.Counter(words)
+        hist = lambda top: [*(h := [seen[w] / n for w in top]), 1 - sum(h)]
+        by_word = min(distance(hist(r[1]), [*r[2], max(0.0, 1 - sum(r[2]))]) for r in refs.values())
+        assert got[i].class_distance == pytest.approx(by_class, abs=1e-6) and got[i].word_distance == pytest.approx(by_word, abs=1e-6)
+        far = chars >= 200 and by_class > 0.25 or len(words) >= 50 and by_word > 0.45 + 4 / n
+        assert got[i].kept == (not failed and not far)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert quality.js_distance(p, np.array([[0.0, 1.0]]))[0] == 1 and quality.js_distance(p, np.array([[0.5, 0.5]]))[1] == 0

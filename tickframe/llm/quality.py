@@ -5,17 +5,15 @@ classes and of common words are compared with references of each language by the
 language counts, so a wrong or missing label does not reject a clean text.  Each test has a minimum length below which it says nothing, and
 the allowance for words shrinks with length as the sampling noise does.
 
-References are sums over all documents of a language: classes exactly; words among the LOCAL_TOP most frequent of their language in
-a chunk of about CHUNK_BYTES, so that every word that is common throughout is counted everywhere.  Languages beyond the MAX_LANGUAGES
-largest have no reference of their own; their documents are compared with the nearest of the others.
+References are exact sums over all documents of a language that pass the hard rules: classes, and the COMMON most frequent words (every word is counted, so the
+split of the input does not matter).  Each language label has a reference; one takes some 2 KB of the broadcast.
 
-Null and blank texts have no words and fail the hard rules; repeated rows get equal verdicts; very long texts are read whole; a corpus
-without any language label has no references, and then only the hard rules hold.
+Null and blank texts have no words and fail the hard rules; repeated rows get equal verdicts; equally near references and equally frequent words go by name; very long
+texts are read whole; extra columns are ignored by `judge` and kept by `keep_good`; an empty table gives no rows; a corpus without any language label
+has no references, and then only the hard rules hold.
 """
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,10 +21,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import kernels as K
 
-CHUNK_BYTES = 32 << 20
-LOCAL_TOP = 512
+#: Bytes of text worked on at once.
+SLICE_BYTES = 1 << 20
 COMMON = 64
-MAX_LANGUAGES = 200
 MIN_WORDS, MIN_CHARS = 50, 200
 #: Allowed distances: classes; words at infinite length, and what a text of one word would be allowed more.
 CLASS_LIMIT, WORD_LIMIT, WORD_NOISE = 0.25, 0.45, 4.0
@@ -49,54 +46,35 @@ def class_counts(buf, offs) -> np.ndarray:
 
 
 def _reference_counts(batches):
-    """(lang, k, word, n): word null and the class in k for the class sums, k = N_CLASSES for the number of words."""
+    """(lang, k, word, n) of the documents that pass the hard rules: word null and the class in k for the class sums, k = N_CLASSES for the number of words."""
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
-    sums: dict[tuple, Counter] = {}
     classes: dict[str, np.ndarray] = {}
-    held = 0
-
-    def words_out():
-        rows = [(lang, None, w, n) for lang, c in sums.items() for w, n in c.most_common(LOCAL_TOP)]
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else None
-
-    for b in K.slices(batches):
+    for b in K.slices(batches, limit=SLICE_BYTES):
         buf, offs = K.flat(b.column("text"))
-        langs, name = pd.factorize(np.array(b.column("lang").to_pylist(), object), use_na_sentinel=True)
-        per = class_counts(buf, offs)
         w = K.words(buf, offs)
         code, uniq = w.encode()
-        of = langs[w.doc]
+        langs, name = pd.factorize(np.array(b.column("lang").to_pylist(), object), use_na_sentinel=True)
+        langs = np.where(hard_fail(base_metrics(buf, offs, w, code)), -1, langs)
+        per, of = class_counts(buf, offs), langs[w.doc]
         for i, lang in enumerate(name):
             classes[lang] = classes.get(lang, 0) + np.append(per[langs == i].sum(0), w.n[langs == i].sum())
             n = np.bincount(code[of == i], minlength=len(uniq))
-            top = np.flatnonzero(n > 0)
-            if len(top) > 4 * LOCAL_TOP:  # a word outside a slice's first 2048 is not common in it
-                top = top[np.argpartition(-n[top], 4 * LOCAL_TOP)[: 4 * LOCAL_TOP]]
-            sums.setdefault(lang, Counter()).update(dict(zip(uniq.take(pa.array(top)).to_pylist(), n[top].tolist(), strict=True)))
-        held += len(buf)
-        if held >= CHUNK_BYTES:
-            held = 0
-            if (out := words_out()) is not None:
-                yield out
-    if (out := words_out()) is not None:
-        yield out
+            some = np.flatnonzero(n)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.nulls(len(some), pa.int32()), uniq.take(pa.array(some)).cast(pa.binary()), pa.array(n[some])], schema=schema)
     rows = [(lang, k, None, int(n)) for lang, c in classes.items() for k, n in enumerate(c)]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def language_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, float]]]:
-    """Per language: shares of the character classes, and shares of its common words.  At most MAX_LANGUAGES * (COMMON + classes) rows
-    come to the driver."""
+    """Per language: shares of the character classes, and shares of its COMMON most frequent words (ties: the lesser word).  Every word counts; COMMON + N_CLASSES + 1
+    rows a language come to the driver, so a reference takes some 2 KB."""
     rows = docs.select("lang", "text").mapInArrow(_reference_counts, "lang string, k int, word binary, n long").groupBy("lang", "k", "word").agg(F.sum("n").alias("n"))
-    rows = rows.where("n > 0")
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.col("k").isNull(), F.desc("n"), "word"))
-    rows = rows.withColumn("r", first).where(F.col("r") <= COMMON + N_CLASSES + 1)
-    size = F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0)).over(W.partitionBy("lang"))
-    rows = rows.withColumn("size", size).withColumn("big", F.dense_rank().over(W.orderBy(F.desc("size"), "lang"))).where(F.col("big") <= MAX_LANGUAGES)
+    rows = rows.where("n > 0").withColumn("r", first).where(F.col("r") <= COMMON + N_CLASSES + 1)
     out: dict = {}
-    for r in rows.collect():
+    for r in rows.orderBy("lang", "r").collect():
         c, words = out.setdefault(r.lang, (np.zeros(N_CLASSES + 1), {}))
         if r.k is not None:
             c[r.k] = r.n
@@ -154,6 +132,11 @@ def base_metrics(buf, offs, w: K.Words, code: np.ndarray) -> dict[str, np.ndarra
     return {"n_words": n, "word_chars": chars, "n_symbols": K.per_text(SYMBOL[buf], offs), "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
+def hard_fail(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Too few words, or too many inside repeated windows."""
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+
+
 def divergence(buf, offs, w: K.Words, code, uniq, refs):
     """Distances of each text to its nearest reference by classes, and by common words."""
     docs = len(offs) - 1
@@ -190,7 +173,7 @@ def judged(b, refs) -> pd.DataFrame:
     code, uniq = w.encode()
     m = base_metrics(buf, offs, w, code)
     n = m["n_words"]
-    failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
+    failed = hard_fail(m)
     by_class, by_word = divergence(buf, offs, w, code, uniq, refs)
     far = ((m["word_chars"] >= MIN_CHARS) & (by_class > CLASS_LIMIT)) | ((n >= MIN_WORDS) & (by_word > WORD_LIMIT + WORD_NOISE / np.maximum(n, 1)))
     kept = ~failed & ~(far if refs else np.zeros(len(n), bool))
@@ -202,7 +185,7 @@ def judge(docs: DataFrame, refs: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches):
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             f = judged(b, sent.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(f[k], t) for k, t in OUT[1:])], schema=pa.schema(OUT))
 
@@ -214,7 +197,7 @@ def keep_good(docs: DataFrame, refs: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches):
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             yield b.filter(pa.array(judged(b, sent.value)["kept"].to_numpy(bool)))
 
     return docs.mapInArrow(run, docs.schema)
