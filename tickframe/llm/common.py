@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-#: Rows in an Arrow batch of a task: texts and n-gram sets are wide, so Spark's 10,000 would hold tens of megabytes at once on either side.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows at a time in an Arrow batch of a task and in Spark's Parquet reader: texts and n-gram sets are wide, so the defaults (10,000 and 4096) hold tens of megabytes at once.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 256}
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limit to BATCH_ROWS rows, if it is higher; results do not depend on it."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Lower the session's batch sizes to BATCH_ROWS, where they are higher; results do not depend on them."""
+    for name, rows in BATCH_ROWS.items():
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, str(rows))
 
 
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
