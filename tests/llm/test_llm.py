@@ -403,10 +403,66 @@ def test_long_ip_parts():
     assert pii.base_spans("0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".2.3.4") == [(0, 5007, "ip")]
 
 
-def test_kneser_ney_sums_to_one(spark):
-    m = kneser_ney.train(spark.createDataFrame([("x", "the cat sat on the mat. " * 5), ("x", "a dog ran to the hill")], "lang string, text string"))
-    p = np.exp(m["x"].astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+def kn_brute_force(texts):
+    """Modified Kneser-Ney probabilities of code-point 5-grams, straight from the formulas."""
+    counts = {5: collections.Counter(t[i : i + 5] for t in texts for i in range(len(t) - 4))}
+    for k in range(4, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    symbols = len(counts[1]) + 1
+    tables = {}
+    for k, c in counts.items():
+        kinds = collections.Counter(c.values())
+        d = []
+        for i in (1, 2, 3):
+            y = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] + 2 * kinds[2] else None
+            x = i - (i + 1) * y * kinds[i + 1] / kinds[i] if y is not None and kinds[i] else 0.5
+            d.append(max(0.05, min(float(i), x)))
+        total, left = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        tables[k] = c, d, total, left
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        c, d, total, left = tables[len(g)]
+        ctx = g[:-1]
+        if not total[ctx]:
+            return p(g[1:])
+        return max(c[g] - d[min(c[g], 3) - 1], 0) / total[ctx] * (c[g] > 0) + left[ctx] / total[ctx] * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("rows_", [10**6, 0])
+def test_kneser_ney_against_brute_force(spark, monkeypatch, rows_):
+    """Perplexities by broadcast tables and by the join, seen and unseen n-grams, several scripts; probabilities of a context sum to one."""
+    monkeypatch.setattr(kneser_ney, "TABLE_ROWS", rows_)
+    rng = random.Random(2)
+    words = {"en": ["the", "cat", "sat", "mat", "on", "dog", "hill."], "ru": ["кот", "дом", "стол", "река", "лес."]}
+    line = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    trusted = [(k, line(k, 60)) for k in words for _ in range(5)]
+    docs = [(1, "en", line("en", 50)), (2, "ru", line("ru", 50)), (3, "ru", "".join(rng.choice("кдслтор ") for _ in range(200))), (4, None, line("ru", 40)), (5, "en", "日本語" * 60), (6, "en", "short"), (7, "xx", None), (8, "en", line("en", 40).replace(" ", "\n\t"))]
+    frame = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    model = kneser_ney.Shares(spark.createDataFrame(trusted, "lang string, text string"), {"en", "ru"})
+    wanted = frame.select("lang", "text").mapInArrow(*kneser_ney._counted({"en", "ru"}, True)).select("lang", "gram").distinct()
+    known = model.probabilities(wanted)
+    got = {r.doc_id: r for r in kneser_ney.Scorer(known, {"en", "ru"}).perplexities(frame).collect()}
+    p = {k: kn_brute_force([t for x, t in trusted if k in ("", x)]) for k in ("en", "ru", "")}
+    assert len(got) == len(docs)
+    for i, lang, t in docs:
+        t = re.sub(r"[\t\n]", " ", t or "")
+        if len(t) < 100:
+            assert got[i].perplexity is None
+        else:
+            m = p[lang if lang in ("en", "ru") else ""]
+            assert got[i].perplexity == pytest.approx(np.exp(-np.mean([np.log(m(t[j : j + 5])) for j in range(len(t) - 4)])), rel=1e-4)
+    if rows_:
+        alphabet = sorted({c for _, t in trusted for c in t})
+        some = [("", ctx + c) for ctx in ("the ", " кот", "zzzz") for c in [*alphabet, "Ω"]]
+        sums = model.probabilities(spark.createDataFrame(some, "lang string, gram string")).groupBy(F.substring("gram", 1, 4)).agg(F.sum("p").alias("s")).collect()
+        assert all(r.s == pytest.approx(1) for r in sums) and len(sums) == 3
 
 
 def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
@@ -432,16 +488,17 @@ def test_mix_counts_rows_not_ids(spark):
 
 
 def test_kneser_ney_judges_every_language(spark, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(kneser_ney, "MIN_TRUSTED", 40)
     rng = random.Random(5)
-    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 5))) for _ in range(40)] for k, v in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
-    good = [(i, k, " ".join(rng.choice(words[k]) for _ in range(60))) for i, k in enumerate([*words] * 20)]
-    junk = [(100 + i, k, "".join(rng.choice("qxzwv#%&") for _ in range(300))) for i, k in enumerate([None, "dd", "aa", "cc"])]
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 5))) for _ in range(40)] for k, v in (("aa", "abcde"), ("bb", "fghij"), ("ru", "абвгдежз"), ("few", "klmno"))}
+    good = [(i, k, " ".join(rng.choice(words[k]) for _ in range(60))) for i, k in enumerate([*[k for k in words if k != "few"] * 80, *["few"] * 30])]
+    salad = "".join(rng.choice("абвгдежз ") for _ in range(300))  # the right letters in no order
+    junk = [(1000 + i, k, t) for i, (k, t) in enumerate([(None, "".join(rng.choice("qxzwv#%&") for _ in range(300))), ("dd", "#%&" * 100), ("aa", "qxz" * 100), ("ru", "шщъ" * 100), ("ru", salad)])]
     ids = spark.createDataFrame([(i,) for i, _, _ in good], "doc_id long")
-    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame([*good, *junk, (200, None, good[0][2])], "doc_id long, lang string, text string"), ids).collect()}
-    assert len(got) == 65 and {got[i].lang for i, _, _ in good} == set(words)
-    assert len({got[i].threshold for i in (0, 1, 2, 100)}) == 4 and got[100].threshold == got[101].threshold
-    assert not any(got[100 + i].kept for i in range(4)) and got[200].kept and sum(got[i].kept for i, _, _ in good) >= 57
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame([*good, *junk, (2000, None, good[0][2])], "doc_id long, lang string, text string"), ids).collect()}
+    assert len(got) == len(good) + len(junk) + 1 and {got[i].lang for i, _, _ in good} == {"aa", "bb", "ru", ""}
+    assert got[1000].threshold == got[1001].threshold and len({r.threshold for r in got.values()}) == 4
+    assert not any(got[1000 + i].kept for i in range(len(junk))) and got[2000].kept and sum(got[i].kept for i, _, _ in good) >= 0.9 * len(good)
 
 
 def test_pipeline_stages(spark):
