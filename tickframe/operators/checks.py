@@ -1,6 +1,7 @@
 """Contract checks: each returns a small frame (check, violations); `enforce` raises on any."""
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,6 +52,53 @@ def aligned(a: DataFrame, b: DataFrame, key: str, cols) -> DataFrame:
     return _one(x.join(y, key, "full"), "aligned", F.col("in_a").isNull() | F.col("in_b").isNull() | differ)
 
 
+def coverage(wanted: DataFrame, have: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Wanted rows whose id the other table does not have."""
+    return _one(wanted.select(key).join(have.select(key).distinct(), key, "left_anti"), "coverage", F.lit(True))
+
+
+def row_counts(df: DataFrame, by: str, expected: DataFrame) -> DataFrame:
+    """Groups whose number of rows differs from `expected` (by, n), on either side."""
+    got = df.groupBy(by).agg(F.count("*").alias("got"))
+    return _one(expected.join(got, by, "full"), "rows", ~F.col("n").eqNullSafe(F.col("got")))
+
+
+def unequal(a: DataFrame, b: DataFrame, key: str, cols, atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:
+    """Per shared column the rows of both tables whose values are not close (two NaNs or two nulls are)."""
+    y = b.select(key, *[F.col(c).alias(f"{c}__b") for c in cols])
+    met = a.join(y, key)
+
+    def far(c):
+        p, q = F.col(c), F.col(f"{c}__b")
+        same = p.eqNullSafe(q) | (F.isnan(p) & F.isnan(q))
+        return ~(same | F.coalesce(F.abs(p - q) <= atol + rtol * F.abs(q), F.lit(False)))
+
+    return reduce(DataFrame.unionByName, [_one(met, f"equal_{c}", far(c)) for c in cols])
+
+
+def manifest(have: DataFrame, want: DataFrame) -> DataFrame:
+    """A table of artifacts (name, status, lo, hi) against the wanted ones (name, lo, hi): not complete, other months, unknown, missing."""
+    met = have.join(want.select("name", F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.lit(True).alias("known")), "name", "full")
+    is_, known = F.col("status").isNotNull(), F.col("known").isNotNull()
+    out = [("status", is_ & (F.col("status") != "complete")), ("months", is_ & known & ((F.col("lo") != F.col("wlo")) | (F.col("hi") != F.col("whi")))), ("unknown", ~known), ("missing", ~is_)]
+    return reduce(DataFrame.unionByName, [_one(met, f"manifest_{n}", bad) for n, bad in out])
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that two sections of a data set share, which should share none."""
+    return _one(a.select(key).intersect(b.select(key)), "shared_ids", F.lit(True))
+
+
+def name_hash(names) -> str:
+    """Hash of an ordered list of feature names, to be stored beside a state and replayed on load."""
+    return hashlib.sha256("\n".join(names).encode()).hexdigest()
+
+
+def require_names(names, expected: str) -> None:
+    if name_hash(names) != expected:
+        raise ValueError("feature names or their order differ from the stored ones")
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and order-insensitive sum of row hashes."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hash"))
