@@ -57,6 +57,36 @@ def valid_quote(positive_mid: bool = False) -> Column:
     return ok & (mid() > 0) if positive_mid else ok
 
 
+def valid_trade() -> Column:
+    """Finite price above 0, finite volume not negative, side 0 or 1, seconds not negative."""
+    ok = finite("price") & finite("volume") & finite("seconds_before_predict") & (F.col("price") > 0) & (F.col("volume") >= 0)
+    return F.coalesce(ok & F.col("side").isin(0, 1) & (F.col("seconds_before_predict") >= 0), F.lit(False))
+
+
+def valid_order() -> Column:
+    return valid_trade() & F.coalesce(F.col("order_action").isin(0, 1), F.lit(False))
+
+
+def slope(price: Column, volume: Column) -> Column:
+    """Price step over volume step, kept from dividing by zero."""
+    return price / (volume + 1e-8)
+
+
+def rounded_target(c: Column, digits: int = 4) -> Column:
+    """Half-even rounding."""
+    return F.bround(c, digits)
+
+
+IMBALANCES = {
+    "ask_bid": lambda b, a: (a - b) / (a + b + 1), "bid_ask": lambda b, a: (b - a) / (a + b + 1e-6), "raw": lambda b, a: b - a,
+    "share": lambda b, a: b / (a + b + 1e-12), "floored": lambda b, a: (b - a) / F.greatest(a + b, F.lit(1e-12))}
+
+
+def imbalance_of(kind: str, level: int = 1) -> Column:
+    """One of the conventions in use for the imbalance of a level's volumes."""
+    return IMBALANCES[kind](F.col(f"bid_volume_{level}"), F.col(f"ask_volume_{level}"))
+
+
 def depth4() -> Column:
     return F.col("bid_volume_1") + F.col("ask_volume_1") + F.col("bid_volume_2") + F.col("ask_volume_2")
 

@@ -72,7 +72,7 @@ def stability(months: DataFrame) -> DataFrame:
     return m.agg(F.avg(F.when(F.col("delta") > 0, 1.0).otherwise(0.0)).alias("positive"), F.min("delta").alias("worst"), F.percentile("delta", 0.5).alias("median"), F.avg("delta").alias("mean"), F.regr_slope(F.col("delta"), F.col("month").cast("double")).alias("slope"), F.try_divide(F.sum(F.when(F.col("k") <= 3, gain)), F.sum(gain)).alias("top3"))
 
 
-def bootstrap(months: DataFrame, rounds: int = 500, seed: int = 7) -> DataFrame:
+def bootstrap(months: DataFrame, rounds: int = 5000, seed: int = 7) -> DataFrame:
     """Interval of the pooled cosine difference when months are drawn with replacement.  Draws come from an arithmetic generator, on month sums only."""
     w = W.orderBy("month")
     m = months.withColumn("i", F.row_number().over(w) - 1)

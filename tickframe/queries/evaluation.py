@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exprs as X
-from ..operators import blend as J, checks as B, metrics as I, prep as K, retrieval as L
+from ..operators import blend as J, checks as B, diagnostics as G, metrics as I, prep as K, retrieval as L
 from ..plans import protocol as H
 from ..sources.adapter import duck, frame, read_tables
 from .sqltext import rnd
@@ -75,7 +75,7 @@ def split_roles(spark, d):
 
 @query(f"""{PRD} SELECT month, count(*) AS n, {rnd(COS('pred_a', 'target'), 'cosine_a')}, {rnd(COS('pred_b', 'target'), 'cosine_b')}, {rnd('coalesce(corr(pred_a, target), 0)', 'centred')}, {rnd('sqrt(avg(pred_a * pred_a))', 'rms_a')},
  {rnd('1 - sum((target - pred_a) * (target - pred_a)) / (sum(target * target) - sum(target) * sum(target) / count(*))', 'r2')}, {rnd('avg(abs(target - pred_a))', 'mae')},
- {rnd('avg(CASE WHEN sign(pred_a) = sign(target) THEN 1.0 ELSE 0.0 END)', 'sign_accuracy')} FROM prd GROUP BY month HAVING count(*) > 2""")
+ {rnd('avg(CASE WHEN sign(pred_a) = sign(target) THEN 1.0 ELSE 0.0 END)', 'sign_accuracy')} FROM prd GROUP BY month""")
 def monthly_metrics(spark, d):
     p = frame(spark, d, "prd")
     same = F.when(F.signum("pred_a") == F.signum("target"), 1.0).otherwise(0.0)
@@ -110,7 +110,7 @@ def stability_summary(spark, d):
 
 
 @query(f"""{_MONTHS}, i AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM m),
- x AS (SELECT b, j, ((b * 1103515245 + j * 12345 + 7 * 2654435761) % 2147483647 * 48271 % 2147483647) % (SELECT max(n) FROM i) AS i FROM range(0, 500) q(b), range(0, (SELECT max(n) FROM i)) r(j)),
+ x AS (SELECT b, j, ((b * 1103515245 + j * 12345 + 7 * 2654435761) % 2147483647 * 48271 % 2147483647) % (SELECT max(n) FROM i) AS i FROM range(0, 5000) q(b), range(0, (SELECT max(n) FROM i)) r(j)),
  g AS (SELECT b, sum(bt) AS bt, sum(ct) AS ct, sum(bb) AS bb, sum(cc) AS cc, sum(tt) AS tt FROM x JOIN i USING (i) GROUP BY b),
  e AS (SELECT ct / sqrt(cc * tt) - bt / sqrt(bb * tt) AS d FROM g)
 SELECT {rnd('avg(d)', 'mean')}, {rnd('quantile_cont(d, 0.025)', 'low')}, {rnd('quantile_cont(d, 0.975)', 'high')}, {rnd('avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)', 'positive')} FROM e""")
@@ -156,12 +156,14 @@ def residual_view(spark, d):
     return X.tidied(out.groupBy("month").agg(F.first("beta").alias("beta"), F.avg("residual").alias("mean_residual"), F.stddev_pop("residual").alias("sd_residual")))
 
 
+_TREND = """(sum(mean) OVER q - (n * sum(month * mean) OVER q - sum(month) OVER q * sum(mean) OVER q) / (CASE WHEN n >= 2 THEN n * sum(month * month) OVER q - sum(month) OVER q * sum(month) OVER q END) * sum(month) OVER q) / n
+ + (n * sum(month * mean) OVER q - sum(month) OVER q * sum(mean) OVER q) / (CASE WHEN n >= 2 THEN n * sum(month * month) OVER q - sum(month) OVER q * sum(month) OVER q END) * month"""
 _EW = ", ".join(rnd(f"sum(mean * exp({1 - 0.5 ** (1 / h)!r} * month)) OVER p / sum(exp({1 - 0.5 ** (1 / h)!r} * month)) OVER p", f"ewma_{h}") for h in (3, 6, 12))
 
 
 @query(f"""{PRD}, m AS (SELECT month, avg(target) AS mean FROM prd GROUP BY month)
-SELECT month, {rnd('mean', 'mean')}, {rnd('avg(mean) OVER p', 'expanding')}, {', '.join(rnd(f'avg(mean) OVER (ORDER BY month ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)', f'rolling_{n}') for n in (3, 6, 12))}, {_EW}
-FROM m WINDOW p AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+SELECT CAST(month AS INT) AS month, {rnd('mean', 'mean')}, {rnd('avg(mean) OVER p', 'expanding')}, {', '.join(rnd(f'avg(mean) OVER (ORDER BY month ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)', f'rolling_{n}') for n in (3, 6, 12))}, {_EW}, {rnd(_TREND.replace("n *", "count(*) OVER q *").replace("/ n", "/ count(*) OVER q").replace("n >=", "count(*) OVER q >="), 'trend_12')}
+FROM (SELECT CAST(month AS DOUBLE) AS month, mean FROM m) m WINDOW p AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)""")
 def drift_estimators(spark, d):
     m = frame(spark, d, "prd").groupBy("month").agg(F.avg("target").alias("mean"))
     return X.tidied(J.drift_estimates(m))
@@ -236,9 +238,4 @@ def label_statistics(spark, d):
 SELECT late, count(*) AS n, {rnd('avg(pred_b)', 'mean')}, {rnd('avg(pred_b) - any_value(m)', 'mean_shift')}, {rnd('stddev_pop(pred_b) / any_value(s)', 'std_ratio')}, {rnd('quantile_cont(abs(pred_b), 0.99) / any_value(q)', 'abs_p99_ratio')}
 FROM a, (SELECT avg(pred_b) AS m, stddev_pop(pred_b) AS s, quantile_cont(abs(pred_b), 0.99) AS q FROM a WHERE NOT late) GROUP BY late""")
 def drift_report(spark, d):
-    p = frame(spark, d, "prd").withColumn("late", F.col("month") >= 51)
-    stats = [F.avg("pred_b").alias("m"), F.stddev_pop("pred_b").alias("s"), F.percentile(F.abs("pred_b"), 0.99).alias("q")]
-    both = p.groupBy("late").agg(F.count("*").alias("n"), *stats)
-    ref = p.where(~F.col("late")).agg(*stats).toDF("m0", "s0", "q0")
-    out = both.join(F.broadcast(ref))
-    return X.tidied(out.select("late", "n", F.col("m").alias("mean"), (F.col("m") - F.col("m0")).alias("mean_shift"), (F.col("s") / F.col("s0")).alias("std_ratio"), (F.col("q") / F.col("q0")).alias("abs_p99_ratio")))
+    return X.tidied(G.drift_report(frame(spark, d, "prd"), "pred_b", F.col("month") >= 51))

@@ -1,4 +1,7 @@
 """Session defaults of the library."""
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,13 @@ def session(master: str | None = None, **conf) -> SparkSession:
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (`spark.checkpoint.dir`); a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{uuid.uuid4().hex}"
