@@ -3,31 +3,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def knn(query: DataFrame, bank: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """query(q, month, z) and bank(b, month, z) -> q, b, dist, rank: the k nearest of strictly earlier months (ties by b).  The bank is cut into blocks; each (query block, bank
-    block) meets once in an Arrow task that keeps its k best, and the best of all blocks are merged: no pair table is built."""
-    nb = max(1, -(-bank.count() // block))
+def knn(query: DataFrame, bank: DataFrame, k: int, block: int = 2048, metric: str = "euclidean") -> DataFrame:
+    """query(q, month, z) and bank(b, month, z) -> q, b, dist, rank: the k nearest of strictly earlier months (ties by b); cosine is the Euclidean distance of
+    unit vectors.  Each month's bank is cut into blocks, and a query block meets the blocks of earlier months only; each meeting is one Arrow task that keeps its k best, and
+    the best of all blocks are merged: no pair table is built.  Exact, so its work is that of all pairs."""
+    sizes = bank.groupBy(F.col("month").alias("bm")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     nq = max(1, -(-query.count() // block))
-    qs = query.select(F.pmod(F.xxhash64("q"), F.lit(nq)).alias("qb"), "q", F.col("month").alias("qm"), F.col("z").alias("qz")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    bs = bank.select(F.pmod(F.xxhash64("b"), F.lit(nb)).cast("int").alias("bb"), "b", F.col("month").alias("bm"), F.col("z").alias("bz")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+    places = sizes.select("bm", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"))  # one row for every `block` rows of the bank
+    qs = query.select(F.pmod(F.xxhash64("q"), F.lit(nq)).alias("qb"), "q", F.col("month").alias("qm"), F.col("z").alias("qz")).join(F.broadcast(places), F.col("bm") < F.col("qm"))
+    bs = bank.select("b", F.col("month").alias("bm"), F.col("z").alias("bz")).join(F.broadcast(sizes), "bm").withColumn("sub", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    bs = bs.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+
+    def stacked(z):
+        x = np.stack(z).astype(float)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) if metric == "cosine" else x
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        x, y = np.stack(left["qz"]).astype(float), np.stack(right["bz"]).astype(float)
-        out = []
-        ids, months = right["b"].to_numpy(), right["bm"].to_numpy()
-        for i, (q, m) in enumerate(zip(left["q"], left["qm"], strict=True)):
-            ok = np.flatnonzero(months < m)
-            d = np.sqrt(((y[ok] - x[i]) ** 2).sum(1)).round(9)
-            best = np.lexsort((ids[ok], d))[:k]
-            out.append(pd.DataFrame({"q": q, "b": ids[ok][best], "dist": d[best]}))
-        return pd.concat(out)
-
-    near = qs.groupBy("qb", "bb").cogroup(bs.groupBy("qb", "bb")).applyInPandas(nearest, "q long, b long, dist double")
+        x, y, ids = stacked(left["qz"]), stacked(right["bz"]), right["b"].to_numpy()
+        yy = (y * y).sum(1)
+        rows, near = [], min(k, len(y)) - 1
+        for lo in range(0, len(x), 256):
+            part = x[lo : lo + 256]
+            d2 = (part * part).sum(1)[:, None] + yy - 2 * part @ y.T
+            # the product is inexact: all within a margin of the k-th are measured again
+            margin = np.partition(d2, near, 1)[:, near] + 1e-9 * (1 + yy.max())
+            i, j = np.nonzero(d2 <= margin[:, None])
+            d = np.sqrt(((y[j] - part[i]) ** 2).sum(1)).round(9)
+            o = np.lexsort((ids[j], d, i))
+            i, j, d = i[o], j[o], d[o]
+            first = np.searchsorted(i, np.arange(len(part)))
+            keep = np.arange(len(i)) - first[i] < k
+            rows.append(pd.DataFrame({"q": left["q"].to_numpy()[lo + i[keep]], "b": ids[j[keep]], "dist": d[keep]}))
+        return pd.concat(rows)
+
+    near = qs.groupBy("qb", "bm", "sub").cogroup(bs.groupBy("qb", "bm", "sub")).applyInPandas(nearest, "q long, b long, dist double")
     w = W.partitionBy("q").orderBy("dist", "b")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -47,8 +61,8 @@ def gram(df: DataFrame, x: list[str], y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*out, *[F.sum(c * F.col(y)).alias(f"h_{i}") for i, c in enumerate(cols)])
 
 
-def ridge(df: DataFrame, x: list[str], y: str, lam: float, by: list[str]) -> DataFrame:
-    """Coefficients per group: Gram sums in Spark, one small solve per group in an Arrow task; the intercept is not shrunk."""
+def ridge(df: DataFrame, x: list[str], y: str, lam: float, by: list[str], intercept: bool = True) -> DataFrame:
+    """Coefficients per group: Gram sums in Spark, one small solve per group in an Arrow task; the intercept is not shrunk (without one it is 0)."""
     n = len(x) + 1
     names = ["intercept", *x]
 
@@ -61,7 +75,8 @@ def ridge(df: DataFrame, x: list[str], y: str, lam: float, by: list[str]) -> Dat
                     for j in range(i, n):
                         g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
                 g += lam * np.diag([0.0, *[1.0] * (n - 1)])
-                w = np.linalg.solve(g, np.array([r[f"h_{i}"] for i in range(n)]))
+                h = np.array([r[f"h_{i}"] for i in range(n)])
+                w = np.linalg.solve(g, h) if intercept else np.append(0.0, np.linalg.solve(g[1:, 1:], h[1:]))
                 rows.append([*(r[c] for c in by), *w])
             yield pd.DataFrame(rows, columns=[*by, *names])
 
@@ -97,3 +112,51 @@ def local_ridge(pairs: DataFrame, values: DataFrame, x: list[str], y: str, lam:
             yield pd.DataFrame({"q": b["q"], **{c: beta[:, i] for i, c in enumerate(x)}})
 
     return sums.mapInPandas(solve, ", ".join(["q long", *(f"`{c}` double" for c in x)]))
+
+
+def inverse_square_mean(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Mean of the neighbours' value weighted by inverse squared distance.  values(b, v)."""
+    w = 1 / F.pow(F.greatest("dist", F.lit(1e-6)), 2)
+    return pairs.withColumn("w", w).join(values, "b").groupBy("q").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("estimate"))
+
+
+def sq_dist(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def centres(df: DataFrame, k: int, dims: int, by: str, rounds: int = 5) -> DataFrame:
+    """k-means per group (by, key, z): (by, c, z, n) after a fixed number of rounds from the k rows with the least hash of their key.  Every round is one pass
+    with the centres (at most k a group) broadcast, and sums per centre: no group is gathered."""
+    start = W.partitionBy(by).orderBy(F.xxhash64("key"), "key")
+    at = df.withColumn("c", F.row_number().over(start) - 1).where(F.col("c") < k).select(by, "c", F.transform("z", lambda v: v.cast("double")).alias("z"), F.lit(0).cast("long").alias("n"))
+    for _ in range(rounds):
+        got = assigned(df, at, by).groupBy(by, "c").agg(F.array(*[F.avg(F.col("z")[i]) for i in range(dims)]).alias("z"), F.count("*").alias("n"))
+        at = df.sparkSession.createDataFrame(got.toArrow())  # at most k rows a group
+    return at
+
+
+def assigned(df: DataFrame, at: DataFrame, by: str) -> DataFrame:
+    """Rows with the nearest centre of their group in c (ties: the lesser c)."""
+    near = at.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("c", F.col("z").alias("m")))).alias("__near"))
+    got = df.join(F.broadcast(near), by).withColumn("d", F.transform("__near", lambda s: F.struct(F.round(F.aggregate(F.zip_with("z", s.m, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x), 9).alias("d"), s.c.alias("c"))))
+    return got.withColumn("c", F.array_min("d").c).drop("__near", "d")
+
+
+def prototypes(df: DataFrame, k: int, dims: int, rounds: int = 5) -> DataFrame:
+    """df(key, month, z, v) -> b, month, z, v: per month at most k centres with the mean value of their rows."""
+    at = centres(df, k, dims, "month", rounds)
+    means = assigned(df, at, "month").groupBy("month", "c").agg(F.avg("v").alias("v"))
+    return at.join(means, ["month", "c"]).select((F.col("month") * k + F.col("c")).cast("long").alias("b"), "month", "z", "v")
+
+
+def expert_mixture(train: DataFrame, query: DataFrame, k: int, dims: int, x: list[str], y: str, lam: float, tau: float) -> DataFrame:
+    """Ridge experts (no intercept) at k state centres, mixed for each query by exp(-d^2 / (2 tau^2)).  train(key, z, x..., y), query(q, z, x...) -> q, estimate."""
+    rows = train.withColumn("all", F.lit(0))
+    at = centres(rows, k, dims, "all")
+    local = assigned(rows, at, "all")
+    beta = ridge(local, x, y, lam, ["c"], intercept=False)
+    gate = F.exp(-sq_dist("z", "m") / (2 * tau * tau))
+    got = query.join(F.broadcast(at.select("c", F.col("z").alias("m"))))
+    coef = beta.select("c", *[F.col(n).alias(f"beta_{n}") for n in x])
+    got = got.join(F.broadcast(coef), "c").withColumns({"p": gate, "r": sum((F.col(n) * F.col(f"beta_{n}") for n in x), F.lit(0.0))})
+    return got.groupBy("q").agg(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("r")), F.sum("p")), F.lit(0.0)).alias("estimate"))

@@ -1,10 +1,10 @@
 """Registered queries and their SQL: same keys."""
 from __future__ import annotations
 
-from . import audits, evaluation, features, more, paths, production, relative, reports, resampled
+from . import audits, evaluation, features, linear, more, paths, production, relative, reports, resampled
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (features, more, paths, resampled, relative, evaluation, audits, production, reports):
+for _m in (features, more, paths, resampled, relative, evaluation, audits, production, reports, linear):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
