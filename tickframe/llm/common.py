@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,12 +40,36 @@ def narrow_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(rows))
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The paths that `written` makes inside the block, for `discard`."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables, once all that reads them is written itself."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     narrow_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    for paths in _recording:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

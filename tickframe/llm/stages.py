@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import mixing, op4, pii, quality
-from .common import WORD, narrow_batches, written
+from .common import WORD, discard, narrow_batches, recorded, written
 from .jaccard import BROADCAST_IDS, jaccard_rows
 
 
@@ -27,7 +27,10 @@ def _with_rows(docs):
 def near_duplicates(spark, docs, sf_dir):
     """One row of each group stays: the one with the least doc_id (null last), then the least hash of its text; rows without words stand alone."""
     rows = _with_rows(docs)
-    found = written(jaccard_rows(rows.select("d.doc_id", "d.text", F.col("r").alias("__row"))))
+    with recorded() as tables:
+        found = jaccard_rows(rows.select("d.doc_id", "d.text", F.col("r").alias("__row")))
+    found = written(found)
+    discard(spark, tables)
     grouped = found.where("comp is not null").join(rows.select(F.col("r").alias("u"), F.xxhash64("d.text").alias("hash")), "u")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "u")
     first = grouped.groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.u").alias("r"))
@@ -45,8 +48,11 @@ def mixed_sources(spark, docs, sf_dir):
     """Each row once per epoch that deals its blocks, whole, and its first words (with the white space between them) where the dealt blocks of the last epoch end inside it; in the
     order in which the schedule deals the blocks that they begin in.  n_chars follows the text."""
     whole = _with_rows(docs)
-    took = mixing.taken(whole.select("d.doc_id", "d.source", "d.text", F.col("r").alias("__row"))).where("taken > 0").select(F.col("__row").alias("r"), "size", "taken", "slots")
-    met = whole.join(_few(written(took)), "r").select("d", "size", "taken", F.posexplode("slots").alias("epoch", "slot"))
+    with recorded() as tables:
+        took = mixing.taken(whole.select("d.doc_id", "d.source", "d.text", F.col("r").alias("__row")))
+    took = written(took.where("taken > 0").select(F.col("__row").alias("r"), "size", "taken", "slots"))
+    discard(spark, tables)
+    met = whole.join(_few(took), "r").select("d", "size", "taken", F.posexplode("slots").alias("epoch", "slot"))
     rest = (F.col("taken") - F.col("epoch") * F.col("size")).cast("int")
     words, blanks = F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)), F.split("d.text", WORD)
     part = F.array_join(F.zip_with(F.slice(blanks, F.lit(1), rest), F.slice(words, F.lit(1), rest), lambda blank, word: F.concat(blank, word)), "")
