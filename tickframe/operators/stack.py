@@ -187,4 +187,5 @@ def stack(market: DataFrame, order: DataFrame, trade: DataFrame) -> DataFrame:
     t = trades(trade)
     for other in (orders(order), seconds(trade, "side", TRADE_SECONDS), seconds(order, "order_action", ORDER_SECONDS), quotes(market)):
         t = t.join(other, "sample_id", "left")
-    return t.select("*", *[F.expr(e).alias(n) for n, e in CROSS.items()]).drop(*DROPPED).distinct()
+    out = t.select("*", *[F.expr(e).alias(n) for n, e in CROSS.items()]).drop(*DROPPED).distinct()
+    return out.fillna(0, [c for c, kind in out.dtypes if kind == "bigint" and c != "sample_id"])

@@ -23,9 +23,9 @@ def query(sql: str | None):
 _COUNTS = ("count(*)", "CAST(sum(n", "count(*) FILTER")
 
 
-def _rounded(features: dict[str, str], whole: dict[str, str] | None = None) -> str:
-    """Rounded columns; counts stay as they are."""
-    return ", ".join(f'"{n}"' if e.startswith(_COUNTS) and "/" not in e else rnd(f'"{n}"', f'"{n}"') for n, e in features.items())
+def _rounded(features: dict[str, str]) -> str:
+    """Rounded columns; counts stay as they are (0 without events)."""
+    return ", ".join(f'coalesce("{n}", 0) AS "{n}"' if e.startswith(_COUNTS) and "/" not in e else rnd(f'"{n}"', f'"{n}"') for n, e in features.items())
 
 
 def _cte(name: str, prepared: str, features: dict[str, str]) -> str:
