@@ -28,36 +28,65 @@ def quote_channels() -> dict[str, Column]:
     return {"c0": b1 / t, "c1": a1 / t, "c2": b2 / t, "c3": a2 / t, "c4": (b1 - a1) / l1, "c5": (b2 - a2) / l2, "c6": (b1 + b2 - a1 - a2) / t, "c7": (l1 - l2) / t}
 
 
-def _corr(x: Column, y: Column) -> Column:
-    """Correlation; 0 with fewer than three pairs or a vanishing norm."""
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    n = F.count(x)
-    norm = n * F.sqrt(F.var_pop(x) * F.var_pop(y))
-    return F.when((n >= 3) & (norm > 1e-8), n * F.covar_pop(x, y) / norm).otherwise(0.0)
+def ring(c: Column, windows) -> Column:
+    """Number of the first of the nested windows that holds c."""
+    out = F.when(c <= windows[0], 0)
+    for i, w in enumerate(windows[1:], 1):
+        out = out.when(c <= w, i)
+    return out
+
+
+def over_windows(rings: DataFrame, windows, *aggs) -> DataFrame:
+    """Sums of disjoint rings (sample_id, ring, ...) put together for each nested window w: a ring counts for its own window and all wider ones."""
+    w = F.explode(F.slice(F.array(*[F.lit(x) for x in windows]), F.col("ring") + 1, len(windows))).alias("w")
+    return rings.select("*", w).groupBy("sample_id", "w").agg(*aggs)
+
+
+def pivoted(df: DataFrame, windows, names, prefix: str) -> DataFrame:
+    """One row a sample: <prefix><w>_<name>."""
+    return df.groupBy("sample_id").agg(*[F.max(F.when(F.col("w") == w, F.col(n))).alias(f"{prefix}{w}_{n}") for w in windows for n in names])
+
+
+def _corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
+    """Correlation from sums; 0 with fewer than three pairs or a vanishing norm."""
+    var = lambda q, s: F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
+    norm = n * F.sqrt(var(sxx, sx) * var(syy, sy))
+    return F.when((n >= 3) & (norm > 1e-8), (sxy - sx * sy / n) / norm).otherwise(0.0)
 
 
 PAIRS = ((0, 2), (1, 3), (4, 5), (6, 7))
 
 
 def geometry_temporal(market: DataFrame, label: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Per window: coverage, log of updates, four channel correlations, four lead-lag differences, and level, spread and change of two imbalances."""
+    """Per window: coverage, log of updates, four channel correlations, four lead-lag differences, and level, spread and change of two imbalances.  The windows are
+    nested, so plain sums of the disjoint rings between them are taken once and added up."""
     ok = market.where(X.valid_quote() & (F.col("seconds_before_predict") <= max(windows)))
     ch = quote_channels()
     grid = asof_grid(ok.select("sample_id", "seq", "seconds_before_predict", *[v.alias(k) for k, v in ch.items()]), *ch)
-    grid = grid.withColumns({f"n{i}": F.lead(f"c{i}").over(path_window_g()) for i in range(8)})
-    aggs = []
-    for w in windows:
-        at = lambda c, w=w: F.when(F.col("g") <= w, F.col(c))
-        p = f"geom_t{w}"
-        aggs.append((F.count_if(F.col("g") <= w) / (w + 1)).alias(f"{p}_coverage"))
-        aggs += [_corr(at(f"c{a}"), at(f"c{b}")).alias(f"{p}_corr_{a}_{b}") for a, b in PAIRS]
-        aggs += [(_corr(at(f"c{a}"), at(f"n{b}")) - _corr(at(f"n{a}"), at(f"c{b}"))).alias(f"{p}_leadlag_{a}_{b}") for a, b in PAIRS]
-        for s in (6, 7):
-            first = F.max_by(at(f"c{s}"), F.when(F.col("g") <= w, F.col("g")))
-            last = F.min_by(at(f"c{s}"), F.when(F.col("g") <= w, F.col("g")))
-            aggs += [F.avg(at(f"c{s}")).alias(f"{p}_c{s}_mean"), F.stddev_pop(at(f"c{s}")).alias(f"{p}_c{s}_std"), (last - first).alias(f"{p}_c{s}_change")]
-    path = grid.groupBy("sample_id").agg(*aggs)
+    grid = grid.withColumns({f"n{i}": F.lead(f"c{i}").over(path_window_g()) for i in range(8)}).withColumn("ring", ring(F.col("g"), windows))
+    c, n, has = (lambda i: F.col(f"c{i}")), (lambda i: F.col(f"n{i}")), F.col("n0").isNotNull()
+    sums = {"rows": F.lit(1), "pairs": has.cast("int")}
+    for i in range(8):
+        before = F.when(has, c(i))
+        sums |= {f"s{i}": c(i), f"q{i}": c(i) * c(i), f"sb{i}": before, f"qb{i}": before * before, f"sn{i}": n(i), f"qn{i}": n(i) * n(i)}
+    for a, b in PAIRS:
+        sums |= {f"x{a}": c(a) * c(b), f"l{a}": c(a) * n(b), f"m{a}": n(a) * c(b)}
+    ends = F.struct("c6", "c7")
+    rings = grid.groupBy("sample_id", "ring").agg(*[F.sum(v).alias(k) for k, v in sums.items()], F.max_by(ends, "g").alias("old"), F.min_by(ends, "g").alias("new"))
+    per = over_windows(rings, windows, *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums], F.max_by("old", "ring").alias("old"), F.min_by("new", "ring").alias("new"))
+    v, out = F.col, {"coverage": F.col("rows") / (F.col("w") + 1)}
+    for a, b in PAIRS:
+        out[f"corr_{a}_{b}"] = _corr(v("rows"), v(f"s{a}"), v(f"s{b}"), v(f"q{a}"), v(f"q{b}"), v(f"x{a}"))
+    for a, b in PAIRS:
+        lead = _corr(v("pairs"), v(f"sb{a}"), v(f"sn{b}"), v(f"qb{a}"), v(f"qn{b}"), v(f"l{a}"))
+        out[f"leadlag_{a}_{b}"] = lead - _corr(v("pairs"), v(f"sn{a}"), v(f"sb{b}"), v(f"qn{a}"), v(f"qb{b}"), v(f"m{a}"))
+    for s in (6, 7):
+        mean = v(f"s{s}") / v("rows")
+        out |= {f"c{s}_mean": mean, f"c{s}_std": F.sqrt(F.greatest(v(f"q{s}") / v("rows") - mean * mean, F.lit(0.0))), f"c{s}_change": v(f"new.c{s}") - v(f"old.c{s}")}
+    path = pivoted(per.select("sample_id", "w", *[x.alias(k) for k, x in out.items()]), windows, out, "geom_t")
+    # windows wider than the first covered ring have rows; narrower ones are empty, not null
+    empty = [k for k in out if k == "coverage" or k.startswith(("corr", "leadlag"))]
+    path = path.fillna(0.0, [f"geom_t{w}_{k}" for w in windows for k in empty])
     updates = ok.groupBy("sample_id").agg(*[F.log1p(F.count_if(F.col("seconds_before_predict") <= w).cast("double")).alias(f"geom_t{w}_log_updates") for w in windows])
     return onto_spine(label, path, updates)
 
@@ -70,39 +99,45 @@ CHANNELS = ("mid", "spread", "imb1", "imb2", "ofi", "trade", "clock")
 
 
 def path_signature(market: DataFrame, trade: DataFrame, label: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Depth-two signature of a seven-channel path per window: end increments and signed areas; zeros with fewer than three covered seconds."""
+    """Depth-two signature of a seven-channel path per window: end increments and signed areas; zeros with fewer than three covered seconds.
+
+    Channels differ between windows by a shift and a scale only.  So the sums of x_i x'_j - x_j x'_i (x' is the next second's) over the disjoint rings between the nested
+    windows are taken once and added up; with the window's first and last points f and l, its area is half of that sum plus f_j l_i - f_i l_j, times both scales."""
     top = max(windows)
     ok = market.where(X.valid_quote() & (F.col("seconds_before_predict") <= top))
     w = path_window()
     q = ok.withColumn("step", quote_ofi(1, w) + quote_ofi(2, w))
-    q = q.withColumn("cum", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", X.depth4())
-    grid = asof_grid(q, "cum", *X.LEVELS)
-    wide = F.explode(F.array(*[F.lit(x) for x in windows])).alias("w")
-    scale = ok.select("sample_id", "seconds_before_predict", X.depth4().alias("depth"), wide).where("seconds_before_predict <= w").groupBy("sample_id", "w").agg(F.avg("depth").alias("scale"))
-    t = trade.where(X.within(upto=top)).select("sample_id", "seconds_before_predict", "volume", X.signed_trade_flow().alias("v"), wide).where("seconds_before_predict <= w")
-    traded = t.groupBy("sample_id", "w").agg(F.sum(F.abs("volume")).alias("tv"))
-    steps = t.groupBy("sample_id", "w", F.floor("seconds_before_predict").cast("int").alias("g")).agg(F.sum("v").alias("tv_step"))
-    p = grid.select("*", wide).where("g <= w").join(steps, ["sample_id", "w", "g"], "full")
-    g = path_window_g("w")
+    q = q.withColumn("cum", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t = trade.where(X.within(upto=top)).select("sample_id", "seconds_before_predict", "volume", X.signed_trade_flow().alias("v"))
+    steps = t.groupBy("sample_id", F.floor("seconds_before_predict").cast("int").alias("g")).agg(F.sum("v").alias("tv_step"))
+    p = asof_grid(q, "cum", *X.LEVELS).join(steps, ["sample_id", "g"], "full")
+    g = path_window_g()
     p = p.withColumn("tcum", F.sum("tv_step").over(g)).where("bid_price_1 is not null")
-    p = p.join(scale, ["sample_id", "w"], "left").join(traded, ["sample_id", "w"], "left")
-    mid = X.mid()
-    tiny = F.lit(1e-12)
-    first = lambda c: F.first(c).over(g)
-    p = p.withColumns({
-        "x0": F.ln(mid / first(mid)) * 1e4, "x1": (F.col("ask_price_1") - F.col("bid_price_1")) / F.greatest(F.abs(mid), tiny) * 1e4,
-        **{f"x{i + 1}": (F.col(f"bid_volume_{i}") - F.col(f"ask_volume_{i}")) / (F.col(f"bid_volume_{i}") + F.col(f"ask_volume_{i}") + 1e-12) for i in (1, 2)},
-        "x4": (F.col("cum") - first(F.col("cum"))) / F.greatest(F.coalesce("scale", tiny), tiny), "x5": F.coalesce(F.col("tcum") / F.greatest("tv", tiny), F.lit(0.0)),
-        "x6": (F.col("w") - F.col("g")) / F.col("w")})
-    p = p.withColumns({f"y{i}": F.col(f"x{i}") - first(F.col(f"x{i}")) for i in range(7)})
-    p = p.withColumns({f"z{i}": F.lead(f"y{i}").over(g) for i in range(7)})
-    enough = F.count("*") >= 3
-    aggs = [F.when(enough, F.min_by(f"y{i}", "g")).otherwise(0.0).alias(f"level1_{CHANNELS[i]}") for i in range(7)]
-    aggs += [F.when(enough, 0.5 * F.sum(F.col(f"y{i}") * F.col(f"z{j}") - F.col(f"y{j}") * F.col(f"z{i}"))).otherwise(0.0).alias(f"area_{CHANNELS[i]}__{CHANNELS[j]}") for i in range(7) for j in range(i + 1, 7)]
-    sig = p.groupBy("sample_id", "w").agg(*aggs)
-    names = [c for c in sig.columns if c not in ("sample_id", "w")]
-    flat = sig.groupBy("sample_id").agg(*[F.max(F.when(F.col("w") == x, F.col(c))).alias(f"path_sig_t{x}_{c}") for x in windows for c in names])
-    return onto_spine(label, flat)
+    mid, tiny = X.mid(), F.lit(1e-12)
+    raw = [F.ln(mid) * 1e4, (F.col("ask_price_1") - F.col("bid_price_1")) / F.greatest(F.abs(mid), tiny) * 1e4]
+    raw += [(F.col(f"bid_volume_{i}") - F.col(f"ask_volume_{i}")) / (F.col(f"bid_volume_{i}") + F.col(f"ask_volume_{i}") + 1e-12) for i in (1, 2)]
+    raw += [F.col("cum"), F.coalesce("tcum", F.lit(0.0)), -F.col("g").cast("double")]
+    p = p.select("sample_id", "g", *[x.alias(f"r{i}") for i, x in enumerate(raw)])
+    p = p.withColumns({f"x{i}": F.col(f"r{i}") - F.first(f"r{i}").over(g) for i in range(7)})  # near zero, so that the sums below keep their digits
+    p = p.withColumns({f"z{i}": F.lead(f"x{i}").over(g) for i in range(7)}).withColumn("ring", ring(F.col("g"), windows))
+    pairs = [(i, j) for i in range(7) for j in range(i + 1, 7)]
+    point = F.struct(*[f"x{i}" for i in range(7)])
+    area = lambda i, j: F.sum(F.col(f"x{i}") * F.col(f"z{j}") - F.col(f"x{j}") * F.col(f"z{i}")).alias(f"a{i}_{j}")
+    rings = p.groupBy("sample_id", "ring").agg(F.count("*").alias("n"), *[area(i, j) for i, j in pairs], F.max_by(point, "g").alias("f"), F.min_by(point, "g").alias("l"))
+    sig = over_windows(rings, windows, F.sum("n").alias("n"), *[F.coalesce(F.sum(f"a{i}_{j}"), F.lit(0.0)).alias(f"a{i}_{j}") for i, j in pairs], F.max_by("f", "ring").alias("f"), F.min_by("l", "ring").alias("l"))
+    second = ring(F.col("seconds_before_predict"), windows).alias("ring")
+    depth = ok.groupBy("sample_id", second).agg(F.sum(X.depth4()).alias("d"), F.count("*").alias("k"))
+    depth = over_windows(depth, windows, (F.sum("d") / F.sum("k")).alias("scale"))
+    traded = over_windows(t.groupBy("sample_id", second).agg(F.sum(F.abs("volume")).alias("tv")), windows, F.sum("tv").alias("tv"))
+    sig = sig.join(depth, ["sample_id", "w"], "left").join(traded, ["sample_id", "w"], "left")
+    one = F.lit(1.0)
+    unit = [one, one, one, one, 1 / F.greatest(F.coalesce("scale", tiny), tiny), 1 / F.greatest("tv", tiny), 1 / F.col("w")]
+    f, last = (lambda i: F.col(f"f.x{i}")), (lambda i: F.col(f"l.x{i}"))
+    enough = F.col("n") >= 3
+    out = {f"level1_{CHANNELS[i]}": (last(i) - f(i)) * unit[i] for i in range(7)}
+    out |= {f"area_{CHANNELS[i]}__{CHANNELS[j]}": 0.5 * (F.col(f"a{i}_{j}") + f(j) * last(i) - f(i) * last(j)) * unit[i] * unit[j] for i, j in pairs}
+    rows = sig.select("sample_id", "w", *[F.when(enough, x).otherwise(0.0).alias(k) for k, x in out.items()])
+    return onto_spine(label, pivoted(rows, windows, out, "path_sig_t"))
 
 
 def second_grid(order: DataFrame, trade: DataFrame, seconds: int = 60) -> DataFrame:
@@ -125,7 +160,7 @@ def price_histogram(trade: DataFrame, bins: int = 16) -> DataFrame:
 
 def longest_gap(order: DataFrame, seconds: int = 60) -> DataFrame:
     """Longest run of whole seconds without an event inside the window, and how many seconds have one (gaps and islands by lead)."""
-    busy = order.where(X.within(upto=seconds - 1)).select("sample_id", F.floor("seconds_before_predict").cast("int").alias("g")).distinct()
+    busy = order.where(X.within(upto=seconds, strict=True)).select("sample_id", F.floor("seconds_before_predict").cast("int").alias("g")).distinct()
     w = path_window_g()
     runs = busy.withColumn("gap", F.coalesce(F.lag("g").over(w), F.lit(seconds)) - F.col("g") - 1)
     return runs.groupBy("sample_id").agg(F.greatest(F.max("gap"), F.min("g")).alias("longest_gap"), F.count("*").alias("busy_seconds"))

@@ -1,7 +1,6 @@
 """As-of paths, grids and live feeds as queries."""
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window as W, functions as F
 
@@ -106,7 +105,7 @@ def price_histogram(spark, d):
     return A.price_histogram(frame(spark, d, "trd"))
 
 
-@query(f"""WITH {duck('ord')}, b AS (SELECT DISTINCT sample_id, floor(seconds_before_predict)::INT AS g FROM ord WHERE seconds_before_predict BETWEEN 0 AND 59),
+@query(f"""WITH {duck('ord')}, b AS (SELECT DISTINCT sample_id, floor(seconds_before_predict)::INT AS g FROM ord WHERE seconds_before_predict >= 0 AND seconds_before_predict < 60),
  r AS (SELECT sample_id, g, coalesce(lag(g) OVER (PARTITION BY sample_id ORDER BY g DESC), 60) - g - 1 AS gap FROM b)
 SELECT sample_id, CAST(greatest(max(gap), min(g)) AS INT) AS longest_gap, count(*) AS busy_seconds FROM r GROUP BY sample_id""")
 def longest_gap(spark, d):
@@ -123,15 +122,3 @@ def path_segments(spark, d):
     part = F.floor((F.col("k") - 1) * 3 / F.col("n")).cast("int")
     out = m.groupBy("sample_id", part.alias("part")).agg(F.count("*").alias("n"), F.avg("mid").alias("mean"), F.stddev_pop("mid").alias("std"), (F.max_by("mid", "k") - F.min_by("mid", "k")).alias("trend"), F.coalesce(F.avg(F.abs("dm")), F.lit(0.0)).alias("mean_step"), F.coalesce(F.sqrt(F.sum(F.col("dm") * F.col("dm"))), F.lit(0.0)).alias("rv"))
     return tidied(out)
-
-
-@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value) + 3e-10, 6) + 0.0 AS v FROM events GROUP BY ALL")
-def live_event_counts(spark, d):
-    """The stream drained once: all windows, as the complete table of a report."""
-    from pathlib import PurePosixPath
-
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", PurePosixPath(path).name).parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = live.run_once(live.live_counts(source), "live_" + uuid.uuid4().hex, "complete")
-    return tidied(out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "v"))

@@ -1,28 +1,39 @@
-"""The event-flow and geometry families on a live feed, with event-time windows and watermarks."""
+"""The event-flow and geometry families on a live feed: event-time windows with watermarks, so that state is dropped once a window is closed."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
+from ..session import scratch_path
 
 
-def live_flow(orders: DataFrame, ts: str = "ts", size: str = "60 seconds", slide: str = "5 seconds", late: str = "30 seconds") -> DataFrame:
+def live_flow(orders: DataFrame, ts: str = "ts", size: str = "60 seconds", slide: str = "5 seconds", late: str = "30 seconds", key: str = "sample_id") -> DataFrame:
     """Signed volume and event count per key and sliding window; late rows within the watermark count."""
-    return orders.withWatermark(ts, late).groupBy(F.window(ts, size, slide), "sample_id").agg(F.sum(X.signed_order_flow()).alias("signed_volume"), F.count("*").alias("n")).select("sample_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "signed_volume", "n")
+    flow = orders.withWatermark(ts, late).groupBy(F.window(ts, size, slide), key).agg(F.sum(X.signed_order_flow()).alias("signed_volume"), F.count("*").alias("n"))
+    return flow.select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "signed_volume", "n")
 
 
-def live_latest(events: DataFrame, key: str, ts: str, *cols: str) -> DataFrame:
-    """Latest row per key (update mode)."""
-    return events.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(ts, *cols)).alias("r")).select(key, "r.*")
+def live_latest(events: DataFrame, key: str, ts: str, *cols: str, size: str = "1 minute", late: str = "30 seconds") -> DataFrame:
+    """Latest row per key of each closed window (ties: the greatest row)."""
+    last = F.max_by(F.struct(ts, *cols), F.struct(ts, *cols)).alias("r")
+    return events.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(last).select(key, F.col("window.start").alias("start"), "r.*")
 
 
 def live_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events, their value and distinct kinds seen per closed tumbling window and type."""
+    """Events and their value per closed tumbling window and type."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v")).select("event_type", F.col("window.start").alias("start"), "n", "v")
 
 
-def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drain what the source holds now into an in-memory table (tests and bounded reports)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def live_groups(events: DataFrame, key: str, ts: str, gap: str, late: str, *aggs: Column) -> DataFrame:
+    """Groups that end when a key is silent for `gap`: each is given out once, complete, whatever batches its rows came in."""
+    g = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n"), *aggs)
+    return g.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), *[c for c in g.columns if c not in ("s", key)])
+
+
+def drained(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Run until what the source holds now is used up, append closed windows to a table in the shared folder, and read it."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
