@@ -45,13 +45,13 @@ def magnitude_buckets(df: DataFrame, p: str, y: str, edges=(0.25, 0.5, 0.75, 0.9
     return out.withColumn("share", F.try_divide(F.col("inner"), F.sum("inner").over(W.partitionBy(F.lit(1))))).drop("inner")
 
 
-def monthly_mean_diagnostics(months: DataFrame, x: str = "mean", lags=(1, 2, 3, 6, 12)) -> DataFrame:
-    """Autocorrelation, sign persistence and trend of at most a few hundred monthly means."""
+def monthly_mean_diagnostics(months: DataFrame, x: str = "mean", lags=tuple(range(1, 13))) -> DataFrame:
+    """Autocorrelation, sign persistence and trend of at most a few hundred monthly means, and how many standard errors (column se) they are from zero."""
     w = W.orderBy("month")
     m = months.withColumns({f"l{k}": F.lag(x, k).over(w) for k in lags})
     keep = F.avg(F.when(F.signum(x) == F.signum("l1"), 1.0).otherwise(0.0))
     same = m.where("l1 is not null").agg(keep.alias("persistence"))
-    out = m.agg(*[F.corr(x, f"l{k}").alias(f"acf_{k}") for k in lags], F.regr_slope(F.col(x), F.col("month").cast("double")).alias("slope"), F.avg(F.abs(x)).alias("mean_abs"))
+    out = m.agg(*[F.corr(x, f"l{k}").alias(f"acf_{k}") for k in lags], F.regr_slope(F.col(x), F.col("month").cast("double")).alias("slope"), F.avg(F.abs(x)).alias("mean_abs"), F.avg(F.try_divide(F.abs(x), F.col("se"))).alias("mean_abs_se"))
     return out.join(F.broadcast(same))
 
 

@@ -135,3 +135,17 @@ def interarrival(events: DataFrame, by: str, quantiles=(0.25, 0.5, 0.75, 0.95))
     gap = events.withColumn("gap", F.lag("seconds_before_predict").over(w) - F.col("seconds_before_predict"))
     q = gap.where("gap is not null").groupBy(by).agg(F.count("*").alias("n"), F.percentile("gap", F.array(*[F.lit(x) for x in quantiles])).alias("q"))
     return q.select(by, "n", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)])
+
+
+def label_statistics(df: DataFrame, y: str, by: str) -> DataFrame:
+    """Per group: count, mean, deviation, share of positives, quantiles of |y|, median absolute deviation, skewness, excess kurtosis, share of the squares that the largest
+    1 % of |y| holds."""
+    mid = df.groupBy(by).agg(F.avg(y).alias("__m"), F.percentile(y, 0.5).alias("__mid"), F.percentile(F.abs(y), 0.99).alias("__top"))
+    v = F.col(y)
+    r = df.join(F.broadcast(mid), by).withColumn("__d", v - F.col("__m"))
+    m = lambda k: F.avg(F.pow("__d", F.lit(float(k))))
+    q = F.percentile(F.abs(y), F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99)]))
+    top = F.try_divide(F.sum(F.when(F.abs(y) >= F.col("__top"), v * v).otherwise(0.0)), F.sum(v * v))
+    out = r.groupBy(by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.avg((v > 0).cast("double")).alias("positive"), q.alias("q"), F.avg(F.abs(y)).alias("mean_abs"), F.percentile(F.abs(v - F.col("__mid")), 0.5).alias("mad"),
+                            F.try_divide(m(3), F.pow(F.sqrt(m(2)), F.lit(3.0))).alias("skewness"), (F.try_divide(m(4), m(2) * m(2)) - 3.0).alias("kurtosis"), top.alias("top_share"))
+    return out.select(*[c for c in out.columns if c != "q"], *[F.col("q")[i].alias(f"abs_p{p}") for i, p in enumerate((50, 90, 99))])

@@ -51,12 +51,15 @@ def enhanced_windows(market: DataFrame, windows=(5, 30, 300)) -> DataFrame:
     m = market.select("sample_id", "seq", "seconds_before_predict", "transaction_volume", X.mid().alias("mid"), (c("ask_price_1") - c("bid_price_1")).alias("sp"), X.imbalance(c("ask_volume_1"), c("bid_volume_1")).alias("imb"), (c("ask_volume_1") - c("bid_volume_1")).alias("gap"))
     m = m.withColumn("dm", _zero(c("mid") - F.lag("mid").over(w))).withColumn("ofi", _zero(c("gap") - F.lag("gap").over(w)))
     at = lambda v, n: F.when(sec() <= n, c(v))
+    m = m.withColumn("dev", F.round(at("mid", 60) - F.avg(at("mid", 60)).over(W.partitionBy("sample_id")), 9))
+    moment = lambda k: F.avg(F.pow("dev", F.lit(float(k))))
     rv = lambda n: F.sqrt(_zero(F.sum(at("dm", n) * at("dm", n))))
     aggs = [x for n in windows for x in (rv(n).alias(f"m_rv_{n}"), _zero(F.sum(at("ofi", n))).alias(f"m_ofi_sum_{n}"), _zero(F.sum(at("transaction_volume", n))).alias(f"m_txv_sum_{n}"))]
     near = at("mid", 60)
     when = F.when(sec() <= 60, newest())
     aggs += [F.percentile(near, 0.25).alias("m_mid_p25_60"), F.percentile(near, 0.75).alias("m_mid_p75_60"), F.stddev_samp(at("sp", 60)).alias("m_sp_std_60"), (F.max(at("imb", 60)) - F.min(at("imb", 60))).alias("m_imb_range_60"), (F.max_by(near, when) - F.min_by(near, when)).alias("m_mid_ret_60")]
     aggs += [(_zero(F.sum(at("ofi", 5))) / (F.abs(F.sum(at("ofi", 600))) + 1e-8)).alias("x_ofi_5_over_full"), F.try_divide(rv(5), rv(600)).alias("x_rv_5_over_full"), F.try_divide(F.stddev_samp(near), F.stddev_samp(at("mid", 600))).alias("x_mid_std_60_over_full")]
+    aggs += [F.try_divide(moment(3), F.pow(F.sqrt(moment(2)), F.lit(3.0))).alias("m_mid_skew_60"), (F.try_divide(moment(4), moment(2) * moment(2)) - 3.0).alias("m_mid_kurt_60")]
     return m.groupBy("sample_id").agg(*aggs)
 
 

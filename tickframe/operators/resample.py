@@ -25,9 +25,9 @@ def secondly_statistics(grid: DataFrame) -> DataFrame:
 
 
 def slow_bars(market: DataFrame, width: int = 10, bars: int = 60) -> DataFrame:
-    """Bars of `width` seconds: last mid, mean spread and depth, traded volume, return over the bar before (older) that is present."""
+    """Bars of `width` seconds: last mid, mean spread, depth and imbalance, traded volume and count, rows, return over the bar before (older) that is present."""
     m = market.where(X.within(upto=width * bars) & (F.col("ask_price_1") > 0)).withColumn("mid", X.mid())
-    b = m.groupBy("sample_id", F.floor(sec() / width).cast("int").alias("bar")).agg(F.max_by("mid", newest()).alias("last"), F.avg(F.col("ask_price_1") - F.col("bid_price_1")).alias("spread"), F.avg(F.col("bid_volume_1") + F.col("ask_volume_1")).alias("depth"), F.coalesce(F.sum("transaction_volume"), F.lit(0.0)).alias("volume"))
+    b = m.groupBy("sample_id", F.floor(sec() / width).cast("int").alias("bar")).agg(F.max_by("mid", newest()).alias("last"), F.avg(F.col("ask_price_1") - F.col("bid_price_1")).alias("spread"), F.avg(F.col("bid_volume_1") + F.col("ask_volume_1")).alias("depth"), F.coalesce(F.sum("transaction_volume"), F.lit(0.0)).alias("volume"), F.avg(X.imbalance_of("bid_ask")).alias("imb"), F.sum("transaction_count").alias("trades"), F.count("*").alias("rows"))
     was = F.lag("last").over(W.partitionBy("sample_id").orderBy(F.desc("bar")))
     return b.withColumn("ret", F.coalesce(F.col("last") / was - 1, F.lit(0.0)))
 
@@ -59,8 +59,12 @@ def raw_aggregates(order: DataFrame, trade: DataFrame) -> DataFrame:
     return o.join(t, "sample_id", "full")
 
 
-def gap_features(order: DataFrame, gaps=(1, 7, 14)) -> DataFrame:
-    """Per event: volume change and time over several gaps back, then their means per sample."""
+def gap_features(order: DataFrame, gaps=(1, 7, 14, 21, 30, 60, 120)) -> DataFrame:
+    """Per event over several gaps back: volume change, time, price change, its change and its ratio to the price then; their means per sample."""
     w = path_window()
-    o = order.withColumns({f"d{g}": F.col("volume") - F.lag("volume", g).over(w) for g in gaps} | {f"t{g}": F.lag("seconds_before_predict", g).over(w) - sec() for g in gaps})
-    return o.groupBy("sample_id").agg(*[x for g in gaps for x in (F.avg(f"d{g}").alias(f"change_{g}"), F.avg(f"t{g}").alias(f"time_{g}"))])
+    p, was = F.col("price"), lambda c, g: F.lag(c, g).over(w)
+    cols = {}
+    for g in gaps:
+        cols |= {f"change_{g}": F.col("volume") - was("volume", g), f"time_{g}": was("seconds_before_predict", g) - sec(), f"price_{g}": p - was("price", g)}
+        cols |= {f"second_{g}": p - 2 * was("price", g) + was("price", 2 * g), f"ratio_{g}": (p - was("price", g)) / (was("price", g) + 1e-8)}
+    return order.select("sample_id", *[v.alias(k) for k, v in cols.items()]).groupBy("sample_id").agg(*[F.avg(k).alias(k) for k in cols])

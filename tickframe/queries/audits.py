@@ -50,10 +50,10 @@ def magnitude_buckets(spark, d):
     return tidied(A.magnitude_buckets(frame(spark, d, "prd"), "pred_a", "target"))
 
 
-@query(f"""{PRD}, m AS (SELECT month, avg(target) AS mean FROM prd GROUP BY month), l AS (SELECT *, {', '.join(f'lag(mean, {k}) OVER (ORDER BY month) AS l{k}' for k in (1, 2, 3, 6, 12))} FROM m)
-SELECT {', '.join(rnd(f'corr(mean, l{k})', f'acf_{k}') for k in (1, 2, 3, 6, 12))}, {rnd('regr_slope(mean, month)', 'slope')}, {rnd('avg(abs(mean))', 'mean_abs')}, {rnd('avg(CASE WHEN sign(mean) = sign(l1) THEN 1.0 ELSE 0.0 END) FILTER (WHERE l1 IS NOT NULL)', 'persistence')} FROM l""")
+@query(f"""{PRD}, m AS (SELECT month, avg(target) AS mean, stddev_samp(target) / sqrt(count(*)) AS se FROM prd GROUP BY month), l AS (SELECT *, {', '.join(f'lag(mean, {k}) OVER (ORDER BY month) AS l{k}' for k in range(1, 13))} FROM m)
+SELECT {', '.join(rnd(f'corr(mean, l{k})', f'acf_{k}') for k in range(1, 13))}, {rnd('avg(abs(mean) / nullif(se, 0))', 'mean_abs_se')}, {rnd('regr_slope(mean, month)', 'slope')}, {rnd('avg(abs(mean))', 'mean_abs')}, {rnd('avg(CASE WHEN sign(mean) = sign(l1) THEN 1.0 ELSE 0.0 END) FILTER (WHERE l1 IS NOT NULL)', 'persistence')} FROM l""")
 def monthly_mean_diagnostics(spark, d):
-    return tidied(A.monthly_mean_diagnostics(frame(spark, d, "prd").groupBy("month").agg(F.avg("target").alias("mean"))))
+    return tidied(A.monthly_mean_diagnostics(frame(spark, d, "prd").groupBy("month").agg(F.avg("target").alias("mean"), (F.stddev_samp("target") / F.sqrt(F.count("*"))).alias("se"))))
 
 
 @query(f"""{PRD}, m AS (SELECT month, ({COS('pred_a', 'target')}) - ({COS('pred_b', 'target')}) AS delta FROM prd GROUP BY month)

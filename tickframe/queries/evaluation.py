@@ -224,14 +224,16 @@ def ridge_by_block(spark, d):
     return X.tidied(L.ridge(p, ["pred_a", "pred_b"], "target", 1.0, ["block"]))
 
 
-@query(f"""WITH {duck('lab', 'prd')}, y AS (SELECT month, target FROM prd)
-SELECT month, count(*) AS n, {rnd('avg(target)', 'mean')}, {rnd('stddev_samp(target)', 'std')}, {rnd('avg(CASE WHEN target > 0 THEN 1.0 ELSE 0.0 END)', 'positive')}, {rnd('quantile_cont(abs(target), 0.9)', 'abs_p90')},
- {rnd('avg(abs(target))', 'mean_abs')}, {rnd('kurtosis_pop(target)', 'kurtosis')}, {rnd('sum(target * target * target * 0 + pow(target - m, 3)) / count(*) / pow(stddev_pop(target), 3)', 'skewness')}
-FROM (SELECT *, avg(target) OVER (PARTITION BY month) AS m FROM y) GROUP BY month HAVING count(*) > 2""")
+_M = lambda k: f"avg(pow(target - m, {k}))"
+
+
+@query(f"""{PRD}, y AS (SELECT month, target, avg(target) OVER (PARTITION BY month) AS m, quantile_cont(target, 0.5) OVER (PARTITION BY month) AS mid, quantile_cont(abs(target), 0.99) OVER (PARTITION BY month) AS top FROM prd)
+SELECT month, count(*) AS n, {rnd('avg(target)', 'mean')}, {rnd('stddev_samp(target)', 'std')}, {rnd('avg(CASE WHEN target > 0 THEN 1.0 ELSE 0.0 END)', 'positive')},
+ {', '.join(rnd(f'quantile_cont(abs(target), {q})', f'abs_p{round(100 * q)}') for q in (0.5, 0.9, 0.99))}, {rnd('avg(abs(target))', 'mean_abs')}, {rnd('quantile_cont(abs(target - mid), 0.5)', 'mad')},
+ {rnd(f"{_M(3)} / nullif(pow(sqrt({_M(2)}), 3), 0)", 'skewness')}, {rnd(f"{_M(4)} / nullif(pow({_M(2)}, 2), 0) - 3", 'kurtosis')}, {rnd('sum(CASE WHEN abs(target) >= top THEN target * target ELSE 0 END) / nullif(sum(target * target), 0)', 'top_share')}
+FROM y GROUP BY month""")
 def label_statistics(spark, d):
-    p = frame(spark, d, "prd")
-    out = p.groupBy("month").agg(F.count("*").alias("n"), F.avg("target").alias("mean"), F.stddev_samp("target").alias("std"), F.avg(F.when(F.col("target") > 0, 1.0).otherwise(0.0)).alias("positive"), F.percentile(F.abs("target"), 0.9).alias("abs_p90"), F.avg(F.abs("target")).alias("mean_abs"), F.kurtosis("target").alias("kurtosis"), F.skewness("target").alias("skewness"))
-    return X.tidied(out.where("n > 2"))
+    return X.tidied(G.label_statistics(frame(spark, d, "prd"), "target", "month"))
 
 
 @query(f"""{PRD}, a AS (SELECT *, month >= 51 AS late FROM prd)

@@ -54,7 +54,9 @@ def _enhanced_sql():
     for n in (5, 30, 300):
         out |= {f"m_rv_{n}": rv(n), f"m_ofi_sum_{n}": f"coalesce(sum(ofi) {f(n)}, 0)", f"m_txv_sum_{n}": f"coalesce(sum(transaction_volume) {f(n)}, 0)"}
     out |= {"m_mid_p25_60": f"quantile_cont(mid, 0.25) {f(60)}", "m_mid_p75_60": f"quantile_cont(mid, 0.75) {f(60)}", "m_sp_std_60": f"stddev_samp(sp) {f(60)}", "m_imb_range_60": f"max(imb) {f(60)} - min(imb) {f(60)}", "m_mid_ret_60": f"arg_max(mid, k) {f(60)} - arg_min(mid, k) {f(60)}", "x_ofi_5_over_full": f"coalesce(sum(ofi) {f(5)}, 0) / (abs(sum(ofi) {f(600)}) + 1e-8)", "x_rv_5_over_full": f"{rv(5)} / nullif({rv(600)}, 0)", "x_mid_std_60_over_full": f"stddev_samp(mid) {f(60)} / nullif(stddev_samp(mid) {f(600)}, 0)"}
-    return f"""WITH {duck('mkt')}, a AS (SELECT *, (ask_price_1 + bid_price_1) / 2 AS mid, ask_price_1 - bid_price_1 AS sp, (ask_volume_1 - bid_volume_1) / (ask_volume_1 + bid_volume_1 + 1) AS imb, ask_volume_1 - bid_volume_1 AS gap, row_number() OVER (PARTITION BY sample_id ORDER BY seconds_before_predict DESC, seq) AS k FROM mkt),
+    out |= {"m_mid_skew_60": "avg(pow(dev, 3)) / nullif(pow(sqrt(avg(pow(dev, 2))), 3), 0)", "m_mid_kurt_60": "avg(pow(dev, 4)) / nullif(pow(avg(pow(dev, 2)), 2), 0) - 3"}
+    near = "CASE WHEN seconds_before_predict <= 60 THEN (ask_price_1 + bid_price_1) / 2 END"
+    return f"""WITH {duck('mkt')}, a AS (SELECT *, round({near} - avg({near}) OVER (PARTITION BY sample_id), 9) AS dev, (ask_price_1 + bid_price_1) / 2 AS mid, ask_price_1 - bid_price_1 AS sp, (ask_volume_1 - bid_volume_1) / (ask_volume_1 + bid_volume_1 + 1) AS imb, ask_volume_1 - bid_volume_1 AS gap, row_number() OVER (PARTITION BY sample_id ORDER BY seconds_before_predict DESC, seq) AS k FROM mkt),
  b AS (SELECT *, coalesce(mid - lag(mid) OVER w, 0) AS dm, coalesce(gap - lag(gap) OVER w, 0) AS ofi FROM a WINDOW w AS (PARTITION BY sample_id ORDER BY k))
 SELECT sample_id, {', '.join(rnd(v, k, 3 if k == 'x_ofi_5_over_full' else 6) for k, v in out.items())} FROM b GROUP BY sample_id"""
 

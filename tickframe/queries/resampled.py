@@ -39,8 +39,8 @@ def secondly_statistics(spark, d):
 
 
 @query(f"""WITH {duck('mkt')}, m AS (SELECT *, (bid_price_1 + ask_price_1) / 2 AS mid, row_number() OVER (PARTITION BY sample_id ORDER BY seconds_before_predict DESC, seq) AS k FROM mkt WHERE ask_price_1 > 0 AND seconds_before_predict BETWEEN 0 AND 600),
- b AS (SELECT sample_id, floor(seconds_before_predict / 10)::INT AS bar, arg_max(mid, k) AS last, avg(ask_price_1 - bid_price_1) AS spread, avg(bid_volume_1 + ask_volume_1) AS depth, coalesce(sum(transaction_volume), 0) AS volume FROM m GROUP BY ALL)
-SELECT sample_id, bar, {rnd('last', 'last')}, {rnd('spread', 'spread')}, {rnd('depth', 'depth')}, {rnd('volume', 'volume')}, {rnd('coalesce(last / lag(last) OVER (PARTITION BY sample_id ORDER BY bar DESC) - 1, 0)', 'ret')} FROM b""")
+ b AS (SELECT sample_id, floor(seconds_before_predict / 10)::INT AS bar, arg_max(mid, k) AS last, avg(ask_price_1 - bid_price_1) AS spread, avg(bid_volume_1 + ask_volume_1) AS depth, coalesce(sum(transaction_volume), 0) AS volume, avg((bid_volume_1 - ask_volume_1) / (bid_volume_1 + ask_volume_1 + 1e-6)) AS imb, CAST(sum(transaction_count) AS BIGINT) AS trades, count(*) AS rows FROM m GROUP BY ALL)
+SELECT sample_id, bar, trades, rows, {rnd('imb', 'imb')}, {rnd('last', 'last')}, {rnd('spread', 'spread')}, {rnd('depth', 'depth')}, {rnd('volume', 'volume')}, {rnd('coalesce(last / lag(last) OVER (PARTITION BY sample_id ORDER BY bar DESC) - 1, 0)', 'ret')} FROM b""")
 def slow_bars(spark, d):
     return tidied(R.slow_bars(frame(spark, d, "mkt")))
 
@@ -73,8 +73,13 @@ def raw_aggregates(spark, d):
     return tidied(R.raw_aggregates(frame(spark, d, "ord"), frame(spark, d, "trd")))
 
 
-@query(f"""WITH {duck('ord')}, l AS (SELECT sample_id, {', '.join(f'volume - lag(volume, {g}) OVER w AS d{g}, lag(seconds_before_predict, {g}) OVER w - seconds_before_predict AS t{g}' for g in (1, 7, 14))} FROM ord WINDOW w AS (PARTITION BY sample_id ORDER BY seconds_before_predict DESC, seq))
-SELECT sample_id, {', '.join(rnd(f'avg({a}{g})', f'{n}_{g}') for g in (1, 7, 14) for a, n in (('d', 'change'), ('t', 'time')))} FROM l GROUP BY sample_id""")
+_GAPS = (1, 7, 14, 21, 30, 60, 120)
+_GAP_SQL = {"change": "volume - lag(volume, {g}) OVER w", "time": "lag(seconds_before_predict, {g}) OVER w - seconds_before_predict", "price": "price - lag(price, {g}) OVER w",
+            "second": "price - 2 * lag(price, {g}) OVER w + lag(price, 2 * {g}) OVER w", "ratio": "(price - lag(price, {g}) OVER w) / (lag(price, {g}) OVER w + 1e-8)"}
+
+
+@query(f"""WITH {duck('ord')}, l AS (SELECT sample_id, {', '.join(f"{e.format(g=g)} AS {n}_{g}" for g in _GAPS for n, e in _GAP_SQL.items())} FROM ord WINDOW w AS (PARTITION BY sample_id ORDER BY seconds_before_predict DESC, seq))
+SELECT sample_id, {', '.join(rnd(f'avg({n}_{g})', f'{n}_{g}') for g in _GAPS for n in _GAP_SQL)} FROM l GROUP BY sample_id""")
 def gap_features(spark, d):
     return tidied(R.gap_features(frame(spark, d, "ord")))
 
