@@ -3,7 +3,7 @@
 One byte context tree per language, orders 0 to ORDER, escape method C without exclusion, statistics frozen after training.  Contexts never cross white
 space: a word is coded as the bytes after its leading blank, closed by one blank, so a text's exact code length under a language is the sum over its
 words, and every distinct word of a batch is coded once.  The language with the shortest code wins (ties: the lesser name); the score is its share of
-2^-length.
+2^-(length per word), so that it tells clear texts from doubtful ones at any length.
 
 Training counts come from at most about MAX_DOCS documents of each language (chosen by a hash of their ids); that bounds the model, which is broadcast.
 Texts that are null or have no letter are `und` with score 0, as is everything when no document has a language.  Repeated rows get equal results.
@@ -121,11 +121,8 @@ class Model:
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     """docs(doc_id, text, lang), all of them usable for training."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = {r.lang: max_docs / r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not share:
-        return None
-    rate = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])[F.col("lang")], F.lit(1.0))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+    rate = known.groupBy("lang").agg((max_docs / F.count("*")).alias("rate"))  # one row a language
+    some = known.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
     counts = some.mapInArrow(_counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(counts) if len(counts) else None
 
@@ -148,7 +145,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             doc = w.doc
             cost = np.stack([np.bincount(doc, weights=per[:, i], minlength=b.num_rows) for i in range(len(m.langs))], 1)
             best = cost.argmin(1)
-            score = 1 / np.exp2(np.clip(cost.min(1, keepdims=True) - cost, -1000, 0)).sum(1)
+            words = np.maximum(w.n, 1)[:, None]
+            score = 1 / np.exp2((cost.min(1, keepdims=True) - cost) / words).sum(1)
             ok = b.column("letter").to_numpy(zero_copy_only=False)
             lang = [m.langs[i] if y else "und" for i, y in zip(best.tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0))], schema=schema)
