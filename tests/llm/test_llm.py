@@ -209,6 +209,41 @@ def test_language_accuracy(spark, duck):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_code_lengths_against_brute_force(spark):
+    """Escape method C over contexts of up to four bytes inside a word, straight from the counts."""
+    rng = random.Random(4)
+    train = [(i, lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(40))) for i, (lang, letters) in enumerate([("aa", "abcé"), ("bb", "cdef")] * 6)]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, lang string, text string"))
+    counts = {lang: [collections.defaultdict(collections.Counter) for _ in range(langid.ORDER + 1)] for lang in ("aa", "bb")}
+    spell = lambda w: b" " + w + b" "
+    for _, lang, t in train:
+        for w in t.encode().split():
+            s = spell(w)
+            for i in range(1, len(s)):
+                for k in range(min(i, langid.ORDER) + 1):
+                    counts[lang][k][s[i - k : i]][s[i]] += 1
+
+    def cost(lang, w):
+        s, bits = spell(w), 0.0
+        for i in range(1, len(s)):
+            for k in range(min(i, langid.ORDER), -1, -1):
+                c = counts[lang][k].get(s[i - k : i])
+                if c is None:
+                    continue
+                total = sum(c.values()) + len(c)
+                if c[s[i]]:
+                    bits -= np.log2(c[s[i]] / total)
+                    break
+                bits -= np.log2(len(c) / total)
+            else:
+                bits += 8
+        return bits
+
+    words = [b"a", b"abc", "éa".encode(), b"ddd", b"zzz", b"abcdefabc"]
+    got = model.word_costs(pa.array(words, pa.large_binary()))
+    assert got == pytest.approx(np.array([[cost(lang, w) for lang in model.langs] for w in words]), abs=1e-9)
+
+
 def test_code_length_is_a_probability(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["abab abba", "baba"] * 3)], "doc_id long, text string, lang string")
     m = langid.train(docs)
@@ -230,6 +265,25 @@ def test_fingerprints(spark, texts):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
 
 
+def test_likeness_is_near_the_true_one(texts):
+    """Against the share of word pairs inside paragraphs that two texts have in common."""
+    rng = random.Random(6)
+
+    def pairs(t):
+        out = collections.Counter()
+        for line in t.split("\n"):
+            w = WORD.findall(line)
+            out.update(zip(w[:-1], w[1:], strict=True) if len(w) > 1 else [(x, x) for x in w])
+        return out
+
+    long = [t for t in texts.values() if t and len(t) > 1500][:60]
+    cases = [(t, t[: int(len(t) * (1 - share))] + rng.choice(long)[: int(len(t) * share)]) for t in long for share in (0.1, 0.3, 0.6)]
+    a, b = (fingerprint.vectors(pa.array(x, pa.large_string())) for x in zip(*cases, strict=True))
+    got = fingerprint.likeness(a, b)
+    true = [2 * sum((pairs(x) & pairs(y)).values()) / max(1, sum(pairs(x).values()) + sum(pairs(y).values())) for x, y in cases]
+    assert np.abs(got - np.array(true)).mean() < 0.09
+
+
 def test_fingerprint_is_homomorphic():
     import pyarrow as pa
 

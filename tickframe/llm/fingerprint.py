@@ -4,7 +4,7 @@ A text is the multiset of its paragraphs (lines with a word).  Each paragraph is
 vectors, lane by lane modulo a power of two: any order of the paragraphs gives the same sum, and a paragraph is put in or taken out by adding or
 subtracting its vector (`combine`).  The vector has two parts:
 
-* DENSE lanes modulo 2^32, all filled from a 64-bit hash of the whole paragraph: these decide equality;
+* DENSE lanes modulo 2^32, filled from two independent 64-bit hashes of the whole paragraph, half of the lanes each: these decide equality;
 * LEVELS x LANES lanes modulo 2^8, to which the paragraph's word pairs are thrown, level l with probability 2^-(l+1): these tell how much two texts
   share.  Lanes that differ at a level estimate the size of the multiset difference (as strata do), lanes in use the sizes of the texts.
 
@@ -22,8 +22,16 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernels as K
 from .common import shuffle_partitions
 
-DENSE, LEVELS, LANES = 8, 14, 16
-SALT = np.uint64(0xA24BAED4963EE407)
+DENSE, LEVELS, LANES = 8, 14, 32
+SALT, SALT2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+
+
+def hash_words_128(uniq: pa.Array) -> np.ndarray:
+    """Two 64-bit halves of a 128-bit hash of each word."""
+    import xxhash
+
+    h = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(h(w) for w in uniq.to_pylist()), "<u8").reshape(-1, 2)
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +42,8 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(w.start):
         return np.zeros((docs, DENSE), np.uint32), np.zeros((docs, LEVELS * LANES), np.uint8)
     code, uniq = w.encode()
-    h = K.mix(K.hash_words(uniq))[code]
+    both = hash_words_128(uniq)
+    h, h2 = K.mix(both[:, 0])[code], K.mix(both[:, 1])[code]
     doc = w.doc
     # a paragraph begins at a text's first word, and after a line break
     breaks = np.concatenate(([0], np.cumsum(buf == 10)))[w.start]
@@ -45,13 +54,13 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = (np.arange(len(h)) - first[para]).astype(np.uint64)
     with np.errstate(over="ignore"):
         # paragraph hash: words with their places, so that word order counts inside a paragraph; blanks do not
-        ph = K.mix(np.add.reduceat(K.mix(h + place * SALT), first))
+        ph = [K.mix(np.add.reduceat(K.mix(x + place * salt), first)) for x, salt in ((h, SALT), (h2, SALT2))]
         dense = np.zeros((docs, DENSE), np.uint32)
         of = doc[first]
         start = np.searchsorted(of, np.arange(docs))
         some = np.flatnonzero(np.bincount(of, minlength=docs))
         for i in range(DENSE):
-            lane = K.mix(ph + np.uint64(i + 1) * SALT) >> np.uint64(32)
+            lane = K.mix(ph[i % 2] + np.uint64(i + 1) * SALT) >> np.uint64(32)
             dense[some, i] = np.add.reduceat(lane, start[some]).astype(np.uint32)
         # word pairs inside paragraphs (a one-word paragraph: the word with itself)
         nxt = np.append(h[1:], h[-1:])
