@@ -319,6 +319,28 @@ def test_counterfactual_penalty_covers_letter_ngrams():
     assert max(score.values()) - min(score.values()) < 0.4 and w[vocabulary["w:zork"]] > 0.5, score
 
 
+def test_toxicity_objective():
+    """Gradient and Hessian against differences of the value, and the fit's gradient is zero; identity terms take part."""
+    rng = np.random.default_rng(3)
+    words = ["w:muslim", "w:muslims", "w:christian", "musl", "slim", "chri", "w:nice", "w:awful", *(f"w:x{i}" for i in range(12))]
+    vocabulary = {w: i for i, w in enumerate(words)}
+    x = rng.random((300, len(words))) < 0.3
+    y = ((x[:, 7] * 2 + x[:, 0] + rng.normal(0, 0.7, 300)) > 1).astype(float)
+    doc, feature = np.nonzero(x)
+    o = toxicity.Objective(doc, feature, y, vocabulary)
+    w = rng.normal(0, 0.5, len(words) + 1)
+    z = o.scores(w)
+    value = lambda v: o.value(v, o.scores(v))
+    eye = np.eye(len(w)) * 1e-5
+    assert o.gradient(w, z) == pytest.approx([(value(w + e) - value(w - e)) / 2e-5 for e in eye], rel=1e-4, abs=1e-4)
+    slopes = np.array([(o.gradient(w + e, o.scores(w + e)) - o.gradient(w - e, o.scores(w - e))) / 2e-5 for e in eye])
+    assert np.abs(o.hessian(z) - slopes).max() < 1e-2
+    best, bias = toxicity.fit(doc, feature, y, vocabulary)
+    v = np.append(best, bias)
+    assert np.abs(o.gradient(v, o.scores(v))).max() < 1e-2
+    assert abs(best[0] + best[3] + best[4] - best[2] - best[5]) < abs(best[7])  # the swap penalty draws the terms together
+
+
 def test_toxicity_judges_altered_short_words(spark):
     assert {"arg", "rgh"} <= set(toxicity.word_features(b"argh"))
     rows = [(i, ("you zork " if i % 2 else "you plum ") + f"pad{chr(97 + i % 7)}", i % 2) for i in range(60)]

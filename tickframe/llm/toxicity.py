@@ -24,7 +24,7 @@ FEATURES = 3000
 MAX_ROWS = 20_000
 MIN_DOCS = 5
 GRAM = (3, 4, 5)
-RIDGE, CONTRAST, STEPS = 1.0, 2.0, 30
+RIDGE, CONTRAST, STEPS = 1.0, 2.0, 60
 #: Bytes of text worked on at once, and words and features held before they are passed on.
 SLICE_BYTES = 1 << 20
 HELD_WORDS, HELD_FEATURES = 200_000, 300_000
@@ -136,53 +136,72 @@ def _swaps(vocabulary: dict[str, int], seen: np.ndarray) -> tuple[np.ndarray, np
     return cols, out
 
 
-def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps on the penalised loss.  The (text, feature) pairs are distinct and in order of texts; the
-    dense design exists in blocks of 1000 rows only."""
-    n, m = len(y), len(vocabulary)
-    seen = np.bincount(x_feature, minlength=m)
-    cols, swap = _swaps(vocabulary, seen)
-    ridge = np.full(m + 1, RIDGE)
-    ridge[m] = 1e-3
-
-    def times(v):
-        return np.bincount(x_doc, weights=v[x_feature], minlength=n) + v[m]
-
-    def back(r):
-        return np.append(np.bincount(x_feature, weights=r[x_doc], minlength=m), r.sum())
-
-    def penalty(v):
-        out = ridge * v
-        out[cols] += swap @ v[cols]
+class Objective:
+    """Penalised logistic loss over weights and, last, the intercept.  The (text, feature) pairs are distinct and in order of texts; the dense design exists in
+    blocks of 1000 rows only."""
+
+    def __init__(self, x_doc: np.ndarray, x_feature: np.ndarray, y: np.ndarray, vocabulary: dict[str, int]):
+        self.doc, self.feature, self.y, self.n, self.m = x_doc, x_feature, y, len(y), len(vocabulary)
+        self.cols, self.swap = _swaps(vocabulary, np.bincount(x_feature, minlength=self.m))
+        self.ridge = np.full(self.m + 1, RIDGE)
+        self.ridge[self.m] = 1e-3
+
+    def scores(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=v[self.feature], minlength=self.n) + v[self.m]
+
+    def _penalty(self, v: np.ndarray) -> np.ndarray:
+        out = self.ridge * v
+        out[self.cols] += self.swap @ v[self.cols]
         return out
 
-    def loss(z, v):
-        return np.logaddexp(0, z).sum() - y @ z + v @ penalty(v) / 2
+    def value(self, v: np.ndarray, z: np.ndarray) -> float:
+        return np.logaddexp(0, z).sum() - self.y @ z + v @ self._penalty(v) / 2
 
-    w = np.zeros(m + 1)
-    z = times(w)
-    for _ in range(STEPS):
+    def gradient(self, v: np.ndarray, z: np.ndarray) -> np.ndarray:
+        r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y
+        return np.append(np.bincount(self.feature, weights=r[self.doc], minlength=self.m), r.sum()) + self._penalty(v)
+
+    def hessian(self, z: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = back(p - y) + penalty(w)
-        q = np.maximum(p * (1 - p), 1e-4)
-        h = np.diag(ridge)
-        h[np.ix_(cols, cols)] += swap
-        for lo in range(0, n, 1000):
-            of = slice(*np.searchsorted(x_doc, (lo, lo + 1000)))
-            x = np.zeros((min(1000, n - lo), m + 1), np.float32)
-            x[x_doc[of] - lo, x_feature[of]] = 1
-            x[:, m] = 1
-            h += (x * q[lo : lo + 1000, None].astype(np.float32)).T @ x
-        step = np.linalg.solve(h, g)
-        move, now = times(step), loss(z, w)
-        size = 1.0
-        while size > 1e-4 and loss(z - size * move, w - size * step) > now:
-            size /= 2
-        w -= size * step
-        z = z - size * move
-        if np.abs(step).max() < 1e-4:
-            break
-    return w[:m], float(w[m])
+        q = np.maximum(p * (1 - p), 1e-4).astype(np.float32)
+        h = np.diag(self.ridge)
+        h[np.ix_(self.cols, self.cols)] += self.swap
+        for lo in range(0, self.n, 1000):
+            of = slice(*np.searchsorted(self.doc, (lo, lo + 1000)))
+            x = np.zeros((min(1000, self.n - lo), self.m + 1), np.float32)
+            x[self.doc[of] - lo, self.feature[of]] = 1
+            x[:, self.m] = 1
+            h += (x * q[lo : lo + 1000, None]).T @ x
+        return h
+
+
+def fit(x_doc, x_feature, y, vocabulary: dict[str, int]) -> tuple[np.ndarray, float]:
+    """Weights and intercept by quasi-Newton steps that start from an exact Hessian; it is taken anew once, where the first steps have led."""
+    o = Objective(x_doc, x_feature, y, vocabulary)
+    w = np.zeros(o.m + 1)
+    w[o.m] = np.log((y.sum() + 0.5) / (o.n - y.sum() + 0.5))
+    z = o.scores(w)
+    for steps in (STEPS // 3, STEPS):
+        inverse, pairs, g = np.linalg.inv(o.hessian(z)), [], o.gradient(w, z)
+        for _ in range(steps):
+            step, kept = g.copy(), []
+            for s, d in reversed(pairs):
+                kept.append((s @ step) / (s @ d))
+                step -= kept[-1] * d
+            step = inverse @ step
+            for (s, d), a in zip(pairs, reversed(kept), strict=True):
+                step += (a - (d @ step) / (s @ d)) * s
+            move, now, slope, size = o.scores(step), o.value(w, z), g @ step, 1.0
+            while size > 1e-6 and o.value(w - size * step, z - size * move) > now - 1e-4 * size * slope:
+                size /= 2
+            w, z = w - size * step, z - size * move
+            new = o.gradient(w, z)
+            if (s := -size * step) @ (new - g) > 1e-12:
+                pairs = [*pairs[-9:], (s, new - g)]
+            g = new
+            if np.abs(size * step).max() < 1e-5:
+                return w[: o.m], float(w[o.m])
+    return w[: o.m], float(w[o.m])
 
 
 def train(labelled: DataFrame) -> dict:
