@@ -83,7 +83,7 @@ def test_centres_are_k_means(spark):
         for _ in range(5):
             of = ((z[mine][:, None] - c) ** 2).sum(2).round(9).argmin(1)
             c = np.array([z[mine][of == k].mean(0) for k in range(3) if (of == k).any()])
-        assert got[m] == pytest.approx(sorted(tuple(np.round(v, 6)) for v in c), abs=1e-5)
+        assert np.array(got[m]) == pytest.approx(np.array(sorted(tuple(np.round(v, 6)) for v in c)), abs=1e-5)
 
 
 def test_prototypes_and_experts(spark):
