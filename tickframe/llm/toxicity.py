@@ -28,6 +28,8 @@ RIDGE, CONTRAST, STEPS = 1.0, 2.0, 60
 #: Bytes of text worked on at once, and words and features held before they are passed on.
 SLICE_BYTES = 1 << 20
 HELD_WORDS, HELD_FEATURES = 200_000, 300_000
+#: Texts in a dense block of presence marks.
+DENSE_ROWS = 256
 
 #: Terms that name a group, by kind; only terms of one kind are swapped for each other.
 IDENTITY = {
@@ -42,7 +44,9 @@ KIND = {w: k for k, ws in IDENTITY.items() for w in ws}
 
 def word_features(word: bytes) -> list[str]:
     """Features of one word: itself and its inner letter n-grams."""
-    w = "".join(c for c in word.decode().lower() if c.isalpha())
+    w = word.decode().lower()
+    if not w.isalpha():
+        w = "".join(filter(str.isalpha, w))
     if not w:
         return []
     return ["w:" + w, *{w[i : i + n] for n in GRAM for i in range(len(w) - n + 1) if n < len(w)}]
@@ -83,22 +87,38 @@ class _Features:
             self.start.append(len(self.flat))
         return i
 
-    def of(self, b) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, feature) pairs of a batch, in order."""
+    def met(self, b) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) pairs of a batch in order of texts; a feature that several words of a text share stands there several times."""
         doc, code, uniq = _pairs(b)
         if len(self.row) > HELD_WORDS:  # a cache: it changes no result
             self.forget()
-        rows = np.array([self._row(u) for u in uniq], np.int64)
-        start, flat = np.array(self.start), np.array(self.flat)
+        rows = np.fromiter(map(self._row, uniq), np.int64, len(uniq))
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.int64) if self.flat else np.zeros(0, np.int64)
         first, size = start[rows], start[rows + 1] - start[rows]
         some = size[code] > 0 if len(code) else np.zeros(0, bool)
         doc, code = doc[some], code[some]
         n = size[code] if len(code) else np.zeros(0, np.int64)
         at = np.arange(n.sum()) + np.repeat((first[code] if len(code) else n) - (np.cumsum(n) - n), n)
+        return np.repeat(doc, n), flat[at]
+
+    def of(self, b) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, feature) pairs of a batch, in order."""
+        doc, f = self.met(b)
         m = max(len(self.ids), 1)
-        key = np.unique(np.repeat(doc, n) * m + flat[at])
+        key = np.unique(doc * m + f)
         return key // m, key % m
 
+    def sums(self, b, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each text's distinct features, some texts at a time."""
+        doc, f = self.met(b)
+        out = np.zeros(b.num_rows)
+        for lo in range(0, b.num_rows if len(f) else 0, DENSE_ROWS):
+            x = np.zeros((min(DENSE_ROWS, b.num_rows - lo), len(weights)))
+            of = slice(*np.searchsorted(doc, (lo, lo + DENSE_ROWS)))
+            x[doc[of] - lo, f[of]] = 1
+            out[lo : lo + DENSE_ROWS] = x @ weights
+        return out
+
 
 def _document_frequencies(batches):
     schema = pa.schema([("feature", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
@@ -244,8 +264,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = sent.value
         known = _Features(m["vocabulary"])
         for b in K.slices(batches, limit=SLICE_BYTES):
-            doc, f = known.of(b)
-            z = m["bias"] + np.bincount(doc, weights=m["weights"][f], minlength=b.num_rows) if len(f) else np.full(b.num_rows, m["bias"])
+            z = m["bias"] + known.sums(b, m["weights"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
