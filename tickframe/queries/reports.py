@@ -83,7 +83,7 @@ def representative_rows(spark, d):
     ids = k.select(F.explode(F.array("median_activity", "widest", "fewest")).alias("sample_id")).distinct()
     rows = A.head_tail(m, ids, [F.desc("seconds_before_predict"), "seq"], 5)
     kind = F.when(F.col("sample_id") == F.col("median_activity"), "median").when(F.col("sample_id") == F.col("widest"), "widest").otherwise("fewest")
-    return rows.join(F.broadcast(k)).select("sample_id", "seq", "place", kind.alias("kind"))
+    return rows.join(F.broadcast(k)).select("sample_id", "seq", F.col("place").cast("long").alias("place"), kind.alias("kind"))
 
 
 @query(f"""WITH {duck('mkt', 'trd', 'lab')}, a AS (SELECT sample_id, sum(transaction_count) AS bars, sum(transaction_volume) AS bar_volume FROM mkt WHERE seconds_before_predict BETWEEN 0 AND 60 GROUP BY 1),
@@ -177,7 +177,7 @@ SELECT month, weight, row_number() OVER (PARTITION BY month ORDER BY score DESC,
 def against_best(spark, d):
     """The three best blend weights of each month and how far they are behind the best."""
     c = _candidates(spark, d).withColumn("score", F.round("score", 9))
-    return X.tidied(G.against_best(c, "month", "weight", "score", 3).select("month", "weight", "rank", "behind"))
+    return X.tidied(G.against_best(c, "month", "weight", "score", 3).select("month", "weight", F.col("rank").cast("long").alias("rank"), "behind"))
 
 
 @query(f"""{PRD}, {_CAND}, m AS (SELECT weight, avg(score) AS mean, count(*) AS folds FROM c GROUP BY 1) SELECT weight, folds, {rnd('mean', 'mean')}, {rnd('mean - (SELECT mean FROM m WHERE weight = 0)', 'change')} FROM m""")
