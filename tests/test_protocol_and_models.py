@@ -164,3 +164,7 @@ def test_names_are_replayed():
 def test_disagreement_of_scaled_copies_is_zero(preds):
     out = diagnostics.unit_disagreement(preds.withColumn("twice", 2 * F.col("pred_a")), "pred_a", "twice")
     assert out.agg(F.max(F.abs("disagreement"))).head()[0] < 1e-12
+
+
+def test_required_columns(preds):
+    assert checks.required_columns(preds, ["month", "target"]) == [] and checks.required_columns(preds, ["month", "none", "also"]) == ["also", "none"]
