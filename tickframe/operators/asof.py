@@ -49,9 +49,10 @@ def pivoted(df: DataFrame, windows, names, prefix: str) -> DataFrame:
 
 def _corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     """Correlation from sums; 0 with fewer than three pairs or a vanishing norm."""
-    var = lambda q, s: F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
-    norm = n * F.sqrt(var(sxx, sx) * var(syy, sy))
-    return F.when((n >= 3) & (norm > 1e-8), (sxy - sx * sy / n) / norm).otherwise(0.0)
+    k = F.greatest(n, F.lit(1))  # a window may hold no pair, and Spark computes shared parts of both branches before it looks at the condition
+    var = lambda q, s: F.greatest(q / k - (s / k) * (s / k), F.lit(0.0))
+    norm = k * F.sqrt(var(sxx, sx) * var(syy, sy))
+    return F.when((n >= 3) & (norm > 1e-8), F.try_divide(sxy - sx * sy / k, norm)).otherwise(0.0)
 
 
 PAIRS = ((0, 2), (1, 3), (4, 5), (6, 7))

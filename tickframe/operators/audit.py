@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .metrics import cosine
+from .metrics import correlation, cosine
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlation of every pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -41,7 +41,7 @@ def magnitude_buckets(df: DataFrame, p: str, y: str, edges=(0.25, 0.5, 0.75, 0.9
     """Sign accuracy, correlation and share of the inner product by half-open buckets of |y|."""
     e = df.agg(F.percentile(F.abs(y), F.array(*[F.lit(x) for x in edges])).alias("e"))
     b = df.join(F.broadcast(e)).withColumn("bucket", F.size(F.filter("e", lambda v: v <= F.abs(F.col(y)))))
-    out = b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.when(F.signum(p) == F.signum(y), 1.0).otherwise(0.0)).alias("sign_accuracy"), F.corr(p, y).alias("corr"), F.sum(F.col(p) * F.col(y)).alias("inner"))
+    out = b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.when(F.signum(p) == F.signum(y), 1.0).otherwise(0.0)).alias("sign_accuracy"), correlation(p, y).alias("corr"), F.sum(F.col(p) * F.col(y)).alias("inner"))
     return out.withColumn("share", F.try_divide(F.col("inner"), F.sum("inner").over(W.partitionBy(F.lit(1))))).drop("inner")
 
 
@@ -51,7 +51,7 @@ def monthly_mean_diagnostics(months: DataFrame, x: str = "mean", lags=tuple(rang
     m = months.withColumns({f"l{k}": F.lag(x, k).over(w) for k in lags})
     keep = F.avg(F.when(F.signum(x) == F.signum("l1"), 1.0).otherwise(0.0))
     same = m.where("l1 is not null").agg(keep.alias("persistence"))
-    out = m.agg(*[F.corr(x, f"l{k}").alias(f"acf_{k}") for k in lags], F.regr_slope(F.col(x), F.col("month").cast("double")).alias("slope"), F.avg(F.abs(x)).alias("mean_abs"), F.avg(F.try_divide(F.abs(x), F.col("se"))).alias("mean_abs_se"))
+    out = m.agg(*[correlation(x, f"l{k}").alias(f"acf_{k}") for k in lags], F.regr_slope(F.col(x), F.col("month").cast("double")).alias("slope"), F.avg(F.abs(x)).alias("mean_abs"), F.avg(F.try_divide(F.abs(x), F.col("se"))).alias("mean_abs_se"))
     return out.join(F.broadcast(same))
 
 
@@ -80,5 +80,5 @@ def spacing(df: DataFrame, x: str, by: str) -> DataFrame:
 
 def orthogonal_residual(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     """What b adds to a: per group the slope and intercept of b on a, and the residual's deviation."""
-    s = df.groupBy(by).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.stddev_pop(b).alias("sb"), F.coalesce(F.corr(a, b), F.lit(0.0)).alias("r"), F.count("*").alias("n"))
+    s = df.groupBy(by).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.stddev_pop(b).alias("sb"), F.coalesce(correlation(a, b), F.lit(0.0)).alias("r"), F.count("*").alias("n"))
     return s.select(by, "n", "slope", "intercept", (F.col("sb") * F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))).alias("residual_std"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.protocol import random_fold
 from .audit import correlation_pairs
-from .metrics import average_rank, cosine, distribution
+from .metrics import average_rank, centred, correlation, cosine, distribution
 
 
 def scale(x: str, method: str) -> Column:
@@ -27,7 +27,7 @@ def normalised(df: DataFrame, cols: list[str], method: str) -> DataFrame:
 
 def prediction_report(df: DataFrame, pred: str, reference: str, *by: str) -> DataFrame:
     """Distribution of a prediction and its correlation with a reference one."""
-    corr = df.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr(pred, reference), F.lit(0.0)), F.lit(0.0)).alias("reference_corr"))
+    corr = df.groupBy(*by).agg(centred(pred, reference).alias("reference_corr"))
     return distribution(df, pred, *by).join(corr, list(by))
 
 
@@ -37,7 +37,7 @@ def drift_report(df: DataFrame, x: str, late: Column) -> DataFrame:
     rows = df.withColumn("late", late)
     both = rows.groupBy("late").agg(F.count("*").alias("n"), *stats)
     ref = rows.where(~F.col("late")).agg(*stats).toDF("m0", "s0", "q0")
-    return both.join(F.broadcast(ref)).select("late", "n", F.col("m").alias("mean"), (F.col("m") - F.col("m0")).alias("mean_shift"), (F.col("s") / F.col("s0")).alias("std_ratio"), (F.col("q") / F.col("q0")).alias("abs_p99_ratio"))
+    return both.join(F.broadcast(ref)).select("late", "n", F.col("m").alias("mean"), (F.col("m") - F.col("m0")).alias("mean_shift"), F.try_divide("s", "s0").alias("std_ratio"), F.try_divide("q", "q0").alias("abs_p99_ratio"))
 
 
 def associations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def associations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     r = df.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.abs(y).alias("ay"))
     r = r.withColumns({"rx": average_rank(by, "x"), "ry": average_rank(by, "y"), "ray": average_rank(by, "ay")})
     pairs = {"pearson": ("x", "y"), "spearman": ("rx", "ry"), "pearson_abs": ("x", "ay"), "spearman_abs": ("rx", "ray")}
-    return r.groupBy(*by).agg(*[F.corr(a, b).alias(k) for k, (a, b) in pairs.items()])
+    return r.groupBy(*by).agg(*[correlation(a, b).alias(k) for k, (a, b) in pairs.items()])
 
 
 def overlap_audit(df: DataFrame, new: list[str], known: list[str]) -> DataFrame:
@@ -95,11 +95,11 @@ def permutation_null(df: DataFrame, x: str, y: str, key: str, by: str, rounds: i
     """Squared correlation of x with y when y is dealt anew inside each group by a hash of the ids: (round, r2); round 0 is the true order."""
     w = W.partitionBy(by)
     place = df.select(by, F.col(x).alias("x"), F.row_number().over(w.orderBy(key)).alias("r"))
-    true = df.agg(F.pow(F.corr(x, y), 2).alias("r2")).select(F.lit(0).alias("round"), "r2")
+    true = df.agg(F.pow(correlation(x, y), 2).alias("r2")).select(F.lit(0).alias("round"), "r2")
     out = [true]
     for i in range(1, rounds + 1):
         dealt = df.select(by, F.col(y).alias("y"), F.row_number().over(w.orderBy(random_fold(key, 1000003, i), key)).alias("r"))
-        out.append(place.join(dealt, [by, "r"]).agg(F.pow(F.corr("x", "y"), 2).alias("r2")).select(F.lit(i).alias("round"), "r2"))
+        out.append(place.join(dealt, [by, "r"]).agg(F.pow(correlation("x", "y"), 2).alias("r2")).select(F.lit(i).alias("round"), "r2"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -15,8 +15,19 @@ def cosine(p, y) -> Column:
     return F.when(d > 0, F.sum(p * y) / F.sqrt(d)).otherwise(0.0)
 
 
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson correlation over the rows that have both values; null, not an error, where there are none or one of the two does not vary.  A deviation of
+    less than 1e-12 of the largest value is rounding, not variation."""
+    x, y = c_(x).cast("double"), c_(y).cast("double")
+    both = lambda v: F.when(x.isNotNull() & y.isNotNull(), v)
+    sd = lambda v: F.when(F.stddev_pop(both(v)) > 1e-12 * F.max(F.abs(both(v))), F.stddev_pop(both(v)))
+    r = F.nullif(F.try_divide(F.covar_pop(x, y), sd(x) * sd(y)), F.lit(float("nan")))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def centred(p, y) -> Column:
-    return F.coalesce(F.nanvl(F.corr(c_(p), c_(y)), F.lit(0.0)), F.lit(0.0))
+    """Centred cosine; 0 if either side does not vary."""
+    return F.coalesce(correlation(p, y), F.lit(0.0))
 
 
 def rms(x) -> Column:
@@ -48,7 +59,7 @@ def average_rank(by, x: str) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     r = df.select(*by, average_rank(by, a).alias("ra"), average_rank(by, b).alias("rb"))
-    return r.groupBy(*by).agg(F.corr("ra", "rb").alias("spearman"))
+    return r.groupBy(*by).agg(correlation("ra", "rb").alias("spearman"))
 
 
 def auc(df: DataFrame, score: str, label: Column, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs as X
 from .families import newest, onto_spine, path_window, sec
-
+from .metrics import correlation
 
 
 def _zero(c: Column) -> Column:
@@ -106,7 +106,7 @@ def long_context(market: DataFrame, label: DataFrame, segments=SEGMENTS) -> Data
     m = market.select("sample_id", "seq", "seconds_before_predict", "transaction_volume", X.mid().alias("mid"), (F.col("ask_price_1") - F.col("bid_price_1")).alias("sp"), (F.col("bid_volume_1") + F.col("ask_volume_1")).alias("depth"), part.alias("part")).where("part is not null")
     m = m.withColumn("was", F.lag("mid").over(W.partitionBy("sample_id", "part").orderBy(F.desc("seconds_before_predict"), "seq")))
     first, last = F.min_by("mid", newest()), F.max_by("mid", newest())
-    g = m.groupBy("sample_id", "part").agg(F.stddev_samp("mid").alias("std"), F.avg("sp").alias("spread"), F.avg("depth").alias("depth"), F.sum("transaction_volume").alias("volume"), ((last - first) / (first + 1e-12)).alias("change"), F.avg(F.abs(F.col("mid") - F.col("was"))).alias("step"), F.when((F.count("was") > 2) & (F.var_pop("was") > 1e-12) & (F.var_pop(F.when(F.col("was").isNotNull(), F.col("mid"))) > 1e-12), F.corr("mid", "was")).alias("acf"))
+    g = m.groupBy("sample_id", "part").agg(F.stddev_samp("mid").alias("std"), F.avg("sp").alias("spread"), F.avg("depth").alias("depth"), F.sum("transaction_volume").alias("volume"), ((last - first) / (first + 1e-12)).alias("change"), F.avg(F.abs(F.col("mid") - F.col("was"))).alias("step"), F.when((F.count("was") > 2) & (F.var_pop("was") > 1e-12) & (F.var_pop(F.when(F.col("was").isNotNull(), F.col("mid"))) > 1e-12), correlation("mid", "was")).alias("acf"))
     names = [c for c in g.columns if c not in ("sample_id", "part")]
     flat = g.groupBy("sample_id").agg(*[F.max(F.when(F.col("part") == i, F.col(c))).alias(f"seg_{a}_{b}_{c}") for i, (a, b) in enumerate(segments) for c in names])
     return onto_spine(label, flat)

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import finite
 from ..session import scratch_path
+from .metrics import correlation
+
 
 def fit_robust(df: DataFrame, cols: list[str], half_range: bool = False) -> DataFrame:
     """One row: median and interquartile range of each column.  A zero range counts as 1, or with `half_range` as half of the whole range, if that is not 0."""
@@ -77,7 +79,7 @@ def apply_standard(df: DataFrame, state: DataFrame, cols: list[str], bound: floa
 
 def correlated(df: DataFrame, cols: list[str], y: str, limit: float) -> DataFrame:
     """One row of flags: is the absolute correlation with y at least the limit (no correlation: no)?"""
-    return df.agg(*[F.coalesce(F.abs(F.corr(c, y)) >= limit, F.lit(False)).alias(f"{c}_high") for c in cols])
+    return df.agg(*[F.coalesce(F.abs(correlation(c, y)) >= limit, F.lit(False)).alias(f"{c}_high") for c in cols])
 
 
 def fit_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -136,8 +138,8 @@ def select_features(df: DataFrame, cols: list[str], y: str, low: float, high: fl
     med = df.agg(*[F.percentile(c, 0.5).alias(f"{c}__m") for c in cols])
     rows = df.join(F.broadcast(med)).select(y, *cols, *[F.coalesce(F.col(c), F.col(f"{c}__m")).alias(f"{c}__f") for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    zero = lambda c: F.abs(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)))
-    got = rows.agg(*[zero(F.corr(c, y)).alias(c) for c in cols], *[zero(F.corr(f"{a}__f", f"{b}__f")).alias(f"{a}__{b}") for a, b in pairs]).head()
+    zero = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
+    got = rows.agg(*[zero(correlation(c, y)).alias(c) for c in cols], *[zero(correlation(f"{a}__f", f"{b}__f")).alias(f"{a}__{b}") for a, b in pairs]).head()
     keep = [c for c in cols if got[c] >= low]
     strong = sorted(((round(got[f"{a}__{b}"], 9), a, b) for a, b in pairs if a in keep and b in keep and got[f"{a}__{b}"] >= high), reverse=True)
     gone: set[str] = set()
