@@ -74,8 +74,9 @@ class Words:
         return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> Words:
-    solid = ~SPACE[buf]
+def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes that the table `space` does not mark."""
+    solid = ~space[buf]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     last = solid.copy()
