@@ -31,6 +31,7 @@ BITS = 1 << 27
 TALLY, SLICE_BYTES = 2_000_000, 8 << 20
 SALTS = 64
 MUL = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0xFFFFFFFF)
 
 DELIMITER = np.zeros(256, bool)
 DELIMITER[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -89,15 +90,16 @@ def mined(p: Parsed, bits, level: int):
 
 
 def _tallied(sent, level: int):
-    """Rows (unit, lang, h, n): a task's counts of phrases; and per language, with h null, its number of words.  A unit is a shard's part of one language."""
-    schema = pa.schema([("unit", pa.int64()), ("lang", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+    """Rows (key, lang, n): a task's counts of phrases, lang null; and its number of words per language.  A key is 32 bits of the unit (a shard's part of one language; none for single words) and
+    32 bits of the phrase's hash: phrases that fall together can only seem more frequent than they are."""
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
 
     def rows(unit, h, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), unit)), pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64) | unit), pa.nulls(len(h), pa.string()), pa.array(n)], schema=schema)
 
     def run(batches):
         shard = TaskContext.get().partitionId() % SHARDS
-        unit = lambda lang: np.int64(np.uint64(xxhash.xxh3_64_intdigest(lang, seed=shard)).view(np.int64))
+        unit = lambda lang: np.int64((xxhash.xxh32_intdigest(lang, seed=shard) >> 1) << 32 if level > 1 else 0)
         held: dict[str, list] = {}
         size, total = 0, {}
 
@@ -112,7 +114,7 @@ def _tallied(sent, level: int):
             for h, at in mined(p, sent.value if sent is not None else None, level):
                 of = p.lang[at]
                 for i, lang in enumerate(p.langs):
-                    mine = h[of == i] if len(p.langs) > 1 else h
+                    mine = (h[of == i] if len(p.langs) > 1 else h) & LOW
                     if len(mine):
                         got = np.unique(mine, return_counts=True)
                         held.setdefault(lang, []).append(got)
@@ -127,15 +129,15 @@ def _tallied(sent, level: int):
         for lang, parts in held.items():
             yield rows(unit(lang), *merged(parts))
         for lang, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([unit(lang)]), pa.array([lang], pa.string()), pa.nulls(1, pa.int64()), pa.array([n])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([unit(lang)]), pa.array([lang], pa.string()), pa.array([n])], schema=schema)
 
-    return run, "unit long, lang string, h long, n long"
+    return run, "key long, lang string, n long"
 
 
 def bitmap(hashes: DataFrame, known: np.ndarray | None = None):
-    """The bits of the hashes (column h), and of a bitmap before: BITS / 8 bytes whatever their number.  Spark ors them; at most BITS / 64 rows come to the driver."""
-    at = F.col("h").bitwiseAND(F.lit(BITS - 1))
-    some = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(h & {BITS - 1} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    """The bits of the hashes (the low bits of column key), and of a bitmap before: BITS / 8 bytes whatever their number.  Spark ors them; at most BITS / 64 rows come to the driver."""
+    at = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    some = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS >> 6, np.uint64) if known is None else known.copy()
     out[some.column("w").to_numpy()] |= some.column("b").to_numpy().view(np.uint64)
     return out
@@ -144,11 +146,12 @@ def bitmap(hashes: DataFrame, known: np.ndarray | None = None):
 def locally_frequent(docs: DataFrame, bits: np.ndarray, level: int, words: DataFrame) -> DataFrame:
     """The hashes of a level's phrases that reach their share of SUPPORT in some shard."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    counts = written(docs.mapInArrow(*_tallied(sent, level)).groupBy("unit", "h").agg(F.sum("n").alias("n"), F.max("lang").alias("lang")))
-    units = counts.where("h is null").select("unit", "lang", F.col("n").alias("shard_words")).join(words, "lang")  # one row a shard and language
+    counts = written(docs.mapInArrow(*_tallied(sent, level)).groupBy("key", "lang").agg(F.sum("n").alias("n")))
+    unit = F.shiftright("key", 32).alias("unit")
+    units = counts.where("lang is not null").select(unit, "lang", F.col("n").alias("shard_words")).join(words, "lang")  # one row a shard and language
     large = lambda c: F.col(c).cast("decimal(20,0)")
-    met = counts.where("h is not null").drop("lang").join(units, "unit")
-    return met.where(large("n") * large("words") >= large("shard_words") * SUPPORT).select("h").distinct()
+    met = counts.where("lang is null").select(unit, "key", "n").join(units, "unit")
+    return met.where(large("n") * large("words") >= large("shard_words") * SUPPORT).select(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).distinct()
 
 
 def _spelled(sent):
@@ -174,9 +177,9 @@ def _spelled(sent):
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(lang, text) -> all phrases of up to LONGEST words with their exact count f >= SUPPORT (lang, phrase, k, f), and the number of words per language (lang, words)."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = written(docs.mapInArrow(*_tallied(None, 1)).groupBy(F.when(F.col("h").isNull(), F.col("lang")).alias("lang"), "h").agg(F.sum("n").alias("n")).where(f"h is null or n >= {SUPPORT}"))
-    words = written(counts.where("h is null").select("lang", F.col("n").alias("words")))  # one row a language
-    bits = bitmap(counts.where("h is not null"))
+    counts = written(docs.mapInArrow(*_tallied(None, 1)).groupBy("key", "lang").agg(F.sum("n").alias("n")).where(f"lang is not null or n >= {SUPPORT}"))
+    words = written(counts.where("lang is not null").select("lang", F.col("n").alias("words")))  # one row a language
+    bits = bitmap(counts.where("lang is null"))
     pairs = written(locally_frequent(docs, bits, 2, words))
     longer = written(locally_frequent(docs, bitmap(pairs), 3, words))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(longer.unionByName(pairs), bits))
