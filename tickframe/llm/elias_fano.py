@@ -61,7 +61,7 @@ class EliasFano:
     def __init__(self, head, low, high):
         self.n, self.bits = int(head[0]), U(int(head[1]))
         self.low, self.high = low, high
-        ones = (byte_sums(high) >> U(56)).astype(np.int64)
+        ones = np.bitwise_count(high).astype(np.int64)
         self.ones = np.concatenate(([0], np.cumsum(ones)))
         self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
@@ -89,8 +89,14 @@ class EliasFano:
         up = (x >> self.bits).astype(np.int64)
         beyond = up >= int(self.zeros[-1])
         up = np.where(beyond, 0, up)
-        lo = np.where(up > 0, self._select(np.maximum(up - 1, 0), False) - (up - 1), 0)
-        end = self._select(up, False) - up
+        at = np.where(up > 0, self._select(np.maximum(up - 1, 0), False) + 1, 0)  # where the bucket's ones begin
+        lo = at - up
+        w, off = at >> 6, (at & 63).astype(U)
+        rest = ~(self.high[w] >> off)
+        run = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        end = lo + run
+        over = np.flatnonzero(run >= 64 - off.astype(np.int64))  # the run goes on in the next word
+        end[over] = self._select(up[over], False) - up[over]
         hi = end.copy()
         want = x & U((1 << int(self.bits)) - 1)
         live = np.flatnonzero(lo < hi)

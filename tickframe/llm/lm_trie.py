@@ -14,7 +14,7 @@ place among the successors of b, the shorter context.  All of these, and the poi
 each level that starts from the place the level before gave.
 
 Rows: null and empty texts have one token, the end; a null doc_id counts as the empty text for the fold; repeated rows are scored, and counted in training, each on their own; texts are taken whole; lang,
-source and extra columns are ignored.  Words are compared by 64 bits of hash.  Without training texts every score is that of an empty model (0).  An empty table gives no rows.
+source and extra columns are ignored.  Words are compared by HASH_BITS bits of hash.  Without training texts every score is that of an empty model (0).  An empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -33,35 +33,48 @@ CHUNK_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
 SLICE_BYTES = 4 << 20
 ABSENT = 65535
 BEGIN, END = 0, 1
+#: Bits that words are compared by: of the 5 million words of 0.5 GB two fall together with a chance of 0.04.
+HASH_BITS = 48
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, ABSENT - 1).astype(np.uint16)
 
 
-def value(code: np.ndarray, absent: float) -> np.ndarray:
-    return np.where(code == ABSENT, absent, 10.0 ** (code.astype(float) / -STEP))
+def decoding() -> np.ndarray:
+    """The value of each code; that of ABSENT is 0."""
+    table = 10.0 ** (np.arange(ABSENT + 1) / -STEP)
+    table[ABSENT] = 0.0
+    return table
 
 
 def squeezed(arrays: list[np.ndarray]) -> bytes:
-    raw = packed(arrays)
+    """Unsigned arrays as planes of their lowest, second, ... bytes, as many as the largest value needs, compressed."""
+    planes = []
+    for x in arrays:
+        width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+        raw = np.ascontiguousarray(x.astype(np.uint64 if width > 4 else np.uint32)).view(np.uint8).reshape(len(x), 8 if width > 4 else 4)
+        planes += [np.array([width], np.uint8), np.ascontiguousarray(raw[:, :width].T).reshape(-1)]
+    raw = packed(planes)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def loose(blob: bytes) -> list[np.ndarray]:
-    return mapped(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+    planes = mapped(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+    out = []
+    for width, x in zip((int(w[0]) for w in planes[::2]), planes[1::2], strict=True):
+        wide = np.zeros((len(x) // width, 4 if width <= 4 else 8), np.uint8)
+        wide[:, :width] = x.reshape(width, -1).T
+        out.append(wide.view(np.uint32 if width <= 4 else np.uint64).reshape(-1))
+    return out
 
 
 # ---- chunks
 
 
 def _chunks(batches):
-    """Chunks of texts as one row: chunk, number of tokens, texts and training texts, and a blob of (doc ids, are they null, held out, words a text, distinct word hashes, codes)."""
+    """Chunks of texts as one row: chunk, number of tokens, texts and training texts, and a blob of (doc ids, are they null, held out, words a text, steps between the sorted hashes of its distinct
+    words, codes)."""
     schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64()), ("train_docs", pa.int64()), ("blob", pa.binary())])
     held, size, at = [], 0, TaskContext.get().partitionId() << 32
 
@@ -69,14 +82,14 @@ def _chunks(batches):
         words = np.concatenate([x[3] for x in held])
         uniq, code = np.unique(words, return_inverse=True)
         ids, none, out, n = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 4))
-        blob = squeezed([ids, none, out, n, uniq, narrow(code)])
+        blob = squeezed([ids.view(np.uint64), none, out, n, np.diff(uniq, prepend=np.uint64(0)), code])
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, len(words) + len(ids), len(ids), int((out == 0).sum()))] + [pa.array([blob], pa.binary())], schema=schema)
 
     for b in K.slices(batches, limit=SLICE_BYTES):
         buf, offs = K.flat(b.column("text"))
         w = K.words(K.LOWER[buf], offs)
         code, uniq = w.encode()
-        h = np.maximum(K.hash_words(uniq), np.uint64(END + 1))
+        h = np.maximum(K.hash_words(uniq) >> np.uint64(64 - HASH_BITS), np.uint64(END + 1))
         ids = b.column("doc_id")
         held.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), b.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8), h[code] if len(code) else np.zeros(0, np.uint64), np.diff(w.first).astype(np.int64)))
         size += len(code) + b.num_rows
@@ -91,36 +104,41 @@ class Chunk:
     """A chunk taken apart: `words` are the hashes behind the codes (begin, end, then the chunk's words), and b, a, c, train are given per token."""
 
     def __init__(self, blob: bytes):
-        self.ids, self.none, self.out, self.n, uniq, code = loose(blob)
-        self.words = np.concatenate((np.array([BEGIN, END], np.uint64), uniq))
+        ids, self.none, self.out, n, uniq, code = loose(blob)
+        self.ids, self.n = ids.astype(np.uint64).view(np.int64), n.astype(np.int64)
+        self.words = np.concatenate((np.array([BEGIN, END], np.uint64), np.cumsum(uniq.astype(np.uint64))))
         ends = np.cumsum(self.n + 1) - 1  # places of the end tokens
-        self.c = np.full(len(code) + len(self.n), END, np.int64)
+        self.c = np.full(len(code) + len(self.n), END, np.int32)
         is_word = np.ones(len(self.c), bool)
         is_word[ends] = False
-        self.c[is_word] = code.astype(np.int64) + 2
+        self.c[is_word] = code.astype(np.int32) + 2
         self.first = ends - self.n
-        self.b = np.concatenate(([BEGIN], self.c[:-1]))
+        self.b = np.concatenate((np.zeros(1, np.int32), self.c[:-1]))
         self.b[self.first] = BEGIN
-        self.a = np.concatenate(([BEGIN], self.b[:-1]))
+        self.a = np.concatenate((np.zeros(1, np.int32), self.b[:-1]))
         self.a[self.first] = BEGIN
         self.train = np.repeat(self.out == 0, self.n + 1)
 
     def trigrams(self, places: bool = False):
         """Distinct (b, a, c) in this order, how often each stands in training texts, and with `places` the index of each token's."""
         k = len(self.words)
-        pair = self.b * k + self.a
-        if k**3 < 1 << 63:
-            key = pair * k + self.c
-            back = None
-        else:
+        pair = self.b.astype(np.int64) * k + self.a
+        back = None
+        if k**3 >= 1 << 62:
             back, pair = np.unique(pair, return_inverse=True)
-            key = pair * k + self.c
-        got = np.unique(key, return_inverse=True)  # the inverse also gives the counts
-        uniq, inverse = got
-        n = np.bincount(inverse[self.train], minlength=len(uniq))
+        key = pair * k + self.c
+        del pair
+        if places:
+            uniq, inverse = np.unique(key, return_inverse=True)
+            n = np.bincount(inverse[self.train], minlength=len(uniq))
+        else:  # the training mark as lowest bit spares the inverse
+            key = np.sort(key * 2 + self.train)
+            new = grouped(key >> 1)
+            n = np.add.reduceat(key & 1, new) if len(new) else new
+            uniq, inverse = key[new] >> 1, None
         pair, c = uniq // k, uniq % k
         pair = pair if back is None else back[pair]
-        return (pair // k, pair % k, c, n, inverse) if places else (pair // k, pair % k, c, n)
+        return pair // k, pair % k, c, n, inverse
 
 
 class Deal:
@@ -157,15 +175,6 @@ class Deal:
         return (self.mixed(b, c, np.full(len(b), 7, np.uint64)) % np.uint64(self.shards)).astype(np.int64)
 
 
-def totals(hashes, of: dict):
-    """The totals of some contexts, in order, as two arrays; 0 where they are not dealt out."""
-    n, t = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    for i, h in enumerate(hashes):
-        if h in of:
-            n[i], t[i] = of[h]
-    return n, t
-
-
 def parts(ch: Chunk, deal: Deal, b, a, c, n):
     """What a chunk asks: per shard the indices of its trigrams, and of the bigrams of dealt out words; and these bigrams (b, c, n)."""
     hb, ha, hc = ch.words[b], ch.words[a], ch.words[c]
@@ -188,17 +197,16 @@ def _asked(deal):
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 ch = Chunk(blob.as_py())
-                b, a, c, n = ch.trigrams()
+                b, a, c, n, _ = ch.trigrams()
                 per, (b2, c2, n2, _, _) = parts(ch, deal.value, b, a, c, n)
+                at = np.zeros(len(ch.words), np.int64)
                 for s, i, j in per:
-                    codes = np.unique(np.concatenate((b[i], a[i], c[i], b2[j], c2[j])))
-                    local = lambda x: np.searchsorted(codes, x)  # noqa: E731, B023
-                    step = np.diff(local(b[i]), prepend=0)
-                    la = local(a[i])
-                    la = np.where(step > 0, la, np.diff(la, prepend=0)) if len(i) else la
-                    if len(i):
-                        la[0] = local(a[i[:1]])[0]
-                    sent = squeezed([ch.words[codes], narrow(step), narrow(la), narrow(local(c[i])), narrow(n[i]), narrow(local(b2[j])), narrow(local(c2[j])), narrow(n2[j])])
+                    codes = distinct([b[i], a[i], c[i], b2[j], c2[j]])
+                    at[codes] = np.arange(len(codes))
+                    lb, la = at[b[i]], at[a[i]]
+                    step = np.diff(lb, prepend=0)
+                    la = np.where((step > 0) | (np.arange(len(la)) == 0), la, np.diff(la, prepend=0))  # steps inside the run of one b
+                    sent = squeezed([np.diff(ch.words[codes], prepend=np.uint64(0)), step, la, at[c[i]], n[i], at[b2[j]], at[c2[j]], n2[j]])
                     yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([chunk]), pa.array([sent], pa.binary())], schema=schema)
 
     return run, "shard long, chunk long, blob binary"
@@ -206,13 +214,12 @@ def _asked(deal):
 
 def asked(blob: bytes):
     """What `_asked` packed: word hashes, and in their codes b, a, c, n of trigrams and b, c, n of bigrams."""
-    words, step, la, c, n, b2, c2, n2 = (x if x.dtype == np.uint64 else x.astype(np.int64) for x in loose(blob))
-    b = np.cumsum(step.astype(np.int64))
-    la = la.astype(np.int64)
-    total = np.cumsum(la)
-    starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    words, *x = loose(blob)
+    step, la, c, n, b2, c2, n2 = (y.astype(np.int64) for y in x)
+    b, total = np.cumsum(step), np.cumsum(la)
+    starts = grouped(b)
     before = np.repeat(total[starts] - la[starts], np.diff(np.concatenate((starts, [len(b)]))))
-    return words, (b, total - before, c.astype(np.int64), n.astype(np.int64)), (b2.astype(np.int64), c2.astype(np.int64), n2.astype(np.int64))
+    return np.cumsum(words.astype(np.uint64)), (b, total - before, c, n), (b2, c2, n2)
 
 
 # ---- the trie
@@ -294,22 +301,32 @@ class Trie:
         none = np.full(len(b), ABSENT, np.uint16)
         a3, b3, a2, b2 = none, np.zeros(len(b), np.uint16), none.copy(), np.zeros(len(b), np.uint16)
         k = max(len(self.words), 1)
-        i = self.heads.find(np.maximum(b, 0))
-        ok = np.flatnonzero((i >= 0) & (b >= 0))
+
+        def along(starts, *values):
+            return [np.repeat(v, np.diff(np.concatenate((starts, [len(b)])))) for v in values]
+
+        runs = grouped(b)  # each b is looked up once a run
+        head = np.where(b[runs] >= 0, self.heads.find(np.maximum(b[runs], 0)), -1)
+        begin = np.zeros(len(runs), np.int64)
+        begin[head >= 0] = self.starts[head[head >= 0]].astype(np.int64)
+        i, begin = along(runs, head, begin)
+        ok = i >= 0
         b2[ok] = self.b2[i[ok]]
-        place = np.full(len(b), -1)
-        some = ok[c[ok] >= 0]
+        some = np.flatnonzero(ok & (c >= 0))
         at = self.next.find(i[some] * k + c[some])
-        got = at >= 0
-        a2[some[got]] = self.a2[at[got]]
-        place[some[got]] = at[got] - self.starts[i[some[got]]].astype(np.int64)
-        some = ok[a[ok] >= 0]
-        node = self.contexts.find(b[some] * k + a[some])
-        some, node = some[node >= 0], node[node >= 0]
-        b3[some] = self.b3[node]
-        deep = place[some] >= 0
-        some, node = some[deep], node[deep]
-        at = self.last.find(self.base[node].astype(np.int64) + place[some])
+        some, at = some[at >= 0], at[at >= 0]
+        a2[some] = self.a2[at]
+        place = np.full(len(b), -1)
+        place[some] = at - begin[some]
+        runs = grouped(b, a)  # and each context once
+        node = np.where((b[runs] >= 0) & (a[runs] >= 0), self.contexts.find(np.maximum(b[runs], 0) * k + np.maximum(a[runs], 0)), -1)
+        base = np.zeros(len(runs), np.int64)
+        base[node >= 0] = self.base[node[node >= 0]].astype(np.int64)
+        node, base = along(runs, node, base)
+        ok = node >= 0
+        b3[ok] = self.b3[node[ok]]
+        some = np.flatnonzero(ok & (place >= 0))
+        at = self.last.find(base[some] + place[some])
         a3[some[at >= 0]] = self.a3[at[at >= 0]]
         return a3, b3, a2, b2
 
@@ -319,52 +336,60 @@ class Trie:
         return np.where((i >= 0) & (b >= 0), self.seen[np.maximum(i, 0)] if len(self.seen) else 0, 0)
 
 
-def _merged(words, rows, counts):
-    """Sorted distinct rows of codes with their counts added up, and the index of each row given."""
-    k = max(len(words), 1)
-    if k ** len(rows) < 1 << 63:
-        key = rows[0]
-        for x in rows[1:]:
-            key = key * k + x
-        uniq, at = np.unique(key, return_inverse=True)
-        out = []
-        for _ in rows:
-            out.append(uniq % k)
-            uniq = uniq // k
-        out = out[::-1]
-    else:
-        uniq, at = np.unique(np.stack(rows), axis=1, return_inverse=True)
-        out = list(uniq)
-    return out, np.bincount(at, weights=counts, minlength=len(out[0])).astype(np.int64), at
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of some arrays, sorted."""
+    x = np.sort(np.concatenate(parts))
+    return x[grouped(x)]
+
+
+def _merged(key: np.ndarray, n: np.ndarray):
+    """Sorted distinct keys with their counts added up, and the index of each key given."""
+    uniq, at = np.unique(key, return_inverse=True)
+    return uniq, np.bincount(at, weights=n, minlength=len(uniq)).astype(np.int64), at.astype(np.int32)
 
 
 def _answered(deal):
-    """A shard's requests -> its answers, one row a chunk."""
+    """A shard's requests -> its answers, one row a chunk: n of each b, and the codes of its trigrams and bigrams."""
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        got = [asked(x.as_py()) for x in table.column("blob")]
-        words = np.unique(np.concatenate([x[0] for x in got]))
-        to = [np.searchsorted(words, x[0]) for x in got]
-        tri = [np.concatenate([t[x[1][i]] for t, x in zip(to, got, strict=True)]) for i in range(3)]
-        bi = [np.concatenate([t[x[2][i]] for t, x in zip(to, got, strict=True)]) for i in range(2)]
-        sizes = [(len(x[1][0]), len(x[2][0])) for x in got]
-        n3, n2 = np.concatenate([x[1][3] for x in got]), np.concatenate([x[2][2] for x in got])
-        del got
-        tri, n3, at3 = _merged(words, tri, n3)
-        bi, n2, at2 = _merged(words, bi, n2)
+        words = distinct([asked(x.as_py())[0] for x in table.column("blob")])
+        k, pairs = len(words), np.zeros(0, np.int64)
+        if k**3 >= 1 << 63:  # contexts are numbered then, so that a trigram fits 63 bits
+            for x in table.column("blob"):
+                w, (b, a, *_), _ = asked(x.as_py())
+                to = np.searchsorted(words, w)
+                pairs = distinct([pairs, to[b] * k + to[a]])
+        keys, n3, keys2, n2 = [], [], [], []
+        for x in table.column("blob"):
+            w, (b, a, c, n), (d, e, m) = asked(x.as_py())
+            to = np.searchsorted(words, w)
+            pair = to[b] * k + to[a]
+            keys.append((pair if not pairs.size else np.searchsorted(pairs, pair)) * k + to[c])
+            n3.append(n.astype(np.int32))
+            keys2.append(to[d] * k + to[e])
+            n2.append(m.astype(np.int32))
+        sizes = [(len(x), len(y)) for x, y in zip(keys, keys2, strict=True)]
+        tri, n3, at3 = _merged(np.concatenate(keys), np.concatenate(n3))
+        bi, n2, at2 = _merged(np.concatenate(keys2), np.concatenate(n2))
+        del keys, keys2
+        pair, c = tri // k, tri % k
+        pair = pairs[pair] if pairs.size else pair
+        b, a = pair // k, pair % k
+        del tri, pair
+        d, e = bi // k, bi % k
         known, has = n3 > 0, n2 > 0
-        trie = Trie(Trie.build(words, (*[x[known] for x in tri], n3[known]), (*[x[has] for x in bi], n2[has]), deal.value))
-        a3, b3, a2, b2 = trie.answers(*tri)
-        hot = deal.value.hot(words)[tri[0]] if len(tri[0]) else np.zeros(0, bool)
-        a2, b2 = np.where(hot, ABSENT, a2), np.where(hot, 0, b2)
-        _, _, e2, f2 = trie.answers(bi[0], np.full(len(bi[0]), -1), bi[1])
-        seen = trie.occurrences(tri[0])
+        trie = Trie(Trie.build(words, (b[known], a[known], c[known], n3[known]), (d[has], e[has], n2[has]), deal.value))
+        codes = trie.answers(b, a, c)
+        hot = deal.value.hot(words)
+        codes[2][hot[b]], codes[3][hot[b]] = ABSENT, 0
+        _, _, e2, f2 = trie.answers(d, np.full(len(d), -1), e)
+        seen = trie.occurrences(b)
         out, i, j = [], 0, 0
         for m3, m2 in sizes:
-            k, q = at3[i : i + m3], at2[j : j + m2]
-            first = grouped(tri[0][k])  # one count a word b of the request
-            out.append(squeezed([narrow(seen[k[first]]), *[x[k].astype(np.uint16) for x in (a3, b3, a2, b2)], e2[q], f2[q]]))
+            at, q = at3[i : i + m3], at2[j : j + m2]
+            first, ctx = grouped(b[at]), grouped(b[at], a[at])  # one count and B2 a word b of the request, one B3 a context
+            out.append(squeezed([seen[at[first]], codes[0][at], codes[1][at[ctx]], codes[2][at], codes[3][at[first]], e2[q], f2[q]]))
             i, j = i + m3, j + m2
         return pa.Table.from_arrays([table.column("chunk"), table.column("shard"), pa.array(out, pa.binary())], schema=schema)
 
@@ -384,16 +409,19 @@ def _summed(deal, total: int, distinct: int, train_docs: int):
         two = np.zeros((2, len(b2)), np.uint16)
         seen = np.zeros(len(ch.words), np.int64)
         for s, i, j in per:
-            m, *x = loose(blobs[s].as_py())
-            seen[b[i][grouped(b[i])]] = np.maximum(seen[b[i][grouped(b[i])]], m.astype(np.int64))
-            codes[:, i] = x[:4]
-            two[:, j] = x[4:]
+            m, a3, b3, a2, f2, *x = loose(blobs[s].as_py())
+            first, ctx = grouped(b[i]), grouped(b[i], a[i])
+            along = lambda v, at: np.repeat(v, np.diff(np.concatenate((at, [len(i)]))))  # noqa: E731, B023
+            seen[b[i[first]]] = m
+            codes[:, i] = a3, along(b3, ctx), a2, along(f2, first)
+            two[:, j] = x
         codes[2:, hot] = two[:, at]
         dealt = np.flatnonzero(deal.value.hot(ch.words))
         seen[dealt] = [deal.value.words[int(h)][0] for h in ch.words[dealt]]
         seen[BEGIN], seen[END] = 0, train_docs
         p1 = (seen + PRIOR) / (total + PRIOR * (distinct + 1))
-        p = value(codes[0], 0.0) + value(codes[1], 1.0) * (value(codes[2], 0.0) + value(codes[3], 1.0) * p1[c])
+        of = decoding()
+        p = of[codes[0]] + of[codes[1]] * (of[codes[2]] + of[codes[3]] * p1[c])
         sums = lambda x: np.add.reduceat(x, ch.first) if len(ch.first) else np.zeros(0)
         ids = pa.array(ch.ids, mask=ch.none.astype(bool))
         rows = [ids, pa.array(ch.out == 1), pa.array(ch.n + 1), pa.array(sums((seen[ch.c] > 0).astype(np.int64))), pa.array(np.full(len(ch.n), total)), pa.array(sums(np.log10(p1)[ch.c])), pa.array(sums(np.log10(p)[inverse]))]
