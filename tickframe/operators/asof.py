@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs as X
 from .families import onto_spine, path_window, quote_ofi
+from .order import quantiles
 
 WINDOWS = (5, 15, 30, 60)
 
@@ -154,7 +155,7 @@ def second_grid(order: DataFrame, trade: DataFrame, seconds: int = 60) -> DataFr
 def price_histogram(trade: DataFrame, bins: int = 16) -> DataFrame:
     """Signed and total volume per sample and log-price bin; edges are exact global quantiles."""
     x = trade.where("price > 0").withColumn("lp", F.ln("price"))
-    edges = x.agg(F.percentile("lp", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
+    edges = quantiles(x, {"e": ("lp", [i / bins for i in range(1, bins)])})
     b = x.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda e: e <= F.col("lp"))))
     return b.groupBy("sample_id", "bin").agg(F.sum(X.signed_trade_flow()).alias("signed"), F.sum("volume").alias("total"), F.count("*").alias("n"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .metrics import correlation, cosine
+from .order import quantiles
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def conditional_grid(df: DataFrame, a: str, b: str, y: str, key: str) -> DataFra
 
 def magnitude_buckets(df: DataFrame, p: str, y: str, edges=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Sign accuracy, correlation and share of the inner product by half-open buckets of |y|."""
-    e = df.agg(F.percentile(F.abs(y), F.array(*[F.lit(x) for x in edges])).alias("e"))
+    e = quantiles(df, {"e": (F.abs(y), list(edges))})
     b = df.join(F.broadcast(e)).withColumn("bucket", F.size(F.filter("e", lambda v: v <= F.abs(F.col(y)))))
     out = b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.when(F.signum(p) == F.signum(y), 1.0).otherwise(0.0)).alias("sign_accuracy"), correlation(p, y).alias("corr"), F.sum(F.col(p) * F.col(y)).alias("inner"))
     return out.withColumn("share", F.try_divide(F.col("inner"), F.sum("inner").over(W.partitionBy(F.lit(1))))).drop("inner")

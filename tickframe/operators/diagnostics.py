@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.protocol import random_fold
 from .audit import correlation_pairs
-from .metrics import average_rank, centred, correlation, cosine, distribution
+from .metrics import centred, correlation, cosine, distribution
+from .order import quantiles, rank_correlations
 
 
 def scale(x: str, method: str) -> Column:
@@ -33,19 +34,20 @@ def prediction_report(df: DataFrame, pred: str, reference: str, *by: str) -> Dat
 
 def drift_report(df: DataFrame, x: str, late: Column) -> DataFrame:
     """Mean, mean shift, ratio of deviations and of the 99 % quantiles of |x|, late rows and early ones against the early ones."""
-    stats = [F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.percentile(F.abs(x), 0.99).alias("q")]
+    stats = [F.avg(x).alias("m"), F.stddev_pop(x).alias("s")]
     rows = df.withColumn("late", late)
-    both = rows.groupBy("late").agg(F.count("*").alias("n"), *stats)
-    ref = rows.where(~F.col("late")).agg(*stats).toDF("m0", "s0", "q0")
+    q = quantiles(rows, {"q": (F.abs(x), 0.99)}, ["late"])
+    both = rows.groupBy("late").agg(F.count("*").alias("n"), *stats).join(F.broadcast(q), "late", "left")
+    ref = both.where(~F.col("late")).select(F.col("m").alias("m0"), F.col("s").alias("s0"), F.col("q").alias("q0"))
     return both.join(F.broadcast(ref)).select("late", "n", F.col("m").alias("mean"), (F.col("m") - F.col("m0")).alias("mean_shift"), F.try_divide("s", "s0").alias("std_ratio"), F.try_divide("q", "q0").alias("abs_p99_ratio"))
 
 
 def associations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson and Spearman correlation of x with y and with |y|."""
     r = df.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.abs(y).alias("ay"))
-    r = r.withColumns({"rx": average_rank(by, "x"), "ry": average_rank(by, "y"), "ray": average_rank(by, "ay")})
-    pairs = {"pearson": ("x", "y"), "spearman": ("rx", "ry"), "pearson_abs": ("x", "ay"), "spearman_abs": ("rx", "ray")}
-    return r.groupBy(*by).agg(*[correlation(a, b).alias(k) for k, (a, b) in pairs.items()])
+    plain = r.groupBy(*by).agg(correlation("x", "y").alias("pearson"), correlation("x", "ay").alias("pearson_abs"))
+    ranked = rank_correlations(r, {"spearman": ("x", "y"), "spearman_abs": ("x", "ay")}, by)
+    return plain.join(ranked, by, "left") if by else plain.join(F.broadcast(ranked))
 
 
 def overlap_audit(df: DataFrame, new: list[str], known: list[str]) -> DataFrame:
@@ -57,7 +59,7 @@ def overlap_audit(df: DataFrame, new: list[str], known: list[str]) -> DataFrame:
 
 def stratified_delta(df: DataFrame, activity: str, base: str, cand: str, y: str, cuts=(0.5, 0.9)) -> DataFrame:
     """Change of the cosine in strata of activity cut at exact quantiles."""
-    e = df.agg(F.percentile(activity, F.array(*[F.lit(x) for x in cuts])).alias("e"))
+    e = quantiles(df, {"e": (activity, list(cuts))})
     s = df.join(F.broadcast(e)).withColumn("stratum", F.size(F.filter("e", lambda v: v <= F.col(activity))))
     return s.groupBy("stratum").agg(F.count("*").alias("n"), (cosine(cand, y) - cosine(base, y)).alias("delta"))
 

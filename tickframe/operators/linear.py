@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.protocol import splits, tag_roles
+from .order import quantiles
 from .retrieval import gram
 
 
@@ -75,8 +76,8 @@ def innovations(df: DataFrame, drivers: list[str], value: str, fold: str, inner,
     coefs = fold_ridge(train, drivers, value, fold, lam)
     rows = predicted(df.withColumn("__fold", F.when(inner, F.col(fold)).otherwise(-1).cast("int")), coefs, drivers, "__fold", "__p")
     rows = rows.withColumn("__r", F.col(value) - F.col("__p"))
-    mid = rows.where(inner).agg(F.percentile("__r", 0.5).alias("__mid"))
-    mad = rows.where(inner).join(F.broadcast(mid)).agg(F.percentile(F.abs(F.col("__r") - F.col("__mid")), 0.5).alias("__mad"))
+    mid = quantiles(rows.where(inner), {"__mid": ("__r", 0.5)})
+    mad = quantiles(rows.where(inner).join(F.broadcast(mid)), {"__mad": (F.abs(F.col("__r") - F.col("__mid")), 0.5)})
     z = F.col("__r") / F.when(F.col("__mad") > 0, F.col("__mad")).otherwise(1.0)
     return rows.join(F.broadcast(mad)).withColumn("innovation", F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))).drop("__fold", "__p", "__r", "__mad")
 

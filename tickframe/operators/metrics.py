@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .order import quantiles, rank_correlations, value_ranks
+
 
 def c_(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -46,27 +48,23 @@ QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def distribution(df: DataFrame, x: str, *by: str) -> DataFrame:
     """Count, mean, population deviation, range and exact quantiles."""
-    q = F.percentile(x, F.array(*[F.lit(v) for v in QUANTILES]))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(x).isNotNull() & ~F.isnan(x)).alias("finite"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), q.alias("q"))
+    q = quantiles(df, {"q": (x, list(QUANTILES))}, list(by))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(x).isNotNull() & ~F.isnan(x)).alias("finite"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    out = out.join(F.broadcast(q), list(by), "left") if by else out.join(F.broadcast(q))  # one row a group
     return out.select(*by, "n", "finite", "mean", "std", "lo", "hi", *[F.col("q")[i].alias(f"q{round(100 * v):02d}") for i, v in enumerate(QUANTILES)])
 
 
-def average_rank(by, x: str) -> Column:
-    """Rank with ties averaged."""
-    w = W.partitionBy(*by).orderBy(x)
-    return F.rank().over(w) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / 2
-
-
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    r = df.select(*by, average_rank(by, a).alias("ra"), average_rank(by, b).alias("rb"))
-    return r.groupBy(*by).agg(correlation("ra", "rb").alias("spearman"))
+    """Rank correlation with average ranks, over the rows that have both values."""
+    return rank_correlations(df, {"spearman": (a, b)}, by)
 
 
 def auc(df: DataFrame, score: str, label: Column, by: list[str]) -> DataFrame:
-    """Mann-Whitney area with average ranks."""
-    r = df.select(*by, average_rank(by, score).alias("r"), label.cast("double").alias("y"))
-    n1, n = F.sum("y"), F.count("*")
-    return r.groupBy(*by).agg(F.when((n1 > 0) & (n1 < n), (F.sum(F.col("r") * F.col("y")) - n1 * (n1 + 1) / 2) / (n1 * (n - n1))).alias("auc"))
+    """Mann-Whitney area with average ranks; null where a class is missing.  Rows without score or label do not count.  Works on the distinct scores, so no task ranks all rows."""
+    rows = df.select(*by, F.col(score).alias("score"), label.cast("long").alias("__y")).where("__y is not null")
+    r = value_ranks(rows, "score", by, y=F.sum("__y"))
+    n1, n = F.sum("y").cast("double"), F.sum("n").cast("double")
+    return r.groupBy(*by).agg(F.when((n1 > 0) & (n1 < n), F.try_divide(F.sum(F.col("rank") * F.col("y")) - n1 * (n1 + 1) / 2, n1 * (n - n1))).alias("auc"))
 
 
 def monthly(df: DataFrame, base: str, cand: str, y: str) -> DataFrame:
@@ -100,7 +98,7 @@ def bootstrap(months: DataFrame, rounds: int = 5000, seed: int = 7) -> DataFrame
 
 def state_conditioned(df: DataFrame, state: str, base: str, cand: str, y: str, inner: Column) -> DataFrame:
     """Quartile edges of the state from inner rows, cosine difference per bucket on the others."""
-    edges = df.where(inner).agg(F.percentile(state, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    edges = quantiles(df.where(inner), {"e": (state, [0.25, 0.5, 0.75])})
     out = df.where(~inner).join(F.broadcast(edges))
     bucket = F.size(F.filter("e", lambda e: e <= F.col(state)))
     return out.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), (cosine(cand, y) - cosine(base, y)).alias("delta"))

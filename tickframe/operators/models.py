@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.protocol import NESTED, splits, tag_roles
 from .blend import apply_alpha, fit_alpha, residual_view
 from .metrics import auc, cosine
+from .order import quantiles
 
 Factory = Callable[[str, str], Estimator]
 
@@ -109,6 +110,6 @@ def size_gate(train: DataFrame, apply: DataFrame, pred: str, features: list[str]
     """Rows with `size` (a learner of log |y|, back on the scale of y) and `gated`: the prediction times (size / median size of the training rows) ^ power."""
     t = train.withColumn("log_size", F.ln(F.abs(y) + 1e-6))
     back = lambda d: d.withColumn("size", F.exp("log_size_pred"))
-    mid = back(fitted(t, t, features, "log_size", factory, "log_size_pred")).agg(F.percentile("size", 0.5).alias("mid"))
+    mid = quantiles(back(fitted(t, t, features, "log_size", factory, "log_size_pred")), {"mid": ("size", 0.5)})
     out = back(fitted(t, apply, features, "log_size", factory, "log_size_pred")).join(F.broadcast(mid))
     return out.withColumn("gated", F.col(pred) * F.pow(F.col("size") / F.col("mid"), power)).drop("mid")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..plans.protocol import ROLLING, splits, tag_roles
 from .blend import apply_blend, sums
 from .metrics import cosine, rms
+from .order import quantiles
 
 METHODS = ("raw", "std", "rms")
 
@@ -87,7 +88,7 @@ def weight_scan(df: DataFrame, a: str, b: str, y: str, late: Column, weights) ->
 def fit_bin_gate(df: DataFrame, p: str, size: str, y: str, scales=(0.5, 0.75, 1.0, 1.25, 1.5), shrink: float = 0.01) -> DataFrame:
     """Scales g0..g3 of four quartile bins of a size estimate that maximise the cosine of the scaled prediction less shrink * sum (g - 1)^2, on a grid; the bins' sums
     are one pass.  One row: edges e, g0..g3, score."""
-    edges = df.agg(F.percentile(size, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    edges = quantiles(df, {"e": (size, [0.25, 0.5, 0.75])})
     b = df.join(F.broadcast(edges)).select("e", F.size(F.filter("e", lambda v: v <= F.col(size))).alias("bin"), F.col(p).alias("p"), F.col(y).alias("y"))
     at = lambda i, v: F.coalesce(F.sum(F.when(F.col("bin") == i, v)), F.lit(0.0))
     s = b.groupBy("e").agg(*[at(i, F.col("p") * F.col("y")).alias(f"py{i}") for i in range(4)], *[at(i, F.col("p") * F.col("p")).alias(f"pp{i}") for i in range(4)], F.sum(F.col("y") * F.col("y")).alias("yy"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.exprs import finite
 from ..session import scratch_path
 from .metrics import correlation
+from .order import quantiles
 
 
 def fit_robust(df: DataFrame, cols: list[str], half_range: bool = False) -> DataFrame:
     """One row: median and interquartile range of each column.  A zero range counts as 1, or with `half_range` as half of the whole range, if that is not 0."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias(c) for c in cols])
+    q = quantiles(df, {c: (c, [0.0, 0.25, 0.5, 0.75, 1.0]) for c in cols})
 
     def width(c):
         iqr, half = F.col(c)[3] - F.col(c)[1], (F.col(c)[4] - F.col(c)[0]) / 2
@@ -29,7 +30,7 @@ def apply_robust(df: DataFrame, state: DataFrame, cols: list[str], clip: float |
 
 
 def fit_edges(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
-    return df.agg(*[F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(f"{c}_edges") for c in cols])
+    return quantiles(df, {f"{c}_edges": (c, [i / bins for i in range(1, bins)]) for c in cols})
 
 
 def apply_edges(df: DataFrame, state: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
@@ -100,9 +101,9 @@ def unit_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_state(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: 1 % and 99 % quantiles, and the median and interquartile range (1e-6 at least) of the values clipped to them."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"{c}_q") for c in cols])
+    q = quantiles(df, {f"{c}_q": (c, [0.01, 0.99]) for c in cols})
     clipped = df.join(F.broadcast(q)).select(*[f"{c}_q" for c in cols], *[F.least(F.greatest(F.col(c), F.col(f"{c}_q")[0]), F.col(f"{c}_q")[1]).alias(c) for c in cols])
-    r = clipped.agg(*[F.first(f"{c}_q").alias(f"{c}_q") for c in cols], *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}_r") for c in cols])
+    r = quantiles(clipped, {f"{c}_r": (c, [0.25, 0.5, 0.75]) for c in cols}).join(F.broadcast(q))
     out = lambda c: (F.col(f"{c}_q")[0].alias(f"{c}_lo"), F.col(f"{c}_q")[1].alias(f"{c}_hi"), F.col(f"{c}_r")[1].alias(f"{c}_med"), F.greatest(F.col(f"{c}_r")[2] - F.col(f"{c}_r")[0], F.lit(1e-6)).alias(f"{c}_iqr"))
     return r.select(*[y for c in cols for y in out(c)])
 
@@ -135,7 +136,7 @@ def select_features(df: DataFrame, cols: list[str], y: str, low: float, high: fl
     """(name, corr, kept): columns whose absolute correlation with y reaches `low`; then, from the strongest pair of columns correlated by `high` or more down, the one that is
     weaker against y goes, unless one of the pair is gone already.  Nulls take the median between columns.  One pass for all correlations; only the table of
     pairs (columns squared) is looked at on the driver."""
-    med = df.agg(*[F.percentile(c, 0.5).alias(f"{c}__m") for c in cols])
+    med = quantiles(df, {f"{c}__m": (c, 0.5) for c in cols})
     rows = df.join(F.broadcast(med)).select(y, *cols, *[F.coalesce(F.col(c), F.col(f"{c}__m")).alias(f"{c}__f") for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     zero = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
@@ -154,7 +155,7 @@ def residual_codes(df: DataFrame, x: str, layers: int, k: int, rounds: int = 5)
     one pass with k centres."""
     rest = df.withColumn("__rest", F.col(x).cast("double"))
     for layer in range(layers):
-        start = rest.agg(F.percentile("__rest", F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("m")).head().m
+        start = quantiles(rest, {"m": ("__rest", [(i + 0.5) / k for i in range(k)])}).head().m
         mids = sorted(set(start))
         place = lambda mids: F.size(F.filter(F.array(*[F.lit((a + b) / 2) for a, b in zip(mids[:-1], mids[1:], strict=True)]).cast("array<double>"), lambda e: e <= F.col("__rest")))
         for _ in range(rounds):

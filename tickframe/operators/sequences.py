@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import exprs as X
 from .families import newest, path_window
 from .prep import numbered
+from .order import quantiles
 
 RAW = ("bid_price_1", "ask_price_1", "bid_volume_1", "ask_volume_1", "bid_price_2", "ask_price_2", "bid_volume_2", "ask_volume_2", "transaction_avgprice", "transaction_volume", "transaction_count")
 
@@ -124,7 +125,7 @@ def phase_randomised(seq: DataFrame, channels: list[str], seed: int = 1) -> Data
 
 def target_probes(df: DataFrame, y: str, train: Column, bins: int = 100) -> DataFrame:
     """Sign, size, place among `bins` exact quantiles of the training targets, and whether the size passes their 90 % quantile."""
-    q = df.where(train).agg(F.percentile(y, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"), F.percentile(F.abs(y), 0.9).alias("p90"))
+    q = quantiles(df.where(train), {"e": (y, [i / bins for i in range(1, bins)]), "p90": (F.abs(y), 0.9)})
     place = F.size(F.filter("e", lambda v: v <= F.col(y))) / bins
     return df.join(F.broadcast(q)).withColumns({"sign": F.signum(y), "size": F.abs(y), "place": place, "large": F.abs(y) > F.col("p90")}).drop("e", "p90")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exprs as X
+from .order import quantiles
 
 WEIGHTS = (15, 30, 60)
 WINDOWS = (15, 30, 45, 120)
@@ -162,7 +163,7 @@ def _family(prepared: DataFrame, features: dict[str, str]) -> DataFrame:
 
 
 def trades(trade: DataFrame) -> DataFrame:
-    q = trade.agg(F.percentile("volume", 0.9).alias("q90"), F.percentile("volume", 0.95).alias("q95"))
+    q = quantiles(trade, {"q90": ("volume", 0.9), "q95": ("volume", 0.95)})
     p = trade.sparkSession.sql(PREPARED.format(events="{events}"), events=trade)
     return _family(p.join(F.broadcast(q)), TRADES)
 

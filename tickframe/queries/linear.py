@@ -63,7 +63,7 @@ def _oof_sql():
         parts += [_others(f"g{k}", x, "target"), _coefs(f"g{k}", f"w{k}", len(x) == 2)]
         preds.append(f"w{k}.c + w{k}.b1 * {x[0]} + w{k}.b2 * {(x + ['0'])[1]} AS {k}")
         joins.append(f"JOIN w{k} ON w{k}.grp = month // 10")
-    rows = " UNION ALL ".join(f"SELECT block, '{k}' AS model, target, {k} AS p, big, rank() OVER (PARTITION BY block ORDER BY {k}) + (count(*) OVER (PARTITION BY block, {k}) - 1) / 2.0 AS r FROM o" for k in _MODELS)
+    rows = " UNION ALL ".join(f"SELECT block, '{k}' AS model, target, {k} AS p, big, rank() OVER (PARTITION BY block ORDER BY round({k}, 12)) + (count(*) OVER (PARTITION BY block, round({k}, 12)) - 1) / 2.0 AS r FROM o" for k in _MODELS)
     n1 = "count(*) FILTER (WHERE big)"
     return f"""{PRD}, {', '.join(parts)}, p AS (SELECT month // 10 AS block, target, {', '.join(preds)} FROM prd {' '.join(joins)}),
  o AS (SELECT *, target >= quantile_cont(target, 0.9) OVER (PARTITION BY block) AS big FROM p), r AS ({rows})
@@ -78,11 +78,10 @@ def oof_ridge_models(spark, d):
     o = M.oof_predictions(p, _MODELS, "target", "block", LAM)
     edge = o.groupBy("block").agg(F.percentile("target", 0.9).alias("edge"))
     o = o.join(F.broadcast(edge), "block").withColumn("big", F.col("target") >= F.col("edge"))
-    out = []
-    for k in _MODELS:
-        m = o.groupBy("block").agg(F.count("*").alias("n"), I.r2(k, "target").alias("r2"), (F.avg(F.abs(F.col("target") - F.col(k))) * 1e3).alias("mae"))
-        out.append(m.join(I.auc(o, k, F.col("big"), ["block"]), "block").withColumn("model", F.lit(k)))
-    return X.tidied(reduce(DataFrame.unionByName, out))
+    flat = o.select("block", "target", "big", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(k).alias("p")) for k in _MODELS])).alias("m")).select("block", "target", "big", "m.*")
+    m = flat.groupBy("block", "model").agg(F.count("*").alias("n"), I.r2("p", "target").alias("r2"), (F.avg(F.abs(F.col("target") - F.col("p"))) * 1e3).alias("mae"))
+    ranked = flat.withColumn("p", F.round("p", 12))  # equal to twelve digits is a tie, in any engine
+    return X.tidied(m.join(I.auc(ranked, "p", F.col("big"), ["block", "model"]), ["block", "model"]))
 
 
 @query(f"""{PRD}, {_others('g', ['pred_a'], 'pred_b', 'month <= 50')}, {_coefs('g', 'w', False)}, r AS (SELECT month, pred_b - w.c - w.b1 * pred_a AS r FROM prd JOIN w ON w.grp = CASE WHEN month <= 50 THEN month // 10 ELSE -1 END),
