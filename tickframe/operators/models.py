@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
@@ -13,8 +14,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.protocol import NESTED, splits, tag_roles
+from ..plans.protocol import NESTED, NESTED_MONTHS, splits, tag_roles
+from ..session import scratch_path
 from .blend import apply_alpha, fit_alpha, residual_view
+from .checks import content_hash, name_hash
 from .metrics import auc, cosine
 from .order import quantiles
 
@@ -53,21 +56,64 @@ def fitted(train: DataFrame, apply: DataFrame, features: list[str], label: str,
     return model.transform(with_vector(apply, features)).withColumnRenamed("prediction", name).drop("x")
 
 
+class Stopped:
+    """Boosted trees whose number is found on held rows and then kept.  `choose` fits up to `most` trees; by "error" the fit itself stops at the first tree that does not lower the held rows' squared error
+    (`validationIndicatorCol`); by "cosine" all are fitted and the number with the best cosine on the held rows wins (to nine digits, fewer trees first)."""
+
+    def __init__(self, most: int = 20, depth: int = 3, step: float = 0.1, by: str = "error"):
+        if by not in ("error", "cosine"):
+            raise ValueError(f"unknown rule: {by}")
+        self.most, self.depth, self.step, self.by = most, depth, step, by
+
+    def __call__(self, features: str, label: str, trees: int | None = None) -> Estimator:
+        return GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees or self.most, maxDepth=self.depth, stepSize=self.step, seed=7)
+
+    def choose(self, train: DataFrame, held: DataFrame, features: list[str], label: str) -> int:
+        est = self("x", label)
+        if self.by == "cosine":
+            curve = staged_cosines(est.fit(with_vector(train, features)), with_vector(held, features), label)
+            return max(range(len(curve)), key=lambda i: (round(curve[i], 9), -i)) + 1
+        both = train.withColumn("__held", F.lit(False)).unionByName(held.withColumn("__held", F.lit(True)))
+        est.setValidationIndicatorCol("__held").setParams(validationTol=0.0)
+        return est.fit(with_vector(both, features)).getNumTrees
+
+    def fixed(self, trees: int) -> Factory:
+        return lambda features, label: self(features, label, trees)
+
+
+def staged_cosines(model, rows: DataFrame, y: str) -> list[float]:
+    """Cosine with y of the first 1, 2, ... trees of a boosted model, all from one pass over the rows."""
+    sums, total = [], F.lit(0.0)
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights, strict=True)):
+        rows = tree.setFeaturesCol("x").setPredictionCol(f"__t{i}").transform(rows)
+        total = total + F.lit(float(weight)) * F.col(f"__t{i}")
+        sums.append(cosine(total, y).alias(f"c{i}"))
+    return [float(c) for c in rows.agg(*sums).head()]
+
+
 def residual_protocol(df: DataFrame, split: str, base: str, features: list[str], y: str, factory: Factory, alphas, table=NESTED) -> DataFrame:
     """One outer split: a learner of the residual fitted on the inner train months, alpha chosen on the tune months, refitted on all months before the outer ones, which come back with
-    `residual_pred`, `blend` (frozen alpha and scales) and `alpha`."""
+    `residual_pred`, `blend` (frozen alpha and scales) and `alpha`.  A learner that is stopped (`Stopped`) finds its number of trees on the tune months' residuals (of the inner beta) and keeps it in
+    the refit; the outer rows then have `trees` too.  Outer targets are looked at by nothing here."""
     rows = tag_roles(df, splits(df.sparkSession, [r for r in table if r[0] == split]))
     role = lambda name: rows.where(F.col("role") == name).drop("role")
     target = lambda d: residual_view(d, base, y, F.lit(True))
-    tune = fitted(target(role("inner_train")), role("inner_tune"), features, "residual", factory, "residual_pred")
+    inner, held, trees = target(role("inner_train")), role("inner_tune"), None
+    if isinstance(factory, Stopped):
+        seen = residual_view(role("inner_train").withColumn("__fit", F.lit(True)).unionByName(held.withColumn("__fit", F.lit(False))), base, y, F.col("__fit"))
+        trees = factory.choose(seen.where("__fit").drop("__fit"), seen.where("not __fit").drop("__fit"), features, "residual")
+        factory = factory.fixed(trees)
+    tune = fitted(inner, held, features, "residual", factory, "residual_pred")
     state = fit_alpha(tune, base, "residual_pred", y, [], alphas)
     outer = fitted(target(role("refit_train")), role("outer_valid"), features, "residual", factory, "residual_pred")
-    return apply_alpha(outer, state.select("alpha", "ka", "kb"), base, "residual_pred", [])
+    out = apply_alpha(outer, state.select("alpha", "ka", "kb"), base, "residual_pred", [])
+    return out if trees is None else out.withColumn("trees", F.lit(trees))
 
 
 def outer_summary(outers: dict[str, DataFrame], base: str, y: str) -> DataFrame:
-    """(split, n, alpha, base, blend, delta) of each outer split's rows."""
-    one = lambda k, d: d.agg(F.count("*").alias("n"), F.first("alpha").alias("alpha"), cosine(base, y).alias("base"), cosine("blend", y).alias("blend")).select(F.lit(k).alias("split"), "*", (F.col("blend") - F.col("base")).alias("delta"))
+    """(split, n, alpha, base, blend, delta) of each outer split's rows, and the number of trees of a stopped learner."""
+    more = lambda d: [F.first("trees").alias("trees")] if "trees" in d.columns else []
+    one = lambda k, d: d.agg(F.count("*").alias("n"), F.first("alpha").alias("alpha"), *more(d), cosine(base, y).alias("base"), cosine("blend", y).alias("blend")).select(F.lit(k).alias("split"), "*", (F.col("blend") - F.col("base")).alias("delta"))
     return reduce(DataFrame.unionByName, [one(k, d) for k, d in outers.items()])
 
 
@@ -106,6 +152,61 @@ def ensemble(train: DataFrame, apply: DataFrame, features: list[str], y: str, me
     return out.withColumn("blend", sum((w * F.col(k) for k, (w, _) in members.items()), F.lit(0.0)))
 
 
+def ensemble_protocol(df: DataFrame, split: str, features: list[str], y: str, members: dict[str, tuple[float, Factory]], table=NESTED) -> tuple[DataFrame, dict[str, int]]:
+    """One outer split of an ensemble: learners that are stopped find their number of trees on the tune months after a fit on the inner train months; all are refitted on the months before the
+    outer ones, whose rows come back with every prediction and the blend.  Also the numbers found."""
+    rows = tag_roles(df, splits(df.sparkSession, [r for r in table if r[0] == split]))
+    role = lambda name: rows.where(F.col("role") == name).drop("role")
+    found = {k: f.choose(role("inner_train"), role("inner_tune"), features, y) for k, (_, f) in members.items() if isinstance(f, Stopped)}
+    fixed = {k: (w, f.fixed(found[k]) if k in found else f) for k, (w, f) in members.items()}
+    return ensemble(role("refit_train"), role("outer_valid"), features, y, fixed), found
+
+
+RUN = "frame string, split string, features int, feature_hash string, rows_hash string, n long, alpha double, base double, blend double, delta double"
+
+
+def run_candidates(rows: DataFrame, frames: dict[str, DataFrame], base: str, y: str, factory: Factory, alphas, outers=tuple(NESTED_MONTHS), store: str | None = None) -> DataFrame:
+    """The residual protocol over feature frames (sample_id and features; month and target are taken from `rows`) and outer splits: a row a run with the hash of the ordered feature names and of the rows that it
+    saw.  With `store` each finished run is kept there, and a run with the same frame, split and hashes is read instead of repeated, so that a broken series goes on where it ended."""
+    spark = rows.sparkSession
+    done = {}
+    if store is not None:
+        try:
+            done = {(r.frame, r.split, r.feature_hash, r.rows_hash): r for r in spark.read.schema(RUN).parquet(store).collect()}  # a row a run
+        except AnalysisException:  # nothing there yet
+            done = {}
+    out = []
+    for name, table in frames.items():
+        features = [c for c in table.columns if c not in ("sample_id", "month", "target")]
+        path = scratch_path(spark)
+        rows.join(table.select("sample_id", *features), "sample_id").write.parquet(path)  # fits read it many times
+        data = spark.read.parquet(path)
+        key = name_hash(features), str(content_hash(data.select(*sorted(data.columns))).head().hash)
+        for split in outers:
+            if (name, split, *key) not in done:
+                s = outer_summary({split: residual_protocol(data, split, base, features, y, factory, alphas)}, base, y).head()
+                run = spark.createDataFrame([(name, split, len(features), *key, s.n, s.alpha, s.base, s.blend, s.delta)], RUN)
+                if store is not None:
+                    run.write.mode("append").parquet(store)
+                done[name, split, *key] = run.head()
+            out.append(done[name, split, *key])
+    return spark.createDataFrame(out, RUN)
+
+
+def importances(train: DataFrame, features: list[str], y: str, trees: int = 10) -> list[tuple[str, float]]:
+    """Features with their share of a boosted fit's gain, largest first (ties by name)."""
+    model = boosted(trees)("x", y).fit(with_vector(train, features))
+    return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-round(x[1], 9), x[0]))
+
+
+def count_curve(run: Callable[[list[str]], DataFrame], ranked: list[tuple[str, float]], counts, base: str, y: str) -> DataFrame:
+    """(features, n, alpha, base, blend, delta): the run on the first k features by importance, for each k of `counts`; and under 0 on those with any importance at all (the pruned set)."""
+    names = [f for f, _ in ranked]
+    sets = {k: names[:k] for k in counts if 0 < k <= len(names)} | {0: [f for f, x in ranked if x > 0] or names[:1]}
+    out = [outer_summary({str(len(f)): run(f)}, base, y).withColumns({"features": F.lit(k), "used": F.lit(len(f))}).drop("split") for k, f in sets.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def size_gate(train: DataFrame, apply: DataFrame, pred: str, features: list[str], y: str, factory: Factory, power: float = 0.5) -> DataFrame:
     """Rows with `size` (a learner of log |y|, back on the scale of y) and `gated`: the prediction times (size / median size of the training rows) ^ power."""
     t = train.withColumn("log_size", F.ln(F.abs(y) + 1e-6))

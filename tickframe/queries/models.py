@@ -1,11 +1,14 @@
 """Learners in the month protocol as queries.  Their fits are iterative, so there is no SQL; tests check them against their parts."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+from functools import reduce
 
-from ..operators import metrics as I, models as M
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import asof, families as E, metrics as I, micro, models as M, sequences as Q
 from ..plans import protocol as H
-from ..sources.adapter import frame
+from ..sources.adapter import frame, read_tables
 from .production import ALPHAS
 
 QUERIES: dict = {}
@@ -26,9 +29,32 @@ def _rows(spark, d):
 
 @query
 def residual_protocol(spark, d):
-    """Boosted residual learner over the outer splits: alpha, cosines and gain."""
+    """Boosted residual learner, stopped on the tune months and refitted with as many trees, over all four outer splits: alpha, trees, cosines and gain."""
     p = _rows(spark, d)
-    return M.outer_summary({k: M.residual_protocol(p, k, "pred_a", FEATURES, "target", M.boosted(), ALPHAS) for k in ("T3", "T4")}, "pred_a", "target")
+    return M.outer_summary({k: M.residual_protocol(p, k, "pred_a", FEATURES, "target", M.Stopped(12), ALPHAS) for k in H.NESTED_MONTHS}, "pred_a", "target")
+
+
+def _frames(t):
+    """Feature frames of the samples: geometry, its path, signature, interactions with flows, normalised windows and their context part."""
+    geometry, flow, windows = E.lob_geometry(t.market), E.event_flow(t.order, t.trade, t.label), micro.normalised_windows(t.market, t.order, t.trade, t.label)
+    context = windows.select("sample_id", *[c for c in windows.columns if re.match(Q.CONTEXT, c)])
+    return {"geometry": E.onto_spine(t.label, geometry), "temporal": asof.geometry_temporal(t.market, t.label), "signature": asof.path_signature(t.market, t.trade, t.label), "interactions": E.interactions(geometry, flow), "windows": windows, "context": context}
+
+
+@query
+def frame_candidates(spark, d):
+    """Residual protocol with a linear learner over six frames of order-book features and the last two outer splits: a run table with feature hashes."""
+    t = read_tables(spark, d)
+    rows = t.label.join(frame(spark, d, "prd").select("sample_id", "pred_a"), "sample_id")
+    return M.run_candidates(rows, _frames(t), "pred_a", "target", M.linear(0.1), ALPHAS, ("T3", "T4"))
+
+
+@query
+def feature_count_curve(spark, d):
+    """Gain of the protocol on the first features by importance, and on those with any importance."""
+    p = _rows(spark, d)
+    ranked = M.importances(p.where(F.col("month") <= H.NESTED_MONTHS["T4"][0][1]), ["pred_a", *FEATURES], "target")
+    return M.count_curve(lambda f: M.residual_protocol(p, "T4", "pred_a", f, "target", M.linear(), ALPHAS), ranked, (1, 2, 3, 5), "pred_a", "target")
 
 
 @query
@@ -70,11 +96,13 @@ def group_ablation(spark, d):
 
 @query
 def table_ensemble(spark, d):
-    """Boosted trees and two linear learners, blended 0.2 / 0.5 / 0.3, fitted up to month 50, scored after it."""
-    p = _rows(spark, d)
-    members = {"trees": (0.2, M.boosted()), "ridge": (0.5, M.linear()), "plain": (0.3, M.linear(0.0))}
-    out = M.ensemble(p.where("month <= 50"), p.where("month > 50"), ["pred_a", *FEATURES], "target", members)
-    return out.groupBy("month").agg(*[I.cosine(c, "target").alias(c) for c in (*members, "blend")])
+    """Boosted trees, as many as the tune months' cosine asks for, and two linear learners, blended 0.2 / 0.5 / 0.3 and refitted, over all four outer splits: cosine of each a month, and the trees."""
+    p, out = _rows(spark, d), []
+    members = {"trees": (0.2, M.Stopped(8, by="cosine")), "ridge": (0.5, M.linear()), "plain": (0.3, M.linear(0.0))}
+    for k in H.NESTED_MONTHS:
+        rows, found = M.ensemble_protocol(p, k, ["pred_a", *FEATURES], "target", members)
+        out.append(rows.groupBy("month").agg(*[I.cosine(c, "target").alias(c) for c in (*members, "blend")]).select(F.lit(k).alias("split"), "*", F.lit(found["trees"]).alias("n_trees")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query
