@@ -5,8 +5,10 @@ space: a word is coded as the bytes after its leading blank, closed by one blank
 words, and every distinct word of a batch is coded once.  The language with the shortest code wins (ties: the lesser name); the score is its share of
 2^-(length per word), so that it tells clear texts from doubtful ones at any length.
 
-Training counts come from at most about MAX_DOCS documents of each language (chosen by a hash of their ids); that bounds the model, which is broadcast.
-Texts that are null or have no letter are `und` with score 0, as is everything when no document has a language.  Repeated rows get equal results.
+Training counts come from about MAX_DOCS distinct texts of each language, chosen by a hash of the text, and from all of a language that has fewer; ids play no part, so a language is learned however its
+rows are numbered.  That bounds the model, which is broadcast.
+Texts that are null or have no letter are `und` with score 0, as is everything when no document has a language.  Repeated rows get equal results.  Texts are coded whole,
+however long; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -120,9 +122,10 @@ class Model:
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     """docs(doc_id, text, lang), all of them usable for training."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    rate = known.groupBy("lang").agg((max_docs / F.count("*")).alias("rate"))  # one row a language
-    some = known.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    rate = known.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg((max_docs / F.count("*")).alias("rate"))  # one row a language
+    some = known.join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    some = some.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")  # each text once, so copies neither swell the model nor fall out together
     counts = some.mapInArrow(_counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(counts) if len(counts) else None
 
