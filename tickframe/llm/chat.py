@@ -8,7 +8,8 @@ each chosen path becomes one conversation.  Nodes whose parent is missing are ro
 Template: every turn is `<|turn|>role\\n`, the text, `<|end|>\\n`.  Texts and roles are escaped: a backslash goes before each control string, and backslashes
 that stand before one (or at the end of the text) are doubled; `unescape` undoes it exactly.  The loss mask is an array of
 code-point spans (start, length) that cover the assistants' texts as formatted.  Null texts and roles are empty; repeated rows are turns
-of their own; an empty table gives no rows.
+of their own; an empty table gives no rows.  Rows that share tree and node follow each other, by role, text and score, in that node's place: the first replies to the node's parent, each further one to
+the one before it, and the node's replies to the last.  Texts may be of any length; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -44,7 +45,7 @@ def _chains(nodes: DataFrame, depth: int) -> DataFrame:
 
 def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """tree, leaf, rank, node, depth: the nodes of the `keep` best root-to-leaf paths of each tree."""
-    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has")).distinct()
     nodes = messages.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left")
     nodes = written(nodes.select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("parent"), "score"))
     depth = nodes.groupBy("tree").count().agg(F.max("count")).head()[0] or 1
@@ -66,6 +67,16 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     return paths
 
 
+def chained_copies(messages: DataFrame) -> DataFrame:
+    """Messages whose nodes are (node, copy): rows that share tree and node become a chain."""
+    w = W.partitionBy("tree", "node")
+    m = messages.withColumn("copy", F.row_number().over(w.orderBy("role", "text", "score", "parent")))
+    last = messages.groupBy("tree", F.col("node").alias("parent")).agg(F.count("*").cast("int").alias("last"))
+    m = m.join(last, ["tree", "parent"], "left")
+    up = F.when(F.col("copy") > 1, F.struct("node", (F.col("copy") - 1).alias("copy"))).when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("node"), F.coalesce("last", F.lit(1)).alias("copy")))
+    return m.select("tree", F.struct("node", "copy").alias("node"), up.alias("parent"), "role", "text", "score")
+
+
 def turns_as_tree(rows: DataFrame) -> DataFrame:
     """Flat conversations (conv_id, turn, role, text) as trees: each row replies to the one before it (ties by role, then text)."""
     w = W.partitionBy("conv_id").orderBy(F.col("turn"), F.col("role"), F.col("text"))
@@ -75,8 +86,10 @@ def turns_as_tree(rows: DataFrame) -> DataFrame:
     return t.select(key.alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"), "conv_id")
 
 
-def formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """messages -> tree, rank, formatted, loss (array of (start, length) in code points)."""
+def formatted(messages: DataFrame, keep: int = 1, distinct: bool = False) -> DataFrame:
+    """messages -> tree, rank, formatted, loss (array of (start, length) in code points).  `distinct` says that no two rows share tree and node (as after `turns_as_tree`)."""
+    messages = messages if distinct else chained_copies(messages)
+    messages = messages.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     path = best_paths(messages, keep).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     role, text = escape(F.col("role")), escape(F.col("text"))
     path = path.select("tree", "rank", "depth", F.concat(F.lit("<|turn|>"), role, F.lit("\n")).alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("learn"))

@@ -11,7 +11,7 @@ def op8_reply_trees(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     tree = written(turns_as_tree(rows.unionByName(probe)))
-    chats = written(formatted(tree))
+    chats = written(formatted(tree, distinct=True))
     turns = read_back(chats)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     learnt = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("masked").isNotNull(), F.struct("pos", "masked")))), lambda t: t.masked), "")
