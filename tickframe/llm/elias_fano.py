@@ -35,23 +35,33 @@ def _words(place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+#: Values coded at a time, a multiple of 64.
+BLOCK = 1 << 18
+
+
 def encode(values: np.ndarray) -> list[np.ndarray]:
     """(head, low, high) of a non-decreasing sequence: floor(log2(last / n)) low bits of each value packed, the upper parts in unary."""
-    x = values.astype(U)
-    n = len(x)
-    last = int(x[-1]) if n else 0
+    n = len(values)
+    last = int(values[-1]) if n else 0
     bits = max(0, (last // n).bit_length() - 1) if n else 0
-    i = np.arange(n, dtype=U)
-    low = x & U((1 << bits) - 1)
-    pos = i * U(bits)
-    w, off = (pos >> U(6)).astype(np.int64), pos & U(63)
-    lows = _words(w, low << off, n * bits // 64 + 2) if bits else np.zeros(1, U)
-    if bits:
-        cross = np.flatnonzero(off + U(bits) > U(64))
-        lows[w[cross] + 1] |= low[cross] >> (U(64) - off[cross])
-    p = (x >> U(bits)) + i
-    size = ((last >> bits) + n) // 64 + 2  # ends with zeros, so that every bucket is closed
-    high = _words((p >> U(6)).astype(np.int64), U(1) << (p & U(63)), size)
+    lows = np.zeros(n * bits // 64 + 2 if bits else 1, U)
+    high = np.zeros(((last >> bits) + n) // 64 + 2, U)  # ends with zeros, so that every bucket is closed
+    for at in range(0, n, BLOCK):
+        x = values[at : at + BLOCK].astype(U)
+        i = np.arange(len(x), dtype=U)
+        if bits:  # a block's low bits begin at a word
+            low = x & U((1 << bits) - 1)
+            pos = i * U(bits)
+            w, off = (pos >> U(6)).astype(np.int64), pos & U(63)
+            mine = lows[at * bits // 64 :]
+            some = _words(w, low << off, int(w[-1]) + 1)
+            mine[: len(some)] |= some
+            cross = np.flatnonzero(off + U(bits) > U(64))
+            mine[w[cross] + 1] |= low[cross] >> (U(64) - off[cross])
+        p = (x >> U(bits)) + i + U(at)
+        w = (p >> U(6)).astype(np.int64)
+        some = _words(w - w[0], U(1) << (p & U(63)), int(w[-1] - w[0]) + 1)
+        high[w[0] : w[0] + len(some)] |= some
     return [np.array([n, bits], U), lows, high]
 
 

@@ -29,7 +29,9 @@ from .elias_fano import EliasFano, encode, mapped, packed
 
 HELD_OUT = 10
 DISCOUNT, PRIOR, STEP = 0.75, 0.1, 4096
-CHUNK_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+CHUNK_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
+#: Lookups made at a time.
+LOOKUPS = 1 << 18
 SLICE_BYTES = 4 << 20
 ABSENT = 65535
 BEGIN, END = 0, 1
@@ -38,7 +40,11 @@ HASH_BITS = 48
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, ABSENT - 1).astype(np.uint16)
+    x = np.maximum(p, 1e-300)
+    np.log10(x, out=x)
+    x *= -STEP
+    np.rint(x, out=x)
+    return np.clip(x, 0, ABSENT - 1, out=x).astype(np.uint16)
 
 
 def decoding() -> np.ndarray:
@@ -136,9 +142,10 @@ class Chunk:
             new = grouped(key >> 1)
             n = np.add.reduceat(key & 1, new) if len(new) else new
             uniq, inverse = key[new] >> 1, None
-        pair, c = uniq // k, uniq % k
+        pair, c = uniq // k, (uniq % k).astype(np.int32)
+        del uniq
         pair = pair if back is None else back[pair]
-        return pair // k, pair % k, c, n, inverse
+        return (pair // k).astype(np.int32), (pair % k).astype(np.int32), c, n, inverse
 
 
 class Deal:
@@ -161,15 +168,15 @@ class Deal:
     def hot(self, b: np.ndarray) -> np.ndarray:
         return np.isin(b, self.keys)
 
-    def of_trigrams(self, b, a, c):
-        """(shard of each trigram, is b dealt out)."""
-        key, hot = self.mixed(b), self.hot(b)
+    def of_trigrams(self, words, b, a, c):
+        """(shard of each trigram, is b dealt out); words are the hashes behind the codes."""
+        key, hot = (self.mixed(words) % np.uint64(self.shards)).astype(np.int32)[b], self.hot(words)[b]
         if hot.any():
             i = np.flatnonzero(hot)
-            two = self.mixed(b[i], a[i])
+            two = self.mixed(words[b[i]], words[a[i]])
             dealt = np.isin(two, self.pair_keys)
-            key[i] = np.where(dealt, self.mixed(b[i], a[i], c[i]), two)
-        return (key % np.uint64(self.shards)).astype(np.int64), hot
+            key[i] = np.where(dealt, self.mixed(words[b[i]], words[a[i]], words[c[i]]), two) % np.uint64(self.shards)
+        return key, hot
 
     def of_bigrams(self, b, c):
         return (self.mixed(b, c, np.full(len(b), 7, np.uint64)) % np.uint64(self.shards)).astype(np.int64)
@@ -177,12 +184,11 @@ class Deal:
 
 def parts(ch: Chunk, deal: Deal, b, a, c, n):
     """What a chunk asks: per shard the indices of its trigrams, and of the bigrams of dealt out words; and these bigrams (b, c, n)."""
-    hb, ha, hc = ch.words[b], ch.words[a], ch.words[c]
-    shard, hot = deal.of_trigrams(hb, ha, hc)
+    shard, hot = deal.of_trigrams(ch.words, b, a, c)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(deal.shards + 1))
     k = len(ch.words)
-    two, at = np.unique(b[hot] * k + c[hot], return_inverse=True)
+    two, at = np.unique(b[hot].astype(np.int64) * k + c[hot], return_inverse=True)
     b2, c2, n2 = two // k, two % k, np.bincount(at, weights=n[hot], minlength=len(two)).astype(np.int64)
     shard2 = deal.of_bigrams(ch.words[b2], ch.words[c2])
     order2 = np.argsort(shard2, kind="stable")
@@ -262,7 +268,7 @@ class Trie:
     def build(cls, words: np.ndarray, tri, bi, deal: Deal) -> bytes:
         """words: sorted hashes; tri = (b, a, c, n) and bi = (b, c, n) of dealt out words, in their codes, sorted, distinct, n > 0."""
         b, a, c, n = tri
-        k = max(len(words), 1)
+        k = np.int64(max(len(words), 1))
         hot = deal.hot(words)
         # level of successors: those below contexts, and those that this shard answers for words that are dealt out
         own = ~hot[b] if len(b) else np.zeros(0, bool)
@@ -297,10 +303,10 @@ class Trie:
         return packed([words, back2, a2, np.where(hot[heads], 0, total) if len(heads) else total, back3, a3, *[y for x in levels for y in encode(x)]])
 
     def answers(self, b, a, c):
-        """Codes (A3, B3, A2, B2) of trigrams in codes of `words` (-1: not a word of the trie): the level of b gives where its successors start, c's place there goes on to the context's numbers."""
+        """Codes (A3, B3, A2, B2) of trigrams in codes of `words` (-1: not a word of the trie), quickest where equal b and (b, a) follow each other: the level of b gives where its successors start, c's place there goes on to the context's numbers."""
         none = np.full(len(b), ABSENT, np.uint16)
         a3, b3, a2, b2 = none, np.zeros(len(b), np.uint16), none.copy(), np.zeros(len(b), np.uint16)
-        k = max(len(self.words), 1)
+        k = np.int64(max(len(self.words), 1))
 
         def along(starts, *values):
             return [np.repeat(v, np.diff(np.concatenate((starts, [len(b)])))) for v in values]
@@ -332,8 +338,10 @@ class Trie:
 
     def occurrences(self, b):
         """Training occurrences of words (0 where they are dealt out or unknown)."""
-        i = self.heads.find(np.maximum(b, 0))
-        return np.where((i >= 0) & (b >= 0), self.seen[np.maximum(i, 0)] if len(self.seen) else 0, 0)
+        runs = grouped(b)
+        i = self.heads.find(np.maximum(b[runs], 0))
+        n = np.where((i >= 0) & (b[runs] >= 0), self.seen[np.maximum(i, 0)] if len(self.seen) else 0, 0)
+        return np.repeat(n, np.diff(np.concatenate((runs, [len(b)]))))
 
 
 def distinct(parts: list[np.ndarray]) -> np.ndarray:
@@ -373,22 +381,31 @@ def _answered(deal):
         tri, n3, at3 = _merged(np.concatenate(keys), np.concatenate(n3))
         bi, n2, at2 = _merged(np.concatenate(keys2), np.concatenate(n2))
         del keys, keys2
-        pair, c = tri // k, tri % k
-        pair = pairs[pair] if pairs.size else pair
-        b, a = pair // k, pair % k
-        del tri, pair
+        k = np.int64(k)
+
+        def spelled(key):
+            pair, c = key // k, (key % k).astype(np.int32)
+            pair = pairs[pair] if pairs.size else pair
+            return (pair // k).astype(np.int32), (pair % k).astype(np.int32), c
+
         d, e = bi // k, bi % k
         known, has = n3 > 0, n2 > 0
-        trie = Trie(Trie.build(words, (b[known], a[known], c[known], n3[known]), (d[has], e[has], n2[has]), deal.value))
-        codes = trie.answers(b, a, c)
+        trie = Trie(Trie.build(words, (*spelled(tri[known]), n3[known]), (d[has], e[has], n2[has]), deal.value))
+        del known, n3
         hot = deal.value.hot(words)
-        codes[2][hot[b]], codes[3][hot[b]] = ABSENT, 0
+        codes, seen = np.zeros((4, len(tri)), np.uint16), np.zeros(len(tri), np.int64)
+        for lo in range(0, len(tri), LOOKUPS):
+            at = slice(lo, lo + LOOKUPS)
+            b, a, c = spelled(tri[at])
+            codes[:, at] = trie.answers(b, a, c)
+            codes[2, at][hot[b]], codes[3, at][hot[b]] = ABSENT, 0
+            seen[at] = trie.occurrences(b)
         _, _, e2, f2 = trie.answers(d, np.full(len(d), -1), e)
-        seen = trie.occurrences(b)
         out, i, j = [], 0, 0
         for m3, m2 in sizes:
             at, q = at3[i : i + m3], at2[j : j + m2]
-            first, ctx = grouped(b[at]), grouped(b[at], a[at])  # one count and B2 a word b of the request, one B3 a context
+            b, a, _ = spelled(tri[at])
+            first, ctx = grouped(b), grouped(b, a)  # one count and B2 a word b of the request, one B3 a context
             out.append(squeezed([seen[at[first]], codes[0][at], codes[1][at[ctx]], codes[2][at], codes[3][at[first]], e2[q], f2[q]]))
             i, j = i + m3, j + m2
         return pa.Table.from_arrays([table.column("chunk"), table.column("shard"), pa.array(out, pa.binary())], schema=schema)
