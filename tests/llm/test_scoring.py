@@ -43,7 +43,7 @@ def brute(docs):
         n3[a, b] += n
         t3[a, b] += 1
     total, distinct = sum(uni.values()), len(uni)
-    q = lambda p: 10.0 ** (-round(-math.log10(p) * 4096) / 4096)
+    q = lambda p: 10.0 ** (-round(-math.log10(p) * lm_trie.STEP) / lm_trie.STEP)
     out = []
     for i, s in seqs:
         path, base, score = [0, 0, *s], 0.0, 0.0

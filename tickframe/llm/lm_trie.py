@@ -2,7 +2,7 @@
 
 A trigram model with absolute discounting, interpolated down to bigrams and to the smoothed unigrams of the base score:
 p(c | a b) = A3 + B3 (A2 + B2 p(c)) with A = (count - DISCOUNT) / (count of the context) and B = DISCOUNT * (distinct successors) / (count of the context); a context that was not seen has A = 0, B = 1.  A and B
-are quantised to 16 bits, 1/4096 of a decade.  Each text is two begin marks, its words and one end.
+are quantised to steps of 1/STEP of a decade (0.45 % at most).  Each text is two begin marks, its words and one end.
 
 The corpus is cut into chunks of about CHUNK_TOKENS tokens, written once as coded words.  Every chunk sends its distinct trigrams, parted by the shard of their middle word, packed into one row a chunk and
 shard; what is shuffled so grows with the text, but by few bytes a token.  A shard adds the training counts up, builds its trie and answers all chunks; a chunk puts the answers
@@ -28,7 +28,7 @@ from .common import crc_fold, written
 from .elias_fano import EliasFano, encode, mapped, packed
 
 HELD_OUT = 10
-DISCOUNT, PRIOR, STEP = 0.75, 0.1, 4096
+DISCOUNT, PRIOR, STEP = 0.75, 0.1, 256
 CHUNK_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
 #: Lookups made at a time.
 LOOKUPS = 1 << 18
@@ -62,7 +62,7 @@ def squeezed(arrays: list[np.ndarray]) -> bytes:
         raw = np.ascontiguousarray(x.astype(np.uint64 if width > 4 else np.uint32)).view(np.uint8).reshape(len(x), 8 if width > 4 else 4)
         planes += [np.array([width], np.uint8), np.ascontiguousarray(raw[:, :width].T).reshape(-1)]
     raw = packed(planes)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def loose(blob: bytes) -> list[np.ndarray]:
@@ -79,16 +79,20 @@ def loose(blob: bytes) -> list[np.ndarray]:
 
 
 def _chunks(batches):
-    """Chunks of texts as one row: chunk, number of tokens, texts and training texts, and a blob of (doc ids, are they null, held out, words a text, steps between the sorted hashes of its distinct
-    words, codes)."""
+    """Chunks of texts as one row: chunk, number of tokens, texts and training texts, and a blob of (doc ids, are they null, held out, words a text, hashes of its distinct words by falling
+    frequency, codes)."""
     schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64()), ("train_docs", pa.int64()), ("blob", pa.binary())])
     held, size, at = [], 0, TaskContext.get().partitionId() << 32
 
     def chunk():
         words = np.concatenate([x[3] for x in held])
-        uniq, code = np.unique(words, return_inverse=True)
+        uniq, code, n = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # frequent words get low codes, which take less room
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        uniq, code = uniq[order], rank[code]
         ids, none, out, n = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 4))
-        blob = squeezed([ids.view(np.uint64), none, out, n, np.diff(uniq, prepend=np.uint64(0)), code])
+        blob = squeezed([ids.view(np.uint64), none, out, n, uniq, code])
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, len(words) + len(ids), len(ids), int((out == 0).sum()))] + [pa.array([blob], pa.binary())], schema=schema)
 
     for b in K.slices(batches, limit=SLICE_BYTES):
@@ -112,12 +116,15 @@ class Chunk:
     def __init__(self, blob: bytes):
         ids, self.none, self.out, n, uniq, code = loose(blob)
         self.ids, self.n = ids.astype(np.uint64).view(np.int64), n.astype(np.int64)
-        self.words = np.concatenate((np.array([BEGIN, END], np.uint64), np.cumsum(uniq.astype(np.uint64))))
+        order = np.argsort(uniq)
+        self.words = np.concatenate((np.array([BEGIN, END], np.uint64), uniq[order].astype(np.uint64)))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(2, len(order) + 2, dtype=np.int32)
         ends = np.cumsum(self.n + 1) - 1  # places of the end tokens
         self.c = np.full(len(code) + len(self.n), END, np.int32)
         is_word = np.ones(len(self.c), bool)
         is_word[ends] = False
-        self.c[is_word] = code.astype(np.int32) + 2
+        self.c[is_word] = place[code]
         self.first = ends - self.n
         self.b = np.concatenate((np.zeros(1, np.int32), self.c[:-1]))
         self.b[self.first] = BEGIN
