@@ -29,7 +29,7 @@ from .elias_fano import EliasFano, encode, mapped, packed
 
 HELD_OUT = 10
 DISCOUNT, PRIOR, STEP = 0.75, 0.1, 256
-CHUNK_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
+CHUNK_TOKENS, SHARD_TOKENS = 3_500_000, 2_250_000
 #: Lookups made at a time.
 LOOKUPS = 1 << 18
 SLICE_BYTES = 4 << 20
