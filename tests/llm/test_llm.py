@@ -65,8 +65,8 @@ def empty(spark, tmp_path_factory):
 def test_edge_cases_and_reruns(spark, edges, name):
     f = {**QUERIES, "pipeline": corpus_pipeline.run}[name]
     got = f(spark, edges).toPandas()
-    assert len(got)
-    if name not in ("op4_pack_windows", "op8_reply_trees", "pipeline"):
+    assert len(got) or name == "op13_phrase_collocations"  # nothing stands there a hundred times
+    if name not in ("op4_pack_windows", "op8_reply_trees", "op13_phrase_collocations", "pipeline"):
         assert len(got) == 52
     assert rows(got) == rows(f(spark, edges).toPandas())
 
