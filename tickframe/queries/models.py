@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import asof, families as E, metrics as I, micro, models as M, sequences as Q
+from ..operators import asof, context as C, families as E, metrics as I, micro, models as M, sequences as Q
 from ..plans import protocol as H
+from ..session import scratch_path
 from ..sources.adapter import frame, read_tables
 from .production import ALPHAS
 
@@ -111,3 +112,37 @@ def size_gate(spark, d):
     p = _rows(spark, d)
     out = M.size_gate(p.where("month <= 50"), p.where("month > 50"), "pred_a", FEATURES, "target", M.linear())
     return out.groupBy("month").agg(I.cosine("pred_a", "target").alias("plain"), I.cosine("gated", "target").alias("gated"))
+
+
+def _context(spark, d):
+    """Score rows of the context diagnostic, and the written table that they come from."""
+    t = read_tables(spark, d)
+    rows = _frames(t)["context"].join(t.label, "sample_id").join(frame(spark, d, "prd").select("sample_id", "pred_a"), "sample_id")
+    features = [c for c in rows.columns if re.match(Q.CONTEXT, c)]
+
+    def written(df):
+        path = scratch_path(spark)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = written(rows)
+    return rows, features, written(C.forward_models(rows, H.CONTEXT, features, "pred_a", "target", M.boosted(8, 3)))
+
+
+@query
+def context_models(spark, d):
+    """Ridge and boosted trees of the context on forward splits: scores by split and pooled."""
+    return C.forward_scores(_context(spark, d)[2])
+
+
+@query
+def context_gate(spark, d):
+    """Whether the trees pass the diagnostic's gate."""
+    return C.forward_gate(_context(spark, d)[2])
+
+
+@query
+def context_bias(spark, d):
+    """What the trees miss by quartile of each context column."""
+    rows, features, scored = _context(spark, d)
+    return C.context_bias(rows, scored, H.CONTEXT, features)
