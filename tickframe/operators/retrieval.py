@@ -1,49 +1,11 @@
-"""History-only nearest neighbours and ridge regressions."""
+"""What is made of history-only nearest neighbours: means, support, local ridges, prototypes and experts."""
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-
-def knn(query: DataFrame, bank: DataFrame, k: int, block: int = 2048, metric: str = "euclidean") -> DataFrame:
-    """query(q, month, z) and bank(b, month, z) -> q, b, dist, rank: the k nearest of strictly earlier months (ties by b); cosine is the Euclidean distance of
-    unit vectors.  Each month's bank is cut into blocks, and a query block meets the blocks of earlier months only; each meeting is one Arrow task that keeps its k best, and
-    the best of all blocks are merged: no pair table is built.  Exact, so its work is that of all pairs."""
-    sizes = bank.groupBy(F.col("month").alias("bm")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    nq = max(1, -(-query.count() // block))
-    places = sizes.select("bm", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"))  # one row for every `block` rows of the bank
-    qs = query.select(F.pmod(F.xxhash64("q"), F.lit(nq)).alias("qb"), "q", F.col("month").alias("qm"), F.col("z").alias("qz")).join(F.broadcast(places), F.col("bm") < F.col("qm"))
-    bs = bank.select("b", F.col("month").alias("bm"), F.col("z").alias("bz")).join(F.broadcast(sizes), "bm").withColumn("sub", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    bs = bs.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-
-    def stacked(z):
-        x = np.stack(z).astype(float)
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) if metric == "cosine" else x
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        x, y, ids = stacked(left["qz"]), stacked(right["bz"]), right["b"].to_numpy()
-        yy = (y * y).sum(1)
-        rows, near = [], min(k, len(y)) - 1
-        for lo in range(0, len(x), 256):
-            part = x[lo : lo + 256]
-            d2 = (part * part).sum(1)[:, None] + yy - 2 * part @ y.T
-            # the product is inexact: all within a margin of the k-th are measured again
-            margin = np.partition(d2, near, 1)[:, near] + 1e-9 * (1 + yy.max())
-            i, j = np.nonzero(d2 <= margin[:, None])
-            d = np.sqrt(((y[j] - part[i]) ** 2).sum(1)).round(9)
-            o = np.lexsort((ids[j], d, i))
-            i, j, d = i[o], j[o], d[o]
-            first = np.searchsorted(i, np.arange(len(part)))
-            keep = np.arange(len(i)) - first[i] < k
-            rows.append(pd.DataFrame({"q": left["q"].to_numpy()[lo + i[keep]], "b": ids[j[keep]], "dist": d[keep]}))
-        return pd.concat(rows)
-
-    near = qs.groupBy("qb", "bm", "sub").cogroup(bs.groupBy("qb", "bm", "sub")).applyInPandas(nearest, "q long, b long, dist double")
-    w = W.partitionBy("q").orderBy("dist", "b")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+from .neighbours import knn  # noqa: F401
 
 
 def neighbour_mean(pairs: DataFrame, values: DataFrame) -> DataFrame:
