@@ -164,7 +164,11 @@ def knn(query: DataFrame, bank: DataFrame, k: int, block: int = 2048, metric: st
     within = lambda key: (F.col("first") + F.pmod(F.xxhash64(key), F.col("parts"))).cast("int")
     bank = bank.withColumn("ring", ring).join(F.broadcast(deal), ["month", "p", "ring"]).select("b", "z", within("b").alias("bin"))
     asked = asked.join(F.broadcast(blocks), "p").select("q", "month", "z", within("q").alias("block"))
-    close = met(routes(asked, cells, at, k, metric), bank, k, metric)
-    tau = stored(close.groupBy("q").agg(F.get(F.array_sort(F.collect_list("dist")), F.lit(k - 1)).alias("tau")))  # a few bins' k a query
-    near = met(routes(asked.join(tau, "q", "left"), cells, at, k, metric), bank, k, metric)
+    if cells["parts"].sum() == len(cells) and cells["first"].nunique() <= months:  # one bin a month: a first round would cost as much as it could save
+        asked = asked.withColumn("tau", F.lit(None).cast("double"))
+    else:
+        close = met(routes(asked, cells, at, k, metric), bank, k, metric)
+        tau = close.groupBy("q").agg(F.get(F.array_sort(F.collect_list("dist")), F.lit(k - 1)).alias("tau"))  # a few bins' k a query
+        asked = asked.join(stored(tau), "q", "left")
+    near = met(routes(asked, cells, at, k, metric), bank, k, metric)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("dist", "b"))).where(F.col("rank") <= k)

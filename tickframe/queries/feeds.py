@@ -6,7 +6,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tidied
+from ..operators import families as E
 from ..streaming import live
+from .features import GEO_CTE, GEO_NAMES
 from .sqltext import SIGNED_ORDER, rnd
 
 QUERIES: dict = {}
@@ -73,3 +75,22 @@ def live_user_groups(spark, d):
     s = _stream(spark, d, "events", "ts").select("user_id", "ts", "event_id", "value")
     out = live.drained(live.live_groups(s, "user_id", "ts", "6 hours", "1 hour", F.sum("value").alias("value")))
     return tidied(_plain(out, "start", "end"))
+
+
+#: Quotes of an event feed: the levels in terms of event_id, for both engines.
+_LEVEL = {"bid_price_1": "(10000 + (event_id * 7919) % 41) / 1e4", "ask_price_1": "(10001 + (event_id * 7919) % 41 + event_id % 3) / 1e4", "bid_price_2": "(9990 + (event_id * 7919) % 41) / 1e4",
+          "ask_price_2": "(10004 + (event_id * 7919) % 41 + event_id % 3) / 1e4", "bid_volume_1": "CAST(100 * (1 + (event_id * 37) % 53) AS DOUBLE)", "ask_volume_1": "CAST(100 * (1 + (event_id * 31) % 50) AS DOUBLE)",
+          "bid_volume_2": "CAST(100 * (1 + (event_id * 41) % 59) AS DOUBLE)", "ask_volume_2": "CAST(100 * (1 + (event_id * 43) % 61) AS DOUBLE)"}
+_LEVELS = [f"{v} AS {k}" for k, v in _LEVEL.items()]
+
+
+@query(f"""WITH mkt AS (SELECT user_id AS sample_id, event_id AS seq, -epoch_us(ts) AS seconds_before_predict, {', '.join(_LEVELS)} FROM events WHERE user_id IS NOT NULL), {GEO_CTE}
+SELECT sample_id, g.seq, {_AT('-g.seconds_before_predict')} AS ts, (-g.seconds_before_predict) // 1000 + {_DAY // 1000} <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - {_HOUR // 1000} AS closed,
+ {', '.join(rnd(f'{c}::DOUBLE', c) for c in GEO_NAMES)} FROM geo JOIN g0 g USING (sample_id)""")
+def live_quote_geometry(spark, d):
+    """Geometry of every user's latest quote, kept as state; users silent for a day are closed."""
+    quotes = _stream(spark, d, "events", "ts").selectExpr("user_id AS sample_id", "event_id AS seq", "ts", *_LEVELS)
+    now = live.current(live.drained(live.live_states(quotes, "sample_id", "ts", "seq", *_LEVEL, idle=86_400, late="1 hour"), rocks=True), "sample_id", "seq", *_LEVEL)
+    shape = E.lob_geometry(now.withColumn("seconds_before_predict", F.lit(0.0)))
+    seen = now.select("sample_id", "seq", F.timestamp_micros("at").alias("ts"), "closed")
+    return tidied(_plain(seen.join(shape, "sample_id"), "ts"), "sample_id", "seq", "closed")
