@@ -28,13 +28,27 @@ def _channels() -> dict[str, Column]:
     return out
 
 
-def sequence(market: DataFrame, steps: int = 200, width: float = 3.0) -> DataFrame:
-    """sample_id, step and 18 channels: step s holds the last quote at or before s * width seconds before the prediction; steps older than the first quote are absent."""
+def _covering(market: DataFrame, steps: int, width: float) -> DataFrame:
+    """The quotes that hold any step, with the first and last step of each (`lo`, `hi`): at most `steps` quotes a sample."""
     s = F.col("seconds_before_predict")
     nxt = F.lead(s).over(path_window())
     q = market.withColumns({"hi": F.floor(s / width).cast("int"), "lo": F.coalesce(F.floor(nxt / width).cast("int") + 1, F.lit(0))})
-    q = q.withColumn("hi", F.least("hi", F.lit(steps - 1))).where("lo <= hi")
-    return q.select("sample_id", *[v.alias(k) for k, v in _channels().items()], F.explode(F.sequence("lo", "hi")).alias("step"))
+    return q.withColumn("hi", F.least("hi", F.lit(steps - 1))).where("lo <= hi")
+
+
+def sequence(market: DataFrame, steps: int = 200, width: float = 3.0) -> DataFrame:
+    """sample_id, step and 18 channels: step s holds the last quote at or before s * width seconds before the prediction; steps older than the first quote are absent."""
+    return _covering(market, steps, width).select("sample_id", *[v.alias(k) for k, v in _channels().items()], F.explode(F.sequence("lo", "hi")).alias("step"))
+
+
+def full_sequences(market: DataFrame, channels: list[str], steps: int = 200, width: float = 3.0) -> DataFrame:
+    """The full sequences, a row a sample: `path` holds structs of step and channels from step 0 on.  Quotes are gathered before they are spread over their steps, in the tasks that hold their sample, so
+    that no step is shuffled or sorted."""
+    every = _channels()
+    q = _covering(market, steps, width).where("sample_id is not null").select("sample_id", F.struct("lo", "hi", *[every[c].alias(c) for c in channels]).alias("run"))
+    runs = q.groupBy("sample_id").agg(F.sum(F.col("run.hi") - F.col("run.lo") + 1).alias("n"), F.sort_array(F.collect_list("run")).alias("runs")).where(F.col("n") == steps)
+    spread = lambda r: F.transform(F.sequence(r.lo, r.hi), lambda i: F.struct(i.alias("step"), *[r[c].alias(c) for c in channels]))
+    return runs.select("sample_id", F.flatten(F.transform("runs", spread)).alias("path"))
 
 
 #: Prepared columns of the newest {T} steps: c0.. (channels), z0.. (standardised inside the sample), n1_0.. (z one step newer) up to three steps.
@@ -86,7 +100,11 @@ def sequence_layers(seq: DataFrame, channels: list[str], steps: int = 10) -> Dat
 
 def _hash(seed: int, *cols: str) -> Column:
     """Arithmetic hash, the same in any engine."""
-    return (sum((F.col(c) * m for c, m in zip(cols, (7919, 104729, 1299709), strict=False)), F.lit(0)) + seed * 15485863 + 12345) % 1000003
+    return _dealt(seed, *[F.col(c) for c in cols])
+
+
+def _dealt(seed: int, *cols: Column) -> Column:
+    return (sum((c * m for c, m in zip(cols, (7919, 104729, 1299709), strict=False)), F.lit(0)) + seed * 15485863 + 12345) % 1000003
 
 
 def surrogate(seq: DataFrame, kind: str, channels: list[str], steps: int, block: int = 10, seed: int = 1) -> DataFrame:
@@ -107,6 +125,35 @@ def surrogate(seq: DataFrame, kind: str, channels: list[str], steps: int, block:
     return reduce(lambda a, b: a.join(b, ["sample_id", "step"]), parts)
 
 
+def surrogate_path(kind: str, channels: list[str], steps: int, block: int = 10, seed: int = 1) -> Column:
+    """`surrogate` for rows of `full_sequences`: structs of the channels, in the order of their new steps."""
+    path = F.col("path")
+    if kind == "reverse":
+        return F.transform(F.reverse(path), lambda x: F.struct(*[x[c].alias(c) for c in channels]))
+    if kind == "desync":
+        at = [F.col("sample_id") * 31 + (i + seed) * 17 for i in range(len(channels))]
+        return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda s: F.struct(*[F.get(path, F.pmod(s - a, F.lit(steps)).cast("int"))[c].alias(c) for a, c in zip(at, channels, strict=True)]))
+    if steps % block:
+        raise ValueError("steps must be whole blocks")
+    unit = lambda x: F.floor(x.step / block) if kind == "block" else x.step.cast("long")
+    dealt = lambda x: F.struct(_dealt(seed, F.col("sample_id"), unit(x)).alias("h"), unit(x).alias("unit"), x.step.alias("step"), *[x[c].alias(c) for c in channels])
+    return F.transform(F.sort_array(F.transform(path, dealt)), lambda x: F.struct(*[x[c].alias(c) for c in channels]))
+
+
+def path_sums(path: Column, mid: str, with_: str) -> Column:
+    """Struct of (n, total) of the mid, (steps, moved) of its absolute changes from the older step, and (pairs, together) of the changes times a channel: one walk from the oldest step to the newest, nulls apart."""
+    none = F.lit(None).cast("double")
+    zero = F.struct(none.alias("older"), *[F.lit(0).cast("long").alias(n) if n in ("n", "steps", "pairs") else F.lit(0.0).alias(n) for n in ("n", "total", "steps", "moved", "pairs", "together")])
+
+    def step(a: Column, x: Column) -> Column:
+        d = F.coalesce(x[mid] - a.older, F.lit(0.0))
+        has = lambda v: v.isNotNull().cast("long")
+        return F.struct(x[mid].alias("older"), (a.n + has(x[mid])).alias("n"), (a.total + F.coalesce(x[mid], F.lit(0.0))).alias("total"), (a.steps + 1).alias("steps"), (a.moved + F.abs(d)).alias("moved"),
+                        (a.pairs + has(x[with_])).alias("pairs"), (a.together + F.coalesce(d * x[with_], F.lit(0.0))).alias("together"))
+
+    return F.aggregate(F.reverse(path), zero, step)
+
+
 def phase_randomised(seq: DataFrame, channels: list[str], seed: int = 1) -> DataFrame:
     """Sequences with the same power spectrum and random phases: one Fourier transform a sample (a few hundred rows) in an Arrow task."""
 

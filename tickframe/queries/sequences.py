@@ -1,9 +1,7 @@
 """Sequences, their layers and surrogates, intensities, tensors, forensics and named subsets as queries."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.exprs import tidied
 from ..operators import families, micro, sequences as Q, stack
@@ -71,16 +69,10 @@ _LAG = "coalesce(mid - lag(mid) OVER (PARTITION BY sample_id ORDER BY step DESC)
 SELECT kind, sample_id, count(DISTINCT step) AS steps, {rnd('avg(mid)', 'mean')}, {rnd('1e3 * avg(abs(dm))', 'step_size')}, {rnd('1e3 * avg(dm * imb1)', 'together')} FROM g GROUP BY ALL""")
 def surrogate_sequences(spark, d):
     """Full sequences and four surrogates of them: what stays (mean) and what goes (steps, what channels do together)."""
-    from pyspark.sql import Window as W
-
-    seq = Q.sequence(frame(spark, d, "mkt"), STEPS, WIDTH).select("sample_id", "step", "mid", "imb1")
-    full = seq.groupBy("sample_id").count().where(F.col("count") == STEPS).select("sample_id")
-    seq = seq.join(full, "sample_id", "left_semi")
-    kinds = ("reverse", "shuffle", "block", "desync")
-    parts = [Q.surrogate(seq, k, ["mid", "imb1"], STEPS, 20).select(F.lit(k).alias("kind"), "sample_id", F.col("step").cast("int").alias("step"), "mid", "imb1") for k in kinds]
-    w = W.partitionBy("kind", "sample_id").orderBy(F.desc("step"))
-    g = reduce(DataFrame.unionByName, parts).withColumn("dm", F.coalesce(F.col("mid") - F.lag("mid").over(w), F.lit(0.0)))
-    return tidied(g.groupBy("kind", "sample_id").agg(F.countDistinct("step").alias("steps"), F.avg("mid").alias("mean"), (F.avg(F.abs("dm")) * 1e3).alias("step_size"), (F.avg(F.col("dm") * F.col("imb1")) * 1e3).alias("together")))
+    kinds = [F.struct(F.lit(k).alias("kind"), Q.surrogate_path(k, ["mid", "imb1"], STEPS, 20).alias("path")) for k in ("reverse", "shuffle", "block", "desync")]
+    rows = Q.full_sequences(frame(spark, d, "mkt"), ["mid", "imb1"], STEPS, WIDTH).select("sample_id", F.inline(F.array(*kinds)))
+    g = rows.select("kind", "sample_id", Q.path_sums(F.col("path"), "mid", "imb1").alias("s"))
+    return tidied(g.select("kind", "sample_id", F.col("s.steps").alias("steps"), F.try_divide("s.total", "s.n").alias("mean"), (F.try_divide("s.moved", "s.steps") * 1e3).alias("step_size"), (F.try_divide("s.together", "s.pairs") * 1e3).alias("together")))
 
 
 @query(None)
