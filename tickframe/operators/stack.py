@@ -4,6 +4,8 @@ Each family is a table of named aggregate expressions over prepared events, one
 oldest to the newest.  Thresholds of large trades are global.  The texts are plain SQL, so that another engine can evaluate the same definitions."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exprs as X
@@ -158,22 +160,44 @@ CROSS = {
 DROPPED = ("t_transaction_rate", "o_order_rate", "x_sec_t_empty_ratio", "x_sec_o_empty_ratio")
 
 
+#: The mean gap needs no order: the gaps between the oldest and the newest event add up to their distance.
+UNORDERED = {"avg(gap)": "(max(seconds_before_predict) - min(seconds_before_predict)) / nullif(count(seconds_before_predict) - 1, 0)"}
+_NUMBERED = re.compile(r"\b(gap|ret|price10|place|events|dev|dev15)\b")
+
+
 def _family(prepared: DataFrame, features: dict[str, str]) -> DataFrame:
     return prepared.groupBy("sample_id").agg(*[F.expr(e).alias(n) for n, e in features.items()])
 
 
-def trades(trade: DataFrame) -> DataFrame:
-    q = quantiles(trade, {"q90": ("volume", 0.9), "q95": ("volume", 0.95)})
-    p = trade.sparkSession.sql(PREPARED.format(events="{events}"), events=trade)
-    return _family(p.join(F.broadcast(q)), TRADES)
+def _names(text: str) -> set[str]:
+    return set(re.findall(r"[A-Za-z_]\w*", text))
+
+
+def _kept(features: dict[str, str], keep) -> dict[str, str]:
+    return features if keep is None else {n: e for n, e in features.items() if n in keep}
+
+
+def _events(rows: DataFrame, features: dict[str, str]) -> DataFrame:
+    """A family of trades or orders; one without features of the order of events needs neither sort nor shuffled rows."""
+    plain = {n: UNORDERED.get(e, e) for n, e in features.items()}
+    if any(_NUMBERED.search(e) for e in plain.values()):
+        return _family(rows.sparkSession.sql(PREPARED.format(events="{events}"), events=rows), features)
+    return _family(rows.withColumns({"sgn": F.when(F.col("side") == 0, 1.0).otherwise(-1.0), "lv": F.ln(1 + F.col("volume"))}), plain)
+
+
+def trades(trade: DataFrame, keep=None) -> DataFrame:
+    f = _kept(TRADES, keep)
+    if any(_names(e) & {"q90", "q95"} for e in f.values()):
+        trade = trade.join(F.broadcast(quantiles(trade, {"q90": ("volume", 0.9), "q95": ("volume", 0.95)})))
+    return _events(trade, f)
 
 
-def orders(order: DataFrame) -> DataFrame:
-    return _family(order.sparkSession.sql(PREPARED.format(events="{events}"), events=order), ORDERS)
+def orders(order: DataFrame, keep=None) -> DataFrame:
+    return _events(order, _kept(ORDERS, keep))
 
 
-def quotes(market: DataFrame) -> DataFrame:
-    return _family(market.sparkSession.sql(QUOTES.format(events="{events}"), events=market.where("ask_price_1 > 0")), MARKET)
+def quotes(market: DataFrame, keep=None) -> DataFrame:
+    return _family(market.sparkSession.sql(QUOTES.format(events="{events}"), events=market.where("ask_price_1 > 0")), _kept(MARKET, keep))
 
 
 def seconds(events: DataFrame, kind: str, features: dict[str, str]) -> DataFrame:
@@ -183,10 +207,19 @@ def seconds(events: DataFrame, kind: str, features: dict[str, str]) -> DataFrame
     return _family(events.sparkSession.sql(SECONDS, events=e, grid=grid), features)
 
 
-def stack(market: DataFrame, order: DataFrame, trade: DataFrame) -> DataFrame:
-    """All families and what is formed across them, one row a sample with trades, without the dropped columns and repeated rows."""
-    t = trades(trade)
-    for other in (orders(order), seconds(trade, "side", TRADE_SECONDS), seconds(order, "order_action", ORDER_SECONDS), quotes(market)):
-        t = t.join(other, "sample_id", "left")
-    out = t.select("*", *[F.expr(e).alias(n) for n, e in CROSS.items()]).drop(*DROPPED).distinct()
-    return out.fillna(0, [c for c, kind in out.dtypes if kind == "bigint" and c != "sample_id"])
+def stack(market: DataFrame, order: DataFrame, trade: DataFrame, keep=None) -> DataFrame:
+    """All families and what is formed across them, one row a sample with trades, without the dropped columns.  Each family has a row a sample, so no row comes twice.  With `keep` (names of columns)
+    only the families and features that these columns need are built.  Of `seq` only its order counts."""
+    cross = {n: e for n, e in CROSS.items() if (keep is None or n in keep) and n not in DROPPED}
+    need = None if keep is None else set(keep).union(*map(_names, cross.values()))
+    t = trades(trade, need)
+    if need is None or need & set(ORDERS):
+        t = t.join(orders(order, need), "sample_id", "left")
+    for rows, kind, features in ((trade, "side", TRADE_SECONDS), (order, "order_action", ORDER_SECONDS)):
+        if _kept(features, need):
+            t = t.join(seconds(rows, kind, _kept(features, need)), "sample_id", "left")
+    if need is None or need & set(MARKET):
+        t = t.join(quotes(market, need), "sample_id", "left")
+    out = t.select("*", *[F.expr(e).alias(n) for n, e in cross.items()]).drop(*DROPPED)
+    out = out.fillna(0, [c for c, kind in out.dtypes if kind == "bigint" and c != "sample_id"])
+    return out if keep is None else out.select("sample_id", *[c for c in keep if c != "sample_id"])

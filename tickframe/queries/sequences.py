@@ -144,7 +144,7 @@ def order_flow_stage_d(spark, d):
 @query(_subset(STACK["stack_assembled"], ["sample_id", *Q.STATE]))
 def market_states(spark, d):
     t = read_tables(spark, d)
-    return tidied(stack.stack(t.market, t.order, t.trade).select("sample_id", *Q.STATE))
+    return tidied(stack.stack(t.market, t.order, t.trade, Q.STATE))
 
 
 @query(f"SELECT sample_id, COLUMNS('{Q.CONTEXT}') FROM ({more.ORACLES['normalised_windows']}) x")

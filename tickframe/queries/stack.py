@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from ..functions.exprs import tidied
 from ..operators import stack as S
-from ..sources.adapter import duck, frame, read_tables
+from ..sources.adapter import duck, frame, ordered_orders, read_tables
 from .sqltext import rnd
 
 QUERIES: dict = {}
@@ -52,7 +52,7 @@ def stack_trades(spark, d):
 
 @query(f"WITH {duck('ord')}, {_O} SELECT sample_id, {_rounded(S.ORDERS)} FROM o")
 def stack_orders(spark, d):
-    return tidied(S.orders(frame(spark, d, "ord")))
+    return tidied(S.orders(ordered_orders(spark, d)))
 
 
 @query(f"WITH {duck('mkt')}, {_M} SELECT sample_id, {_rounded(S.MARKET)} FROM m")
@@ -78,4 +78,4 @@ _X = {n: e for n, e in S.CROSS.items() if n not in S.DROPPED}
  k AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _X.items())} FROM j) SELECT DISTINCT sample_id, {_rounded(_ALL)}, {', '.join(rnd(n, n) for n in _X)} FROM k""")
 def stack_assembled(spark, d):
     t = read_tables(spark, d)
-    return tidied(S.stack(t.market, t.order, t.trade))
+    return tidied(S.stack(t.market, ordered_orders(spark, d), t.trade))
