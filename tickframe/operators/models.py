@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -52,8 +52,11 @@ def with_vector(df: DataFrame, features: list[str], name: str = "x") -> DataFram
 
 def fitted(train: DataFrame, apply: DataFrame, features: list[str], label: str, factory: Factory, name: str) -> DataFrame:
     """Rows of `apply` with the prediction of a learner fitted on `train`."""
-    model = factory("x", label).fit(with_vector(train, features))
-    return model.transform(with_vector(apply, features)).withColumnRenamed("prediction", name).drop("x")
+    return predicted(factory("x", label).fit(with_vector(train, features)), apply, features, name)
+
+
+def predicted(model: Model, rows: DataFrame, features: list[str], name: str) -> DataFrame:
+    return model.transform(with_vector(rows, features)).withColumnRenamed("prediction", name).drop("x")
 
 
 class Stopped:
@@ -69,13 +72,18 @@ class Stopped:
         return GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees or self.most, maxDepth=self.depth, stepSize=self.step, seed=7)
 
     def choose(self, train: DataFrame, held: DataFrame, features: list[str], label: str) -> int:
+        return self.chosen(train, held, features, label)[0]
+
+    def chosen(self, train: DataFrame, held: DataFrame, features: list[str], label: str) -> tuple[int, Model | None]:
+        """The number of trees, and the model of so many trees on `train` if the search has fitted it."""
         est = self("x", label)
         if self.by == "cosine":
             curve = staged_cosines(est.fit(with_vector(train, features)), with_vector(held, features), label)
-            return max(range(len(curve)), key=lambda i: (round(curve[i], 9), -i)) + 1
+            return max(range(len(curve)), key=lambda i: (round(curve[i], 9), -i)) + 1, None
         both = train.withColumn("__held", F.lit(False)).unionByName(held.withColumn("__held", F.lit(True)))
         est.setValidationIndicatorCol("__held").setParams(validationTol=0.0)
-        return est.fit(with_vector(both, features)).getNumTrees
+        model = est.fit(with_vector(both, features))
+        return model.getNumTrees, model
 
     def fixed(self, trees: int) -> Factory:
         return lambda features, label: self(features, label, trees)
@@ -91,23 +99,39 @@ def staged_cosines(model, rows: DataFrame, y: str) -> list[float]:
     return [float(c) for c in rows.agg(*sums).head()]
 
 
-def residual_protocol(df: DataFrame, split: str, base: str, features: list[str], y: str, factory: Factory, alphas, table=NESTED) -> DataFrame:
+def residual_protocol(df: DataFrame, split: str, base: str, features: list[str], y: str, factory: Factory, alphas, table=NESTED, fits: dict | None = None) -> DataFrame:
     """One outer split: a learner of the residual fitted on the inner train months, alpha chosen on the tune months, refitted on all months before the outer ones, which come back with
     `residual_pred`, `blend` (frozen alpha and scales) and `alpha`.  A learner that is stopped (`Stopped`) finds its number of trees on the tune months' residuals (of the inner beta) and keeps it in
-    the refit; the outer rows then have `trees` too.  Outer targets are looked at by nothing here."""
-    rows = tag_roles(df, splits(df.sparkSession, [r for r in table if r[0] == split]))
-    role = lambda name: rows.where(F.col("role") == name).drop("role")
+    the refit; the outer rows then have `trees` too.  Outer targets are looked at by nothing here.  Calls that differ in the split alone may share a dict `fits`: splits with the same months before
+    the outer ones (T3 and T4) are then fitted once.  Rows are read once a fit, so store what is costly."""
+    mine = [r for r in table if r[0] == split]
+    splits(df.sparkSession, mine)
+    ranges = {r[1]: (r[2], r[3]) for r in mine}
+    rest = [c for c in df.columns if c != "month"]
+    role = lambda name: df.where(F.col("month").between(*ranges[name])).select("month", *rest, F.lit(split).alias("split"))
+    key = (tuple(features), *(ranges[k] for k in ("inner_train", "inner_tune", "refit_train")))
+    fits = {} if fits is None else fits
+    if key not in fits:
+        fits[key] = _residual_fit(role, base, features, y, factory, alphas)
+    model, state, trees = fits[key]
+    outer = predicted(model, role("outer_valid"), features, "residual_pred")
+    out = apply_alpha(outer, state, base, "residual_pred", [])
+    return out if trees is None else out.withColumn("trees", F.lit(trees))
+
+
+def _residual_fit(role, base: str, features: list[str], y: str, factory: Factory, alphas) -> tuple[Model, DataFrame, int | None]:
+    """The refitted learner, a row of alpha and scales, and the number of trees."""
     target = lambda d: residual_view(d, base, y, F.lit(True))
-    inner, held, trees = target(role("inner_train")), role("inner_tune"), None
+    inner, held, trees, model = role("inner_train"), role("inner_tune"), None, None
     if isinstance(factory, Stopped):
-        seen = residual_view(role("inner_train").withColumn("__fit", F.lit(True)).unionByName(held.withColumn("__fit", F.lit(False))), base, y, F.col("__fit"))
-        trees = factory.choose(seen.where("__fit").drop("__fit"), seen.where("not __fit").drop("__fit"), features, "residual")
+        seen = residual_view(inner.withColumn("__fit", F.lit(True)).unionByName(held.withColumn("__fit", F.lit(False))), base, y, F.col("__fit"))
+        trees, model = factory.chosen(seen.where("__fit").drop("__fit"), seen.where("not __fit").drop("__fit"), features, "residual")
         factory = factory.fixed(trees)
-    tune = fitted(inner, held, features, "residual", factory, "residual_pred")
-    state = fit_alpha(tune, base, "residual_pred", y, [], alphas)
-    outer = fitted(target(role("refit_train")), role("outer_valid"), features, "residual", factory, "residual_pred")
-    out = apply_alpha(outer, state.select("alpha", "ka", "kb"), base, "residual_pred", [])
-    return out if trees is None else out.withColumn("trees", F.lit(trees))
+    model = model or factory("x", "residual").fit(with_vector(target(inner), features))
+    best = fit_alpha(predicted(model, held, features, "residual_pred"), base, "residual_pred", y, [], alphas).select("alpha", "ka", "kb")
+    found = best.head()
+    state = inner.sparkSession.range(1).select(*[F.lit(found[c]).cast("double").alias(c) for c in best.columns]) if found else best
+    return factory("x", "residual").fit(with_vector(target(role("refit_train")), features)), state, trees
 
 
 def outer_summary(outers: dict[str, DataFrame], base: str, y: str) -> DataFrame:
@@ -181,10 +205,11 @@ def run_candidates(rows: DataFrame, frames: dict[str, DataFrame], base: str, y:
         path = scratch_path(spark)
         rows.join(table.select("sample_id", *features), "sample_id").write.parquet(path)  # fits read it many times
         data = spark.read.parquet(path)
+        fits: dict = {}
         key = name_hash(features), str(content_hash(data.select(*sorted(data.columns))).head().hash)
         for split in outers:
             if (name, split, *key) not in done:
-                s = outer_summary({split: residual_protocol(data, split, base, features, y, factory, alphas)}, base, y).head()
+                s = outer_summary({split: residual_protocol(data, split, base, features, y, factory, alphas, NESTED, fits)}, base, y).head()
                 run = spark.createDataFrame([(name, split, len(features), *key, s.n, s.alpha, s.base, s.blend, s.delta)], RUN)
                 if store is not None:
                     run.write.mode("append").parquet(store)

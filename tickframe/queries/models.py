@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import asof, context as C, families as E, metrics as I, micro, models as M, sequences as Q
 from ..plans import protocol as H
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources.adapter import frame, read_tables
 from .production import ALPHAS
 
@@ -28,11 +28,16 @@ def _rows(spark, d):
     return p.withColumns({"squashed": F.tanh("pred_b"), "product": F.col("pred_a") * F.col("pred_b"), "noise": ((F.col("sample_id") * 7919) % 101) / 100.0})
 
 
+def _stored_rows(spark, d):
+    """The rows as a narrow table, which linear fits read many times.  Boosted trees find their bins on a sample that goes by partitions, so theirs stay as they are."""
+    return stored(_rows(spark, d))
+
+
 @query
 def residual_protocol(spark, d):
     """Boosted residual learner, stopped on the tune months and refitted with as many trees, over all four outer splits: alpha, trees, cosines and gain."""
-    p = _rows(spark, d)
-    return M.outer_summary({k: M.residual_protocol(p, k, "pred_a", FEATURES, "target", M.Stopped(12), ALPHAS) for k in H.NESTED_MONTHS}, "pred_a", "target")
+    p, fits = _rows(spark, d), {}
+    return M.outer_summary({k: M.residual_protocol(p, k, "pred_a", FEATURES, "target", M.Stopped(12), ALPHAS, fits=fits) for k in H.NESTED_MONTHS}, "pred_a", "target")
 
 
 def _frames(t):
@@ -47,7 +52,10 @@ def frame_candidates(spark, d):
     """Residual protocol with a linear learner over six frames of order-book features and the last two outer splits: a run table with feature hashes."""
     t = read_tables(spark, d)
     rows = t.label.join(frame(spark, d, "prd").select("sample_id", "pred_a"), "sample_id")
-    return M.run_candidates(rows, _frames(t), "pred_a", "target", M.linear(0.1), ALPHAS, ("T3", "T4"))
+    frames = _frames(t)
+    frames["windows"] = stored(frames["windows"])  # the context is a part of it
+    frames["context"] = frames["windows"].select(*frames["context"].columns)
+    return M.run_candidates(rows, frames, "pred_a", "target", M.linear(0.1), ALPHAS, ("T3", "T4"))
 
 
 @query
@@ -61,9 +69,9 @@ def feature_count_curve(spark, d):
 @query
 def residual_candidates(spark, d):
     """The same protocol with a linear learner over several feature frames, and the gate over the outer splits of each."""
-    p, out = _rows(spark, d), None
+    p, out, fits = _stored_rows(spark, d), None, {}
     for name, features in GROUPS.items():
-        runs = {k: M.residual_protocol(p, k, "pred_a", features, "target", M.linear(), ALPHAS) for k in ("T3", "T4")}
+        runs = {k: M.residual_protocol(p, k, "pred_a", features, "target", M.linear(), ALPHAS, fits=fits) for k in ("T3", "T4")}
         one = M.outer_gate(M.outer_summary(runs, "pred_a", "target")).withColumn("frame", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -79,7 +87,7 @@ def domain_shift(spark, d):
 @query
 def feature_screen(spark, d):
     """Per feature group its gain in the protocol against how much it tells the months apart."""
-    p, out = _rows(spark, d), None
+    p, out = _stored_rows(spark, d), None
     for name, features in GROUPS.items():
         gain = M.outer_summary({name: M.residual_protocol(p, "T4", "pred_a", features, "target", M.linear(), ALPHAS)}, "pred_a", "target")
         shift, _ = M.domain_check(p, features, F.col("month") > 50, H.random_fold("sample_id", 3) == 0, {name: features})
@@ -91,7 +99,7 @@ def feature_screen(spark, d):
 @query
 def group_ablation(spark, d):
     """The protocol without each feature group."""
-    p = _rows(spark, d)
+    p = _stored_rows(spark, d)
     return M.ablations(lambda f: M.residual_protocol(p, "T4", "pred_a", f, "target", M.linear(), ALPHAS), GROUPS, "pred_a", "target")
 
 
@@ -109,7 +117,7 @@ def table_ensemble(spark, d):
 @query
 def size_gate(spark, d):
     """A prediction gated by a learnt size of the target: cosine before and after, per month."""
-    p = _rows(spark, d)
+    p = _stored_rows(spark, d)
     out = M.size_gate(p.where("month <= 50"), p.where("month > 50"), "pred_a", FEATURES, "target", M.linear())
     return out.groupBy("month").agg(I.cosine("pred_a", "target").alias("plain"), I.cosine("gated", "target").alias("gated"))
 
