@@ -40,6 +40,8 @@ HOT_LIMIT = 1_000_000
 HOT_ROUNDS = 2
 #: Ids up to this count are broadcast to filter the set table; beyond it a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
+#: Bits of the parity maps that pairs of different components are compared by before their n-grams are.
+SKETCH_BITS = 2048
 P = np.uint64(0x9E3779B97F4A7C15)
 #: Salts of the two halves of a class's key.
 KEY_SALTS = (P, np.uint64(0xC2B2AE3D27D4EB4F))
@@ -471,6 +473,33 @@ def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.where("a != b").join(one, "a").join(two, "b").where("9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m").select("a", "b")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity map of SKETCH_BITS bits, for sets that fill the small one."""
+    at = (tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(batches):
+    for b in K.slices(batches, "grams", SLICE_BYTES):
+        yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), pa.array([sketch(unpack_set(g)) for g in b.column("grams").to_pylist()], pa.binary())], names=["c", "n", "s"])
+
+
+def _near(batches):
+    """Pairs whose sketches differ in at most (n + m) / 9 bits."""
+    for b in K.slices(batches, "sa", SLICE_BYTES):
+        one, two = (np.frombuffer(b"".join(b.column(x).to_pylist()), "<u8").reshape(b.num_rows, -1) for x in ("sa", "sb"))
+        size = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+        near = pa.array(9 * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= size)
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], names=["a", "b"])
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose wide parity maps allow a link, as in `_plausible`: only these are counted fragment by fragment.  No link is lost."""
+    s = written(sets.mapInArrow(_sketches, "c long, n int, s binary"))
+    side = lambda x: s.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
+
+
 def _mixed_entries(hot):
     schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64()), *((f"m{q}", pa.int64()) for q in range(4))])
 
@@ -519,7 +548,8 @@ def jaccard_rows(docs: DataFrame, width: int = 5) -> DataFrame:
     links = written(_linked(first, _only(full, cls, _ends(first)).mapInArrow(_segments, SEGMENT)))
     label = components(links)
     known = some.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    new = written(_across(known.mapInArrow(*_mixed_entries(hot))).join(first, ["a", "b"], "left_anti"))
+    met = written(_across(known.mapInArrow(*_mixed_entries(hot))).join(first, ["a", "b"], "left_anti"))
+    new = written(_sketched(met, _only(full, cls, _ends(met))))
     more = written(_linked(new, _only(full, cls, _ends(new)).mapInArrow(_segments, SEGMENT)))
     if more.limit(1).count():
         label = components(links.union(more))
