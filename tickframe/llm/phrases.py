@@ -29,6 +29,8 @@ SHARDS = 8
 BITS = 1 << 27
 #: Distinct phrases that a task holds before it hands its counts on, and bytes of text worked on at once.
 TALLY, SLICE_BYTES = 2_000_000, 8 << 20
+#: Spelled phrases that a task holds before it hands its counts on, and rows of a batch of them.
+SPELLED, SPELLED_BATCH = 1_000_000, 50_000
 SALTS = 64
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
@@ -155,10 +157,14 @@ def locally_frequent(docs: DataFrame, bits: np.ndarray, level: int, words: DataF
 
 
 def _spelled(sent):
-    """Rows (lang, phrase, k, n): the counts of marked phrases of one to LONGEST words in each slice."""
+    """Rows (lang, phrase, k, n): a task's counts of marked phrases of one to LONGEST words, by the phrases themselves."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
+    def merged(held):
+        return pa.Table.from_batches(held, schema).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(schema.names).cast(schema)
+
     def run(batches):
+        held, size = [], 0
         for b in K.slices(batches, limit=SLICE_BYTES):
             p = Parsed(b)
             for k, h, inside in p.hashes():
@@ -169,7 +175,15 @@ def _spelled(sent):
                 at = at[first]
                 spelled = [p.words.take(pa.array(p.code[at + j])).cast(pa.large_string()) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(p.langs, pa.string()).take(pa.array(p.lang[at])), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(n)], schema=schema)
+                held.append(pa.RecordBatch.from_arrays([pa.array(p.langs, pa.string()).take(pa.array(p.lang[at])), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(n)], schema=schema))
+                size += len(at)
+            if size > SPELLED:
+                held = merged(held).to_batches(max_chunksize=SPELLED_BATCH)
+                size = sum(x.num_rows for x in held)
+                if size > SPELLED // 2:
+                    yield from held
+                    held, size = [], 0
+        yield from merged(held).to_batches(max_chunksize=SPELLED_BATCH)
 
     return run, "lang string, phrase string, k int, n long"
 
