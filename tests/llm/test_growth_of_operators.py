@@ -22,6 +22,30 @@ def test_sketches_tell_large_sets_apart_and_lose_no_link():
         assert 9 * small <= len(a) + len(half)  # the small map lets the unlike pair through
 
 
+def test_pairs_of_different_components_meet_once_a_run(spark):
+    """op9: near copies with most of their prefixes in common meet once for a run of shared n-grams, not once for each; unlike ones do not meet, and no link is lost."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 1 << J.TOKEN_BITS, n).astype(np.uint64)
+    base, sets = draw(300), []
+    for i in range(40):  # half of them about as far from each other as a link allows, half farther
+        kept = base[rng.permutation(300)[: 284 if i % 2 else 255]]
+        sets.append(np.unique(np.concatenate((kept, draw(300 - len(kept))))))
+    rows = [(i, len(x), bytearray(J.pack_set(x)), i) for i, x in enumerate(sets)]
+    known = spark.createDataFrame(rows, "c long, n int, grams binary, comp long")
+    hot = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = [(r.a, r.b) for r in J._across(known, hot).collect()]
+    links, shared = set(), 0
+    for i in range(40):
+        for j in range(i + 1, 40):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                links.add((i, j))
+                shared += len(np.intersect1d(J.prefix(sets[i], hot.value), J.prefix(sets[j], hot.value)))
+    assert links and links <= set(got)
+    assert len(set(got)) <= 2 * len(links)
+    assert len(got) * 3 <= shared
+
+
 def test_a_task_hands_each_phrase_on_once():
     """op13: counts are merged over a task's batches, not handed on slice by slice; all are there when they are handed on early."""
 

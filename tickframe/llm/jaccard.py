@@ -40,8 +40,8 @@ HOT_LIMIT = 1_000_000
 HOT_ROUNDS = 2
 #: Ids up to this count are broadcast to filter the set table; beyond it a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
-#: Bits of the parity maps that pairs of different components are compared by before their n-grams are.
-SKETCH_BITS = 2048
+#: Bits of the parity maps that pairs of different components are compared by where they meet, and before their n-grams are.
+MEET_BITS, SKETCH_BITS = 1024, 2048
 P = np.uint64(0x9E3779B97F4A7C15)
 #: Salts of the two halves of a class's key.
 KEY_SALTS = (P, np.uint64(0xC2B2AE3D27D4EB4F))
@@ -473,10 +473,10 @@ def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.where("a != b").join(one, "a").join(two, "b").where("9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m").select("a", "b")
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity map of SKETCH_BITS bits, for sets that fill the small one."""
-    at = (tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity map of some bits, for sets that fill the small one."""
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _sketches(batches):
@@ -501,38 +501,50 @@ def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _mixed_entries(hot):
-    schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64()), *((f"m{q}", pa.int64()) for q in range(4))])
+    """Rows (t, p, c, n, i, comp): a prefix n-gram, the one before it in the same prefix (-1: none), its class, the class's size, the n-gram's position, and the component."""
+    schema = pa.schema([("t", pa.int64()), ("p", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("comp", pa.int64())])
 
     def run(batches):
         for b in K.slices(batches, "grams", SLICE_BYTES):
-            toks, rows, maps = [], [], []
+            toks, before, rows = [], [], []
             for i, g in enumerate(b.column("grams").to_pylist()):
-                full = unpack_set(g)
-                maps.append(parity(full))
-                t = prefix(full, hot.value)
-                toks.append(t.astype(np.int64))
+                t = prefix(unpack_set(g), hot.value).astype(np.int64)
+                toks.append(t)
+                before.append(np.concatenate(([-1], t[:-1])))
                 rows.append(np.full(len(t), i))
             if not toks:
                 continue
             at, place = pa.array(np.concatenate(rows)), np.concatenate([np.arange(len(t), dtype=np.int32) for t in toks])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), b.column("c").take(at), b.column("n").take(at), pa.array(place), b.column("comp").take(at), *(pa.array(x).take(at) for x in np.array(maps).T.copy())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(before)), b.column("c").take(at), b.column("n").take(at), pa.array(place), b.column("comp").take(at)], schema=schema)
 
-    return run, "t long, c long, n int, i int, comp long, m0 long, m1 long, m2 long, m3 long"
+    return run, "t long, p long, c long, n int, i int, comp long"
 
 
-#: Both have enough n-grams left from the shared one on, and their parity bitmaps differ in few enough bits.
-MAY_LINK = "9L * least(n - i, m - j) >= 4L * (n + m) and 9L * (bit_count(m0 ^ w0) + bit_count(m1 ^ w1) + bit_count(m2 ^ w2) + bit_count(m3 ^ w3)) <= n + m"
+#: Numbers of a map of MEET_BITS bits.
+MEET = [f"m{q}" for q in range(MEET_BITS // 64)]
 
 
-def _across(entries: DataFrame) -> DataFrame:
-    """Distinct pairs of different components that share a prefix n-gram and may link."""
+def _meeting_maps(batches):
+    for b in K.slices(batches, "grams", SLICE_BYTES):
+        maps = np.frombuffer(b"".join(sketch(unpack_set(g), MEET_BITS) for g in b.column("grams").to_pylist()), np.int64).reshape(b.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([b.column("c"), *(pa.array(x) for x in maps.T.copy())], names=["c", *MEET])
+
+
+#: Two with the same n-gram before the shared one have met there already, where the other bounds let them through too (a group of these two alone is one that the stars have looked at).  Both have enough n-grams left
+#: from the shared one on, and their parity maps differ in few enough bits.
+MAY_LINK = "(i = 0 or p != q) and 9L * least(n - i, m - j) >= 4L * (n + m) and 9L * (" + " + ".join(f"bit_count({x} ^ other_{x})" for x in MEET) + ") <= n + m"
+
+
+def _across(known: DataFrame, hot) -> DataFrame:
+    """known(c, n, grams, comp) -> pairs (a, b) of different components that share a prefix n-gram and may link, once for each run of n-grams that stand in both prefixes one after the other."""
+    entries = known.mapInArrow(*_mixed_entries(hot))
     spread = entries.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
     mixed = written(spread.where("lo != hi and k > 2").select("t"))  # groups of two have been looked at by the stars
-    few = mixed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    entries = entries.join(F.broadcast(mixed) if few else mixed, "t", "left_semi")
-    names = (("c", "d"), ("n", "m"), ("i", "j"), ("comp", "other"), ("m0", "w0"), ("m1", "w1"), ("m2", "w2"), ("m3", "w3"))
+    maps = written(known.mapInArrow(_meeting_maps, "c long, " + ", ".join(f"{x} long" for x in MEET)))
+    entries = entries.join(_small_side(mixed), "t", "left_semi").join(_small_side(maps), "c")
+    names = (("p", "q"), ("c", "d"), ("n", "m"), ("i", "j"), ("comp", "other"), *((x, f"other_{x}") for x in MEET))
     met = entries.join(entries.select("t", *(F.col(x).alias(y) for x, y in names)), "t").where("c < d and comp != other and " + MAY_LINK)
-    return met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+    return met.select(F.col("c").alias("a"), F.col("d").alias("b"))
 
 
 def jaccard_rows(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -548,7 +560,7 @@ def jaccard_rows(docs: DataFrame, width: int = 5) -> DataFrame:
     links = written(_linked(first, _only(full, cls, _ends(first)).mapInArrow(_segments, SEGMENT)))
     label = components(links)
     known = some.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    met = written(_across(known.mapInArrow(*_mixed_entries(hot))).join(first, ["a", "b"], "left_anti"))
+    met = written(_across(known, hot).distinct().join(first, ["a", "b"], "left_anti"))
     new = written(_sketched(met, _only(full, cls, _ends(met))))
     more = written(_linked(new, _only(full, cls, _ends(new)).mapInArrow(_segments, SEGMENT)))
     if more.limit(1).count():
