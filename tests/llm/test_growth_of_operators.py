@@ -1,8 +1,11 @@
-"""Rows between steps of operators 9 and 13 stay in proportion to the input."""
+"""Rows between steps of operators 9, 12 and 13 stay in proportion to the input."""
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from tickframe.llm import jaccard as J, phrases as P
+from tickframe.llm import jaccard as J, lm_trie as L, phrases as P
 
 
 def test_sketches_tell_large_sets_apart_and_lose_no_link():
@@ -58,3 +61,20 @@ def test_a_task_hands_each_phrase_on_once():
     assert len({(r["lang"], r["phrase"]) for r in rows}) == len(rows)
     count = {r["phrase"]: r["n"] for r in rows}
     assert count["one two"] == 16 and count["one two three"] == 8 and count["a"] == 1
+
+
+def test_contexts_of_frequent_words_are_counted_only_where_they_may_be_dealt_out(spark):
+    """op12: a frequent word's contexts are not handed on one by one, only those that reach their share in a chunk; its successors once a chunk, and only those of training texts."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x} the" for x in rng.integers(0, 500, 50))) for i in range(40)]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame([(i, t, i in held) for i, t in docs], "doc_id long, text string, held_out boolean").coalesce(1)
+    chunks = df.mapInArrow(L._chunks, "chunk long, tokens long, docs long, train_docs long, train_words long, blob binary").select("tokens", "blob").collect()
+    tokens = sum(r.tokens for r in chunks)
+    the = np.array([xxhash.xxh3_64_intdigest(b"the") >> 64 - L.HASH_BITS], np.uint64)
+    batch = pa.RecordBatch.from_pydict({"blob": pa.array([bytes(r.blob) for r in chunks], pa.binary())})
+    rows = [r for b in L._followed(the, tokens // 8, tokens)[0](iter([batch])) for r in b.to_pylist()]
+    assert [r for r in rows if r["a"] is not None] == []
+    assert [(r["n"], r["every"]) for r in rows if r["c"] is None] == [(50 * (40 - len(held)), 2000)]
+    follow = {y for i, t in docs if i not in held for x, y in zip(t.split(), [*t.split()[1:], None], strict=True) if x == "the"}
+    assert sum(r["c"] is not None for r in rows) == len(follow)

@@ -79,9 +79,9 @@ def loose(blob: bytes) -> list[np.ndarray]:
 
 
 def _chunks(batches):
-    """Chunks of texts as one row: chunk, number of tokens, texts and training texts, and a blob of (doc ids, are they null, held out, words a text, hashes of its distinct words by falling
+    """Chunks of texts as one row: chunk, number of tokens, texts, training texts and their words, and a blob of (doc ids, are they null, held out, words a text, hashes of its distinct words by falling
     frequency, codes)."""
-    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64()), ("train_docs", pa.int64()), ("blob", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64()), ("train_docs", pa.int64()), ("train_words", pa.int64()), ("blob", pa.binary())])
     held, size, at = [], 0, TaskContext.get().partitionId() << 32
 
     def chunk():
@@ -93,7 +93,7 @@ def _chunks(batches):
         uniq, code = uniq[order], rank[code]
         ids, none, out, n = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 4))
         blob = squeezed([ids.view(np.uint64), none, out, n, uniq, code])
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, len(words) + len(ids), len(ids), int((out == 0).sum()))] + [pa.array([blob], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, len(words) + len(ids), len(ids), int((out == 0).sum()), int(n[out == 0].sum()))] + [pa.array([blob], pa.binary())], schema=schema)
 
     for b in K.slices(batches, limit=SLICE_BYTES):
         buf, offs = K.flat(b.column("text"))
@@ -457,52 +457,55 @@ def _summed(deal, total: int, distinct: int, train_docs: int):
 # ---- words and pairs that are dealt out
 
 
-def _vocabulary(batches):
-    """Rows (h, n, every): training occurrences and all occurrences of each distinct word of a chunk; h is the begin mark's for its contexts."""
-    for batch in batches:
-        for blob in batch.column("blob"):
-            ch = Chunk(blob.as_py())
-            n, every = np.bincount(ch.b[ch.train], minlength=len(ch.words)), np.bincount(ch.b, minlength=len(ch.words))
-            some = every > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ch.words[some].view(np.int64)), pa.array(n[some]), pa.array(every[some])], names=["h", "n", "every"])
+def _share(limit: int, chunk: int, tokens: int) -> int:
+    """Least count in some chunk of what reaches `limit` in all tokens: its proportional share, rounded up."""
+    return -(-limit * chunk // max(tokens, 1))
 
 
-def _followed(keys: np.ndarray, pairs: np.ndarray | None):
-    """Rows (b, a, c, n, every): without `pairs` the contexts (b, a) (c null) and the pairs (b, c) (a null) of some words b; with them the trigrams of these contexts."""
-    schema = pa.schema([(x, pa.int64()) for x in ("b", "a", "c", "n", "every")])
+def _vocabulary(limit: int, tokens: int):
+    """Rows (h, known, often) of a chunk's distinct words: does it stand in training texts, and does it reach its share of `limit`; h is the begin mark's for its contexts."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                ch = Chunk(blob.as_py())
+                known = np.bincount(ch.b[ch.train], minlength=len(ch.words)) > 0
+                often = np.bincount(ch.b, minlength=len(ch.words)) >= _share(limit, len(ch.b), tokens)
+                some = known | often
+                yield pa.RecordBatch.from_arrays([pa.array(ch.words[some].view(np.int64)), pa.array(known[some]), pa.array(often[some])], names=["h", "known", "often"])
 
-    def rows(ch, keep, cols):
-        k = len(ch.words)
-        key = ch.b[keep]
-        for x in cols:
-            key = key * k + x[keep]  # three codes only for few contexts; two never overflow
-        uniq, at = np.unique(key, return_inverse=True)
-        out = []
-        for _ in cols:
-            out.append(uniq % k)
-            uniq = uniq // k
-        h = lambda x: pa.array(ch.words[x].view(np.int64))
-        return h(uniq), [h(x) for x in out[::-1]], pa.array(np.bincount(at[ch.train[keep]], minlength=len(uniq))), pa.array(np.bincount(at, minlength=len(uniq)))
+    return run, "h long, known boolean, often boolean"
+
+
+def _followed(keys: np.ndarray, limit: int, tokens: int, pairs: np.ndarray | None = None):
+    """Rows (b, a, c, n, every) of some words b, n and every counting training and all occurrences: without `pairs` the words' own (a and c null), their distinct training successors (a null, no counts), and the contexts
+    (b, a) that reach their share of `limit` in the chunk (c null, no counts); with them the trigrams of these contexts."""
+    schema = pa.schema([(x, pa.int64()) for x in ("b", "a", "c", "n", "every")])
 
     def run(batches):
         for batch in batches:
             for blob in batch.column("blob"):
                 ch = Chunk(blob.as_py())
-                keep = np.isin(ch.words[ch.b], keys)
+                k, h = len(ch.words), lambda x: pa.array(ch.words[x].view(np.int64))  # noqa: B023
+                none = lambda x: pa.nulls(len(x), pa.int64())
+                keep = np.isin(ch.words, keys)[ch.b]
                 if pairs is not None:
                     keep[keep] = np.isin(Deal.mixed(ch.words[ch.b[keep]], ch.words[ch.a[keep]]), pairs)
-                if not keep.any():
-                    continue
-                if pairs is not None:
                     for a in np.unique(ch.a[keep]):
                         here = keep & (ch.a == a)
-                        b, (c,), n, every = rows(ch, here, [ch.c])
-                        yield pa.RecordBatch.from_arrays([b, pa.array(np.full(len(b), ch.words[a].view(np.int64))), c, n, every], schema=schema)
+                        two, at = np.unique(ch.b[here].astype(np.int64) * k + ch.c[here], return_inverse=True)
+                        n, every = np.bincount(at[ch.train[here]], minlength=len(two)), np.bincount(at, minlength=len(two))
+                        yield pa.RecordBatch.from_arrays([h(two // k), h(np.full(len(two), a)), h(two % k), pa.array(n), pa.array(every)], schema=schema)
                     continue
-                b, (a,), n, every = rows(ch, keep, [ch.a])
-                yield pa.RecordBatch.from_arrays([b, a, pa.nulls(len(b), pa.int64()), n, every], schema=schema)
-                b, (c,), n, every = rows(ch, keep, [ch.c])
-                yield pa.RecordBatch.from_arrays([b, pa.nulls(len(b), pa.int64()), c, n, every], schema=schema)
+                n, every = np.bincount(ch.b[keep & ch.train], minlength=k), np.bincount(ch.b[keep], minlength=k)
+                b = np.flatnonzero(every)
+                yield pa.RecordBatch.from_arrays([h(b), none(b), none(b), pa.array(n[b]), pa.array(every[b])], schema=schema)
+                known = keep & ch.train
+                two = np.unique(ch.b[known].astype(np.int64) * k + ch.c[known])
+                yield pa.RecordBatch.from_arrays([h(two // k), none(two), h(two % k), none(two), none(two)], schema=schema)
+                two, m = np.unique(ch.b[keep].astype(np.int64) * k + ch.a[keep], return_counts=True)
+                two = two[m >= _share(limit, len(ch.b), tokens)]
+                yield pa.RecordBatch.from_arrays([h(two // k), h(two % k), none(two), none(two), none(two)], schema=schema)
 
     return run, "b long, a long, c long, n long, every long"
 
@@ -511,39 +514,40 @@ def _unsigned(x: int) -> int:
     return x & 0xFFFFFFFFFFFFFFFF
 
 
-def dealt(chunks: DataFrame, shards: int, tokens: int) -> tuple[Deal, int, int]:
-    """(the deal, training occurrences and distinct training words); words and pairs with more than 1 / (2 shards) of all tokens, so at most two a shard each, are dealt out."""
+def dealt(chunks: DataFrame, shards: int, tokens: int) -> tuple[Deal, int]:
+    """(the deal, distinct training words); words and pairs with more than 1 / (2 shards) of all tokens, so at most two a shard each, are dealt out.  Such a word or pair has its share of that in some chunk, so only
+    those that do (at most 2 shards a chunk) are counted over all chunks."""
     limit = max(tokens // (2 * shards), 1) if shards > 1 else tokens + 1
-    words = chunks.select("blob").mapInArrow(_vocabulary, "h long, n long, every long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
-    real = F.col("h") != BEGIN
-    row = words.agg(F.sum(F.when(real, F.col("n"))).alias("total"), F.count_if(real & (F.col("n") > 0)).alias("distinct"), F.collect_list(F.when(F.col("every") >= limit, F.struct("h", "n"))).alias("hot")).head()
-    hot = {_unsigned(x.h): x.n for x in row.hot}
-    total, distinct = row.total or 0, row.distinct
+    words = chunks.select("blob").mapInArrow(*_vocabulary(limit, tokens)).groupBy("h").agg(F.bool_or("known").alias("known"), F.bool_or("often").alias("often"))
+    row = words.agg(F.count_if((F.col("h") != BEGIN) & F.col("known")).alias("distinct"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("often")).head()
+    if not row.often:
+        return Deal(shards, {}), row.distinct
+    keys = np.array(sorted(_unsigned(h) for h in row.often), np.uint64)
+    found = written(chunks.select("blob").mapInArrow(*_followed(keys, limit, tokens)).groupBy("b", "a", "c").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
+    hot = {_unsigned(r.b): r.n for r in found.where((F.col("a").isNull() & F.col("c").isNull()) & (F.col("every") >= limit)).collect()}
     if not hot:
-        return Deal(shards, {}), total, distinct
-    keys = np.array(sorted(hot), np.uint64)
-    found = written(chunks.select("blob").mapInArrow(*_followed(keys, None)).groupBy("b", "a", "c").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
-    follow = {_unsigned(r.b): r.k for r in found.where("c is not null").groupBy("b").agg(F.count_if(F.col("n") > 0).alias("k")).collect()}  # a row a word
-    pairs = {(_unsigned(r.b), _unsigned(r.a)): r.n for r in found.where(F.col("a").isNotNull() & (F.col("every") >= limit)).collect()}
+        return Deal(shards, {}), row.distinct
+    follow = {_unsigned(r.b): r["count"] for r in found.where("c is not null").groupBy("b").count().collect()}  # a row a word
     hot = {h: (n, follow.get(h, 0)) for h, n in hot.items()}
+    pairs = {(_unsigned(r.b), _unsigned(r.a)): (0, 0) for r in found.where("a is not null").collect() if _unsigned(r.b) in hot}
     if not pairs:
-        return Deal(shards, hot), total, distinct
-    probe = Deal(shards, hot, {p: (n, 0) for p, n in pairs.items()})
-    deeper = chunks.select("blob").mapInArrow(*_followed(keys, probe.pair_keys)).groupBy("b", "a", "c").agg(F.sum("n").alias("n")).groupBy("b", "a").agg(F.count_if(F.col("n") > 0).alias("k"))
-    k = {(_unsigned(r.b), _unsigned(r.a)): r.k for r in deeper.collect()}  # a row a pair
-    return Deal(shards, hot, {p: (n, k.get(p, 0)) for p, n in pairs.items()}), total, distinct
+        return Deal(shards, hot), row.distinct
+    probe = Deal(shards, hot, pairs)
+    deeper = chunks.select("blob").mapInArrow(*_followed(probe.keys, limit, tokens, probe.pair_keys)).groupBy("b", "a", "c").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    deeper = deeper.groupBy("b", "a").agg(F.count_if(F.col("n") > 0).alias("k"), F.sum("n").alias("n"), F.sum("every").alias("every")).where(F.col("every") >= limit)
+    return Deal(shards, hot, {(_unsigned(r.b), _unsigned(r.a)): (r.n, r.k) for r in deeper.collect()}), row.distinct
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row a document."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold("doc_id", HELD_OUT) == 0).alias("held_out"))
-    chunks = written(rows.mapInArrow(_chunks, "chunk long, tokens long, docs long, train_docs long, blob binary"), "none")
-    size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("train")).head()
+    chunks = written(rows.mapInArrow(_chunks, "chunk long, tokens long, docs long, train_docs long, train_words long, blob binary"), "none")
+    size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("train"), F.coalesce(F.sum("train_words"), F.lit(0)).alias("words")).head()
     shards = max(1, -(-size.tokens // SHARD_TOKENS))
-    deal, total, distinct = dealt(chunks, shards, size.tokens)
+    deal, distinct = dealt(chunks, shards, size.tokens)
     sent = sc.broadcast(deal)  # at most four entries a shard
     requests = chunks.select("chunk", "blob").mapInArrow(*_asked(sent))
     answers = requests.groupBy("shard").applyInArrow(*_answered(sent))
-    final = _summed(sent, total + size.train, distinct + (size.train > 0), size.train)
+    final = _summed(sent, size.words + size.train, distinct + (size.train > 0), size.train)
     return chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(*final)
