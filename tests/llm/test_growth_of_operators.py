@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tickframe.llm import jaccard as J, lm_trie as L, phrases as P
 
@@ -78,3 +79,21 @@ def test_contexts_of_frequent_words_are_counted_only_where_they_may_be_dealt_out
     assert [(r["n"], r["every"]) for r in rows if r["c"] is None] == [(50 * (40 - len(held)), 2000)]
     follow = {y for i, t in docs if i not in held for x, y in zip(t.split(), [*t.split()[1:], None], strict=True) if x == "the"}
     assert sum(r["c"] is not None for r in rows) == len(follow)
+
+
+def test_hardly_any_phrase_passes_by_a_bit_of_another(spark):
+    """op13: two bits of a hash must be set, so few phrases pass that are not marked; all marked ones do, whatever the upper half of their key."""
+    keys = spark.range(400_000).select((F.xxhash64("id").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).alias("key"))
+    bits = P.bitmap(keys)
+    assert P.marked(bits, keys.toPandas()["key"].to_numpy().astype(np.uint64)).all()
+    others = np.random.default_rng(4).integers(0, 1 << 63, 400_000).astype(np.uint64)
+    assert P.marked(bits, others).sum() < 200  # a single bit lets about 1,200 through
+
+
+def test_phrases_of_one_shard_alone_are_no_candidates(spark):
+    """op13: a phrase with its share of the support in one shard only, and too few occurrences in all, is not counted again."""
+    rows = [("x", "rare pair. " * 30 + "word. " * 100)] + [("x", "common pair. " * 20 + "word. " * 100)] * 7
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    words = spark.createDataFrame([("x", 160 + 7 * 140)], "lang string, words long")
+    every = np.full(P.BITS >> 6, np.uint64(0xFFFFFFFFFFFFFFFF))
+    assert P.locally_frequent(docs, every, 2, words).count() == 1

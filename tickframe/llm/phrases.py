@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import kernels as K
 from .common import written
+from .jaccard import _small_side as small_side
 
 SUPPORT, LONGEST, FIRST = 100, 5, 2000
 SHARDS = 8
@@ -32,6 +33,8 @@ TALLY, SLICE_BYTES = 2_000_000, 8 << 20
 #: Spelled phrases that a task holds before it hands its counts on, and rows of a batch of them.
 SPELLED, SPELLED_BATCH = 1_000_000, 50_000
 SALTS = 64
+#: Odd factor of a hash's second bit, which the product's upper bits give.
+SECOND, SHIFT = 0x2545F491, 5
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -71,8 +74,13 @@ class Parsed:
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Are both bits of each hash set?"""
     at = h & np.uint64(BITS - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    one = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    some = np.flatnonzero(one)
+    at = ((h[some] & LOW) * np.uint64(SECOND) & LOW) >> np.uint64(SHIFT) & np.uint64(BITS - 1)
+    one[some] = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return one
 
 
 def mined(p: Parsed, bits, level: int):
@@ -137,23 +145,26 @@ def _tallied(sent, level: int):
 
 
 def bitmap(hashes: DataFrame, known: np.ndarray | None = None):
-    """The bits of the hashes (the low bits of column key), and of a bitmap before: BITS / 8 bytes whatever their number.  Spark ors them; at most BITS / 64 rows come to the driver."""
-    at = F.col("key").bitwiseAND(F.lit(BITS - 1))
-    some = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    """Two bits of each hash (from the low 32 bits of column key), and those of a bitmap before: BITS / 8 bytes whatever their number.  Spark ors them; at most BITS / 64 rows come to the driver."""
+    low = "(key & 4294967295)"
+    at = hashes.select(F.explode(F.expr(f"array({low}, shiftright({low} * {SECOND}L & 4294967295, {SHIFT}))")).alias("at")).select(F.col("at").bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    some = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS >> 6, np.uint64) if known is None else known.copy()
     out[some.column("w").to_numpy()] |= some.column("b").to_numpy().view(np.uint64)
     return out
 
 
 def locally_frequent(docs: DataFrame, bits: np.ndarray, level: int, words: DataFrame) -> DataFrame:
-    """The hashes of a level's phrases that reach their share of SUPPORT in some shard."""
+    """The hashes of a level's phrases that reach their share of SUPPORT in some shard, and SUPPORT by the sum of all shards' counts: these are of all occurrences of such phrases, so that no phrase is lost."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     counts = written(docs.mapInArrow(*_tallied(sent, level)).groupBy("key", "lang").agg(F.sum("n").alias("n")))
     unit = F.shiftright("key", 32).alias("unit")
     units = counts.where("lang is not null").select(unit, "lang", F.col("n").alias("shard_words")).join(words, "lang")  # one row a shard and language
     large = lambda c: F.col(c).cast("decimal(20,0)")
-    met = counts.where("lang is null").select(unit, "key", "n").join(units, "unit")
-    return met.where(large("n") * large("words") >= large("shard_words") * SUPPORT).select(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).distinct()
+    met = counts.where("lang is null").select(unit, F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), "n").join(units, "unit")
+    some = written(met.where(large("n") * large("words") >= large("shard_words") * SUPPORT).select("lang", "key").distinct())
+    total = met.join(small_side(some), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return total.where(F.col("n") >= SUPPORT).select("key").distinct()
 
 
 def _spelled(sent):
