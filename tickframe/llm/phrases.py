@@ -2,7 +2,7 @@
 
 The corpus is parted into SHARDS shards, each a group of input partitions.  A phrase with SUPPORT occurrences in its language must reach its proportional share of them,
 SUPPORT * (words of the shard) / (words of the language), in at least one shard.  So each shard is mined completely at that lowered support: its tasks count their phrases, Spark adds the
-counts up per shard, and what is frequent in any shard is a candidate.  A second look at all texts counts every candidate, and its parts, exactly.  No phrase is lost, however
+counts up per shard, and what is frequent in any shard, and by the sum of all shards, is a candidate.  A second look at all texts counts every candidate, and its parts, exactly.  No phrase is lost, however
 the shards fall, and results do not depend on them.
 
 Shards are mined level by level: words that reach SUPPORT first, then pairs of such words, then three to five words all of whose pairs are frequent in some shard.  What a
