@@ -30,6 +30,7 @@ def slices(batches, column="text", limit=SLICE_BYTES):
         for hi in [*cuts.tolist(), b.num_rows]:
             yield b.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # a worker waits idle between tasks, beside the next stage's
 
 
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

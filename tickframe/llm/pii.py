@@ -154,6 +154,8 @@ def features(t: str, a: int, b: int, kind: str) -> tuple[int, ...]:
     return KINDS.index(kind), min(len(s) // 8, 8), int(4 * share), min(int(entropy(s)), 5), int(before.rstrip()[-1:] in {'"', "'", "=", ":"}), int(bool(FOR.search(before))), int(bool(AGAINST.search(before)))
 
 
+#: Bytes of text that a task holds as Python strings at once.
+SLICE_BYTES = 1 << 20
 #: Number of values of each feature.
 SIZES = (len(KINDS), 9, 5, 6, 2, 2, 2)
 
@@ -169,7 +171,7 @@ def _likely(arr) -> tuple[np.ndarray, list]:
 def _patterns(batches):
     schema = pa.schema([("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32())), ("n", pa.int64())])
     seen: Counter = Counter()
-    for b in K.slices(batches):
+    for b in K.slices(batches, limit=SLICE_BYTES):
         some, texts = _likely(b.column("text"))
         for i in np.flatnonzero(some).tolist():
             t = texts[i]
@@ -249,7 +251,7 @@ def spans(docs: DataFrame, model: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             some, texts = _likely(b.column("text"))
             base, every, n = [""] * b.num_rows, [""] * b.num_rows, np.zeros((b.num_rows, 6), np.int64)
             for i in np.flatnonzero(some).tolist():
@@ -270,7 +272,7 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches):
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             some, texts = _likely(b.column("text"))
             for i in np.flatnonzero(some).tolist():
                 t, out, at = texts[i], [], 0
