@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import kernels as K
-from .common import written
+from .common import shuffle_partitions, written
 from .jaccard import _small_side as small_side
 
 SUPPORT, LONGEST, FIRST = 100, 5, 2000
@@ -167,12 +167,16 @@ def locally_frequent(docs: DataFrame, bits: np.ndarray, level: int, words: DataF
     return total.where(F.col("n") >= SUPPORT).select("key").distinct()
 
 
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
+
+
+def merged(held: list) -> pa.Table:
+    """Batches of COUNTS as one table, a row for each phrase."""
+    return pa.Table.from_batches(held, COUNTS).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(COUNTS.names).cast(COUNTS)
+
+
 def _spelled(sent):
     """Rows (lang, phrase, k, n): a task's counts of marked phrases of one to LONGEST words, by the phrases themselves."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
-
-    def merged(held):
-        return pa.Table.from_batches(held, schema).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(schema.names).cast(schema)
 
     def run(batches):
         held, size = [], 0
@@ -186,7 +190,7 @@ def _spelled(sent):
                 at = at[first]
                 spelled = [p.words.take(pa.array(p.code[at + j])).cast(pa.large_string()) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                held.append(pa.RecordBatch.from_arrays([pa.array(p.langs, pa.string()).take(pa.array(p.lang[at])), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(n)], schema=schema))
+                held.append(pa.RecordBatch.from_arrays([pa.array(p.langs, pa.string()).take(pa.array(p.lang[at])), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(n)], schema=COUNTS))
                 size += len(at)
             if size > SPELLED:
                 held = merged(held).to_batches(max_chunksize=SPELLED_BATCH)
@@ -199,6 +203,57 @@ def _spelled(sent):
     return run, "lang string, phrase string, k int, n long"
 
 
+def _dealt(sent, buckets: int):
+    """Rows (bucket, counts): what `_spelled` counts, dealt by the phrases' hashes and packed, one row a bucket each time that a task hands its counts on."""
+    rows, _ = _spelled(sent)
+
+    def packed(held):
+        zstd = pa.ipc.IpcWriteOptions(compression="zstd")
+        t = pa.Table.from_batches(held, COUNTS)
+        bucket = (K.hash_words(t.column("phrase")) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        t, bucket = t.take(pa.array(order)).combine_chunks(), bucket[order]
+        ends = np.concatenate((np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        blobs = []
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, COUNTS, options=zstd) as out:
+                out.write_table(t.slice(lo, hi - lo))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(blobs, pa.binary())], names=["bucket", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in rows(batches):
+            held.append(b)
+            size += b.num_rows
+            if size >= SPELLED // 2:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run, "bucket int, counts binary"
+
+
+def _frequent(support: int):
+    """All counts of one bucket, of all tasks -> its phrases that reach the support: lang, phrase, k, f."""
+
+    def run(table):
+        held, size = [], 0
+        for blob in table.column("counts"):
+            got = pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches()
+            held += got
+            size += sum(x.num_rows for x in got)
+            if size > SPELLED:
+                held = merged(held).to_batches()
+                size = -sum(x.num_rows for x in held)  # as many again may come before the next merge
+        t = merged(held)
+        return t.filter(pc.greater_equal(t.column("n"), support)).rename_columns(["lang", "phrase", "k", "f"])
+
+    return run, "lang string, phrase string, k int, f long"
+
+
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(lang, text) -> all phrases of up to LONGEST words with their exact count f >= SUPPORT (lang, phrase, k, f), and the number of words per language (lang, words)."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
@@ -208,8 +263,8 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = written(locally_frequent(docs, bits, 2, words))
     longer = written(locally_frequent(docs, bitmap(pairs), 3, words))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(longer.unionByName(pairs), bits))
-    exact = docs.mapInArrow(*_spelled(sent)).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
-    return written(exact.where(F.col("f") >= SUPPORT)), words
+    exact = docs.mapInArrow(*_dealt(sent, shuffle_partitions(docs.sparkSession))).groupBy("bucket").applyInArrow(*_frequent(SUPPORT))
+    return written(exact), words
 
 
 def collocations(docs: DataFrame) -> DataFrame:
